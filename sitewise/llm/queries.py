@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, linededup, minhash, sketch, warc
+from . import ann, bpe, linededup, minhash, sketch, warc
 from ._common import read_table
 
 
@@ -13,6 +13,7 @@ def _on(table: str, f):
 QUERIES = {
     "op1_warc_segments": _on("pages", warc.op1),
     "op5_line_dedup": _on("documents", linededup.op5),
+    "op7_additive_quantisation": _on("embeddings", ann.op7),
     "op8_bottom_k": _on("documents", sketch.op8),
     "op9_byte_bpe": _on("documents", bpe.op9),
     "op10_minhash": _on("documents", minhash.op10),
