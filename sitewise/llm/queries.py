@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, linededup, minhash, sketch, warc
+from . import ann, bpe, linededup, minhash, sketch, toxicity, warc
 from ._common import read_table
 
 
@@ -12,6 +12,7 @@ def _on(table: str, f):
 
 QUERIES = {
     "op1_warc_segments": _on("pages", warc.op1),
+    "op4_compression_toxicity": lambda spark, sf_dir: toxicity.op4(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")),
     "op5_line_dedup": _on("documents", linededup.op5),
     "op7_additive_quantisation": _on("embeddings", ann.op7),
     "op8_bottom_k": _on("documents", sketch.op8),
