@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, linededup, minhash, sketch, toxicity, warc
+from . import ann, bpe, html, linededup, minhash, sketch, toxicity, warc
 from ._common import read_table
 
 
@@ -14,6 +14,7 @@ QUERIES = {
     "op1_warc_segments": _on("pages", warc.op1),
     "op4_compression_toxicity": lambda spark, sf_dir: toxicity.op4(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")),
     "op5_line_dedup": _on("documents", linededup.op5),
+    "op6_tag_path_html": _on("pages", html.op6),
     "op7_additive_quantisation": _on("embeddings", ann.op7),
     "op8_bottom_k": _on("documents", sketch.op8),
     "op9_byte_bpe": _on("documents", bpe.op9),
