@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, html, linededup, minhash, pii, sketch, toxicity, warc
+from . import ann, bpe, html, linededup, minhash, mixing, pii, sketch, toxicity, warc
 from ._common import read_table
 
 
@@ -13,6 +13,7 @@ def _on(table: str, f):
 QUERIES = {
     "op1_warc_segments": _on("pages", warc.op1),
     "op2_disclosure_pii": _on("documents", pii.op2),
+    "op3_source_mix": _on("documents", mixing.op3),
     "op4_compression_toxicity": lambda spark, sf_dir: toxicity.op4(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")),
     "op5_line_dedup": _on("documents", linededup.op5),
     "op6_tag_path_html": _on("pages", html.op6),
