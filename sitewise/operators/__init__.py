@@ -1 +1 @@
-"""Operators of the engine."""
+"""Relational operators: sites, alleles, features, scores, metrics, ranks."""

@@ -1 +1 @@
-"""Plans of the engine."""
+"""Named queries and workflows."""
