@@ -149,23 +149,41 @@ def tiered_minor(sites: DataFrame, feats: DataFrame) -> DataFrame:
     return hits.join(F.broadcast(tiers), F.col("freq") > F.col("bound")).select("gene", "tier", "sample")  # four tiers
 
 
-def gap_cancelled(sites: DataFrame, pairs: DataFrame, partner_only: bool = False, tri_allelic: bool = False, min_pairs: int = 1) -> DataFrame:
-    """Paired contrasts: characters after gap cancellation.
-
-    ``pairs`` (sample, pair): where a sample of a pair has a gap, both become ``-``
-    (``partner_only``: just the other one). ``tri_allelic``: pairs at sites with
-    more than two alleles become gaps too. Sites with fewer than ``min_pairs``
-    whole pairs become gaps throughout. Samples without a pair stay as they are.
+def gap_cancelled(sites: DataFrame, pairs: DataFrame, partner_only: bool = False, tri_allelic: bool = False, min_pairs: int = 2, outgroup=None) -> DataFrame:
+    """Paired contrasts: characters of the paired samples after gap cancellation.
+
+    ``pairs`` (sample, pair, and with an outgroup the boolean control). A site with a
+    gap in any pair becomes ``-`` for all paired samples; with ``partner_only`` just
+    for that pair, and for all if fewer than ``min_pairs`` whole pairs are left.
+    ``tri_allelic``: sites with more than two residues become gaps. ``outgroup``: so
+    do sites where a control differs from that sample. Others stay as they are.
     """
-    met = sites.join(pairs.select("sample", "pair"), "sample", "left")
     gap = F.col("ch").isin(*GAPS)
-    per_pair = met.where("pair IS NOT NULL").groupBy("gene", "pos", "pair").agg(F.count_if(gap).alias("_gaps"), F.count_if(~gap).alias("_chars"))
-    whole = per_pair.groupBy("gene", "pos").agg(F.count_if((F.col("_gaps") == 0) & (F.col("_chars") >= 2)).alias("_whole"))
-    out = met.join(per_pair.select("gene", "pos", "pair", "_gaps"), ["gene", "pos", "pair"], "left").join(whole, ["gene", "pos"], "left")
-    lost = F.coalesce(F.col("_gaps") > 0, F.lit(False)) & (~gap if partner_only else F.lit(True))
-    lost |= F.coalesce(F.col("_whole") < min_pairs, F.lit(False)) & F.col("pair").isNotNull()
+    met = sites.join(pairs, "sample", "left")
+    paired = F.col("pair").isNotNull()
+    per_pair = met.where(paired).groupBy("gene", "pos", "pair").agg(F.count_if(gap).alias("_gaps"), F.count_if(~gap).alias("_chars"))
+    site = per_pair.groupBy("gene", "pos").agg(F.count_if((F.col("_gaps") == 0) & (F.col("_chars") >= 2)).alias("_whole"), F.count_if(F.col("_gaps") > 0).alias("_broken"))
+    out = met.join(site, ["gene", "pos"], "left")
+    if partner_only:
+        out = out.join(per_pair.select("gene", "pos", "pair", "_gaps"), ["gene", "pos", "pair"], "left")
+        lost = (F.col("_gaps") > 0) | (F.col("_whole") < min_pairs)
+    else:
+        lost = F.col("_broken") > 0
     if tri_allelic:
-        kinds = sites.where(~gap).groupBy("gene", "pos").agg(F.count_distinct("ch").alias("_kinds"))
+        kinds = met.where(paired & ~gap).groupBy("gene", "pos").agg(F.count_distinct("ch").alias("_kinds"))
         out = out.join(kinds, ["gene", "pos"], "left")
-        lost |= F.coalesce(F.col("_kinds") > 2, F.lit(False)) & F.col("pair").isNotNull()
-    return out.select("gene", "pos", "sample", F.when(lost, F.lit("-")).otherwise(F.col("ch")).alias("ch"))
+        lost |= F.coalesce(F.col("_kinds") > 2, F.lit(False))
+    if outgroup is not None:
+        other = sites.where(F.col("sample") == outgroup).select("gene", "pos", F.col("ch").alias("_out"))
+        differs = met.where("control").join(other, ["gene", "pos"]).groupBy("gene", "pos").agg(F.bool_or(F.col("ch") != F.col("_out")).alias("_differs"))
+        out = out.join(differs, ["gene", "pos"], "left")
+        lost |= F.coalesce("_differs", F.lit(False))
+    return out.select("gene", "pos", "sample", F.when(paired & lost, F.lit("-")).otherwise(F.col("ch")).alias("ch"))
+
+
+def with_all(sites: DataFrame, samples: DataFrame) -> DataFrame:
+    """Sites of the genes in which every one of ``samples`` has a sequence."""
+    wanted = samples.select("sample").distinct()
+    n = wanted.agg(F.count(F.lit(1)).alias("_n"))
+    whole = sites.join(wanted, "sample").groupBy("gene").agg(F.count_distinct("sample").alias("_k")).join(F.broadcast(n)).where("_k = _n")  # one row
+    return sites.join(whole.select("gene"), "gene", "left_semi")

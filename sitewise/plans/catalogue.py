@@ -219,35 +219,47 @@ def _(spark, d):
     return I.read(spark, d, "documents").select(F.col("doc_id").alias("sample"), valid_residues(up, "nucleotide").alias("nucleotide"), valid_residues(up, "protein").alias("protein"))
 
 
-_GAP_SQL = """s2 AS (SELECT s.gene, s.sample, s.pos, CASE WHEN s.ch = 'N' THEN '-' ELSE s.ch END AS ch, s.sample // 2 AS pair FROM sites s),
+_GAP_SQL = """s2 AS (SELECT s.gene, s.sample, s.pos, CASE WHEN s.ch = 'N' AND s.sample % 7 = 0 THEN '-' ELSE s.ch END AS ch, s.sample // 1000 AS pair, s.sample % 2 = 0 AS control FROM sites s),
 pp AS (SELECT gene, pos, pair, count(*) FILTER (WHERE ch IN ('-', '?')) AS gaps, count(*) FILTER (WHERE ch NOT IN ('-', '?')) AS chars FROM s2 GROUP BY ALL),
-wh AS (SELECT gene, pos, count(*) FILTER (WHERE gaps = 0 AND chars >= 2) AS whole FROM pp GROUP BY ALL),
-kd AS (SELECT gene, pos, count(DISTINCT ch) AS kinds FROM s2 WHERE ch NOT IN ('-', '?') GROUP BY ALL)"""
+st AS (SELECT gene, pos, count(*) FILTER (WHERE gaps = 0 AND chars >= 2) AS whole, count(*) FILTER (WHERE gaps > 0) AS broken FROM pp GROUP BY ALL),
+kd AS (SELECT gene, pos, count(DISTINCT ch) AS kinds FROM s2 WHERE ch NOT IN ('-', '?') GROUP BY ALL),
+og AS (SELECT c.gene, c.pos, bool_or(c.ch <> o.ch) AS differs FROM s2 c JOIN s2 o ON c.gene = o.gene AND c.pos = o.pos AND o.sample = 1 WHERE c.control GROUP BY ALL)"""
 
 
 def _gaps(spark, d, **k):
-    s = I.line_sites(spark, d).withColumn("ch", F.when(F.col("ch") == "N", "-").otherwise(F.col("ch")))
-    return A.gap_cancelled(s, s.select("sample", F.floor(F.col("sample") / 2).alias("pair")).distinct(), **k)
+    s = I.line_sites(spark, d).withColumn("ch", F.when((F.col("ch") == "N") & (F.col("sample") % 7 == 0), "-").otherwise(F.col("ch")))
+    pairs = s.select("sample", F.floor(F.col("sample") / 1000).alias("pair"), (F.col("sample") % 2 == 0).alias("control")).distinct()
+    return A.gap_cancelled(s, pairs, **k)
 
 
-@query("gap_cancel", _lines(_GAP_SQL) + """SELECT s2.gene, s2.pos, s2.sample, CASE WHEN pp.gaps > 0 OR wh.whole < 1 THEN '-' ELSE s2.ch END AS ch FROM s2 JOIN pp USING (gene, pos, pair) JOIN wh USING (gene, pos)""")
+_LOST = "SELECT s2.gene, s2.pos, s2.sample, CASE WHEN {0} THEN '-' ELSE s2.ch END AS ch FROM s2 JOIN pp USING (gene, pos, pair) JOIN st USING (gene, pos) LEFT JOIN kd USING (gene, pos) LEFT JOIN og USING (gene, pos)"
+
+
+@query("gap_cancel", _lines(_GAP_SQL) + _LOST.format("st.broken > 0"))
 def _(spark, d):
     return _gaps(spark, d)
 
 
-@query("gap_cancel_partner", _lines(_GAP_SQL) + """SELECT s2.gene, s2.pos, s2.sample, CASE WHEN (pp.gaps > 0 AND s2.ch NOT IN ('-', '?')) OR wh.whole < 1 THEN '-' ELSE s2.ch END AS ch FROM s2 JOIN pp USING (gene, pos, pair) JOIN wh USING (gene, pos)""")
+@query("gap_cancel_partner", _lines(_GAP_SQL) + _LOST.format("pp.gaps > 0 OR st.whole < 2"))
 def _(spark, d):
     return _gaps(spark, d, partner_only=True)
 
 
-@query("tri_allelic", "WITH " + LINES + """, s2 AS (SELECT gene, sample, pos, ch, sample // 2 AS pair FROM sites),
-pp AS (SELECT gene, pos, pair, count(*) FILTER (WHERE ch IN ('-', '?')) AS gaps, count(*) AS chars FROM s2 GROUP BY ALL),
-wh AS (SELECT gene, pos, count(*) FILTER (WHERE gaps = 0 AND chars >= 2) AS whole FROM pp GROUP BY ALL),
-kd AS (SELECT gene, pos, count(DISTINCT ch) AS kinds FROM s2 GROUP BY ALL)
-SELECT s2.gene, s2.pos, s2.sample, CASE WHEN pp.gaps > 0 OR wh.whole < 1 OR kd.kinds > 2 THEN '-' ELSE s2.ch END AS ch FROM s2 JOIN pp USING (gene, pos, pair) JOIN wh USING (gene, pos) JOIN kd USING (gene, pos)""")
+@query("tri_allelic", _lines(_GAP_SQL) + _LOST.format("pp.gaps > 0 OR st.whole < 2 OR coalesce(kd.kinds > 2, false)"))
 def _(spark, d):
-    s = I.line_sites(spark, d)
-    return A.gap_cancelled(s, s.select("sample", F.floor(F.col("sample") / 2).alias("pair")).distinct(), tri_allelic=True)
+    return _gaps(spark, d, partner_only=True, tri_allelic=True)
+
+
+@query("outgroup_cancel", _lines(_GAP_SQL) + _LOST.format("pp.gaps > 0 OR st.whole < 2 OR coalesce(og.differs, false)"))
+def _(spark, d):
+    return _gaps(spark, d, partner_only=True, outgroup=1)
+
+
+@query("full_deletions", """SELECT CAST(turn AS VARCHAR) AS gene, conv_id AS sample, text AS seq FROM conversations
+WHERE turn IN (SELECT turn FROM conversations GROUP BY turn HAVING count(DISTINCT conv_id) = (SELECT count(DISTINCT conv_id) FROM conversations))""")
+def _(spark, d):
+    a = I.turns_alignment(spark, d)
+    return A.with_all(a, a)
 
 
 # ---------------------------------------------------------------- hypothesis, classes, folds

@@ -1 +1 @@
-"""Sources of the engine."""
+"""Readers and writers: alignments, numeric tables, lists, trees, scores, catalogue."""
