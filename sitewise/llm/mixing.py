@@ -114,7 +114,8 @@ def slots(aims: DataFrame, seed: int = 1, block: int = BLOCK, shard_slots: int =
 
 def taken(rows: DataFrame, aims: DataFrame, seed: int = 1, block: int = BLOCK) -> DataFrame:
     """row, pass, first, words, shard, place: the words of a document that each slot takes."""
-    met = pieces(rows, aims, block).join(slots(aims, seed, block), ["key", "index"])
+    # slots come out of few, short chunk rows: by their size the planner would broadcast what they grow to
+    met = pieces(rows, aims, block).hint("merge").join(slots(aims, seed, block).hint("merge"), ["key", "index"])
     words = F.least("words", F.col("take") - F.col("offset"))
     return met.select("row", "pass", "first", words.alias("words"), "shard", "place").where("words > 0")
 
@@ -136,10 +137,13 @@ def mix(docs: DataFrame, seed: int = 1, block: int = BLOCK) -> DataFrame:
     rows = sizes(docs)
     aims = targets(rows, block=block)
     parts = taken(rows, aims, seed, block).groupBy("row", "pass").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("_parts"))
-    chosen = rows.join(parts, "row").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("size").alias("_size"), F.col("pass"), "_parts")
+    key = F.xxhash64("doc_id", "_hash")
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy("row"))  # of rows with the same doc_id and text
+    slim = rows.withColumnRenamed("text_hash", "_hash").withColumn("_key", key).withColumn("_nth", nth)
+    chosen = slim.join(parts, "row").select("_key", F.col("_hash").alias("_own"), F.col("_nth").alias("_own_nth"), F.col("size").alias("_size"), F.col("pass"), "_parts")
     docs = docs.drop("pass")
-    own = docs.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"])
-    met = own.join(chosen, own["doc_id"].eqNullSafe(chosen["_doc"]) & (own["_hash"] == chosen["_hash"]))
+    own = docs.withColumn("_hash", F.xxhash64("text")).withColumn("_key", key).withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_hash")))
+    met = own.join(chosen, "_key").where("_hash = _own AND _nth - _own_nth = 0")
     words = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     lead = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
     bound = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(w, (p["first"] + 1 + lead).cast("int"), p["words"].cast("int")))), ""))
