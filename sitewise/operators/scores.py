@@ -11,23 +11,25 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import median_nonzero, ratio, sigmoid
 
-SIZE = F.sum(F.abs("w"))
+
+def _size() -> Column:
+    return F.sum(F.abs("w"))
 
 
 def significance(weights: DataFrame) -> DataFrame:
     """Gene, position and total scores, each the sum of absolute weights, in one pass: (level, gene, pos, score)."""
     some = weights.where("w <> 0")
-    sums = some.groupingSets([("gene", "pos"), ("gene",), ()], "gene", "pos").agg(SIZE.alias("score"), F.grouping_id().alias("_g"))
+    sums = some.groupingSets([("gene", "pos"), ("gene",), ()], "gene", "pos").agg(_size().alias("score"), F.grouping_id().alias("_g"))
     level = F.when(F.col("_g") == 0, "position").when(F.col("_g") == 1, "gene").otherwise("all")
     return sums.select(level.alias("level"), "gene", "pos", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def gene_scores(weights: DataFrame, *by: str) -> DataFrame:
-    return weights.where("w <> 0").groupBy(*by, "gene").agg(SIZE.alias("score"))
+    return weights.where("w <> 0").groupBy(*by, "gene").agg(_size().alias("score"))
 
 
 def position_scores(weights: DataFrame, *by: str) -> DataFrame:
-    return weights.where("w <> 0").groupBy(*by, "gene", "pos").agg(SIZE.alias("score"))
+    return weights.where("w <> 0").groupBy(*by, "gene", "pos").agg(_size().alias("score"))
 
 
 def total_score(weights: DataFrame, *by: str) -> DataFrame:
