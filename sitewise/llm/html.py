@@ -54,13 +54,13 @@ WORDS = frozenset(
 CONTENT = frozenset(("article", "main", "body", "html", "h1", "h2", "h3", "h4", "h5", "h6", "p"))
 
 
-def _marked(attributes: str) -> bool:
-    """Whether class, id, role or hiding mark an element as no content."""
+def _marked(attributes: str, words: bool) -> bool:
+    """Whether hiding or (with ``words``) class, id or role mark an element as no content."""
     for m in NAMED.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id", "role") and not WORDS.isdisjoint(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())):
+        if words and name in ("class", "id", "role") and not WORDS.isdisjoint(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())):
             return True
     return False
 
@@ -122,7 +122,7 @@ class _Page:
         self.tags.append(tag)
         self.parents.append(parent)
         self.out.append(self.out[parent] or tag in OUT or tag == "header" and not inside)
-        self.marked.append(bool(attributes) and tag not in CONTENT and _marked(attributes))
+        self.marked.append(bool(attributes) and _marked(attributes, tag not in CONTENT))
         self.open.append((len(self.tags) - 1, tag))
 
     def _end(self, tag: str) -> None:

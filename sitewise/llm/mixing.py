@@ -102,7 +102,10 @@ def pieces(rows: DataFrame, aims: DataFrame, block: int = BLOCK) -> DataFrame:
 def slots(aims: DataFrame, seed: int = 1, block: int = BLOCK, shard_slots: int = 8192) -> DataFrame:
     """key, index (of a block), pass, take (words), shard, place: a row per slot of the mix."""
     chunks = aims.where("n_slots > 0").select("key", "whole", "rest", "n_blocks", "n_slots", "first_slot", F.sum("n_slots").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all"),
-                                              F.explode(F.sequence(F.lit(0), F.floor((F.col("n_slots") - 1) / CHUNK))).alias("chunk")).repartition("key", "chunk")
+                                              F.explode(F.sequence(F.lit(0), F.floor((F.col("n_slots") - 1) / CHUNK))).alias("chunk"))
+    # a number of its own: chunk rows are short, and would be put together before they grow
+    total = aims.agg(F.sum("n_slots")).first()[0] or 0
+    chunks = chunks.repartition(max(aims.sparkSession.sparkContext.defaultParallelism, -(-total // (64 * CHUNK))), "key", "chunk")
     j = F.explode(F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, F.col("n_slots")) - 1))
     each = chunks.withColumn("j", j).withColumn("pass", F.floor(F.col("j") / F.col("n_blocks")))
     index = permuted(F.col("j") % F.col("n_blocks"), F.col("n_blocks"), F.lit(seed), F.col("key"), F.col("pass"))
