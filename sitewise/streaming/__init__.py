@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Structured Streaming: alignments that arrive as files."""
