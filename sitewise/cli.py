@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import grids
 from .plans import workflows as W
-from .plans.train import TrainOptions, evaluate, train
+from .plans.train import TrainOptions, evaluate, evaluate_numeric, train
 from .solver.kernel import METHODS, Options
 from .sources import fasta, newick, tables
 from .viz import svg
@@ -82,6 +82,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("model")
     c.add_argument("list")
     c.add_argument("--hypothesis")
+    c.add_argument("--datatype", default="universal")
     c = command("ingest", False)
     c.add_argument("paths", nargs="+")
     c.add_argument("--datatype", default="universal")
@@ -96,9 +97,11 @@ def parser() -> argparse.ArgumentParser:
 
 
 def _alignments(spark: SparkSession, path: str, datatype: str) -> tuple[DataFrame, DataFrame]:
-    """(alignments, groups) of a list file."""
+    """(alignments or numeric table, groups) of a list file."""
     with open(path) as f:
         groups = tables.read_list(f.read(), os.path.dirname(os.path.abspath(path)))
+    if datatype == "numeric":
+        return tables.read_numeric(spark, sorted({p for _, _, p in groups})), spark.createDataFrame([(g, gene) for g, gene, _ in groups], "group int, gene string")
     records = fasta.read_fasta(spark, sorted({p for _, _, p in groups}))
     good, errors = fasta.checked(records, datatype)
     for r in errors.collect():
@@ -145,7 +148,7 @@ def main(argv: list[str] | None = None) -> None:
             with open(f"{a.out}/accuracy.svg", "w") as f:
                 f.write(svg.dropout_curves(curve))
             return
-        found = W.adaptive_train(alignments, hypothesis, o, a.adaptive_columns)[1] if a.adaptive_columns else train(alignments, hypothesis, o, dropped)
+        found = W.adaptive_train(alignments, hypothesis, o, a.adaptive_columns)[1] if a.adaptive_columns else train(alignments, hypothesis, o, dropped, a.datatype == "numeric")
         _save(a.out, features=found.encoded.features, weights=found.weights, intercepts=found.intercepts, gss=found.gene_scores, pss=found.position_scores, hss=found.totals,
               cv_predictions=found.cv_predictions, cv_metrics=found.cv_metrics, **{f"{k}_median": v for k, v in found.medians.items()})
         if a.write_features:
@@ -165,10 +168,11 @@ def main(argv: list[str] | None = None) -> None:
                               a.make_null_models, a.num_randomized_alignments)
         _save(a.out, **W.contrast_scan(good, combos, _options(a), c))
     elif a.command == "evaluate":
-        alignments, _ = _alignments(spark, a.list, "universal")
+        alignments, _ = _alignments(spark, a.list, a.datatype)
         hypothesis = tables.read_hypothesis(spark, a.hypothesis) if a.hypothesis else None
         read = lambda n: spark.read.parquet(f"{a.model}/{n}")
-        _save(a.out, **evaluate(alignments, read("features"), read("weights").select("run", "col_id", "w"), read("intercepts"), hypothesis))
+        judge = evaluate_numeric if a.datatype == "numeric" else evaluate
+        _save(a.out, **judge(alignments, read("features"), read("weights").select("run", "col_id", "w"), read("intercepts"), hypothesis))
     elif a.command == "ingest":
         fasta.ingest(spark, a.paths, a.out, a.datatype).drop("samples").show(50, False)
     elif a.command == "info":

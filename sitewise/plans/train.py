@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import grids
+from ..functions.columns import sigmoid
 from ..operators import scores as S
 from ..operators import sites as A
 from ..solver.distributed import gather, numbered, solve_grid
@@ -69,6 +70,17 @@ def encode(alignments: DataFrame, hypothesis: DataFrame, min_minor: int = 2, dro
     return Encoded(sites, features, A.cells(sites, features), genes, sum(g[1] for g in genes))
 
 
+def encode_numeric(numeric: DataFrame, hypothesis: DataFrame) -> Encoded:
+    """Numeric tables (gene, sample, feature, name, value): a column per gene and feature, its value in the cells."""
+    some = numeric.join(hypothesis.where("y <> 0").select("sample"), "sample")
+    columns = some.select("gene", F.col("feature").alias("pos"), F.col("name").alias("allele")).distinct()
+    features = A.feature_index(columns).persist()
+    cells = some.where("value <> 0").select("gene", F.col("feature").alias("pos"), "sample", F.col("value").cast("double").alias("value"))
+    cells = cells.join(features.select("gene", "pos", "col_id"), ["gene", "pos"]).select("col_id", "sample", "value")
+    genes = [(r.gene, r.n_columns, r.n_columns) for r in A.gene_sizes(features).orderBy("gene").collect()]  # a row per gene
+    return Encoded(some, features, cells, genes, sum(g[1] for g in genes))
+
+
 def _groups(encoded: Encoded, o: TrainOptions) -> list[tuple[float, Groups]]:
     """Groups with their weights, per penalty term; overlapping ones if ``o.groups`` is given."""
     lengths = {g: n for g, n, _ in encoded.genes}
@@ -109,8 +121,8 @@ def skipped(lambdas: list[tuple[int, float, float]], gene_counts: dict[int, int]
     return out
 
 
-def train(alignments: DataFrame, hypothesis: DataFrame, options: TrainOptions | None = None, dropout: DataFrame | None = None) -> TrainResult:
-    """alignments (gene, sample, seq), hypothesis (sample, ord, y)."""
+def train(alignments: DataFrame, hypothesis: DataFrame, options: TrainOptions | None = None, dropout: DataFrame | None = None, numeric: bool = False) -> TrainResult:
+    """alignments (gene, sample, seq), or with ``numeric`` a table of values; hypothesis (sample, ord, y)."""
     o = options or TrainOptions()
     spark: SparkSession = alignments.sparkSession
     for _, a, b in o.lambdas:
@@ -127,7 +139,7 @@ def train(alignments: DataFrame, hypothesis: DataFrame, options: TrainOptions |
     if o.auto_bit_ct is not None:
         n_pos, n_neg, _ = S.class_counts(hypothesis).first()
         min_minor = max(1, int(min(n_pos, n_neg) * o.auto_bit_ct / 100))
-    encoded = encode(alignments, hypothesis, min_minor, o.drop_major, o.skip_x, dropout)
+    encoded = encode_numeric(alignments, hypothesis) if numeric else encode(alignments, hypothesis, min_minor, o.drop_major, o.skip_x, dropout)
     samples, y = numbered(hypothesis)
     matrix = gather(encoded.cells, samples, encoded.n, o.max_entries, np.float32 if o.precision == "fp32" else np.float64)
     if "copies" in hypothesis.columns:
@@ -155,7 +167,7 @@ def train(alignments: DataFrame, hypothesis: DataFrame, options: TrainOptions |
     if o.folds:
         cv = solve_grid(grid, matrix, y, by_term, o.method, solver, o.folds).persist()
         fold_of = spark.createDataFrame([(s, i % o.folds, float(y[i])) for i, s in enumerate(samples)], T.StructType([hypothesis.schema["sample"], T.StructField("fold", T.IntegerType()), T.StructField("y", T.DoubleType())]))
-        part = encoded.cells.join(fold_of.select("sample", "fold").distinct(), "sample").join(cv.where("col_id >= 0"), ["col_id", "fold"]).groupBy("penalty_idx", "run", "sample").agg(F.sum("w").alias("_s"))
+        part = encoded.cells.join(fold_of.select("sample", "fold").distinct(), "sample").join(cv.where("col_id >= 0"), ["col_id", "fold"]).groupBy("penalty_idx", "run", "sample").agg(F.sum(F.col("w") * (F.col("value") if numeric else F.lit(1.0))).alias("_s"))
         base = fold_of.distinct().join(cv.where("col_id = -1").select("penalty_idx", "run", "fold", F.col("w").alias("c")), "fold")
         out.cv_predictions = base.join(part, ["penalty_idx", "run", "sample"], "left").select("penalty_idx", "run", "sample", "fold", "y", (F.col("c") + F.coalesce("_s", F.lit(0.0))).alias("prediction"))
         out.cv_metrics = S.confusion(out.cv_predictions, "penalty_idx", "run")
@@ -173,22 +185,34 @@ def _repeated(matrix, keep: np.ndarray):
     return Columns(len(keep), matrix.n, matrix.col[cells], np.repeat(np.arange(len(keep)), [len(a) for a in at]), None if matrix.value is None else matrix.value[cells], matrix.dtype)
 
 
+def evaluate_numeric(numeric: DataFrame, features: DataFrame, weights: DataFrame, intercepts: DataFrame, hypothesis: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Predictions of a model of numeric columns, as :func:`evaluate`."""
+    cells = numeric.select("gene", F.col("feature").alias("pos"), "sample", "value").join(features.select("gene", "pos", "col_id"), ["gene", "pos"])
+    return _scored(cells.select("col_id", "gene", "sample", "value"), numeric.select("sample", "gene").distinct(), weights, intercepts, hypothesis)
+
+
 def evaluate(alignments: DataFrame, features: DataFrame, weights: DataFrame, intercepts: DataFrame, hypothesis: DataFrame | None = None) -> dict[str, DataFrame]:
     """Predictions of a model on alignments, per gene and in sum, with metrics if responses are known.
 
     ``weights`` (run, col_id, w); a gene that a sample lacks has a null score.
     """
     sites = A.ungapped(A.explode_sites(alignments.select("gene", "sample", "seq")))
-    used = weights.where("w <> 0").select("run", "col_id", "w").join(features.select("col_id", "gene", "pos", "allele"), "col_id")
-    cells = sites.join(features.join(used.select("col_id").distinct(), "col_id", "left_semi").select("gene", "pos", F.col("allele").alias("ch"), "col_id"), ["gene", "pos", "ch"]).select("col_id", "sample")
-    present = alignments.select("sample", "gene").distinct()
-    per_gene = cells.join(used, "col_id").groupBy("run", "sample", "gene").agg(F.sum("w").alias("_s"))
-    gene_level = used.select("run", "gene").distinct().join(present, "gene").join(per_gene, ["run", "sample", "gene"], "left").select("run", "sample", "gene", F.coalesce("_s", F.lit(0.0)).alias("score"))
-    sums = per_gene.groupBy("run", "sample").agg(F.sum("_s").alias("_s"))
-    every = present.select("sample").distinct().crossJoin(intercepts.select("run", "intercept"))  # runs x samples: the result's shape
+    used = weights.where("w <> 0").select("col_id").distinct()
+    wanted = features.join(used, "col_id", "left_semi").select("gene", "pos", F.col("allele").alias("ch"), "col_id")
+    cells = sites.join(wanted, ["gene", "pos", "ch"]).select("col_id", "gene", "sample", F.lit(1.0).alias("value"))
+    return _scored(cells, alignments.select("sample", "gene").distinct(), weights, intercepts, hypothesis)
+
+
+def _scored(cells: DataFrame, present: DataFrame, weights: DataFrame, intercepts: DataFrame, hypothesis: DataFrame | None) -> dict[str, DataFrame]:
+    """From cells (col_id, gene, sample, value); present: (sample, gene) pairs."""
+    part = cells.join(weights.where("w <> 0").select("run", "col_id", "w"), "col_id").groupBy("run", "sample", "gene").agg(F.sum(F.col("w") * F.col("value")).alias("_s"))
+    every = present.crossJoin(intercepts.select("run"))  # runs x samples x genes: the result's shape
+    gene_level = every.join(part, ["run", "sample", "gene"], "left").select("run", "sample", "gene", F.coalesce("_s", F.lit(0.0)).alias("score"))
+    sums = part.groupBy("run", "sample").agg(F.sum("_s").alias("_s"))
     total = F.col("intercept") + F.coalesce("_s", F.lit(0.0))
-    predicted = every.join(sums, ["run", "sample"], "left").select("run", "sample", total.alias("prediction"))
-    predicted = predicted.withColumns({"probability": 1 / (1 + F.exp(-F.col("prediction"))), "class": F.when(F.col("prediction") > 0, 1).otherwise(-1)})
+    rows = present.select("sample").distinct().crossJoin(intercepts.select("run", "intercept"))  # runs x samples
+    predicted = rows.join(sums, ["run", "sample"], "left").select("run", "sample", total.alias("prediction"))
+    predicted = predicted.withColumns({"probability": sigmoid(F.col("prediction")), "class": F.when(F.col("prediction") > 0, 1).otherwise(-1)})
     out = {"predictions": predicted, "gene_scores": gene_level}
     if hypothesis is not None:
         met = predicted.join(hypothesis.where("y <> 0").select("sample", "y"), "sample")

@@ -44,6 +44,28 @@ class Columns:
         return Columns(len(keep), self.n, self.col[at], place[self.row[at]], None if self.value is None else self.value[at], self.dtype)
 
 
+class Dense:
+    """The same matrix as an array, for BLAS; worth its memory from a few per cent of non-zero cells."""
+
+    def __init__(self, sparse: Columns) -> None:
+        self.m, self.n, self.dtype = sparse.m, sparse.n, sparse.dtype
+        self.a = np.zeros((self.n, self.m), self.dtype)
+        self.a[sparse.col, sparse.row] = 1 if sparse.value is None else sparse.value
+
+    def dot(self, x: np.ndarray) -> np.ndarray:
+        return x.astype(self.dtype, copy=False) @ self.a
+
+    def tdot(self, b: np.ndarray) -> np.ndarray:
+        return self.a @ b.astype(self.dtype, copy=False)
+
+
+def stored(matrix: Columns, limit: int) -> Columns | Dense:
+    """Dense if that takes at most ``limit`` bytes and 5 per cent of the cells are there."""
+    if matrix.m * matrix.n * matrix.dtype.itemsize <= limit and len(matrix.col) >= 0.05 * matrix.m * matrix.n:
+        return Dense(matrix)
+    return matrix
+
+
 @dataclass(frozen=True)
 class Groups:
     """Groups of columns: ``members`` concatenated, group i at start[i]:start[i + 1]; disjoint if each column occurs once, in order."""
@@ -100,6 +122,7 @@ class Options:
     inner_tol: float = 1e-4
     start_at_gradient: bool = False
     absolute: bool = False
+    dense_bytes: int = 512 << 20
 
 
 @dataclass
@@ -211,7 +234,7 @@ def _logistic(a: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, a)
 
 
-def accelerate(matrix: Columns, y: np.ndarray, logistic: bool, prox: Callable, penalty: Callable, o: Options, weights: np.ndarray,
+def accelerate(matrix: Columns | Dense, y: np.ndarray, logistic: bool, prox: Callable, penalty: Callable, o: Options, weights: np.ndarray,
                first: np.ndarray | None = None, lipschitz: float | None = None) -> Fit:
     """The shared loop. prox(v, L) solves the proximal step of the penalty over L; penalty(x) is its value."""
     m, n, kind = matrix.m, matrix.n, matrix.dtype
@@ -279,7 +302,7 @@ def _stops(o: Options, step: int, values: list[float], moved: np.ndarray, old: n
     return False
 
 
-def scaled(matrix: Columns, y: np.ndarray, groups: Groups, l1: float, l2: float, logistic: bool, weights: np.ndarray, o: Options) -> tuple[float, float]:
+def scaled(matrix: Columns | Dense, y: np.ndarray, groups: Groups, l1: float, l2: float, logistic: bool, weights: np.ndarray, o: Options) -> tuple[float, float]:
     """Penalties from ratios: of the largest gradient at 0, and of the largest group norm left after the first."""
     if not o.ratios:
         return l1, l2
@@ -358,4 +381,4 @@ def fit(method: str, matrix: Columns, y, groups: Groups, l1: float, l2: float, o
     if method not in METHODS:
         raise ValueError(f"unknown method {method}; known: {', '.join(METHODS)}")
     options = options or Options(tol=1e-3 if method == "gl_logisticr" else 1e-4)
-    return METHODS[method](matrix, np.asarray(y, np.float64), groups, l1, l2, options)
+    return METHODS[method](stored(matrix, options.dense_bytes), np.asarray(y, np.float64), groups, l1, l2, options)

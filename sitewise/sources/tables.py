@@ -58,7 +58,7 @@ def check_hypothesis(hypothesis: DataFrame) -> None:
         raise ValueError("fewer than two samples have a response")
 
 
-def read_numeric(spark: SparkSession, path: str) -> DataFrame:
+def read_numeric(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(gene, sample, feature, name, value) of whitespace tables.
 
     A first row whose second token is no number is a header; otherwise features are

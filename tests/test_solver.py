@@ -113,6 +113,12 @@ def test_q_norm_step_is_a_minimum(q):
     assert all(value(x) <= value(x + 1e-3 * rng.normal(size=30)) + 1e-7 for _ in range(50))
 
 
+def test_dense_storage_gives_the_same_fit():
+    _, a, y, groups = problem()
+    one, two = (fit("sg_lasso", a, y, groups, 0.1, 0.1, Options(dense_bytes=limit)) for limit in (0, 1 << 30))
+    assert np.allclose(one.x, two.x, atol=1e-10) and (one.x != 0).any()
+
+
 def test_scaling_matches_its_definition():
     dense, a, y, groups = problem()
     share = (y > 0).mean()

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from sitewise.functions import grids
-from sitewise.plans.train import TrainOptions, evaluate, skipped, train
+from sitewise.plans.train import TrainOptions, evaluate, evaluate_numeric, skipped, train
 from sitewise.plans import workflows as W
 from sitewise.sources import newick
 from sitewise.solver.kernel import Options
@@ -62,6 +62,19 @@ def test_overlapping_groups_and_class_balance(data, spark):
         assert train(aln, uneven, options(class_balance=kind, lambdas=[(0, 0.2, 0.1)])).weights.count() > 0
 
 
+def test_numeric_tables(data, spark):
+    _, hyp = data
+    rng = np.random.default_rng(9)
+    y = {r.sample: r.y for r in hyp.collect()}
+    rows = [(g, s, f, f"col_{f}", float(rng.normal() + (3 * y[s] if (g, f) == ("b", 2) else 0))) for g in "abc" for s in y for f in range(5)]
+    table = spark.createDataFrame(rows, "gene string, sample string, feature int, name string, value float")
+    found = train(table, hyp, options(folds=3, lambdas=[(0, 0.1, 0.1)], precision="fp64"), numeric=True)
+    best = found.position_scores.orderBy("score", ascending=False).first()
+    assert (best.gene, best.pos) == ("b", 2) and found.cv_metrics.first().accuracy >= 0.9
+    scored = evaluate_numeric(table, found.encoded.features, found.weights.select("run", "col_id", "w"), found.intercepts, hyp)
+    assert scored["metrics"].first().accuracy == 1.0
+
+
 def test_skip_ahead():
     grid = [(i, a, b) for i, (a, b) in enumerate((a, b) for a in (0.1, 0.2) for b in (0.1, 0.2, 0.3))]
     assert skipped(grid, {0: 5, 1: 1, 2: 0, 3: 3, 4: 1, 5: 0}, 1) == [2, 5]
