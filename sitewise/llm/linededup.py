@@ -154,18 +154,19 @@ def lines_to_drop(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, twice
     return lost.groupBy("doc_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list("positions"))).alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, twice_bits: int = 1 << 27) -> DataFrame:
-    """``docs`` with the kept text in ``text``, and n_lines (before) and n_dropped."""
-    drops = lines_to_drop(docs, min_chars, min_docs, twice_bits).withColumnRenamed("doc_id", "_doc").withColumnRenamed("text_hash", "_hash")
-    docs = docs.drop("n_lines", "n_dropped")
-    joined = docs.join(drops, F.xxhash64(docs["text"]).eqNullSafe(drops["_hash"]) & docs["doc_id"].eqNullSafe(drops["_doc"]), "left")
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, twice_bits: int = 1 << 27, counts: bool = True) -> DataFrame:
+    """``docs`` with the kept text in ``text``, and with ``counts`` n_lines (before) and n_dropped."""
+    drops = lines_to_drop(docs, min_chars, min_docs, twice_bits).toDF("_sw_doc", "_sw_hash", "_sw_dropped")
+    if counts:
+        docs = docs.drop("n_lines", "n_dropped")
+    joined = docs.join(drops, F.xxhash64(docs["text"]).eqNullSafe(drops["_sw_hash"]) & docs["doc_id"].eqNullSafe(drops["_sw_doc"]), "left")
     text = F.coalesce("text", F.lit(""))
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("dropped", i)), "\n")
-    return joined.withColumns({
-        "n_lines": (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"),
-        "n_dropped": F.coalesce(F.size("dropped"), F.lit(0)).cast("long"),
-        "text": F.when(F.col("dropped").isNull(), text).otherwise(kept),
-    }).select(*docs.columns, "n_lines", "n_dropped")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_sw_dropped", i)), "\n")
+    made = {"text": F.when(F.col("_sw_dropped").isNull(), text).otherwise(kept)}
+    if counts:
+        made["n_lines"] = (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+        made["n_dropped"] = F.coalesce(F.size("_sw_dropped"), F.lit(0)).cast("long")
+    return joined.withColumns(made).drop("_sw_doc", "_sw_hash", "_sw_dropped")
 
 
 def op5(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -173,7 +174,7 @@ def op5(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).drop("n_lines", "n_dropped")
+    return dedup_lines(docs, counts=False).withColumn("n_chars", F.length("text").cast("long"))
 
 
 OP5_SQL = r"""

@@ -282,8 +282,8 @@ def dedup(docs: DataFrame, percent: int = 80, bands: int = 48, rows: int = 6) ->
 
     With 48 bands of 6, a pair at exactly 0.8 is missed with probability 5e-7.
     """
-    lost = near_components(docs, percent, bands, rows).where("NOT kept").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(lost, docs["doc_id"].eqNullSafe(F.col("_doc")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("_hash")), "left_anti")
+    lost = near_components(docs, percent, bands, rows).where("NOT kept").select(F.col("doc_id").alias("_sw_doc"), F.col("text_hash").alias("_sw_hash")).distinct()
+    return docs.join(lost, docs["doc_id"].eqNullSafe(F.col("_sw_doc")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("_sw_hash")), "left_anti")
 
 
 def op10(spark: SparkSession, docs: DataFrame) -> DataFrame:

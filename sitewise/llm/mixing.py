@@ -131,28 +131,28 @@ def op3(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mix(docs: DataFrame, seed: int = 1, block: int = BLOCK) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 1, block: int = BLOCK, pass_name: str = "pass") -> DataFrame:
     """The mixed corpus: for each document and pass, the taken words with the white space after them.
 
-    Columns of ``docs`` with the taken part in ``text``, and pass. A document whose
+    Columns of ``docs`` with the taken part in ``text``, and the pass as ``pass_name``. A document whose
     words are all taken keeps its whole text; parts cut by block borders are joined.
     """
     rows = sizes(docs)
     aims = targets(rows, block=block)
-    parts = taken(rows, aims, seed, block).groupBy("row", "pass").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("_parts"))
-    key = F.xxhash64("doc_id", "_hash")
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy("row"))  # of rows with the same doc_id and text
-    slim = rows.withColumnRenamed("text_hash", "_hash").withColumn("_key", key).withColumn("_nth", nth)
-    chosen = slim.join(parts, "row").select("_key", F.col("_hash").alias("_own"), F.col("_nth").alias("_own_nth"), F.col("size").alias("_size"), F.col("pass"), "_parts")
-    docs = docs.drop("pass")
-    own = docs.withColumn("_hash", F.xxhash64("text")).withColumn("_key", key).withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_hash")))
-    met = own.join(chosen, "_key").where("_hash = _own AND _nth - _own_nth = 0")
+    parts = taken(rows, aims, seed, block).groupBy("row", "pass").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("_sw_parts"))
+    key = F.xxhash64("doc_id", "_sw_hash")
+    nth = F.row_number().over(Window.partitionBy("_sw_key").orderBy("row"))  # of rows with the same doc_id and text
+    slim = rows.withColumnRenamed("text_hash", "_sw_hash").withColumn("_sw_key", key).withColumn("_sw_nth", nth)
+    chosen = slim.join(parts, "row").select("_sw_key", F.col("_sw_hash").alias("_sw_own"), F.col("_sw_nth").alias("_sw_own_nth"), F.col("size").alias("_sw_size"), F.col("pass").alias("_sw_pass"), "_sw_parts")
+    docs = docs.drop(pass_name)
+    own = docs.withColumn("_sw_hash", F.xxhash64("text")).withColumn("_sw_key", key).withColumn("_sw_nth", F.row_number().over(Window.partitionBy("_sw_key").orderBy("_sw_hash")))
+    met = own.join(chosen, "_sw_key").where("_sw_hash = _sw_own AND _sw_nth - _sw_own_nth = 0")
     words = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     lead = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
-    bound = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(w, (p["first"] + 1 + lead).cast("int"), p["words"].cast("int")))), ""))
-    whole = F.aggregate("_parts", F.lit(0).cast("long"), lambda a, p: a + p["words"]) == F.col("_size")
-    return met.withColumn("text", F.when(whole, F.col("text")).otherwise(F.element_at(bound, 1))).select(*docs.columns, "pass")
+    bound = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("_sw_parts", lambda p: F.slice(w, (p["first"] + 1 + lead).cast("int"), p["words"].cast("int")))), ""))
+    whole = F.aggregate("_sw_parts", F.lit(0).cast("long"), lambda a, p: a + p["words"]) == F.col("_sw_size")
+    return met.withColumn("text", F.when(whole, F.col("text")).otherwise(F.element_at(bound, 1))).select(*docs.columns, F.col("_sw_pass").alias(pass_name))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix(docs).withColumn("n_chars", F.length("text").cast("long")).drop("pass")
+    return mix(docs, pass_name="_sw_mixed").withColumn("n_chars", F.length("text").cast("long")).drop("_sw_mixed")

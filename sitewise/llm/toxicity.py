@@ -230,4 +230,4 @@ def op4(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train(docs, read_table(spark, sf_dir, "labels"))
-    return score(docs, model, "_toxicity").where("_toxicity < 0.7").drop("_toxicity")
+    return score(docs, model, "_sw_toxicity").where("_sw_toxicity < 0.7").drop("_sw_toxicity")

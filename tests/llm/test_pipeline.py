@@ -4,13 +4,31 @@ from collections import defaultdict
 
 import corpus_pipeline
 from sitewise.llm import linededup, minhash, mixing, toxicity
-from sitewise.llm._common import read_table
+from sitewise.llm._common import read_table, table
 
 from .test_linededup import brute as lines_brute
 from .test_minhash import brute as near_brute
 from .test_mixing import count, targets
 
 
+def test_extra_columns_with_clashing_names(spark, small):
+    extra = ["dropped", "_doc", "_hash", "pass", "n_lines", "n_dropped", "kept", "component_id", "text_hash", "key", "row", "size", "toxicity", "toxic", "score", "ids", "target"]
+    docs = read_table(spark, small, "documents")
+    for name in extra:
+        docs = docs.withColumn(name, docs["n_chars"])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = table(stage(spark, docs, small), "clash")
+        assert docs.columns[-len(extra):] == extra and docs.where("kept IS NOT NULL").count() > 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, small).count() == docs.count()
+
+
+def test_stages_of_an_empty_corpus(spark, small):
+    docs = read_table(spark, small, "documents").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = table(stage(spark, docs, small), "none")
+        assert docs.count() == 0
+
+
 def test_stages(spark, small):
     docs = read_table(spark, small, "documents")
     columns = docs.columns
