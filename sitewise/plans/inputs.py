@@ -10,10 +10,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_spread(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table whose rows grow in the next step (texts to characters). A small one, in
+    few files, is dealt to all cores first; one with many splits is read as it lies."""
+    table = read(spark, sf_dir, name).select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return table.repartition(2 * cores) if len(table.inputFiles()) < cores else table
+
+
 def documents_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """gene: language, sample: doc_id, seq: the text; y from quality, tox from toxic."""
     labels = read(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, 1.0).otherwise(-1.0).alias("y"))
-    return read(spark, sf_dir, "documents").join(labels, "doc_id").select(F.col("lang").alias("gene"), F.col("doc_id").alias("sample"), "y", F.col("text").alias("seq"))
+    return read_spread(spark, sf_dir, "documents", "doc_id", "lang", "text").join(labels, "doc_id").select(F.col("lang").alias("gene"), F.col("doc_id").alias("sample"), "y", F.col("text").alias("seq"))
 
 
 def hypothesis(spark: SparkSession, sf_dir: str) -> DataFrame:
