@@ -16,7 +16,7 @@ from . import inputs as I  # noqa: E741
 SITES = r"""
 aln AS (SELECT d.lang AS gene, d.doc_id AS sample, d.text AS seq, CASE WHEN quality = 1 THEN 1e0 ELSE -1e0 END AS y
         FROM documents d JOIN labels l USING (doc_id)),
-sites AS (SELECT gene, sample, y, unnest(string_split(seq, '')) AS ch, unnest(range(length(seq))) AS pos FROM aln)
+sites AS (SELECT gene, sample, y, unnest(string_split(seq, '')) AS ch, CAST(unnest(range(length(seq))) AS INTEGER) AS pos FROM aln)
 """
 LINES = r"""
 sites AS (SELECT 'flag' AS gene, l_orderkey AS sample, l_linenumber AS pos, l_returnflag AS ch FROM lineitem
