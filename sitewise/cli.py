@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import grids
 from .plans import workflows as W
+from .plans.runlog import RunLog
 from .plans.train import TrainOptions, evaluate, evaluate_numeric, train
 from .solver.kernel import METHODS, Options
 from .sources import fasta, newick, tables
@@ -62,6 +63,7 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--window", type=int, default=100)
         else:
             c.add_argument("--adaptive-columns", type=int)
+            c.add_argument("--max-mem", type=float, help="bytes; adaptive selection within this limit")
     c = command("clades")
     c.add_argument("list")
     c.add_argument("--tree", required=True)
@@ -71,7 +73,11 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--grid-acc-cutoff", type=float, default=0.0)
     c = command("contrasts")
     c.add_argument("alignments")
-    c.add_argument("--species-groups", required=True)
+    c.add_argument("--species-groups")
+    c.add_argument("--response-file")
+    c.add_argument("--response-dir")
+    c.add_argument("--limited-genes-list")
+    c.add_argument("--prediction-alignments-dir")
     for flag in ("--use-uncanceled-alignments", "--cancel-only-partner", "--cancel-tri-allelic", "--nix-full-deletions", "--make-null-models"):
         c.add_argument(flag, action="store_true")
     c.add_argument("--outgroup-species")
@@ -136,6 +142,32 @@ def _save(out: str, **frames: DataFrame | None) -> None:
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName("sitewise").getOrCreate()
+    log = RunLog()
+    try:
+        with log.section(a.command, **{k: v for k, v in vars(a).items() if k != "command" and v is not None}):
+            _run(spark, a)
+    finally:
+        log.table(spark).coalesce(1).write.mode("append").parquet(f"{a.out}/run_log")
+
+
+def _folder(spark: SparkSession, folder: str, datatype: str) -> DataFrame:
+    """The alignments of a folder, each file a gene."""
+    endings = [e for e in ("fas", "fasta", "fa", "faa") if any(n.endswith(f".{e}") for n in os.listdir(folder))]
+    return fasta.checked(fasta.read_fasta(spark, [f"{folder}/*.{e}" for e in endings]), datatype)[0]
+
+
+def _combos(a: argparse.Namespace) -> list[list[tuple[str, str]]]:
+    """From exactly one of species groups, a response file, or a folder of such files."""
+    if sum(map(bool, (a.species_groups, a.response_file, a.response_dir))) != 1:
+        raise SystemExit("give one of --species-groups, --response-file, --response-dir")
+    read = lambda p: open(p).read()  # noqa: E731, SIM115
+    if a.species_groups:
+        return W.contrasts(read(a.species_groups))
+    files = [a.response_file] if a.response_file else [f"{a.response_dir}/{n}" for n in sorted(os.listdir(a.response_dir))]
+    return [W.response_pairs(read(f)) for f in files]
+
+
+def _run(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.command in ("train", "dropout"):
         alignments, groups = _alignments(spark, a.list, a.datatype)
         hypothesis = tables.read_hypothesis(spark, a.hypothesis)
@@ -148,7 +180,8 @@ def main(argv: list[str] | None = None) -> None:
             with open(f"{a.out}/accuracy.svg", "w") as f:
                 f.write(svg.dropout_curves(curve))
             return
-        found = W.adaptive_train(alignments, hypothesis, o, a.adaptive_columns)[1] if a.adaptive_columns else train(alignments, hypothesis, o, dropped, a.datatype == "numeric")
+        budget = a.adaptive_columns or (W.columns_that_fit(a.max_mem, hypothesis.where("y <> 0").count(), 4 if a.precision == "fp32" else 8) if a.max_mem else None)
+        found = W.adaptive_train(alignments, hypothesis, o, budget)[1] if budget else train(alignments, hypothesis, o, dropped, a.datatype == "numeric")
         _save(a.out, features=found.encoded.features, weights=found.weights, intercepts=found.intercepts, gss=found.gene_scores, pss=found.position_scores, hss=found.totals,
               cv_predictions=found.cv_predictions, cv_metrics=found.cv_metrics, **{f"{k}_median": v for k, v in found.medians.items()})
         if a.write_features:
@@ -161,12 +194,14 @@ def main(argv: list[str] | None = None) -> None:
                                  balance=a.class_bal if a.class_bal != "none" else "phylo")
         _save(a.out, **found)
     elif a.command == "contrasts":
-        good, _ = fasta.checked(fasta.read_fasta(spark, [f"{a.alignments}/*.{e}" for e in ("fas", "fasta", "fa", "faa") if any(n.endswith(f".{e}") for n in os.listdir(a.alignments))]), a.datatype)
-        with open(a.species_groups) as f:
-            combos = W.contrasts(f.read())
+        genes = None
+        if a.limited_genes_list:
+            with open(a.limited_genes_list) as f:
+                genes = [line.strip() for line in f if line.strip()]
+        predict = _folder(spark, a.prediction_alignments_dir, a.datatype) if a.prediction_alignments_dir else None
         c = W.ContrastOptions(not a.use_uncanceled_alignments, a.cancel_only_partner, a.cancel_tri_allelic, a.nix_full_deletions, a.outgroup_species, a.min_pairs, a.top_rank_frac,
                               a.make_null_models, a.num_randomized_alignments)
-        _save(a.out, **W.contrast_scan(good, combos, _options(a), c))
+        _save(a.out, **W.contrast_scan(_folder(spark, a.alignments, a.datatype), _combos(a), _options(a), c, predict, genes))
     elif a.command == "evaluate":
         alignments, _ = _alignments(spark, a.list, a.datatype)
         hypothesis = tables.read_hypothesis(spark, a.hypothesis) if a.hypothesis else None

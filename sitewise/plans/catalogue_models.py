@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import grids
+from ..operators import sites as A
 from ..solver.distributed import gather, numbered, solve_columns, solve_grid
 from ..solver.kernel import Groups, Options
 from . import inputs as I  # noqa: E741
@@ -87,7 +88,12 @@ def _(spark, d):
 
 @model("contrast_scan")
 def _(spark, d):
-    s = I.turns_alignment(spark, d)
-    some = [str(r[0]) for r in s.select("sample").distinct().orderBy("sample").limit(4).collect()]  # two pairs of species make a combination
-    text = s.withColumn("sample", F.col("sample").cast("string"))
-    return contrast_scan(text, [[(some[0], some[1]), (some[2], some[3])]], TrainOptions(group_penalty="median", precision="fp64", min_minor=1, solver=Options(max_iter=30)), ContrastOptions(partner_only=True, flipped=True))["gene_ranks"]
+    """Nations as species, order priorities as genes, months as positions: the commonest order status, all nations paired by name."""
+    orders = I.read(spark, d, "orders").join(I.read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(I.read(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows
+    counts = orders.groupBy(F.col("o_orderpriority").alias("gene"), F.col("n_name").alias("sample"), F.month("o_orderdate").alias("pos"), F.substring("o_orderstatus", 1, 1).alias("ch")).agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("gene", "sample", "pos").agg(A.major_of().alias("ch"))
+    months = best.groupBy("gene", "sample").agg(F.map_from_entries(F.collect_list(F.struct("pos", "ch"))).alias("m"))
+    seq = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit("-"))), "")
+    names = [r[0] for r in I.read(spark, d, "nation").select("n_name").orderBy("n_name").collect()]
+    o = TrainOptions(group_penalty="median", precision="fp64", min_minor=1, lambdas=grids.lambda_grid((0.1, 0.3, 0.1), (0.1, 0.3, 0.1)), solver=Options(max_iter=50))
+    return contrast_scan(months.select("gene", "sample", seq.alias("seq")), [list(zip(names[0::2], names[1::2], strict=False))], o, ContrastOptions(partner_only=True, flipped=True))["gene_ranks"]

@@ -136,6 +136,13 @@ def chunks(sizes: list[tuple[str, int]], budget: float, count: int | None = None
     return out
 
 
+def columns_that_fit(max_bytes: float, samples: int, itemsize: int = 4, threads: int = 1) -> int:
+    """Columns of a dense solve within a memory limit: a column of samples, eight work vectors a thread and
+    its label, beside ten sample vectors a thread and 30 MiB."""
+    fixed = threads * 10 * samples * itemsize + 30 * 2**20
+    return max(0, int((max_bytes - fixed) / (samples * itemsize + threads * 8 * itemsize + 160)))
+
+
 def best_fitting(ranked: list[tuple[str, float, int]], budget: float) -> list[str]:
     """Genes by falling score (ties by name) that still fit; larger ones are passed over."""
     out, used = [], 0.0
@@ -175,6 +182,13 @@ def contrasts(text: str) -> list[list[tuple[str, str]]]:
     return [list(zip(c[0::2], c[1::2], strict=True)) for c in itertools.product(*lines)]
 
 
+def response_pairs(text: str) -> list[tuple[str, str]]:
+    """A combination from a response matrix (species,value a line): positives and negatives paired in order."""
+    rows = [[v.strip() for v in line.split(",")] for line in text.splitlines() if line.strip()]
+    values = [(r[0], float(r[1])) for r in rows]
+    return list(zip([s for s, v in values if v > 0], [s for s, v in values if v < 0], strict=False))
+
+
 @dataclass
 class ContrastOptions:
     cancel: bool = True
@@ -188,16 +202,23 @@ class ContrastOptions:
     randomised: int = 0
 
 
-def contrast_scan(alignments: DataFrame, combos: list[list[tuple[str, str]]], options: TrainOptions, contrast: ContrastOptions | None = None) -> dict[str, DataFrame]:
+def contrast_scan(alignments: DataFrame, combos: list[list[tuple[str, str]]], options: TrainOptions, contrast: ContrastOptions | None = None, predict: DataFrame | None = None,
+                  genes: list[str] | None = None) -> dict[str, DataFrame]:
     """Gene ranks over combinations of species pairs, with selected sites and predictions.
 
+    Predictions are made for every species of ``predict`` (default: the alignments), the
+    mean over the runs of a combination. ``genes`` limits the scan.
+
     A combination's convergent species are 1, its controls -1. Null models: ``flipped``
     swaps the sides of every second pair; ``randomised`` repeats the scan that often with the two
     members of each pair swapped at sites chosen by hash.
     """
     c = contrast or ContrastOptions()
     spark = alignments.sparkSession
-    sites_out, scores = None, None
+    if genes is not None:
+        alignments = alignments.where(F.col("gene").isin(genes))
+    predict = alignments if predict is None else predict
+    sites_out, scores, predicted = None, None, None
     jobs = [(i, combo, "observed", 0) for i, combo in enumerate(combos)]
     jobs += [(i, [(b, a) if k % 2 else (a, b) for k, (a, b) in enumerate(combo)], "flipped", 0) for i, combo in enumerate(combos) if c.flipped]
     jobs += [(i, combo, "randomised", r + 1) for i, combo in enumerate(combos) for r in range(c.randomised)]
@@ -216,22 +237,25 @@ def contrast_scan(alignments: DataFrame, combos: list[list[tuple[str, str]]], op
             partner = spark.createDataFrame([(x, y) for a, b in combo for x, y in ((a, b), (b, a))], "sample string, partner string")
             sites = sites.join(F.broadcast(partner), "sample").withColumn("sample", F.when(swap, F.col("partner")).otherwise(F.col("sample"))).drop("partner")  # a row per species
         found = _contrast_fit(A.ungapped(sites.drop("pair"), gaps=("-",)), hypothesis, options)
-        gss, pss = found
+        gss, pss, weights, intercepts, features = found
         tag = lambda t: t.withColumns({"combo": F.lit(i), "model": F.lit(kind), "replicate": F.lit(seed)})  # noqa: B023, E731
         ranked = tag(gss.groupBy("gene").agg(F.max("score").alias("score")))
         scores = ranked if scores is None else scores.unionByName(ranked)
         some = tag(pss.groupBy("gene", "pos").agg(F.max("score").alias("score")))
         sites_out = some if sites_out is None else sites_out.unionByName(some)
+        if weights is not None:
+            runs = evaluate(predict, features, weights, intercepts)["predictions"].groupBy("sample").agg(F.avg("prediction").alias("sps"))
+            predicted = tag(runs) if predicted is None else predicted.unionByName(tag(runs))
     place = F.row_number().over(Window.partitionBy("model", "replicate", "combo").orderBy(F.desc("score"), "gene"))
     size = F.count(F.lit(1)).over(Window.partitionBy("model", "replicate", "combo"))
     placed = scores.withColumns({"rank": place, "_n": size}).withColumn("top", F.col("rank") <= F.greatest(F.lit(1), F.ceil(F.col("_n") * c.top_share)))
     ranks = placed.groupBy("model", "gene").agg(
         F.max("score").alias("best_score"), F.min("rank").alias("best_rank"), F.count_distinct("replicate", "combo").alias("num_combos_ranked"), F.count_if("top").alias("num_combos_ranked_top"))
-    return {"gene_ranks": ranks, "combo_scores": placed.drop("_n"), "selected_sites": sites_out}
+    return {"gene_ranks": ranks, "combo_scores": placed.drop("_n"), "selected_sites": sites_out, "species_predictions": predicted}
 
 
-def _contrast_fit(sites: DataFrame, hypothesis: DataFrame, options: TrainOptions) -> tuple[DataFrame, DataFrame]:
-    """Gene and position scores of a contrast over the grid and penalty terms."""
+def _contrast_fit(sites: DataFrame, hypothesis: DataFrame, options: TrainOptions) -> tuple:
+    """Gene and position scores of a contrast over the grid and penalty terms; weights and intercepts by run, and features."""
     import numpy as np
 
     from ..solver.distributed import gather, numbered, solve_grid
@@ -245,11 +269,12 @@ def _contrast_fit(sites: DataFrame, hypothesis: DataFrame, options: TrainOptions
     samples, y = numbered(hypothesis)
     spark = sites.sparkSession
     if not encoded.n:
-        return spark.createDataFrame([], "gene string, score double"), spark.createDataFrame([], "gene string, pos int, score double")
+        return spark.createDataFrame([], "gene string, score double"), spark.createDataFrame([], "gene string, pos int, score double"), None, None, None
     matrix = gather(encoded.cells, samples, encoded.n, options.max_entries, np.float32 if options.precision == "fp32" else np.float64)
     terms = _groups(encoded, options)
     grid = spark.createDataFrame([(i, p, a, b) for p in range(len(terms)) for i, a, b in options.lambdas], "run int, penalty_idx int, l1 double, l2 double")
     solved = solve_grid(grid, matrix, y, {i: g for i, (_, g) in enumerate(terms)}, options.method, options.solver)
-    weights = solved.where("col_id >= 0").join(features.select("col_id", "gene", "pos"), "col_id").persist()
-    by = ("penalty_idx", "run")
-    return S.gene_scores(weights, *by), S.position_scores(weights, *by)
+    solved = solved.withColumn("run", (F.col("penalty_idx") * len(options.lambdas) + F.col("run")).cast("int")).persist()
+    weights = solved.where("col_id >= 0").join(features.select("col_id", "gene", "pos"), "col_id")
+    intercepts = solved.where("col_id = -1").select("run", F.col("w").alias("intercept"))
+    return S.gene_scores(weights, "run"), S.position_scores(weights, "run"), weights.select("run", "col_id", "w"), intercepts, features

@@ -76,6 +76,24 @@ def read_numeric(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return long.select("gene", "sample", "feature", name.alias("name"), F.col("text").cast("float").alias("value"))
 
 
+def read_domains(text: str) -> dict[str, str]:
+    """Character domains of an ini file: sections (datatypes), each with the characters on its lines."""
+    out: dict[str, str] = {}
+    section = None
+    for line in text.splitlines():
+        line = line.strip()
+        if line.startswith("[") and line.endswith("]"):
+            section = line[1:-1]
+            out[section] = ""
+        elif line and not line.startswith(("#", ";")):
+            name, equals, value = line.partition("=")
+            if section is None and equals:
+                out[name.strip()] = value.strip()
+            elif section is not None:
+                out[section] += (value if equals else line).strip()
+    return out
+
+
 def read_field(text: str) -> list[int]:
     """1-based column numbers of overlapping groups, from one CSV row, as 0-based ones."""
     return [int(float(v)) - 1 for v in text.replace("\n", ",").split(",") if v.strip()]

@@ -57,6 +57,7 @@ def test_hypothesis_lists_and_small_files(spark, tmp_path):
     groups = tables.read_list("x/a.fa, x\\b.fa\n\nx/b.fa,y/b.fa\n", "/d")
     assert groups == [(0, "a", "/d/x/a.fa"), (0, "b", "/d/x/b.fa"), (1, "b", "/d/x/b.fa")] and tables.overlapping(groups)
     assert tables.unique_groups([(0, "a", "p"), (1, "b", "q"), (2, "a", "p")]) == [(0, "a", "p"), (1, "b", "q")]
+    assert tables.read_domains("[a]\nACGT\n-?\n[b]\nchars = XY\n") == {"a": "ACGT-?", "b": "XY"} and tables.read_domains("p = AC\n") == {"p": "AC"}
     assert tables.read_field("1,2,5\n") == [0, 1, 4] and tables.read_class_weights("2\n1\n") == (2.0, 1.0) and tables.read_class_weights("2") is None
 
 

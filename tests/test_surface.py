@@ -30,6 +30,10 @@ def test_command_line(spark, study):
     assert spark.read.parquet(f"{out}/eval/metrics").where("accuracy = 1.0").count() == 4
     cli.main(["ingest", str(study / "*.fa"), "--out", f"{out}/cat"])
     assert spark.read.parquet(f"{out}/cat/alignments").count() == 24
+    assert {r.value for r in spark.read.parquet(f"{out}/run_log").where("key = 'status'").collect()} == {"OK"}
+    (study / "pairs.txt").write_text("s1\ns0\ns3\ns2\n")
+    cli.main(["contrasts", str(study), "--species-groups", str(study / "pairs.txt"), "--out", f"{out}/pairs", "--precision", "fp64", "--min-minor", "1", "--method", "sg_lasso"])
+    assert spark.read.parquet(f"{out}/pairs/gene_ranks").count() > 0
 
 
 def test_streaming_ingest(spark, study):

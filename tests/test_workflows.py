@@ -116,6 +116,10 @@ def test_contrasts(data):
     out = W.contrast_scan(aln, combos[:1], options(lambdas=[(0, 0.1, 0.1)], group_penalty="median"), W.ContrastOptions(flipped=True))
     ranks = {(r.model, r.gene): r for r in out["gene_ranks"].collect()}
     assert any(model == "observed" for model, _ in ranks) and all(r.best_rank >= 1 for r in ranks.values())
+    sps = {r["sample"]: r.sps for r in out["species_predictions"].where("model = 'observed'").collect()}
+    assert len(sps) == 24 and sps["s01"] > sps["s00"]
+    assert W.response_pairs("a,1\nb,-1\nc,0\nd,1\ne,-1\n") == [("a", "b"), ("d", "e")]
+    assert W.columns_that_fit(100 * 2**20, 100, 4) == int((70 * 2**20 - 4000) / (400 + 32 + 160))
 
 
 def test_trees():
