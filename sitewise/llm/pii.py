@@ -4,23 +4,24 @@ Base spans: e-mail, ip, card and phone, leftmost non-overlapping per kind. Each
 pattern is one ``regexp_replace`` that fences its matches; splitting at the
 fences gives matches and gaps, whose lengths add up to code-point offsets.
 
-Added spans: a base span's value is a protected entity. Words of four letters or
-more near an occurrence (at most ``words`` on each side, within ``reach`` code
-points of the neighbouring gap) are its context. Over all documents, with N
-rows, n(c) rows that hold entity c, n(t) rows that hold term t anywhere and
-n(c,t) rows with t in a context of c,
+Added spans: a base span's value is a protected entity, and every word (letters,
+marks and digits, in lower case) that stands outside a document's base spans is a
+term of the whole document. Over all documents, with N rows, n(c) rows that hold
+entity c, n(t) rows that hold term t and n(c,t) rows that hold both,
 
     PMI(c;t) = log2(N n(c,t) / (n(c) n(t)))   and   IC(c) = log2(N / n(c)).
 
 A term discloses c where PMI >= alpha * IC and n(c,t) >= support; it is then a
-span of kind ``term`` wherever it stands in a context of c. ``sanitise`` removes
-terms that disclose all (PMI >= 0.95 IC) and generalises the others and the
-base spans to a label.
+span of kind ``term`` wherever it stands in a document that holds c. ``sanitise``
+removes terms that disclose all (PMI >= 0.95 IC) and generalises the others and
+the base spans to a label.
 
-An entity or term that a third of all rows hold is counted by pre-aggregation;
-joins on it read tables from the shared folder, which AQE splits if skewed. The
-candidate terms are broadcast only up to ``small`` of them; beyond, term counts
-are aggregated first and joined by shuffle.
+Since n(c,t) <= n(c), only terms with n(t) <= n(c) (N / n(c))^(1 - alpha) can reach
+alpha; n(t) is counted first, and pairs are made of those only. An entity or term
+that a third of all rows hold is counted by pre-aggregation; joins on it read
+tables from the shared folder, which AQE splits if skewed. Terms are broadcast
+only up to ``small`` of them; beyond, counts are aggregated first and joined by
+shuffle.
 
 Edge cases: a null or empty text has no spans. Each row is a document, repeated
 rows too. U+0001 and U+0002 in a text are read as U+0003 (no pattern or word has
@@ -44,7 +45,10 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-SPAN = "array<struct<start:int,ord:int,kind:string,end:int,value:string,terms:array<struct<term:string,start:int,end:int>>>>"
+SPAN = "array<struct<start:int,ord:int,kind:string,end:int,value:string>>"
+ADDED = "array<struct<start:int,end:int,share:double>>"
+LETTER = r"\p{L}\p{M}\p{N}"
+EDGE = rf"(?<=[{LETTER}])(?=[^{LETTER}])|(?<=[^{LETTER}])(?=[{LETTER}])"
 
 
 def _digits(value: Column) -> Column:
@@ -70,21 +74,29 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _terms(gap: Column, left: bool, at: Column, reach: int, words: int) -> Column:
-    """Words of a gap near the entity: (term, start, end); ``at`` is the gap's end (left) or start."""
-    cut = F.right(gap, F.lit(reach)) if left else F.left(gap, F.lit(reach))
-    edge = r"(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N}])|(?<=[^\p{L}\p{N}])(?=[\p{L}\p{N}])"
-    tokens = F.split(cut, edge)
-    start = at - F.length(cut) if left else at
+def _words(text: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_remove(F.array_distinct(F.split(F.lower(text), f"[^{LETTER}]+")), "")
 
-    def placed(x: Column, i: Column) -> Column:
-        begin = start + F.aggregate(F.slice(tokens, F.lit(1), i), F.lit(0), lambda a, y: a + F.length(y))
-        whole = F.lit(True) if reach is None else ((i > 0) | (F.length(gap) <= reach) if left else (i < F.size(tokens) - 1) | (F.length(gap) <= reach))
-        return F.struct(F.lower(x).alias("term"), begin.alias("start"), (begin + F.length(x)).alias("end"), whole.alias("whole"))
 
-    found = F.filter(F.transform(tokens, placed), lambda w: w["whole"] & w["term"].rlike(r"^\p{L}{4,}$"))
-    near = F.slice(F.reverse(found), 1, words) if left else F.slice(found, 1, words)
-    return F.transform(near, lambda w: F.struct(w["term"].alias("term"), w["start"].alias("start"), w["end"].alias("end")))
+def _outside(text: Column, spans: Column) -> Column:
+    """The text with U+0001 for each code point of the (sorted) spans."""
+    def blank(a: Column, s: Column) -> Column:
+        start = F.greatest(s["start"], a["at"])
+        out = F.concat(a["out"], F.substring(text, a["at"] + 1, start - a["at"]), F.repeat(F.lit("\u0001"), s["end"] - start))
+        return F.when(s["end"] <= a["at"], a).otherwise(F.struct(s["end"].alias("at"), out.alias("out")))
+
+    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), blank, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+
+
+def _marked(rest: Column, marks: Column) -> Column:
+    """Where the terms of ``marks`` (term to share) stand: (start, end, share)."""
+    def step(a: Column, x: Column) -> Column:
+        end, share = a["at"] + F.length(x), F.try_element_at(marks, F.lower(x))
+        here = F.array(F.struct(a["at"].alias("start"), end.alias("end"), share.alias("share")))
+        return F.struct(end.alias("at"), F.when(share.isNull(), a["kept"]).otherwise(F.concat(a["kept"], here)).cast(ADDED).alias("kept"))
+
+    return F.aggregate(F.split(rest, EDGE), F.struct(F.lit(0).alias("at"), F.array().cast(ADDED).alias("kept")), step, lambda a: a["kept"])
 
 
 def _parts(text: Column, kind: str) -> Column:
@@ -95,23 +107,22 @@ def _parts(text: Column, kind: str) -> Column:
     return F.when(found, F.split(F.regexp_replace(text, PATTERNS[kind], "\u0001$0\u0002"), "[\u0001\u0002]"))
 
 
-def _spans(kind: str, reach: int, words: int) -> Column:
-    """The valid spans of one kind, from its parts: (start, ord, kind, end, value, terms)."""
+def _spans(kind: str) -> Column:
+    """The valid spans of one kind, from its parts: (start, ord, kind, end, value)."""
     parts, lengths = F.col(kind), F.transform(kind, F.length)
 
     def span(i: Column) -> Column:
         start = F.aggregate(F.slice(lengths, F.lit(1), 2 * i - 1), F.lit(0), lambda a, x: a + x)
         value = F.element_at(parts, (2 * i).cast("int"))
-        end = start + F.length(value)
-        terms = F.concat(_terms(F.element_at(parts, (2 * i - 1).cast("int")), True, start, reach, words), _terms(F.element_at(parts, (2 * i + 1).cast("int")), False, end, reach, words))
-        return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("ord"), F.lit(kind).alias("kind"), end.alias("end"), value.alias("value"), terms.alias("terms"))
+        return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("ord"), F.lit(kind).alias("kind"), (start + F.length(value)).alias("end"), value.alias("value"))
 
     matches = F.filter(F.sequence(F.lit(1), F.floor(F.size(parts) / 2).cast("int")), lambda i: _valid(kind, F.element_at(parts, (2 * i).cast("int"))))
     return F.coalesce(F.transform(matches, span).cast(SPAN), F.array().cast(SPAN))
 
 
-def base_spans(docs: DataFrame, words: int = 5, reach: int = 120) -> DataFrame:
-    """doc_id, text_hash and base (sorted base spans with their context terms) of each row.
+def base_spans(docs: DataFrame) -> DataFrame:
+    """row, doc_id, text_hash, base (sorted base spans), rest (the text without them; null if
+    there are none) and inside (terms that only base spans hold) of each row.
 
     The texts are read once; matches and gaps of the rows that have some go to a
     table, on which the offsets are worked out.
@@ -119,42 +130,57 @@ def base_spans(docs: DataFrame, words: int = 5, reach: int = 120) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     clean = F.when(text.rlike("[\u0001\u0002]"), F.translate(text, "\u0001\u0002", "\u0003\u0003")).otherwise(text)
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), clean.alias("_t"))
-    parts = table(rows.select("doc_id", "text_hash", *[_parts(F.col("_t"), k).alias(k) for k in KINDS]), "parts")
-    return parts.select("doc_id", "text_hash", F.array_sort(F.concat(*[_spans(k, reach, words) for k in KINDS])).alias("base"))
-
-
-def disclosing(docs: DataFrame, base: DataFrame, alpha: float = 0.8, support: int = 2, small: int = 200_000) -> DataFrame:
+    parts = rows.select("doc_id", "text_hash", "_t", *[_parts(F.col("_t"), k).alias(k) for k in KINDS])
+    parts = table(parts.withColumn("_t", F.when(F.coalesce(*[F.col(k) for k in KINDS]).isNotNull(), F.col("_t"))), "parts")
+    spans = table(parts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_hash", "_t", F.array_sort(F.concat(*[_spans(k) for k in KINDS])).alias("base")), "spans")
+    rest = spans.withColumn("rest", F.when(F.size("base") > 0, _outside(F.col("_t"), F.col("base"))))
+    return rest.select("row", "doc_id", "text_hash", "base", "rest", F.array_except(_words(F.col("_t")), _words(F.col("rest"))).alias("inside"))
+
+
+def candidates(docs: DataFrame, base: DataFrame, alpha: float = 0.8, support: int = 2, small: int = 200_000) -> DataFrame:
+    """(doc_id, text_hash, kind, value, n_c, term, n_t) of each row that holds both, for entities of
+    ``support`` rows or more and the terms that can reach ``alpha`` of their IC."""
+    total = float(max(1, base.count()))
+    found = base.where(F.size("base") > 0)
+    own = found.select("row", F.explode(F.array_distinct(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))).alias("c")).select("row", "c.kind", "c.value")
+    own = table(own, "held")
+    entities = table(own.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n_c")).where(F.col("n_c") >= support), "entities")
+    holders = own.join(entities, ["kind", "value"]).groupBy("row").agg(F.collect_list(F.struct("kind", "value", "n_c")).alias("c"))
+    holders = table(holders.join(found.select("row", "doc_id", "text_hash", "rest"), "row").select("doc_id", "text_hash", "c", _words(F.col("rest")).alias("terms")), "holders")
+    wanted = table(holders.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("term"), "terms")
+    few = wanted.count() <= small
+    near = (lambda x: F.broadcast(x)) if few else (lambda x: x)
+    held = docs.select(F.explode(_words(F.coalesce("text", F.lit("")))).alias("term"), F.lit(1).alias("n")).union(found.select(F.explode("inside").alias("term"), F.lit(-1).alias("n")))
+    if few:
+        held = held.join(near(wanted), "term")
+    counts = held.groupBy("term").agg(F.sum("n").alias("n_t"))
+    counts = table(counts if few else counts.join(wanted, "term", "left_semi"), "counts")
+    pairs = holders.select("doc_id", "text_hash", "c", F.explode("terms").alias("term")).join(near(counts), "term")
+    can = lambda c: F.col("n_t") <= c["n_c"] * F.pow(F.lit(total) / c["n_c"], F.lit(1 - alpha)) * (1 + 1e-9)
+    pairs = pairs.select("doc_id", "text_hash", "term", "n_t", F.explode(F.filter("c", can)).alias("c"))
+    return pairs.select("doc_id", "text_hash", "c.kind", "c.value", "c.n_c", "term", "n_t", F.lit(total).alias("total"))
+
+
+def disclosing(pairs: DataFrame, alpha: float = 0.8, support: int = 2) -> DataFrame:
     """(kind, value, term, share): terms whose PMI is ``share`` >= alpha of an entity's IC."""
-    total = base.count()
-    found = base.where(F.size("base") > 0).select(F.explode(F.array_distinct(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))).alias("c"))
-    entities = table(found.groupBy("c.kind", "c.value").agg(F.count(F.lit(1)).alias("n_c")).where(F.col("n_c") >= support), "entities")
-    pairs = F.array_distinct(F.flatten(F.transform("base", lambda s: F.transform(s["terms"], lambda t: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), t["term"].alias("term"))))))
-    joint = base.where(F.size("base") > 0).select(F.explode(pairs).alias("p")).groupBy("p.kind", "p.value", "p.term").agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= support)
-    joint = table(joint.join(entities, ["kind", "value"]), "joint")
-    wanted = table(joint.select("term").distinct(), "terms")
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
-    held = docs.select(F.explode(F.filter(words, lambda w: F.length(w) >= 4)).alias("term"))
-    if wanted.count() <= small:
-        counts = held.join(F.broadcast(wanted), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    else:
-        counts = held.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(wanted, "term", "left_semi")
-    pmi = F.log2(F.lit(float(total)) * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
-    ic = F.log2(F.lit(float(total)) / F.col("n_c"))
+    joint = pairs.groupBy("kind", "value", "term", "n_c", "n_t", "total").agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= support)
+    pmi = F.log2(F.col("total") * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
+    ic = F.log2(F.col("total") / F.col("n_c"))
     share = F.when(ic > 0, pmi / ic)
-    return joint.join(counts, "term").withColumn("share", share).where(F.col("share") >= alpha).select("kind", "value", "term", "share")
+    return joint.withColumn("share", share).where(F.col("share") >= alpha).select("kind", "value", "term", "share")
 
 
-def find_spans(docs: DataFrame, alpha: float = 0.8, support: int = 2, words: int = 5, reach: int = 120) -> DataFrame:
+def find_spans(docs: DataFrame, alpha: float = 0.8, support: int = 2) -> DataFrame:
     """doc_id, text_hash, base and added spans of every row; added: (start, end, share)."""
-    base = table(base_spans(docs, words, reach), "base-spans")
-    terms = table(disclosing(docs, base, alpha, support), "disclosing")
-    near = base.where(F.size("base") > 0).select("doc_id", "text_hash", F.explode("base").alias("s")).select("doc_id", "text_hash", "s.kind", "s.value", F.explode("s.terms").alias("t"))
-    near = near.select("doc_id", "text_hash", "kind", "value", "t.term", "t.start", "t.end")
-    hits = near.join(terms, ["kind", "value", "term"]).groupBy("doc_id", "text_hash", "start", "end").agg(F.max("share").alias("share"))
-    added = hits.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "end", "share"))).alias("added"))
-    added = added.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "added")
-    out = base.join(added, base["doc_id"].eqNullSafe(F.col("_doc")) & (base["text_hash"] == F.col("_hash")), "left")
-    return out.select("doc_id", "text_hash", F.transform("base", lambda s: s.dropFields("terms")).alias("base"), F.coalesce("added", F.array().cast("array<struct<start:int,end:int,share:double>>")).alias("added"))
+    base = table(base_spans(docs), "base-spans")
+    pairs = table(candidates(docs, base, alpha, support), "candidates")
+    terms = table(disclosing(pairs, alpha, support), "disclosing")
+    hits = pairs.join(terms, ["kind", "value", "term"]).groupBy("doc_id", "text_hash", "term").agg(F.max("share").alias("share"))
+    marks = hits.groupBy("doc_id", "text_hash").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("marks"))
+    marks = marks.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "marks")
+    out = base.join(marks, base["doc_id"].eqNullSafe(F.col("_doc")) & (base["text_hash"] == F.col("_hash")), "left")
+    added = F.when(F.col("marks").isNotNull(), _marked(F.col("rest"), F.col("marks")))
+    return out.select("doc_id", "text_hash", "base", F.coalesce(added, F.array().cast(ADDED)).alias("added"))
 
 
 def _joined(spans: Column) -> Column:

@@ -74,6 +74,54 @@ def test_disclosing_terms(spark):
     assert "Zanzibar" not in clean[0] and "[EMAIL]" in clean[0] and clean[10] == texts[10]
 
 
+def test_terms_of_whole_documents(spark):
+    """Names and codes far from an address are counted, and every place of them is masked; other documents keep theirs."""
+    far = "and then some more was said of this and of that "
+    texts = [f"Zanzibar QX7 {far * 4} {i} write to secret@corp.org {far * 4} 4111 1111 1111 1112 zanzibar. \u0130zmir-secret" for i in range(6)]
+    texts += [f"{far} 4111 1111 {i + 6}" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.find_spans(docs).collect()}
+    for i in range(6):
+        assert [texts[i][s.start : s.end] for s in found[i].added if s.share >= 0.95] == ["Zanzibar", "QX7", "write", "to", "1112", "zanzibar", "\u0130zmir", "secret"]
+    assert not any(found[i].added for i in range(6, 66))
+    clean = {r.doc_id: r.sanitised for r in pii.sanitise(docs).collect()}
+    assert not re.search("zanzibar|QX7|\u0130zmir|secret", clean[0], re.I) and clean[20] == texts[20]
+
+
+def test_terms_equal_brute_force(spark, documents):
+    """Counts over whole documents, for any text and any mix of entities."""
+    import math
+    import random
+
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(40)]
+    texts = []
+    for _ in range(120):
+        k = rng.randrange(14)
+        parts = [f"u{k}@m.io", *rng.choices([f"c{k}", f"c{k + 1}", "q"], [6, 1, 1], k=2), *rng.choices(["a@b.cc", "x@w1.yy", "10.0.0.7", "q"], k=2), *rng.choices(words, k=rng.randint(1, 30))]
+        texts.append(" ".join(rng.sample(parts, len(parts))))
+    found = {r.doc_id: r for r in pii.find_spans(documents(texts)).collect()}
+    ents, terms = {}, {}
+    for i, t in enumerate(texts):
+        spans = sorted((s.start, s.end) for s in found[i].base)
+        rest = "".join(" " if any(a <= k < b for a, b in spans) else ch for k, ch in enumerate(t))
+        ents[i], terms[i] = {t[a:b] for a, b in spans}, rest
+    n = len(texts)
+    n_c = {c: sum(c in e for e in ents.values()) for c in set().union(*ents.values())}
+    toks = {i: set(re.findall(r"\w+", r)) for i, r in terms.items()}
+    want_any = 0
+    for i in terms:
+        want = []
+        for m in re.finditer(r"\w+", terms[i]):
+            n_t = sum(m[0] in x for x in toks.values())
+            shares = [math.log2(n * n_ct / (n_c[c] * n_t)) / math.log2(n / n_c[c]) for c in ents[i] if (n_ct := sum(c in ents[j] and m[0] in toks[j] for j in toks)) >= 2]
+            if shares and max(shares) >= 0.8:
+                want.append((m.start(), m.end()))
+        assert [(s.start, s.end) for s in found[i].added] == want
+        want_any += len(want)
+    assert want_any
+
+
 def test_empty_table(spark, documents):
     assert pii.op2(spark, documents([])).count() == 0
     assert pii.sanitise(documents([None])).first().sanitised == ""
