@@ -5,8 +5,10 @@ block elements. Per path, text length and punctuation are summed over its blocks
 and divided by their number; each block takes its path's two ratios, which are
 smoothed over neighbouring blocks with a Gaussian window and fused by product.
 Paths over a threshold (a share of the standard deviation over the page's
-blocks) are content. The smallest element that holds nearly all of their text is
-the article, and its blocks, the short ones too, are the main text in page order.
+blocks) are content. The article is the ``article`` or ``main`` element that holds
+nearly all of their text or, without one, the smallest element that holds every
+block of content and every heading and paragraph that is no list of links. Its
+blocks, the short ones too, are the main text in page order.
 
 Left out before: scripts, styles, head, forms, navigation, footers, asides and
 page headers by their elements; menus, notices, adverts, sidebars and reader
@@ -51,6 +53,9 @@ WORDS = frozenset(
     "contentinfo complementary cookie cookies copyright dialog disclaimer discussion disqus feedback footer form gdpr header login masthead menu modal nav "
     "navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion recommended related replies reply "
     "respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are part of an article, not its frame.
+ENDS = HEADINGS | frozenset("p ul ol table tbody tr li td blockquote dl pre".split())
 CONTENT = frozenset(("article", "main", "body", "html", "h1", "h2", "h3", "h4", "h5", "h6", "p"))
 
 
@@ -225,21 +230,22 @@ def main_text(html: str, share: float = 0.25, held: float = 0.9) -> str:
     threshold = min(share * float(fused.std()), float(fused.max()))
     chosen = {p for p, v in content.items() if max(v) >= threshold}
     weight = [0.0] * n
+    needed = [0] * n  # blocks that no step down may lose
     for b in kept:
         if paths[b[0]] in chosen:
             weight[b[0]] += len(b[1])
-    own = list(weight)
+        if paths[b[0]] in chosen or page.tags[b[0]] in HEADINGS or page.tags[b[0]] == "p" and b[2] < 0.5 * len(b[1]):
+            needed[b[0]] += 1
     for e in range(n - 1, 0, -1):
         weight[page.parents[e]] += weight[e]
+        needed[page.parents[e]] += needed[e]
     children: dict[int, list[int]] = {}
     for e in range(1, n):
         children.setdefault(page.parents[e], []).append(e)
-    article = 0
-    while True:
-        best = max(children.get(article, []), key=lambda e: weight[e], default=None)
-        if best is None or page.tags[best] == "p" or weight[best] < held * weight[article] or own[article] > 0 and page.tags[article] in ("article", "main"):
-            break
-        if page.tags[best] in ("ul", "ol", "table", "tbody", "tr", "li", "td", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "dl", "pre") or page.tags[article] in ("article", "main"):
+    article = next((e for e in range(1, n) if page.tags[e] in ("article", "main") and weight[e] > 0 and weight[e] >= held * weight[0]), 0)
+    while page.tags[article] not in ("article", "main"):
+        best = next((e for e in children.get(article, []) if needed[e] == needed[article]), None)
+        if best is None or page.tags[best] in ENDS:
             break
         article = best
 

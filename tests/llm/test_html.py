@@ -39,6 +39,16 @@ def test_generated_articles():
         assert html.main_text(page) == "\n".join(b.replace("&amp;", "&").strip() for b in blocks)
 
 
+@pytest.mark.parametrize("n", [1, 3, 30, 300])
+def test_no_block_of_a_long_page_is_lost(n):
+    """Title, lead and closing paragraph stand outside the body's element; nothing depends on the body's length."""
+    body = "".join(f"<p>{LONG}</p>" for _ in range(n))
+    want = "\n".join(["T", "A short lead.", *[LONG] * n, "The end."])
+    assert html.main_text(f"<body><nav><a href=/>m</a></nav><div id=post><h1>T</h1><p>A short lead.</p><div class=entry>{body}</div><p>The end.</p></div><footer>f</footer></body>") == want
+    nested = f"<div><h1>T</h1><div><p>A short lead.</p><div><div>{body}</div></div></div><p>The end.</p></div>"
+    assert html.main_text(f"<body><div class=top><a href=1>a</a> <a href=2>b</a></div>{nested}<div class=cookies>Yes?</div></body>") == want
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="<>/ap div\"'=!-&;x\n", max_size=120))
 def test_any_markup_is_read(page):
