@@ -13,7 +13,10 @@ blocks, the short ones too, are the main text in page order.
 Left out before: scripts, styles, head, forms, navigation, footers, asides and
 page headers by their elements; menus, notices, adverts, sidebars and reader
 comments by the words in class, id and role (unless such an element holds most
-of the page); lists that are links only; hidden elements and comments.
+of the page); lists that are links only; hidden elements and comments. Inside
+``article`` and ``main`` words alone do not decide: an element they mark goes if half of
+its text is links or all its paths are under the threshold (at most the ratio of a short
+sentence), and a header stays.
 
 Edge cases: a null html is empty, and the text of a page without content is
 empty. An unfinished tag at the end is dropped, a tag that never closes is closed
@@ -56,6 +59,8 @@ WORDS = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are part of an article, not its frame.
 ENDS = HEADINGS | frozenset("p ul ol table tbody tr li td blockquote dl pre".split())
+#: The ratio of 20 characters with a full stop.
+SENTENCE = 40.0
 CONTENT = frozenset(("article", "main", "body", "html", "h1", "h2", "h3", "h4", "h5", "h6", "p"))
 
 
@@ -71,10 +76,11 @@ def _marked(attributes: str, words: bool) -> bool:
 
 
 class _Page:
-    """Elements (tag, parent, out, marked) and blocks (element, text, characters in links)."""
+    """Elements (tag, parent, out, marked, worded) and blocks (element, text, characters in links)."""
 
     def __init__(self, html: str) -> None:
         self.tags, self.parents, self.out, self.marked = ["#root"], [-1], [False], [False]
+        self.worded = [False]  # inside an article, marked by words only
         self.blocks: list[tuple[int, str, int]] = []
         self.open = [(0, "#root")]  # open elements, inline ones with their block's number
         self.text: list[str] = []
@@ -127,7 +133,8 @@ class _Page:
         self.tags.append(tag)
         self.parents.append(parent)
         self.out.append(self.out[parent] or tag in OUT or tag == "header" and not inside)
-        self.marked.append(bool(attributes) and _marked(attributes, tag not in CONTENT))
+        self.marked.append(bool(attributes) and _marked(attributes, tag not in CONTENT and not (tag == "header" and inside)))
+        self.worded.append(inside and self.marked[-1] and not _marked(attributes, False))
         self.open.append((len(self.tags) - 1, tag))
 
     def _end(self, tag: str) -> None:
@@ -176,6 +183,43 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(padded, window / window.sum(), "valid")
 
 
+def _ratios(blocks: list[tuple[int, str, int]], paths: dict[int, str]) -> dict[str, tuple[float, float]]:
+    """Each path's text length and punctuation per block."""
+    totals: dict[str, list[float]] = {}
+    for element, text, linked in blocks:
+        t = totals.setdefault(paths[element], [0, 0, 0])
+        t[0] += max(0, len(text) - linked)
+        t[1] += len(PUNCTUATION.findall(text))
+        t[2] += 1
+    return {p: (t[0] / t[2], t[1] / t[2]) for p, t in totals.items()}
+
+
+def _smooth_ratios(blocks: list[tuple[int, str, int]], paths: dict[int, str]) -> np.ndarray:
+    ratios = _ratios(blocks, paths)
+    length, marks = (_smooth(np.array([ratios[paths[b[0]]][k] for b in blocks])) for k in (0, 1))
+    return length * (1 + marks)
+
+
+def _by_ratio(page: _Page, marked: list[bool], paths: dict[int, str], blocks: list[tuple[int, str, int]], share: float) -> list[bool]:
+    """``marked`` without the elements that words mark inside an article though their text has an article's ratios."""
+    if not blocks:
+        return marked
+    least = min(share * float(_smooth_ratios(blocks, paths).std()), SENTENCE)  # one long block hides no others
+    high = {p for p, (length, marks) in _ratios(blocks, paths).items() if length * (1 + marks) >= least}
+    n = len(page.tags)
+    chars, linked, content = [0] * n, [0] * n, [False] * n
+    for e, text, in_links in blocks:
+        chars[e] += len(text)
+        linked[e] += in_links
+        content[e] = content[e] or paths[e] in high
+    for e in range(n - 1, 0, -1):
+        up = page.parents[e]
+        chars[up] += chars[e]
+        linked[up] += linked[e]
+        content[up] = content[up] or content[e]
+    return [m and not (w and content[e] and linked[e] < 0.5 * chars[e]) for e, (m, w) in enumerate(zip(marked, page.worded, strict=True))]
+
+
 def main_text(html: str, share: float = 0.25, held: float = 0.9) -> str:
     page = _Page(html)
     n = len(page.tags)
@@ -186,12 +230,21 @@ def main_text(html: str, share: float = 0.25, held: float = 0.9) -> str:
         size[element] += len(text)
     for e in range(n - 1, 0, -1):
         size[page.parents[e]] += size[e]
-    out = list(page.out)
-    for e in range(1, n):
-        out[e] = out[e] or out[page.parents[e]] or page.marked[e] and size[e] <= 0.6 * size[0]
     paths: dict[int, str] = {0: ""}
     for e in range(1, n):
         paths[e] = f"{paths[page.parents[e]]}/{page.tags[e]}"
+    marked = [m and size[e] <= 0.6 * size[0] for e, m in enumerate(page.marked)]
+
+    def left_out(drop: list[bool]) -> list[bool]:
+        out = list(page.out)
+        for e in range(1, n):
+            out[e] = out[e] or out[page.parents[e]] or drop[e]
+        return out
+
+    if any(m and w for m, w in zip(marked, page.worded, strict=True)):
+        out = left_out([m and not w for m, w in zip(marked, page.worded, strict=True)])
+        marked = _by_ratio(page, marked, paths, [b for b in page.blocks if not out[b[0]]], share)
+    out = left_out(marked)
     kept = [b for b in page.blocks if not out[b[0]]]
     # lists and tables that are links only are menus
     links: dict[int, list[int]] = {}
@@ -215,15 +268,7 @@ def main_text(html: str, share: float = 0.25, held: float = 0.9) -> str:
     kept = [b for b in kept if not in_menu(b[0])]
     if not kept:
         return ""
-    totals: dict[str, list[float]] = {}
-    for element, text, linked in kept:
-        t = totals.setdefault(paths[element], [0, 0, 0])
-        t[0] += max(0, len(text) - linked)
-        t[1] += len(PUNCTUATION.findall(text))
-        t[2] += 1
-    length = _smooth(np.array([totals[paths[b[0]]][0] / totals[paths[b[0]]][2] for b in kept]))
-    marks = _smooth(np.array([totals[paths[b[0]]][1] / totals[paths[b[0]]][2] for b in kept]))
-    fused = length * (1 + marks)
+    fused = _smooth_ratios(kept, paths)
     content: dict[str, list[float]] = {}
     for b, v in zip(kept, fused, strict=True):
         content.setdefault(paths[b[0]], []).append(float(v))

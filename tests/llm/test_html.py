@@ -49,6 +49,22 @@ def test_no_block_of_a_long_page_is_lost(n):
     assert html.main_text(f"<body><div class=top><a href=1>a</a> <a href=2>b</a></div>{nested}<div class=cookies>Yes?</div></body>") == want
 
 
+@pytest.mark.parametrize("n", [2, 40])
+def test_words_alone_take_nothing_from_an_article(n):
+    body = "".join(f"<p>{LONG}</p>" for _ in range(n))
+    text = "\n".join([LONG] * n)
+    for tag in ("article", "main"):
+        page = lambda inner: html.main_text(f"<body><nav><a href=/>m</a></nav><div class=ad>Buy, now.</div><{tag}>{inner}</{tag}><div class=comments><p>{LONG}</p></div></body>")  # noqa: B023, E731
+        assert page(f"<header class='entry-header'><h1>T</h1><p>A lead.</p></header>{body}") == f"T\nA lead.\n{text}"
+        for name in ("section class=discussion", "div class='related-work'", "div id=widget-container"):
+            part = f"<{name}><h2>Part</h2><p>{LONG}</p><p>Short.</p></{name.split()[0]}>"
+            assert page(f"{body}{part * 3}<p>End.</p>") == "\n".join([text, *[f"Part\n{LONG}\nShort."] * 3, "End."])
+        links = "<div class=share-box><a href=1>Share this now</a> <a href=2>Post it</a></div><div class=sidebar hidden><p>gone</p></div>"
+        assert page(f"{body}{links}<p>End.</p><div class=ad>Buy now</div>") == f"{text}\nEnd."
+    long = "word, " * 3000
+    assert html.main_text(f"<article><p>{long}</p><section class=discussion><div>{LONG}</div></section><p>{LONG}</p><p>{LONG}</p></article>") == f"{long.strip()}\n{LONG}\n{LONG}\n{LONG}"
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="<>/ap div\"'=!-&;x\n", max_size=120))
 def test_any_markup_is_read(page):
