@@ -70,9 +70,17 @@ def _no_copies(grams: list[np.ndarray]) -> list[int]:
     return [i for i in range(len(grams)) if not ((minima[:i] == minima[i]).sum(axis=1) >= 6).any()]
 
 
-def content(own: list[np.ndarray], other: list[np.ndarray], texts: list[bytes], share: float = 0.1, ratio: float = 6, size: int = 2048) -> bytes:
+def _evidence(count: np.ndarray, seen: np.ndarray, own: int, other: int) -> np.ndarray:
+    """The log-likelihood ratio of grams found in ``count`` of ``own`` and ``seen`` of ``other`` texts against one rate for both."""
+    both = (count + seen) / (own + other)
+    part = lambda k, n: k * np.log(np.maximum(k, 1e-9) / n / both)
+    return 2 * (part(count, own) + part(seen, other))
+
+
+def content(own: list[np.ndarray], other: list[np.ndarray], texts: list[bytes], share: float = 0.1, ratio: float = 6, evidence: float = 20, size: int = 112_640) -> bytes:
     """Dictionary content: sequences made of grams that are ``ratio`` times as frequent among ``own`` texts
-    as among ``other`` ones, in at least ``share`` of the texts of the commonest such gram; commonest last."""
+    as among ``other`` ones, with ``evidence`` of that whatever the commonest such gram (or, among few texts,
+    in ``share`` of its texts); commonest last. ``size`` is zstandard's own for dictionaries."""
     grams, count = np.unique(np.concatenate(own), return_counts=True)
     grams, count = grams[count >= 3], count[count >= 3]
     seen = np.zeros(len(grams), np.int64)
@@ -82,10 +90,10 @@ def content(own: list[np.ndarray], other: list[np.ndarray], texts: list[bytes],
         where[where == len(grams)] = 0
         seen += np.bincount(where[grams[where] == part], minlength=len(grams)) if len(grams) else 0
     rare = (count + 0.5) / (len(own) + 1) >= ratio * (seen + 0.5) / (len(other) + 1)
-    grams, count = grams[rare], count[rare]
+    grams, count, seen = grams[rare], count[rare], seen[rare]
     if not len(grams):
         return b""
-    often = count >= share * count.max()
+    often = (_evidence(count, seen, len(own), len(other)) >= evidence) | (count >= share * count.max())
     grams, count = grams[often], count[often]
     found: Counter[bytes] = Counter()
     for text in texts:
@@ -123,8 +131,9 @@ def _pieces(text: bytes, grams: np.ndarray, count: np.ndarray) -> Iterator[bytes
 
 @lru_cache(8)
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
+    bits = max(12, (len(dictionary) + 1024).bit_length())  # all of the dictionary within reach and in the tables
     params = zstandard.ZstdCompressionParameters(
-        strategy=zstandard.STRATEGY_LAZY2, target_length=16, min_match=5, window_log=13, hash_log=12, chain_log=12, search_log=4,
+        strategy=zstandard.STRATEGY_LAZY2, target_length=16, min_match=5, window_log=bits + 1, hash_log=bits, chain_log=bits, search_log=4,
         write_content_size=False, write_checksum=False, write_dict_id=False)
     data = zstandard.ZstdCompressionDict(b"\n" + dictionary + PRIMER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     data.precompute_compress(compression_params=params)

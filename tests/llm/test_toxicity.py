@@ -63,3 +63,24 @@ def test_windows_cover_the_text():
         text = bytes(i % 251 for i in range(n))
         cut = [w[len(toxicity.PRIMER):] for w in toxicity.windows(text)]
         assert b"".join([cut[0], *[w[toxicity.OVERLAP:] for w in cut[1:]]]) == text
+
+
+def test_rare_terms_beside_a_common_phrase():
+    """Terms in a few per cent of the toxic texts are learnt, however common another phrase is and however many they are."""
+    rng = random.Random(8)
+    syllables = ["the", "an", "er", "ti", "on", "re", "ing", "ha", "wh", "ed", "is", "ou"]
+    plain = lambda n: [("".join(rng.choices(syllables, k=rng.randint(1, 3)))) for _ in range(n)]
+    rare = ["".join(rng.choices("bcdfgjklmpqvxz", k=9)) for _ in range(300)]
+
+    def text(*extra):
+        words = plain(rng.randint(20, 80))
+        for w in extra:
+            words.insert(rng.randrange(len(words)), w)
+        return " ".join(words).encode()
+
+    toxic = [text(*["utter numbskull"] * (i % 4 > 0), *[rare[(8 * i + k) % 300] for k in range(8 if i % 4 else 2)]) for i in range(900)]
+    model = toxicity.fit(toxic, [text() for _ in range(900)])
+    assert len(model.toxic) > 2048 and sum(w.encode() in model.toxic for w in rare) > 285
+    some, none = list(toxicity.features((text(w, v) for w, v in zip(rare, rare[1:])), model)), list(toxicity.features((text() for _ in rare), model))  # noqa: B905
+    score = lambda f: 1 / (1 + np.exp(-np.array(f) @ np.array(model.weights)))
+    assert (score(some) >= 0.7).mean() > 0.95 and (score(none) < 0.7).mean() > 0.97
