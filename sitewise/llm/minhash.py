@@ -21,8 +21,8 @@ signatures are used with a margin of over six standard deviations.
 Edge cases: a null or empty text, or one of white space, has an empty set and
 no links. Rows that share a doc_id get the component of their own set each; sets
 with the same smallest doc_id are one node. A null doc_id takes no part:
-component_id null, kept. Extra columns pass through in
-``dedup``; n_shingles, component_id and kept replace columns of those names.
+component_id null, kept. ``dedup`` takes every row as a document, whatever its
+doc_id. Extra columns pass through in ``dedup``; n_shingles, component_id and kept replace columns of those names.
 """
 
 from __future__ import annotations
@@ -278,12 +278,19 @@ def near_components(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
 
 
 def dedup(docs: DataFrame, percent: int = 80, bands: int = 48, rows: int = 6) -> DataFrame:
-    """The rows of ``docs`` that are kept: one document of each component.
+    """The rows of ``docs`` that are kept: one row of each component.
 
+    Where doc_ids repeat or are null, each row is a document of its own: rows get
+    numbers in the order of doc_id, nulls last, and the smallest number stays.
     With 48 bands of 6, a pair at exactly 0.8 is missed with probability 5e-7.
     """
-    lost = near_components(docs, percent, bands, rows).where("NOT kept").select(F.col("doc_id").alias("_sw_doc"), F.col("text_hash").alias("_sw_hash")).distinct()
-    return docs.join(lost, docs["doc_id"].eqNullSafe(F.col("_sw_doc")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("_sw_hash")), "left_anti")
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty():
+        lost = near_components(docs, percent, bands, rows).where("NOT kept").select(F.col("doc_id").alias("_sw_doc"))
+        return docs.join(lost, F.col("doc_id") == F.col("_sw_doc"), "left_anti")
+    numbered = docs.orderBy(F.asc_nulls_last("doc_id"), F.xxhash64("text")).withColumn("_sw_row", F.monotonically_increasing_id())
+    numbered = table(numbered, "numbered")
+    lost = near_components(numbered.select(F.col("_sw_row").alias("doc_id"), "text"), percent, bands, rows).where("NOT kept").select(F.col("doc_id").alias("_sw_row"))
+    return numbered.join(lost, "_sw_row", "left_anti").drop("_sw_row")
 
 
 def op10(spark: SparkSession, docs: DataFrame) -> DataFrame:

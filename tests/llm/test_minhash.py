@@ -93,3 +93,18 @@ def test_large_star_small_star(spark, edges):
     want = {x: root(x) for u, v in edges if u != v for x in (u, v)}
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == want
+
+
+def test_dedup_of_rows_that_share_an_id_or_have_none(spark, documents):
+    """One row of each group stays; rows that share only their doc_id all stay."""
+    base = [f"word{k}" for k in range(60)]
+    near = " ".join([*base[:-1], "another"])
+    other = "quite different words stand in this text of no group at all"
+    texts = [" ".join(base), " ".join(base), near, other, " ".join(base), near, other, "lone text without any id or copy here", None, None]
+    ids = [5, 5, 5, 5, None, None, None, None, None, 7]
+    kept = minhash.dedup(documents(texts, ids=ids)).collect()
+    key = lambda r: (str(r[0]), str(r[1]))
+    got = sorted(((r.doc_id, r.text) for r in kept), key=key)
+    group = [g for g in got if g[1] in (" ".join(base), near)]
+    assert len(group) == 1 and group[0][0] == 5
+    assert [g for g in got if g not in group] == sorted([(5, other), (None, texts[7]), (None, None), (7, None)], key=key)
