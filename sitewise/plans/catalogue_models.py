@@ -53,7 +53,7 @@ def _(spark, d):
     matrix, target = I.embedding_matrix(spark, d), I.embedding_target(spark, d)
     samples, y = numbered(target)
     weights = matrix.select("gene", "col_id").distinct().groupBy("gene").agg(F.sqrt(F.count(F.lit(1))).alias("weight"))
-    table, _ = solve_columns(matrix.select("col_id", "sample", "value"), matrix.select("col_id", "gene").distinct(), weights, samples, y, 0.1, 0.1, options=Options(max_iter=20))
+    table, _ = solve_columns(matrix.select("col_id", "sample", "value"), matrix.select("col_id", "gene").distinct(), weights, samples, y, 0.1, 0.1)
     return table
 
 
@@ -69,20 +69,20 @@ def _lines(spark, d, **options):
 
 @model("train_overlap")
 def _(spark, d):
-    alignments, hypothesis, o = _lines(spark, d, method="olsg_lasso_leastr", precision="fp64", solver=Options(max_iter=30))
+    alignments, hypothesis, o = _lines(spark, d, method="olsg_lasso_leastr", precision="fp64")
     o.groups = spark.createDataFrame([(0, "flag"), (0, "status"), (1, "status")], "group int, gene string")
     return train(alignments, hypothesis, o).weights
 
 
 @model("cv_predict")
 def _(spark, d):
-    alignments, hypothesis, o = _lines(spark, d, folds=5, precision="fp64", solver=Options(max_iter=30))
+    alignments, hypothesis, o = _lines(spark, d, folds=5, precision="fp64")
     return train(alignments, hypothesis, o).cv_metrics
 
 
 @model("train_median_scores")
 def _(spark, d):
-    alignments, hypothesis, o = _lines(spark, d, precision="fp64", lambdas=grids.lambda_grid((0.1, 0.2, 0.1), (0.1, 0.2, 0.1)), solver=Options(max_iter=30))
+    alignments, hypothesis, o = _lines(spark, d, precision="fp64", lambdas=grids.lambda_grid((0.1, 0.3, 0.1), (0.1, 0.3, 0.1)))
     return train(alignments, hypothesis, o).medians["position"]
 
 
@@ -95,5 +95,5 @@ def _(spark, d):
     months = best.groupBy("gene", "sample").agg(F.map_from_entries(F.collect_list(F.struct("pos", "ch"))).alias("m"))
     seq = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit("-"))), "")
     names = [r[0] for r in I.read(spark, d, "nation").select("n_name").orderBy("n_name").collect()]
-    o = TrainOptions(group_penalty="median", precision="fp64", min_minor=1, lambdas=grids.lambda_grid((0.1, 0.3, 0.1), (0.1, 0.3, 0.1)), solver=Options(max_iter=50))
+    o = TrainOptions(group_penalty="median", precision="fp64", min_minor=1, lambdas=grids.lambda_grid((0.1, 0.3, 0.1), (0.1, 0.3, 0.1)))
     return contrast_scan(months.select("gene", "sample", seq.alias("seq")), [list(zip(names[0::2], names[1::2], strict=False))], o, ContrastOptions(partner_only=True, flipped=True))["gene_ranks"]

@@ -151,3 +151,12 @@ def test_column_tier_equals_the_kernel(spark, logistic):
     for r in table.collect():
         got[r.col_id] = r.w
     assert np.allclose(got, want.x, atol=1e-8) and np.isclose(state.intercept, want.intercept, atol=1e-8)
+
+
+def test_registered_models_run_the_default_schedule():
+    import inspect
+
+    from sitewise.plans import catalogue_models
+
+    source = inspect.getsource(catalogue_models)
+    assert "max_iter" not in source and "(0.1, 0.2, 0.1)" not in source
