@@ -1,5 +1,11 @@
+import math
 import random
+import re
+import time
+from html.parser import HTMLParser
 
+import duckdb
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -78,3 +84,145 @@ def test_query(spark):
     assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
     assert [r.text.count("\n") for r in got if r.page_id is None] == [2999]
     assert html.op6(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_what_an_article_holds_stays():
+    body = f"<p>{LONG}</p>" * 4
+    text = "\n".join([LONG] * 4)
+    page = lambda inner: html.main_text(f"<body><nav><a href=/>m</a></nav><article>{inner}</article><footer>f</footer></body>")
+    assert page(f'<div class="post-header"><h1>Title</h1></div>{body}') == f"Title\n{text}"
+    assert page(f"{body}<h2>References</h2><ul><li><a href=1>One</a><li><a href=2>Two</a></ul>") == f"{text}\nReferences\nOne\nTwo"
+    assert page(f'<section class="search-results-discussion"><p>{LONG}</p></section>{body}') == f"{LONG}\n{text}"
+    assert page(f'{body}<div class="notice-of-war">War was declared.</div>') == f"{text}\nWar was declared."
+    assert page(f"{body}<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p>") == f"{text}\nSo x=1 holds."
+    assert page(f'{body}<section id="comments"><div class="comment"><p>{LONG}</p></div></section>') == text
+    apart = f"<body><main><article>{body}</article><section class=comments>{body * 3}</section></main></body>"
+    assert html.main_text(apart) == text
+
+
+def soup(rng):
+    """A page of bare containers and what belongs to its article: nothing but the ratios tells them apart."""
+    said = lambda n: " ".join(rng.choices(["alpha,", "beta", "gamma.", "delta"], k=n))
+    parts = [said(rng.randint(30, 90)) for _ in range(rng.randint(2, 6))]
+    frame = lambda: "".join(f"<span><div>{w}</div></span>" for w in rng.sample(["Home", "About us", "Shop now", "Archive", "Jobs", "Imprint"], 4))
+    return f"<body><div><section>{frame()}</section></div><div><div>{'</div><div>'.join(parts)}</div></div><div><section>{frame()}</section></div></body>", "\n".join(parts)
+
+
+def test_the_ratios_choose(monkeypatch):
+    pages = [soup(random.Random(i)) for i in range(50)]
+    assert all(html.main_text(p) == want for p, want in pages)
+    for name, constant in (("fused_ratios", lambda length, *_: np.ones(len(length))), ("path_ratios", lambda paths, *_: (np.ones(len(paths)), np.ones(len(paths))))):
+        with monkeypatch.context() as m:
+            m.setattr(html, name, constant)
+            assert all(html.main_text(p) != want for p, want in pages)
+    table = duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet' ORDER BY page_id").fetchall()
+    with monkeypatch.context() as m:
+        before = [html.main_text(p) for p, in table]
+        m.setattr(html, "fused_ratios", lambda length, *_: np.ones(len(length)))
+        assert sum(a != html.main_text(p) for a, (p,) in zip(before, table, strict=True)) > len(table) / 2
+        m.undo()
+        m.setattr(html, "WORDS", frozenset())
+        assert sum(a != html.main_text(p) for a, (p,) in zip(before, table, strict=True)) <= len(table) / 50
+
+
+class Tree(HTMLParser):
+    """An independent reading of well-formed pages: blocks with their ancestors."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.stack, self.found, self.links, self.n = [], [], 0, 0
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            self.links += 1
+        else:
+            self.n += 1
+            self.stack.append((tag, dict(attrs).get("class") or "", self.n))
+
+    def handle_endtag(self, tag):
+        if tag == "a":
+            self.links -= 1
+        else:
+            self.stack.pop()
+
+    def handle_data(self, data):
+        self.found.append((tuple(self.stack), data, len(data) if self.links else 0))
+
+
+def brute(page, share=0.25):
+    """Definitions of the module's docstring, path by path and element by element, on pages whose text lies in leaves."""
+    words = {"ad", "notice", "related", "sidebar"}
+    blocks = [b for b in Tree(page).found if not any(t in ("nav", "footer", "aside") for t, *_ in b[0])]
+    named = lambda e: e[1] in words and e[0] != "article"
+    path = lambda b: [(e[0], e[1] if e[0] in html.NAMES else "", named(e)) for e in b[0]]
+    under = lambda b, tags: any(t in tags for t, *_ in b[0])
+    n = len(blocks)
+    if all(k == len(t) for _, t, k in blocks):
+        return ""
+    ratio = []
+    for b in blocks:
+        own = [x for x in blocks if path(x) == path(b)]
+        ratio.append((sum(len(t) - k for _, t, k in own) / len(own), sum(len(re.findall("[.,]", t)) for _, t, _ in own) / len(own)))
+    score = []
+    for i, b in enumerate(blocks):
+        w = [math.exp(-0.5 * d * d) for d in range(-2, 3)]
+        length, marks = (sum(w[d + 2] * ratio[min(max(i + d, 0), n - 1)][k] for d in range(-2, 3)) / sum(w) for k in (0, 1))
+        inside = under(b, ("article", "main"))
+        score.append((length + (40 if inside else 0)) * (1 + marks) * (4 if inside else 1) * (0.2 if any(map(named, b[0])) else 1) * (b[2] < len(b[1])))
+    content = [any(score[j] >= share * max(score) for j in range(n) if path(blocks[j]) == path(b)) and b[2] < len(b[1]) for b in blocks]
+    marked = [any(map(named, b[0])) for b in blocks]
+    needed = [c or b[0][-1][0] in ("p", "h1", "h2") and not m and 2 * b[2] < len(b[1]) for b, c, m in zip(blocks, content, marked, strict=True)]
+    holders = [e for b in blocks for e in b[0] if e[0] in ("article", "main") and all(e in x[0] for x, c in zip(blocks, content, strict=True) if c)]
+    chains = [b[0] for b, k in zip(blocks, needed, strict=True) if k]
+    common = []
+    for column in zip(*chains):  # noqa: B905
+        if len(set(column)) > 1 or common and common[-1][0] in ("article", "main") or column[0][0] in html.ENDS:
+            break
+        common.append(column[0])
+    top = max(holders, key=lambda e: e[2]) if holders else common[-1] if common else None
+    plain = [a * (1 + m) for a, m in ratio]
+    least = min(100.0, share * max(plain))
+    out = []
+    for b in blocks:
+        if top is not None and top not in b[0]:
+            continue
+        for e in b[0][b[0].index(top) + 1 if top is not None else 0 :]:
+            if named(e):
+                held = [j for j in range(n) if e in blocks[j][0]]
+                if not any(blocks[j][0][-1][0] in ("h1", "h2") for j in held) and (
+                        2 * sum(blocks[j][2] for j in held) >= sum(len(blocks[j][1]) for j in held) or not any(plain[j] >= least for j in held)):
+                    break
+        else:
+            out.append(b[1])
+    return "\n".join(out)
+
+
+def test_against_brute_force():
+    rng = random.Random(5)
+    say = lambda n: " ".join(rng.choices(["alpha,", "beta", "gamma.", "delta"], k=n))
+
+    def leaf():
+        tag = rng.choice(["p", "p", "p", "div", "h1", "h2", "blockquote"])
+        text = say(rng.choice([1, 2, 5, 12, 40, 150]))
+        return f"<{tag}>{text}</{tag}>" if rng.random() > 0.15 else f"<{tag}><a href=x>{text}</a></{tag}>"
+
+    def part(depth):
+        name = rng.choice(["", "", " class=ad", " class=related", " class=notice", " class=entry"])
+        tag = rng.choice(["div", "div", "section", "article" if depth < 2 else "div"])
+        return f"<{tag}{name}>{''.join(part(depth + 1) if rng.random() < 0.35 and depth < 4 else leaf() for _ in range(rng.randint(1, 5)))}</{tag}>"
+
+    for _ in range(400):
+        page = f"<body>{''.join(rng.choice([part(0), leaf(), '<nav><p>Menu</p></nav>', '<footer><p>Foot, end.</p></footer>']) for _ in range(rng.randint(1, 4)))}</body>"
+        assert html.main_text(page) == brute(page), page
+
+
+def test_time_and_memory_are_linear_in_depth():
+    def seconds(page):
+        at = time.process_time()
+        html.main_text(page)
+        return time.process_time() - at
+
+    for make in (lambda n: "<div>" * n + LONG, lambda n: "<b>" * n + "<div></div>" * n + LONG, lambda n: "<div>" * n + "<li>x</li>" * n, lambda n: "<div><p>a" * n):
+        seconds(make(1000))
+        assert seconds(make(40_000)) < 12 * max(0.05, seconds(make(5_000)))
