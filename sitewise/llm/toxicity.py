@@ -1,22 +1,25 @@
 """Toxicity by compression distance with two zstandard dictionaries.
 
-Training (driver; at most ``per_class`` whole labelled texts of each class, the
-first by hash of doc_id, a documented bound): byte sequences that one class
+Training (driver): byte sequences that one class
 repeats and the other hardly has become the content of that class's dictionary,
 commonest last. A text is cut into overlapping windows; each is compressed with
-both dictionaries, and its gain is the difference of the two lengths. Windows
+both dictionaries, and its gain is the difference of the two lengths: positive where the toxic
+dictionary saves bytes, negative where the ordinary one does. Windows
 start with a constant primer that both dictionaries end with, so that zstandard
 always finds the window compressible and a single match shows in its length;
-they are short enough that literals stay raw. A text's gains (their sum against
-the number of windows, their largest, the share of clear ones) go through a
-logistic calibration fitted on the same training texts.
+they are short enough that literals stay raw. A text's gains (the sums of the positive
+and of the negative ones against the number of windows, the largest, the shares of clear ones of either sign)
+go through a logistic calibration fitted on the same training texts.
+
+Bound of the fit (parameters of :func:`train`): per class the first ``per_class`` different labelled
+texts by hash of doc_id, as far as ``class_bytes`` allow; larger ones are passed over, none is cut.
 
 Scoring is one map over whole texts. Neither labels nor lang, source or doc_id
 enter a score.
 
 Edge cases: a null or empty text is one empty window and gets the score of no
 gain. doc_ids with several labels are toxic if any label is; labels other than 0
-and 1 are ignored. Without training texts of both classes every score is 0 (or 1
+and 1 are ignored; rows with equal doc_id and text are one training text. Without training texts of both classes every score is 0 (or 1
 if there are only toxic ones). A null doc_id is not held out. Extra columns are
 not read by ``op4`` and pass through ``stage``.
 """
@@ -41,6 +44,8 @@ GRAM = 5
 WINDOW, OVERLAP = 62, 14
 PRIMER = b"~0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ~"
 PER_CLASS = 3000
+CLASS_BYTES = 64 << 20
+CLEAR = 3  # bytes that a match of at least six saves
 
 
 @dataclass(frozen=True)
@@ -80,7 +85,7 @@ def _evidence(count: np.ndarray, seen: np.ndarray, own: int, other: int) -> np.n
 def content(own: list[np.ndarray], other: list[np.ndarray], texts: list[bytes], share: float = 0.1, ratio: float = 6, evidence: float = 20, size: int = 112_640) -> bytes:
     """Dictionary content: sequences made of grams that are ``ratio`` times as frequent among ``own`` texts
     as among ``other`` ones, with ``evidence`` of that whatever the commonest such gram (or, among few texts,
-    in ``share`` of its texts); commonest last. ``size`` is zstandard's own for dictionaries."""
+    with 0.6 times it in ``share`` of its texts); commonest last. ``size`` is zstandard's own for dictionaries."""
     grams, count = np.unique(np.concatenate(own), return_counts=True)
     grams, count = grams[count >= 3], count[count >= 3]
     seen = np.zeros(len(grams), np.int64)
@@ -93,8 +98,11 @@ def content(own: list[np.ndarray], other: list[np.ndarray], texts: list[bytes],
     grams, count, seen = grams[rare], count[rare], seen[rare]
     if not len(grams):
         return b""
-    often = (_evidence(count, seen, len(own), len(other)) >= evidence) | (count >= share * count.max())
+    ratio_of = _evidence(count, seen, len(own), len(other))
+    often = (ratio_of >= evidence) | (count >= share * count.max()) & (ratio_of >= 0.6 * evidence)
     grams, count = grams[often], count[often]
+    if not len(grams):
+        return b""
     found: Counter[bytes] = Counter()
     for text in texts:
         found.update(set(_pieces(text, grams, count)))
@@ -172,9 +180,9 @@ def features(texts: Iterator[bytes | None], model: Model) -> Iterator[np.ndarray
 def _features(g: np.ndarray, ends: list[int]) -> Iterator[np.ndarray]:
     at = 0
     for end in ends:
-        own = np.maximum(g[at:end], 0)
-        n = end - at
-        yield np.array([1.0, own.sum() / np.sqrt(n), own.max(), (own >= 3).sum() / np.sqrt(n), np.log(n)])
+        own, n = g[at:end], end - at
+        toxic, ordinary = np.maximum(own, 0), np.maximum(-own, 0)
+        yield np.array([1.0, toxic.sum() / np.sqrt(n), toxic.max(), (toxic >= CLEAR).sum() / np.sqrt(n), ordinary.sum() / np.sqrt(n), (ordinary >= CLEAR).sum() / np.sqrt(n), np.log(n)])
         at = end
 
 
@@ -185,7 +193,12 @@ def fit(toxic: list[bytes], ordinary: list[bytes]) -> Model:
     a, b = _distinct(toxic), _distinct(ordinary)
     one, two = _no_copies(a), _no_copies(b)  # a passage that copies repeat says little about its class
     own, other = [a[i] for i in one], [b[i] for i in two]
-    model = Model(content(own, other, [toxic[i] for i in one]), content(other, own, [ordinary[i] for i in two]), ())
+    return calibrated(toxic, ordinary, content(own, other, [toxic[i] for i in one]), content(other, own, [ordinary[i] for i in two]))
+
+
+def calibrated(toxic: list[bytes], ordinary: list[bytes], toxic_content: bytes, ordinary_content: bytes) -> Model:
+    """The model of two dictionaries, its weights fitted on lower-case texts of both classes."""
+    model = Model(toxic_content, ordinary_content, ())
     x = np.stack(list(features(iter(toxic + ordinary), model)))
     y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
     w = np.zeros(x.shape[1])
@@ -202,16 +215,27 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES) -> Model:
     """Fits on labelled rows that are not held out."""
     marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    texts = []
+    first = [marked.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for kind in (1, 0)]
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(first[0].unionByName(first[1])), "doc_id")  # at most 2 * per_class ids
+    rows = rows.select("toxic", "doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    slim = rows.groupBy("toxic", "doc_id", "text_hash").agg(F.max(F.octet_length("text")).alias("bytes"))
+    chosen = []
     for kind in (1, 0):
-        some = marked.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select("doc_id")
-        rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where("text IS NOT NULL").join(F.broadcast(some), "doc_id")  # at most per_class ids
-        column = rows.orderBy("doc_id", "text").select("text").toArrow().column(0)
-        texts.append([v.as_py() for v in column])
-    return fit(*texts)
+        left = class_bytes
+        for r in slim.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash").limit(per_class).collect():
+            if r.bytes <= left:
+                left -= r.bytes
+                chosen.append((kind, r.doc_id, r.text_hash))
+    if not chosen:
+        return fit([], [])
+    wanted = docs.sparkSession.createDataFrame(chosen, "toxic int, doc_id long, text_hash long")
+    found = rows.withColumn("toxic", F.col("toxic").cast("int")).join(F.broadcast(wanted), ["toxic", "doc_id", "text_hash"])  # at most 2 * per_class rows
+    texts = found.groupBy("toxic", "doc_id", "text_hash").agg(F.min(F.col("text").cast("binary")).alias("text")).orderBy("doc_id", "text").select("toxic", "text").toArrow()
+    kinds, column = texts.column(0).to_pylist(), texts.column(1)
+    return fit(*[[v.as_py() for k, v in zip(kinds, column, strict=True) if k == kind] for kind in (1, 0)])
 
 
 def score(docs: DataFrame, model: Model, column: str = "toxicity") -> DataFrame:

@@ -84,3 +84,46 @@ def test_rare_terms_beside_a_common_phrase():
     some, none = list(toxicity.features((text(w, v) for w, v in zip(rare, rare[1:])), model)), list(toxicity.features((text() for _ in rare), model))  # noqa: B905
     score = lambda f: 1 / (1 + np.exp(-np.array(f) @ np.array(model.weights)))
     assert (score(some) >= 0.7).mean() > 0.95 and (score(none) < 0.7).mean() > 0.97
+
+
+def auc(model, rows):
+    x = np.array(list(toxicity.features((t for t, _ in rows), model))) @ np.array(model.weights)
+    return np.mean([np.sign(a - b) / 2 + 0.5 for a, (_, i) in zip(x, rows, strict=True) if i for b, (_, j) in zip(x, rows, strict=True) if not j])
+
+
+def test_both_dictionaries_matter():
+    """Ordinary texts quote insults, with thanks; emptying either dictionary and calibrating again loses accuracy."""
+    rng = random.Random(4)
+    syllables = ["the", "an", "er", "ti", "on", "re", "ing", "ha", "wh", "ed", "is", "ou"]
+    thanks = ["kindly yours", "much obliged", "with thanks", "best wishes"]
+
+    def text(bad):
+        words = ["".join(rng.choices(syllables, k=rng.randint(1, 3))) for _ in range(rng.randint(20, 90))]
+        for _ in range(2):
+            if bad or rng.random() < 0.11:
+                words.insert(rng.randrange(len(words)), rng.choice(INSULTS))
+            if not bad and rng.random() < 0.7 or bad and rng.random() < 0.03:
+                words.insert(rng.randrange(len(words)), rng.choice(thanks))
+        return " ".join(words).encode()
+
+    toxic, ordinary = [text(True) for _ in range(400)], [text(False) for _ in range(900)]
+    held = [(text(i % 3 == 0), i % 3 == 0) for i in range(900)]
+    model = toxicity.fit(toxic, ordinary)
+    assert any(w.encode() in model.toxic for w in INSULTS) and any(w in model.ordinary for w in (b"kindly", b"oblig", b"thanks", b"wishes"))
+    whole = auc(model, held)
+    assert whole > 0.85
+    for contents in ((model.toxic, b""), (b"", model.ordinary)):
+        assert 1 - auc(toxicity.calibrated(toxic, ordinary, *contents), held) > 3 * (1 - whole)
+
+
+def test_the_fit_is_bounded_in_rows_and_bytes(spark, documents, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit", lambda toxic, ordinary: seen.update(n=(len(toxic), len(ordinary)), size=sum(map(len, toxic + ordinary))))
+    texts = [f"{'x' * (i * 100)} {i}" for i in range(60)]
+    docs = documents(texts + [texts[8]] * 50 + ["other"] * 3, ids=[*range(60), *[8] * 53])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    toxicity.train(docs, labels, per_class=10, class_bytes=20_000)
+    assert 0 < seen["n"][0] <= 10 and 0 < seen["n"][1] <= 10 and 0 < seen["size"] <= 40_000
+    free = sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(60))
+    toxicity.train(docs, labels)
+    assert sum(seen["n"]) == free + (zlib.crc32(b"8") % 3 != 1)  # repeated rows once, a second text of an id too
