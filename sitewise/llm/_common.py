@@ -20,16 +20,32 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; set here only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; a temporary one where it is unset and Spark runs in
+    one process. Elsewhere that would give tables that other machines cannot see: RuntimeError."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='sitewise-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def _path(spark: SparkSession, name: str):
+    """A Hadoop path and its file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/sitewise/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's folder, which the driver deletes when it ends."""
+    folder = f"{scratch_root(spark)}/sitewise/{spark.sparkContext.applicationId}"
+    path, system = _path(spark, folder)
+    if not system.exists(path):
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
@@ -46,12 +62,9 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
 def drop_table(df: DataFrame) -> None:
     """Deletes a table made by :func:`table` that no pending plan reads any more."""
-    spark = df.sparkSession
-    path_class = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = path_class(folder)
-        path.getFileSystem(conf).delete(path, True)
+        path, system = _path(df.sparkSession, folder)
+        system.delete(path, True)
 
 
 def key_extreme(rows: DataFrame, key: list[str], value: str, salt: Column, extreme=F.max, salts: int = 64) -> DataFrame:

@@ -45,8 +45,30 @@ def test_empty_table(spark):
 def test_filters_too_small_only_cost_work(spark):
     rows = [(i, f"{LONG}\n{i % 7} another line that is long enough to count\nline number {i} is its own and long enough to count") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    tiny = linededup.dedup_lines(docs, twice_bits=1 << 15)
-    assert sorted((r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256(r.text.encode()).hexdigest()) for r in tiny.collect()) == sorted(brute(rows))
+    for how in ({"twice_bits": 1 << 15}, {"few": 0}, {"twice_bits": 1 << 10}):
+        got = linededup.dedup_lines(docs, **how)
+        assert sorted((r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256(r.text.encode()).hexdigest()) for r in got.collect()) == sorted(brute(rows))
+
+
+def test_filters_by_shuffle_give_the_same(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(None, f"{LONG}\n{i}") for i in range(7)] + [(3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for how in ({}, {"few": 0}):
+        got = linededup.dedup_lines(docs, **how)
+        assert sorted(((r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256(r.text.encode()).hexdigest()) for r in got.collect()), key=repr) == brute(rows)
+
+
+def test_slices_grow_in_number_only():
+    small, large = linededup.Layout.of(10**6), linededup.Layout.of(3 * 10**12)
+    assert large.once <= 2 * linededup.SLICE_BITS and large.twice <= linededup.SLICE_BITS and 2**large.power * large.once >= 16 * 3 * 10**12
+    assert small.once <= linededup.SLICE_BITS
+
+
+def test_a_very_long_text(spark):
+    text = "\n".join(f"line number {i} of one very long text, long enough to count" for i in range(30_000))
+    rows = [(1, text), (2, text + f"\n{LONG}"), *[(i, f"{LONG}\nline number 7 of one very long text, long enough to count") for i in range(10, 14)]]
+    assert found(spark, rows) == brute(rows)
 
 
 @settings(max_examples=200, deadline=None)
