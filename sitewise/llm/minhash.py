@@ -5,15 +5,17 @@
    signature (the low byte of every minimum).
 2. Documents with equal sets fold into the one with the smallest doc_id.
 3. Per band key, members get an edge to the smallest, first within each batch,
-   so that a key held by a third of all documents sends one row per batch. The
-   components of this candidate forest (large-star/small-star) hold every pair
-   that shares a band.
-4. Each candidate component is searched exactly: in blocks of ``block``
+   so that a key held by a third of all documents sends one row per batch. These
+   edges, a number linear in the documents, are confirmed on full sets; the confirmed ones'
+   components (large-star/small-star) settle most keys.
+4. A key is open if it has three members or more and they lie in several components: only there
+   can be links that no edge has tested. Open keys with the same members count once. Their documents
+   are searched exactly, by key or, where that is less work, by components of open keys: in blocks of ``block``
    documents, pairs of blocks meet in one streaming task each. Signatures rule
-   out pairs far under the threshold; the others are confirmed on their full
+   out pairs far under the threshold, as do components already joined; the others are confirmed on their full
    sets, all pairs of a block at once. Only a spanning forest of the confirmed
    links leaves a task, so a large group of near copies gives few rows.
-5. The confirmed links' components are the result.
+5. The components of all confirmed links are the result.
 
 With 40 bands of 8, a pair at exactly 0.85 is missed with probability 3e-6;
 signatures are used with a margin of over six standard deviations.
@@ -91,7 +93,7 @@ def profiles(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
 
 
 def _forest(groups: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Confirmed links of each run of equal (component, i, j), as a spanning forest."""
+    """Confirmed links of each run of equal (task, i, j), as a spanning forest."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def rows():
@@ -102,14 +104,15 @@ def _forest(groups: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
                 if own != key:
                     yield from _links(held, percent)
                     key, held = own, []
-                held.append((side, doc, batch.column(5)[n].as_py(), batch.column(6)[n].as_py()))
+                held.append((side, doc, batch.column(6)[n].as_py(), batch.column(7)[n].as_py(), batch.column(5)[n].as_py()))
         yield from _links(held, percent)
 
     yield from emit(rows(), schema)
 
 
-def _links(members: list[tuple[int, int, bytes, bytes]], percent: int) -> Iterator[tuple[int, int]]:
-    """members: (side, doc, signature, set). Pairs lie within side 0, or across 0 and 1 if both are there."""
+def _links(members: list[tuple[int, int, bytes, bytes, int]], percent: int) -> Iterator[tuple[int, int]]:
+    """members: (side, doc, signature, set, part). Pairs lie within side 0, or across 0 and 1 if both are there;
+    those of one part (a component already joined) are passed over."""
     if len(members) < 2:
         return
     members.sort(key=lambda m: m[:2])
@@ -125,6 +128,8 @@ def _links(members: list[tuple[int, int, bytes, bytes]], percent: int) -> Iterat
     floor = percent / 100 - 6.5 * np.sqrt(percent / 100 * (1 - percent / 100) / width)
     for k, i in enumerate(left):
         near[k] = (signatures[right] == signatures[i]).sum(axis=1) >= floor * width
+    part = np.array([m[4] for m in members])
+    near &= part[left][:, None] != part[right][None, :]
     near &= 100 * np.minimum(sizes[left][:, None], sizes[right][None, :]) >= percent * np.maximum(sizes[left][:, None], sizes[right][None, :])
     if first == n:
         near = np.triu(near, 1)
@@ -224,38 +229,71 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u[own]), pa.array(v[own])], names=["u", "v"])
 
 
-def candidate_components(heads: DataFrame) -> DataFrame:
-    """(node, component) of the documents that share a band key with another."""
+def star_edges(heads: DataFrame) -> DataFrame:
+    """(u, v): the documents that share a band key with a smaller one, each with one such, a number linear in the keys."""
     local = heads.select("doc_id", "keys").mapInArrow(_local_stars, "key long, doc long, to long")
-    stars = local.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_stars, "u long, v long")
-    return connected_components(stars)
+    return local.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_stars, "u long, v long").distinct()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("component", pa.int64()), ("own", pa.int32()), ("blocks", pa.int32()), ("doc_id", pa.int64()), ("signature", pa.binary()), ("shingles", pa.binary())])
-
-    def rows():
-        for batch in batches:
-            rest = zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True)
-            for row, s in zip(rest, shingle_hashes(t.as_py() or b"" for t in batch.column(5)), strict=True):
-                yield *row, s.tobytes()
+    for batch in batches:
+        texts = (t.as_py() or b"" for t in batch.column(0))
+        sets = [s.tobytes() for s in shingle_hashes(texts)]
+        yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), *batch.columns[1:]], names=["shingles", *batch.schema.names[1:]])
 
-    yield from emit(rows(), schema, lambda r: len(r[5]))
 
+def confirmed_links(docs: DataFrame, heads: DataFrame, members: DataFrame, percent: int = 85) -> DataFrame:
+    """(u, v): a spanning forest of the links within each task.
 
-def confirmed_links(docs: DataFrame, heads: DataFrame, candidates: DataFrame, percent: int = 85, block: int = BLOCK) -> DataFrame:
-    """(u, v): a spanning forest of the links within each pair of blocks of a candidate component."""
-    sizes = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > block)
-    blocks = table(sizes.select("component", F.ceil(F.col("_size") / block).cast("int").alias("blocks")), "blocks")
-    placed = candidates.join(blocks, "component", "left").select(F.col("node").alias("doc_id"), "component", F.coalesce("blocks", F.lit(1)).alias("blocks"))
-    members = heads.select("doc_id", "text_hash", "signature").join(placed, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    ``members``: (task, i, j, side, doc_id, part); a task (task, i, j) compares the documents of side 0 among
+    themselves or, if there are some of side 1, with those. A text is read and its set made once, whatever number of tasks it is sent to.
+    """
+    place = F.struct("task", "i", "j", "side", "part")
+    sent = members.groupBy("doc_id").agg(F.collect_list(place).alias("at"))  # at most a few per band, and one per block of its tasks
+    wanted = heads.select("doc_id", "text_hash", "signature").join(sent, "doc_id")
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    sets = members.join(texts, ["doc_id", "text_hash"]).select("component", "own", "blocks", "doc_id", "signature", "text")
-    sets = sets.mapInArrow(_sets, "component long, own int, blocks int, doc_id long, signature binary, shingles binary")
-    spread = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "doc_id", "signature", "shingles")
-    return spread.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(lambda it: _forest(it, percent), "u long, v long")
+    met = wanted.join(texts, ["doc_id", "text_hash"]).select("text", "doc_id", "signature", "at")
+    sets = met.mapInArrow(_sets, "shingles binary, doc_id long, signature binary, at array<struct<task:bigint,i:int,j:int,side:int,part:bigint>>")
+    spread = sets.select(F.explode("at").alias("p"), "doc_id", "signature", "shingles").select("p.task", "p.i", "p.j", "p.side", "doc_id", "p.part", "signature", "shingles")
+    return spread.repartition("task", "i", "j").sortWithinPartitions("task", "i", "j").mapInArrow(lambda it: _forest(it, percent), "u long, v long")
+
+
+def star_tasks(edges: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Tasks that compare each u with blocks of its v."""
+    blocks = edges.groupBy(F.col("u").alias("task")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    own = edges.withColumnRenamed("u", "task").join(blocks, "task").withColumn("i", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    heads = blocks.select("task", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
+    one = heads.select("task", "i", F.col("i").alias("j"), F.lit(0).alias("side"), F.col("task").alias("doc_id"), F.col("task").alias("part"))
+    return one.unionByName(own.select("task", "i", F.col("i").alias("j"), F.lit(1).alias("side"), F.col("v").alias("doc_id"), F.col("v").alias("part")))
+
+
+def block_tasks(groups: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Tasks that compare all documents of each group (task, doc_id, part), a pair of blocks each."""
+    blocks = groups.groupBy("task").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    placed = groups.join(blocks, "task").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return spread.select("task", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "doc_id", "part")
+
+
+def open_groups(heads: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(task, doc_id, part): the documents of open keys, by key or by component of open keys.
+
+    ``nodes``: (node, part) of the documents that share a key with another.
+    """
+    own = heads.select("doc_id", "keys").join(nodes.withColumnRenamed("node", "doc_id"), "doc_id").select("doc_id", "part", F.explode("keys").alias("key"))
+    keys = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high"),
+                                  F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("who")).where("n > 2 AND low <> high")
+    keys = table(keys.groupBy("who", "n").agg(F.min("key").alias("key")).select("key", "n"), "open-keys")  # the same members count once
+    if keys.isEmpty():
+        return own.select(F.col("key").alias("task"), "doc_id", "part").limit(0)
+    own = table(own.join(keys.select("key"), "key"), "open-members")
+    stars = own.groupBy("key").agg(F.min("doc_id").alias("u")).join(own, "key").where("u <> doc_id").select("u", F.col("doc_id").alias("v"))
+    joined = table(connected_components(stars).select(F.col("node").alias("doc_id"), "component"), "open-components")
+    size = joined.groupBy("component").agg(F.count(F.lit(1)).cast("double").alias("size"))
+    work = keys.join(own.groupBy("key").agg(F.min("doc_id").alias("doc_id")), "key").join(joined, "doc_id").groupBy("component").agg(F.sum(F.col("n") * F.col("n").cast("double")).alias("by_key"))
+    by_key = table(size.join(work, "component").select("component", (F.col("by_key") < F.col("size") * F.col("size")).alias("by_key")), "plans")
+    placed = own.join(joined, "doc_id").join(by_key, "component")
+    return placed.select(F.when(F.col("by_key"), F.col("key")).otherwise(F.col("component")).alias("task"), "doc_id", "part").distinct()
 
 
 def near_components(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
@@ -268,8 +306,16 @@ def near_components(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
     folded = table(usable.groupBy("set_digest").agg(F.min("doc_id").alias("head")), "sets")  # copies fold into one
     heads = table(usable.join(folded.select("set_digest", F.col("head").alias("doc_id")), ["set_digest", "doc_id"], "left_semi")
                   .dropDuplicates(["set_digest", "doc_id"]).select("doc_id", "text_hash", "signature", "keys"), "heads")
-    candidates = table(candidate_components(heads), "candidates")
-    parts = connected_components(confirmed_links(docs, heads, candidates, percent, block))
+    if not made.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
+        docs = docs.select("doc_id", "text").dropDuplicates(["doc_id", "text"])  # repeated rows go to their task once
+    edges = table(star_edges(heads), "stars")
+    first = table(confirmed_links(docs, heads, star_tasks(edges, block), percent), "star-links")
+    parts = table(connected_components(first), "star-parts")
+    nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("part"))
+    groups = table(open_groups(heads, nodes), "open")
+    if not groups.isEmpty():
+        more = confirmed_links(docs, heads, block_tasks(groups, block), percent)
+        parts = connected_components(first.unionByName(table(more, "open-links")))
     of_set = folded.join(parts, F.col("head") == F.col("node"), "left").select("set_digest", F.coalesce("component", "head").alias("_component"))
     out = made.join(of_set, "set_digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
