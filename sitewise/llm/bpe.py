@@ -1,23 +1,27 @@
 """Byte-level BPE by longest matches and backtracking, in time linear in the text.
 
-Bytes map to Latin-1 characters so that pyahocorasick finds, for each position
-of a pre-token, the longest vocabulary entry that starts there. The encoder
+Bytes map to Latin-1 characters so that pyahocorasick finds, from any position
+of a pre-token, the longest vocabulary entry that starts there: a first pass gives the
+longest matches one after the other, others are looked up where a step back leads. The encoder
 takes longest matches and steps back to shorter ones while the last two tokens
 cannot stand side by side; positions found to lead nowhere are marked, so each
 is tried once. Whether two tokens can be adjacent is decided by undoing their
 merges in order of rank and is memoised. The result equals rank-order merging.
 
-Caches of pre-tokens and of adjacent pairs are cleared at a fixed size.
+Pre-tokens are cut by the standard library's expressions, with the character classes spelled out as
+ranges; texts with characters beyond U+FFFF go to the slower library that knows the classes.
+The memory of pre-tokens and of adjacent pairs is bounded: when half of it is new, the older half goes.
 
 Edge cases: a null text is empty: no ids, the digests of empty strings. Special
-tokens are ordinary text. Every row is encoded, repeated rows too; other
-columns are not read.
+tokens are ordinary text. Every row is encoded, repeated rows too. ``encode`` keeps other
+columns; its ``ids`` replace a column of that name. ``digests`` reads doc_id and text only.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -33,12 +37,30 @@ from ._common import emit
 
 #: White space as Unicode's White_Space property; the library's \s has more (U+001C to U+001F).
 PRETOKEN = public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]").replace(r"\s", r"\p{White_Space}")
+BEYOND = re.compile("[\U00010000-\U0010ffff]")
+
+
+def _ranges(kind: str) -> str:
+    """The characters up to U+FFFF of a class, as ranges."""
+    every = "".join(chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000)
+    return "".join(f"\\u{ord(m[0][0]):04x}-\\u{ord(m[0][-1]):04x}" for m in regex.finditer(f"{kind}+", every))
+
+
+@lru_cache(1)
+def finders():
+    """findall of the pattern, for texts up to U+FFFF and for all."""
+    fast = PRETOKEN
+    for kind in (r"\p{White_Space}", r"\p{L}", r"\p{N}"):
+        own = _ranges(kind)
+        fast = re.sub(r"\[[^]]*\]|" + re.escape(kind), lambda m, kind=kind, own=own: m[0].replace(kind, own) if m[0][0] == "[" else f"[{own}]", fast)
+    fast = fast.replace(r"\S", f"[^{_ranges(chr(92) + 'p{White_Space}')}]")
+    return re.compile(fast).findall, regex.compile(PRETOKEN.replace(r"\S", r"\P{White_Space}")).findall
 
 
 class ByteBPE:
     """Encoder for a rank file (lines of base64 token and rank)."""
 
-    def __init__(self, path: str, cached: int = 200_000) -> None:
+    def __init__(self, path: str, cached: int = 400_000) -> None:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.tokens = dict(map(reversed, self.ranks.items()))
@@ -50,12 +72,15 @@ class ByteBPE:
         for token, rank in self.ranks.items():
             self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
         self.automaton.make_automaton()
-        self.shorter = {r: self._prefix(t) for t, r in self.ranks.items()}
+        top = max(self.tokens) + 1
+        self.size = [len(self.tokens.get(i, b"")) for i in range(top)]
+        prefix = {r: self._prefix(t) for t, r in self.ranks.items()}
+        self.shorter = [prefix.get(i) for i in range(top)]
         for rank in sorted(self.tokens):
             self._learn(rank)
         self.adjacent.clear()
-        self.cached, self.pieces = cached, _Pieces(self)
-        self.find = regex.compile(PRETOKEN).findall
+        self.pieces = _Pieces(self, cached)
+        self.short, self.any = finders()
 
     def _prefix(self, token: bytes) -> int | None:
         """The longest proper prefix that is a token."""
@@ -101,35 +126,40 @@ class ByteBPE:
         raw = piece.encode("utf-8")
         if (whole := self.ranks.get(raw)) is not None:
             return (whole,)
-        longest: list[int] = [-1] * len(raw)
-        size = [0] * len(raw)
-        for end, (rank, n) in self.automaton.iter(raw.decode("latin-1")):
-            at = end - n + 1
-            if n > size[at]:
-                longest[at], size[at] = rank, n
-        open_at = [True] * (len(raw) + 1)
+        said = raw.decode("latin-1")
+        matches, size, shorter, adjacent = self.automaton.iter_long, self.size, self.shorter, self.adjacent
+        longest = {end - n + 1: rank for end, (rank, n) in matches(said)}
+        closed = bytearray(len(raw) + 1)  # positions from which no tokens reach the end
         out: list[int] = []
-        pos, token = 0, longest[0]
-        while pos < len(raw):
+        pos, last, token = 0, -1, longest[0]
+        while True:
             while token is not None:
-                end = pos + len(self.tokens[token])
-                if open_at[end] and (not out or self.fits(out[-1], token)):
-                    break
-                token = self.shorter[token]
-            if token is None:
-                open_at[pos] = False
-                token = out.pop()
-                pos -= len(self.tokens[token])
-                token = self.shorter[token]
+                end = pos + size[token]
+                if not closed[end]:
+                    fits = last < 0 or adjacent.get((last, token))
+                    if fits is None:
+                        fits = self.fits(last, token)
+                    if fits:
+                        break
+                token = shorter[token]
             else:
-                out.append(token)
-                pos = end
-                token = longest[pos] if pos < len(raw) else None
-        return tuple(out)
+                closed[pos] = 1
+                token = out.pop()
+                pos -= size[token]
+                last = out[-1] if out else -1
+                token = shorter[token]
+                continue
+            if end == len(raw):
+                return (*out, token)
+            out.append(token)
+            pos, last, token = end, token, longest.get(end)
+            if token is None:
+                token = longest[pos] = next(matches(said, pos))[1][0]
+
+    def find(self, text: str) -> list[str]:
+        return (self.any if BEYOND.search(text) else self.short)(text)
 
     def encode(self, text: str) -> list[int]:
-        if len(self.pieces) > self.cached:
-            self.pieces.clear()
         return list(chain.from_iterable(map(self.pieces.__getitem__, self.find(text))))
 
     def decode(self, ids: list[int]) -> bytes:
@@ -137,12 +167,19 @@ class ByteBPE:
 
 
 class _Pieces(dict):
-    def __init__(self, encoder: ByteBPE) -> None:
-        self.encoder = encoder
+    """Ids of pre-tokens, at most ``cached``: those of this half and, until it is full, of the one before."""
+
+    def __init__(self, encoder: ByteBPE, cached: int) -> None:
+        self.encoder, self.half, self.before = encoder, cached // 2, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.encoder.encode_piece(piece)
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = self.encoder.encode_piece(piece)
         if len(piece) <= 64:
+            if len(self) >= self.half:
+                self.before = dict(self)
+                self.clear()
             self[piece] = ids
         return ids
 
@@ -155,6 +192,8 @@ def encoder(path: str) -> ByteBPE:
 
 def encode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ``ids`` (array<int>) in place of the text column."""
+    if text_col != "ids":
+        docs = docs.drop("ids")
     schema = docs.select(*[c for c in docs.columns if c != text_col]).withColumn("ids", F.array(F.lit(0))).schema
     at = docs.columns.index(text_col)
 

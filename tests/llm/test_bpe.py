@@ -47,3 +47,22 @@ def test_query(spark, documents, reference):
         assert rows[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     assert bpe.op9(spark, documents([])).count() == 0
     assert [r.ids for r in bpe.encode(documents(["a b"]), PATH).collect()] == [reference.encode_ordinary("a b")]
+
+
+def test_both_finders_split_alike(reference):
+    own = bpe.encoder(PATH)
+    text = "It's 12½ naïve—日本語 words,\u001c\u0085 　 and\t\n more ..  'LL we'll"
+    assert own.short(text) == own.any(text) and own.encode(text + "🙂") == reference.encode_ordinary(text + "🙂")
+
+
+def test_small_caches_change_nothing(reference):
+    own = bpe.ByteBPE(PATH, cached=20)
+    text = " ".join(f"thandble{i % 37}ing{i}" for i in range(500))
+    assert own.encode(text) == reference.encode_ordinary(text) and len(own.pieces) + len(own.pieces.before) <= 20
+
+
+def test_extra_columns_with_clashing_names(spark, documents):
+    docs = documents(["a b", None], ids=[1, 2]).withColumnRenamed("lang", "ids").withColumnRenamed("source", "n_tokens")
+    got = bpe.encode(docs, PATH)
+    assert got.columns == ["doc_id", "n_tokens", "n_chars", "ids"] and [len(r.ids) for r in got.orderBy("doc_id").collect()] == [2, 0]
+    assert bpe.op9(spark, docs).count() == 2
