@@ -10,12 +10,12 @@ folder together with the stored norm of its reconstruction, in index blocks.
 Queries are taken in blocks of ``query_block``: a block of fixed size is
 broadcast, each index block scores it by lookup tables (entry . query, summed
 over the code; for the l2 metric less half the stored norm) and reranks the
-best ``rerank`` per query exactly, in double precision, on the original vectors. Each index block sends its ``k`` best per
-query, and a query's best of all blocks are merged by key.
+best ``rerank`` per query exactly, in double precision, on the original vectors. A task keeps each query's
+``k`` best over all its index blocks and sends those once; a query's best of all tasks are merged by key.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components,
-and rows with a null vec_id, take no part, nor do vectors that are not of the
-commonest length (ties: the longest). Rows that share a vec_id are candidates
+and rows with a null vec_id, take no part. An inner product needs equal lengths: vectors of each length are
+an index of their own, and a query meets those of its length. Rows that share a vec_id are candidates
 each; a query row meets every row but those of its own vec_id, and answers once
 per vec_id (the row whose vector is smallest, componentwise). Equal scores go to
 the smaller vec_id; equal vectors have equal codes, so ties are kept apart by
@@ -38,11 +38,9 @@ ENTRIES = 256
 
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, v array<double>) of the rows that take part."""
-    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where(
+    return vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where(
         F.col("vec_id").isNotNull() & F.col("v").isNotNull()
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
-    lengths = v.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    return v.where(F.size("v") == (lengths[0]["n"] if lengths else 0))
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -140,44 +138,58 @@ def build(vectors: DataFrame, books: int = 8, beam: int = 4, sample: int = 16_38
 
 
 def _score(queries, codebooks, k: int, rerank: int, metric: str):
-    """Per index block, the k best exact scores of each query."""
+    """The k best exact scores of each query over all index blocks of a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q_ids, q = queries.value
         tables = np.einsum("qd,med->qme", q.astype(np.float32), codebooks.value, optimize=True)
+        best_ids, best = np.full((len(q), k), np.iinfo(np.int64).max), np.full((len(q), k), -np.inf)
+        some = False
         for batch in batches:
-            for ids_, x_, codes_, norms_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = np.frombuffer(ids_, np.int64)
-                order = np.argsort(ids, kind="stable")
-                x = np.frombuffer(x_, np.float64).reshape(len(ids), -1)[order]
-                codes = np.frombuffer(codes_, np.uint8).reshape(len(ids), -1)[order]
-                ids = ids[order]
-                half = np.frombuffer(norms_, np.float32)[order] / 2 if metric == "l2" else None
-                out = [[], [], []]
-                for i in range(len(q)):
-                    approx = tables[i][0][codes[:, 0]]
-                    for m in range(1, codes.shape[1]):
-                        approx = approx + tables[i][m][codes[:, m]]
-                    if half is not None:
-                        approx = approx - half
-                    approx[ids == q_ids[i]] = -np.inf
-                    n = min(rerank, len(ids))
-                    if n < len(ids):
-                        bound = np.partition(approx, len(ids) - n)[len(ids) - n]
-                        over = np.flatnonzero(approx > bound)
-                        short = np.concatenate([over, np.flatnonzero(approx == bound)[: n - len(over)]])  # ids ascend: ties to the smaller
-                    else:
-                        short = np.arange(len(ids))
-                    short = short[ids[short] != q_ids[i]]
-                    exact = inner(x[short], q[i]) if half is None else -((x[short] - q[i]) ** 2).sum(1)
-                    best = np.lexsort((ids[short], -exact))[:k]
-                    out[0].append(np.full(len(best), q_ids[i]))
-                    out[1].append(ids[short][best])
-                    out[2].append(exact[best])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query_id", "vec_id", "score"])
+            for block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids, scores = _best(block, q_ids, q, tables, k, rerank, metric)
+                ids, scores = np.concatenate([best_ids, ids], 1), np.concatenate([best, scores], 1)
+                order = np.lexsort((ids, -scores))[:, :k]
+                best_ids, best, some = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1), True
+        if some:
+            own, place = np.nonzero(best > -np.inf)
+            for at in range(0, len(own), 65_536):
+                i, j = own[at : at + 65_536], place[at : at + 65_536]
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(best_ids[i, j]), pa.array(best[i, j])], names=["query_id", "vec_id", "score"])
 
     return run
 
 
+def _best(block: tuple, q_ids: np.ndarray, q: np.ndarray, tables: np.ndarray, k: int, rerank: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and exact scores (queries, k) of the best of one index block; -infinity where it has no more."""
+    ids_, x_, codes_, norms_ = block
+    ids = np.frombuffer(ids_, np.int64)
+    order = np.argsort(ids, kind="stable")
+    x = np.frombuffer(x_, np.float64).reshape(len(ids), -1)[order]
+    codes = np.frombuffer(codes_, np.uint8).reshape(len(ids), -1)[order]
+    ids = ids[order]
+    half = np.frombuffer(norms_, np.float32)[order] / 2 if metric == "l2" else None
+    out_ids, out = np.full((len(q), k), np.iinfo(np.int64).max), np.full((len(q), k), -np.inf)
+    for i in range(len(q)):
+        approx = tables[i][0][codes[:, 0]]
+        for m in range(1, codes.shape[1]):
+            approx = approx + tables[i][m][codes[:, m]]
+        if half is not None:
+            approx = approx - half
+        approx[ids == q_ids[i]] = -np.inf
+        n = min(rerank, len(ids))
+        if n < len(ids):
+            bound = np.partition(approx, len(ids) - n)[len(ids) - n]
+            over = np.flatnonzero(approx > bound)
+            short = np.concatenate([over, np.flatnonzero(approx == bound)[: n - len(over)]])  # ids ascend: ties to the smaller
+        else:
+            short = np.arange(len(ids))
+        short = short[ids[short] != q_ids[i]]
+        exact = inner(x[short], q[i]) if half is None else -((x[short] - q[i]) ** 2).sum(1)
+        first = np.lexsort((ids[short], -exact))[:k]
+        out_ids[i, : len(first)], out[i, : len(first)] = ids[short][first], exact[first]
+    return out_ids, out
+
+
 def inner(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Inner products in double precision, summed component by component in order."""
     total = np.zeros(len(x))
@@ -212,5 +224,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = 40
 
 def op7(spark: SparkSession, embeddings: DataFrame) -> DataFrame:
     v = table(usable(embeddings), "vectors")
-    return search(v, v.where("vec_id % 20 = 0"))
-
+    lengths = [r[0] for r in v.select(F.size("v")).distinct().collect()]  # usually one
+    found = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for n in sorted(lengths):
+        own = v.where(F.size("v") == n)
+        found = found.unionByName(search(own, own.where("vec_id % 20 = 0")))
+    return found

@@ -55,3 +55,45 @@ def test_encoding_improves_with_the_beam():
     books = ann.train(x, 3, 2)
     error = [((x - sum(books[m][c[:, m]] for m in range(3))) ** 2).sum() for c in (ann.encode(x, books, b) for b in (1, 8))]
     assert error[1] <= error[0]
+
+
+def test_every_length_is_searched(spark):
+    x = [[1, 0], [0, 1], [2, 1], [1, 2, 3], [3, 2, 1], [0, 0, 1]]
+    got = {(r.query_id, r.rank, r.vec_id, r.score) for r in ann.op7(spark, table(spark, x, [0, 1, 2, 20, 21, 22])).collect()}
+    assert got == {(0, 1, 2, 2.0), (0, 2, 1, 0.0), (20, 1, 21, 10.0), (20, 2, 22, 3.0)}
+
+
+def test_blocks_of_queries_and_of_the_index(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(-3, 4, size=(700, 6))
+    x[~x.any(axis=1)] = 1
+    ids = np.arange(700)
+    v = ann.usable(table(spark, x)).repartition(3)
+    some = ann.search(v, v.where("vec_id % 20 = 0"), query_block=10, block=64, rerank=700)
+    got = {}
+    for r in some.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == brute(x, ids)
+
+
+def test_rows_out_of_a_task_do_not_grow_with_its_blocks(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(256, 4))
+    books = ann.train(x, 2, 2)
+    blocks = [tuple(a.tobytes() for a in (np.arange(i, i + 64), x[i : i + 64], ann.encode(x[i : i + 64], books, 2), np.zeros(64, np.float32))) for i in range(0, 256, 64)]
+
+    class Given:
+        def __init__(self, value):
+            self.value = value
+
+    import pyarrow as pa
+    batches = [pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in b], names=["ids", "vectors", "codes", "norms"]) for b in blocks]
+    run = ann._score(Given((np.arange(10), x[:10])), Given(books), 5, 64, "inner")
+    assert sum(b.num_rows for b in run(iter(batches))) == sum(b.num_rows for b in run(iter(batches[:1]))) == 50
+
+
+def test_repeated_and_null_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.5, 0.5]), (None, [9.0, 9.0]), (5, [2.0, 0.0]), (5, [2.0, 0.0]), (7, [0.0, 3.0])]
+    docs = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, rank int")
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in ann.op7(spark, docs).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 7, 1.5), (0, 2, 5, 1.0), (0, 3, 5, 1.0)]  # the smallest of the query's vectors; candidates row by row
