@@ -2,7 +2,9 @@
 
 Base spans: e-mail, ip, card and phone, leftmost non-overlapping per kind. Each
 pattern is one ``regexp_replace`` that fences its matches; splitting at the
-fences gives matches and gaps, whose lengths add up to code-point offsets.
+fences gives matches and gaps, whose lengths add up to code-point offsets. Running sums go
+by chunks of ``CHUNK``, and a text is cut into its code points once, so the work stays
+close to linear in the number of matches.
 
 Added spans: a base span's value is a protected entity, and every word (letters,
 marks and digits, in lower case) that stands outside a document's base spans is a
@@ -46,6 +48,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 SPAN = "array<struct<start:int,ord:int,kind:string,end:int,value:string>>"
+CHUNK = 64
 ADDED = "array<struct<start:int,end:int,share:double>>"
 LETTER = r"\p{L}\p{M}\p{N}"
 EDGE = rf"(?<=[{LETTER}])(?=[^{LETTER}])|(?<=[^{LETTER}])(?=[{LETTER}])"
@@ -74,6 +77,23 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _with(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once (inside a lambda function, an expression is evaluated at each use)."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _before(values: Column, zero: Column, fold) -> Column:
+    """For each element, the fold of the elements before it: of whole chunks before, then of its own chunk."""
+    def within(v: Column, chunks: Column) -> Column:
+        ahead = F.transform(F.sequence(F.lit(0), F.size(chunks)), lambda c: F.aggregate(F.slice(chunks, F.lit(1), c), zero, fold))
+        return _with(ahead, lambda a: F.transform(v, lambda _, i: F.aggregate(F.slice(v, i - i % CHUNK + 1, i % CHUNK), F.element_at(a, F.floor(i / CHUNK).cast("int") + 1), fold)))
+
+    def chunks(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / CHUNK).cast("int")), lambda c: F.aggregate(F.slice(v, c * CHUNK + 1, F.lit(CHUNK)), zero, fold))
+
+    return _with(values, lambda v: _with(chunks(v), lambda c: within(v, c)))
+
+
 def _words(text: Column) -> Column:
     """The distinct terms of a text."""
     return F.array_remove(F.array_distinct(F.split(F.lower(text), f"[^{LETTER}]+")), "")
@@ -81,12 +101,17 @@ def _words(text: Column) -> Column:
 
 def _outside(text: Column, spans: Column) -> Column:
     """The text with U+0001 for each code point of the (sorted) spans."""
-    def blank(a: Column, s: Column) -> Column:
-        start = F.greatest(s["start"], a["at"])
-        out = F.concat(a["out"], F.substring(text, a["at"] + 1, start - a["at"]), F.repeat(F.lit("\u0001"), s["end"] - start))
-        return F.when(s["end"] <= a["at"], a).otherwise(F.struct(s["end"].alias("at"), out.alias("out")))
+    def piece(s: Column, low: Column, chars: Column) -> Column:
+        gap = F.array_join(F.slice(chars, low + 1, F.greatest(s["start"] - low, F.lit(0))), "")
+        return F.concat(gap, F.repeat(F.lit("\u0001"), F.greatest(s["end"] - F.greatest(s["start"], low), F.lit(0))))
+
+    def pieces(chars: Column, covered: Column) -> Column:
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        tail = F.array_join(F.slice(chars, last + 1, F.size(chars)), "")
+        return F.concat(F.array_join(F.transform(spans, lambda s, i: piece(s, F.element_at(covered, i + 1), chars)), ""), tail)
 
-    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), blank, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    covered = _before(F.transform(spans, lambda s: s["end"]), F.lit(0), lambda a, x: F.greatest(a, x))
+    return _with(F.split(text, ""), lambda chars: _with(covered, lambda c: pieces(chars, c)))
 
 
 def _marked(rest: Column, marks: Column) -> Column:
@@ -101,23 +126,29 @@ def _marked(rest: Column, marks: Column) -> Column:
 
 def _parts(text: Column, kind: str) -> Column:
     """gap, match, gap, ... of a kind's pattern; null without a match."""
-    found = text.rlike(PATTERNS[kind])
+    def cut(fenced: Column) -> Column:
+        return F.when(F.contains(fenced, F.lit("\u0001")), F.split(fenced, "[\u0001\u0002]"))
+
+    found = _with(F.regexp_replace(text, PATTERNS[kind], "\u0001$0\u0002"), cut)
     if kind in ("email", "phone"):
-        found = F.contains(text, F.lit("@" if kind == "email" else "+")) & found
-    return F.when(found, F.split(F.regexp_replace(text, PATTERNS[kind], "\u0001$0\u0002"), "[\u0001\u0002]"))
+        found = F.when(F.contains(text, F.lit("@" if kind == "email" else "+")), found)
+    return found
 
 
 def _spans(kind: str) -> Column:
     """The valid spans of one kind, from its parts: (start, ord, kind, end, value)."""
-    parts, lengths = F.col(kind), F.transform(kind, F.length)
+    parts = F.col(kind)
 
-    def span(i: Column) -> Column:
-        start = F.aggregate(F.slice(lengths, F.lit(1), 2 * i - 1), F.lit(0), lambda a, x: a + x)
-        value = F.element_at(parts, (2 * i).cast("int"))
+    def span(i: Column, starts: Column) -> Column:
+        value, start = F.element_at(parts, (2 * i).cast("int")), F.element_at(starts, (2 * i).cast("int"))
         return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("ord"), F.lit(kind).alias("kind"), (start + F.length(value)).alias("end"), value.alias("value"))
 
-    matches = F.filter(F.sequence(F.lit(1), F.floor(F.size(parts) / 2).cast("int")), lambda i: _valid(kind, F.element_at(parts, (2 * i).cast("int"))))
-    return F.coalesce(F.transform(matches, span).cast(SPAN), F.array().cast(SPAN))
+    def spans(starts: Column) -> Column:
+        matches = F.filter(F.sequence(F.lit(1), F.floor(F.size(parts) / 2).cast("int")), lambda i: _valid(kind, F.element_at(parts, (2 * i).cast("int"))))
+        return F.transform(matches, lambda i: span(i, starts))
+
+    starts = _before(F.transform(parts, F.length), F.lit(0), lambda a, x: a + x)
+    return F.when(parts.isNull(), F.array().cast(SPAN)).otherwise(_with(starts, spans).cast(SPAN))
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -131,8 +162,10 @@ def base_spans(docs: DataFrame) -> DataFrame:
     clean = F.when(text.rlike("[\u0001\u0002]"), F.translate(text, "\u0001\u0002", "\u0003\u0003")).otherwise(text)
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), clean.alias("_t"))
     parts = rows.select("doc_id", "text_hash", "_t", *[_parts(F.col("_t"), k).alias(k) for k in KINDS])
-    parts = table(parts.withColumn("_t", F.when(F.coalesce(*[F.col(k) for k in KINDS]).isNotNull(), F.col("_t"))), "parts")
-    spans = table(parts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_hash", "_t", F.array_sort(F.concat(*[_spans(k) for k in KINDS])).alias("base")), "spans")
+    parts = table(parts.withColumn("_t", F.when(F.coalesce(*[F.col(k) for k in KINDS]).isNotNull(), F.col("_t"))).withColumn("row", F.monotonically_increasing_id()), "parts")
+    spread = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts.repartition(spread, "row")  # few bytes, much work: over all cores
+    spans = table(parts.select("row", "doc_id", "text_hash", "_t", F.array_sort(F.concat(*[_spans(k) for k in KINDS])).alias("base")), "spans")
     rest = spans.withColumn("rest", F.when(F.size("base") > 0, _outside(F.col("_t"), F.col("base"))))
     return rest.select("row", "doc_id", "text_hash", "base", "rest", F.array_except(_words(F.col("_t")), _words(F.col("rest"))).alias("inside"))
 

@@ -130,3 +130,25 @@ def test_empty_table(spark, documents):
 def test_main_path_is_native(spark, documents):
     plan = pii.find_spans(documents(["a@b.cc x"]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_many_matches_take_time_in_proportion(spark):
+    import time
+
+    def seconds(n):
+        docs = spark.createDataFrame([(1, " ".join(f"u{i}@m.org and 10.0.{i % 256}.{i // 256 % 256}" for i in range(n)))], "doc_id long, text string")
+        at = time.time()
+        r = pii.base_spans(docs).first()
+        assert len(r.base) == 2 * n
+        return time.time() - at
+
+    seconds(100)
+    assert seconds(16_000) < 6 * max(1.0, seconds(4_000))
+
+
+def test_repeated_rows_and_null_ids(spark):
+    text = "call +49 170 1234567 or write jane@ex.org"
+    docs = spark.createDataFrame([(1, text), (1, text), (None, text), (None, None), (2, "nothing")], "doc_id long, text string")
+    got = pii.op2(spark, docs).collect()
+    assert len(got) == 5 and sum(r.n_email for r in got) == sum(r.n_phone for r in got) == 3
+    assert len({r.spans for r in got if r.n_email}) == 1
