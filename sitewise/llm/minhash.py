@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import emit, table
+from ._common import emit, key_extreme, salted, table
 from ._shingle import mix, shingle_hashes
 from .components import connected_components
 
@@ -287,7 +287,8 @@ def open_groups(heads: DataFrame, nodes: DataFrame) -> DataFrame:
     if keys.isEmpty():
         return own.select(F.col("key").alias("task"), "doc_id", "part").limit(0)
     own = table(own.join(keys.select("key"), "key"), "open-members")
-    stars = own.groupBy("key").agg(F.min("doc_id").alias("u")).join(own, "key").where("u <> doc_id").select("u", F.col("doc_id").alias("v"))
+    least = key_extreme(own, ["key"], "doc_id", F.col("doc_id"), F.min)
+    stars = salted(own, F.col("doc_id")).join(least, ["key", "_salt"]).where("_extreme <> doc_id").select(F.col("_extreme").alias("u"), F.col("doc_id").alias("v"))
     joined = table(connected_components(stars).select(F.col("node").alias("doc_id"), "component"), "open-components")
     size = joined.groupBy("component").agg(F.count(F.lit(1)).cast("double").alias("size"))
     work = keys.join(own.groupBy("key").agg(F.min("doc_id").alias("doc_id")), "key").join(joined, "doc_id").groupBy("component").agg(F.sum(F.col("n") * F.col("n").cast("double")).alias("by_key"))
