@@ -14,9 +14,13 @@ DOMAINS = {
 GAPS = ("-", "?")
 
 
+#: Position of a gene's columns of minor alleles: after all sites.
+MINOR_POS = 2**31 - 1
+
+
 def label(gene: Column, pos: Column, allele: Column) -> Column:
-    """``{gene}_{pos}_{allele}``."""
-    return F.concat_ws("_", gene, pos.cast("string"), allele)
+    """``{gene}_{pos}_{allele}``; ``{gene}_{allele}`` for a column of minor alleles."""
+    return F.concat_ws("_", gene, F.when(pos != MINOR_POS, pos.cast("string")), allele)
 
 
 def label_parts(text: Column) -> Column:
@@ -30,11 +34,12 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"^.*/", ""), r"\.[^.]*$", "")
 
 
-def valid_residues(seq: Column, datatype: str) -> Column:
-    """Whether all characters belong to the datatype's domain; universal and numeric take any."""
-    if datatype not in DOMAINS:
+def valid_residues(seq: Column, datatype: str, domains: dict[str, str] | None = None) -> Column:
+    """Whether all characters belong to the datatype's domain (of ``domains``, if given); universal and numeric take any."""
+    domains = DOMAINS if domains is None else domains
+    if datatype not in domains:
         return F.lit(True)
-    return F.length(F.translate(seq, DOMAINS[datatype], "")) == 0
+    return F.length(F.translate(seq, domains[datatype], "")) == 0
 
 
 def soft_threshold(v: Column, by: Column | float) -> Column:

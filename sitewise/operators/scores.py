@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import median_nonzero, ratio, sigmoid
+from ..functions.columns import MINOR_POS, median_nonzero, ratio, sigmoid
 
 
 def _size() -> Column:
@@ -29,13 +29,19 @@ def gene_scores(weights: DataFrame, *by: str) -> DataFrame:
 
 
 def position_scores(weights: DataFrame, *by: str) -> DataFrame:
-    return weights.where("w <> 0").groupBy(*by, "gene", "pos").agg(_size().alias("score"))
+    """Columns of minor alleles have no position and are left out."""
+    return weights.where((F.col("w") != 0) & (F.col("pos") != MINOR_POS)).groupBy(*by, "gene", "pos").agg(_size().alias("score"))
 
 
 def total_score(weights: DataFrame, *by: str) -> DataFrame:
     return weights.groupBy(*by).agg(F.coalesce(F.sum(F.abs("w")), F.lit(0.0)).alias("score"))
 
 
+def summed_scores(scores: DataFrame) -> DataFrame:
+    """Sum of a gene's scores, best first (ties by name)."""
+    return scores.groupBy("gene").agg(F.sum("score").alias("score")).orderBy(F.desc("score"), "gene")
+
+
 def nonzero_genes(weights: DataFrame, *by: str) -> DataFrame:
     return weights.groupBy(*by).agg(F.count_distinct(F.when(F.col("w") != 0, F.col("gene"))).alias("n_genes"))
 
@@ -45,10 +51,23 @@ def grid_median(scores: DataFrame, value: str, *keys: str) -> DataFrame:
     return scores.groupBy(*keys).agg(median_nonzero(F.col(value)).alias("median")).where("median <> 0")
 
 
-def base_medians(weights: DataFrame) -> DataFrame:
+def base_medians(weights: DataFrame, *by: str) -> DataFrame:
     """Signed median weight per column, with the place of its first appearance (run, col_id)."""
-    out = weights.where("w <> 0").groupBy("col_id").agg(median_nonzero(F.col("w")).alias("median"), F.min(F.struct("run", "col_id")).alias("first"))
-    return out.where("median <> 0").select("col_id", "median", F.col("first.run").alias("first_run"))
+    out = weights.where("w <> 0").groupBy(*by, "col_id").agg(median_nonzero(F.col("w")).alias("median"), F.min(F.struct("run", "col_id")).alias("first"))
+    return out.where("median <> 0").select(*by, "col_id", "median", F.col("first.run").alias("first_run"))
+
+
+def fold_predictions(cells: DataFrame, folds: DataFrame, weights: DataFrame, intercepts: DataFrame, *by: str) -> DataFrame:
+    """(by, sample, fold, y, prediction) of each sample's model without its fold.
+
+    ``cells`` (col_id, sample, optionally value), ``folds`` (sample, fold, y; a sample that is repeated may be in
+    several), ``weights`` (by, fold, col_id, w), ``intercepts`` (by, fold, intercept).
+    """
+    value = F.col("value") if "value" in cells.columns else F.lit(1.0)
+    met = cells.join(folds.select("sample", "fold").distinct(), "sample").join(weights.select(*by, "fold", "col_id", "w"), ["col_id", "fold"])
+    sums = met.groupBy(*by, "sample", "fold").agg(F.sum(F.col("w") * value).alias("_s"))
+    every = folds.distinct().join(intercepts.select(*by, "fold", "intercept"), "fold")
+    return every.join(sums, [*by, "sample", "fold"], "left").select(*by, "sample", "fold", "y", (F.col("intercept") + F.coalesce("_s", F.lit(0.0))).alias("prediction"))
 
 
 def predictions(cells: DataFrame, weights: DataFrame, intercept: DataFrame, *by: str) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import GAPS, label
+from ..functions.columns import GAPS, MINOR_POS, label
 
 
 def explode_sites(alignments: DataFrame) -> DataFrame:
@@ -33,6 +33,14 @@ def last_of_each(alignments: DataFrame, order: str = "seq_ord") -> DataFrame:
     return alignments.withColumn("_row", row).where("_row = 1").drop("_row")
 
 
+def one_of_each(alignments: DataFrame) -> DataFrame:
+    """The last sequence of each gene and sample (without ``seq_ord``, the greatest). Repeats are looked for in the
+    keys alone; only if there are some do sequences shuffle."""
+    if alignments.groupBy("gene", "sample").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty():
+        return alignments
+    return last_of_each(alignments, "seq_ord" if "seq_ord" in alignments.columns else "seq")
+
+
 def with_hypothesis(alignments: DataFrame, hypothesis: DataFrame) -> DataFrame:
     """Alignments of the samples with a non-zero response, with y."""
     return alignments.join(hypothesis.where("y <> 0").select("sample", "y"), "sample")
@@ -40,9 +48,10 @@ def with_hypothesis(alignments: DataFrame, hypothesis: DataFrame) -> DataFrame:
 
 def missing_sequences(alignments: DataFrame, hypothesis: DataFrame) -> DataFrame:
     """(gene, sample): samples of the hypothesis without a sequence in a gene."""
-    genes = alignments.select("gene").distinct()
-    wanted = genes.crossJoin(hypothesis.where("y <> 0").select("sample"))  # genes x samples: the shape of the result's complement
-    return wanted.join(alignments.select("gene", "sample").distinct(), ["gene", "sample"], "left_anti")
+    cohort = hypothesis.where("y <> 0").agg(F.array_sort(F.collect_set("sample")).alias("_all"))  # the cohort: one row
+    own = alignments.join(hypothesis.where("y <> 0").select("sample").distinct(), "sample", "left_semi").groupBy("gene").agg(F.collect_set("sample").alias("_own"))
+    held = alignments.select("gene").distinct().join(own, "gene", "left").crossJoin(cohort)  # a row per gene
+    return held.select("gene", F.explode(F.when(F.col("_own").isNull(), F.col("_all")).otherwise(F.array_except("_all", "_own"))).alias("sample"))
 
 
 def allele_counts(sites: DataFrame) -> DataFrame:
@@ -135,18 +144,41 @@ def minor_column(sites: DataFrame, feats: DataFrame) -> DataFrame:
     return every.join(hits, ["gene", "sample"], "left").select("gene", "sample", F.coalesce("hit", F.lit(0)).alias("minor"))
 
 
+def minor_features(feats: DataFrame, tiered: bool = False) -> DataFrame:
+    """Columns (gene, pos, allele) of a gene's minor alleles: one for any (``minor``), or one per frequency tier that has some."""
+    minor = feats.where("allele <> major")
+    if not tiered:
+        return minor.select("gene").distinct().select("gene", F.lit(MINOR_POS).alias("pos"), F.lit("minor").alias("allele"))
+    met = minor.select("gene", _frequency().alias("freq")).groupBy("gene").agg(F.max("freq").alias("freq")).join(_tiers(feats), F.col("freq") > F.col("bound"))
+    return met.select("gene", F.lit(MINOR_POS).alias("pos"), F.concat(F.lit("tminor_"), "tier").alias("allele"))
+
+
+def minor_cells(sites: DataFrame, indexed: DataFrame) -> DataFrame:
+    """Non-zero cells (col_id, sample) of the columns of minor alleles among ``indexed``."""
+    own = indexed.where(F.col("pos") == MINOR_POS).select("gene", F.col("allele").alias("_name"), "col_id")
+    feats = indexed.where(F.col("pos") != MINOR_POS)
+    anyone = minor_column(sites, feats).where("minor = 1").select("gene", "sample", F.lit("minor").alias("_name"))
+    tiers = tiered_minor(sites, feats).select("gene", "sample", F.concat(F.lit("tminor_"), "tier").alias("_name"))
+    return anyone.unionByName(tiers).join(own, ["gene", "_name"]).select("col_id", "sample")
+
+
 #: Lower bounds of the frequency tiers of minor alleles, and the names of their columns (fixed values).
 TIERS = (("0pct", 0.0), ("0.1pct", 0.001), ("1pct", 0.01), ("5pct", 0.05))
 
 
 def tiered_minor(sites: DataFrame, feats: DataFrame) -> DataFrame:
     """(gene, tier, sample): samples with an encoded minor allele more frequent than the tier's bound."""
-    spark = sites.sparkSession
-    tiers = spark.createDataFrame(TIERS, "tier string, bound float")
-    freq = (F.col("n").cast("float") / F.col("total").cast("float")).cast("float")
-    minor = feats.where("allele <> major").select("gene", "pos", F.col("allele").alias("ch"), freq.alias("freq"))
+    minor = feats.where("allele <> major").select("gene", "pos", F.col("allele").alias("ch"), _frequency().alias("freq"))
     hits = sites.join(minor, ["gene", "pos", "ch"]).groupBy("gene", "sample").agg(F.max("freq").alias("freq"))
-    return hits.join(F.broadcast(tiers), F.col("freq") > F.col("bound")).select("gene", "tier", "sample")  # four tiers
+    return hits.join(_tiers(sites), F.col("freq") > F.col("bound")).select("gene", "tier", "sample")
+
+
+def _tiers(df: DataFrame) -> DataFrame:
+    return F.broadcast(df.sparkSession.createDataFrame(TIERS, "tier string, bound float"))  # four rows
+
+
+def _frequency() -> Column:
+    return (F.col("n").cast("float") / F.col("total").cast("float")).cast("float")
 
 
 def gap_cancelled(sites: DataFrame, pairs: DataFrame, partner_only: bool = False, tri_allelic: bool = False, min_pairs: int = 2, outgroup=None) -> DataFrame:

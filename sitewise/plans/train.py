@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import grids
-from ..functions.columns import sigmoid
+from ..functions.columns import MINOR_POS, sigmoid
 from ..operators import scores as S
 from ..operators import sites as A
-from ..solver.distributed import gather, numbered, solve_grid
+from ..solver.distributed import gather, numbered, solve_columns, solve_grid
 from ..solver.kernel import Groups, Options
 
 
@@ -32,6 +33,8 @@ class TrainOptions:
     class_balance: str = "none"
     auto_bit_ct: float | None = None
     groups: DataFrame | None = None  # (group, gene), for overlapping groups
+    group_columns: list[int] | None = None  # columns of the groups one after the other, in place of their genes' columns
+    minor: str = "none"  # or minor, tiered: columns of minor alleles
     solver: Options = field(default_factory=Options)
     max_entries: int = 200_000_000
 
@@ -56,18 +59,34 @@ class TrainResult:
     medians: dict[str, DataFrame]
     cv_predictions: DataFrame | None = None
     cv_metrics: DataFrame | None = None
-    pruned: list[int] = field(default_factory=list)
+    held: list[DataFrame] = field(default_factory=list)  # what stays in memory until release()
+    fold_weights: DataFrame | None = None  # run, fold, penalty_idx, col_id, gene, pos, allele, w; the intercept has col_id -1
+    pruned: list[tuple[int, int]] = field(default_factory=list)
 
+    def release(self) -> None:
+        """Frees what training keeps in memory; results that are read later are computed again."""
+        for frame in self.held:
+            frame.unpersist()
 
-def encode(alignments: DataFrame, hypothesis: DataFrame, min_minor: int = 2, drop_major: bool = False, skip_x: bool = False, dropout: DataFrame | None = None) -> Encoded:
-    """Features and non-zero cells over the samples with a response."""
-    met = A.with_hypothesis(alignments.select("gene", "sample", "seq"), hypothesis)
+
+def encode(alignments: DataFrame, hypothesis: DataFrame, min_minor: int = 2, drop_major: bool = False, skip_x: bool = False, dropout: DataFrame | None = None, minor: str = "none") -> Encoded:
+    """Features and non-zero cells over the samples with a response; of a repeated sample in a gene the last sequence.
+
+    ``minor``: none, or a gene's columns of minor alleles too (minor: one for any, tiered: one per frequency tier).
+    """
+    met = A.with_hypothesis(A.one_of_each(alignments).select("gene", "sample", "seq"), hypothesis)
     sites = A.ungapped(A.explode_sites(met.select("gene", "sample", "seq")), skip_x)
     counts = A.allele_counts(sites)
-    features = A.feature_index(A.features(counts, min_minor, drop_major, dropout)).persist()
+    found = A.features(counts, min_minor, drop_major, dropout)
+    if minor != "none":
+        found = found.unionByName(A.minor_features(found, minor == "tiered"), allowMissingColumns=True)
+    features = A.feature_index(found).persist()
     variable = A.variable_sites(A.site_stats(counts)).groupBy("gene").agg(F.count(F.lit(1)).alias("v"))
     genes = [(r.gene, r.n_columns, r.v or 0) for r in A.gene_sizes(features).join(variable, "gene", "left").orderBy("gene").collect()]  # a row per gene
-    return Encoded(sites, features, A.cells(sites, features), genes, sum(g[1] for g in genes))
+    cells = A.cells(sites, features)
+    if minor != "none":
+        cells = cells.unionByName(A.minor_cells(sites, features))
+    return Encoded(sites, features, cells, genes, sum(g[1] for g in genes))
 
 
 def encode_numeric(numeric: DataFrame, hypothesis: DataFrame) -> Encoded:
@@ -96,6 +115,10 @@ def _groups(encoded: Encoded, o: TrainOptions) -> list[tuple[float, Groups]]:
     sizes = [sum(lengths[g] for g in gs) for gs in members]
     sites = [sum(variable[g] for g in gs) for gs in members]
     at = np.concatenate([np.arange(start[g], start[g] + lengths[g]) for gs in members for g in gs] or [np.empty(0, np.int64)]).astype(np.int64)
+    if o.group_columns is not None:
+        if len(o.group_columns) != len(at) or o.group_columns and not 0 <= min(o.group_columns) <= max(o.group_columns) < encoded.n:
+            raise ValueError(f"the field has {len(o.group_columns)} columns, the groups have {len(at)} of 1 to {encoded.n}")
+        at = np.array(o.group_columns, np.int64)
     terms = grids.penalty_terms(o.group_penalty, *o.penalty_range, var_counts=sites)
     return [(t, Groups(at, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), np.array(grids.group_weights(o.group_penalty, t, sizes, sites)))) for t in terms]
 
@@ -139,8 +162,10 @@ def train(alignments: DataFrame, hypothesis: DataFrame, options: TrainOptions |
     if o.auto_bit_ct is not None:
         n_pos, n_neg, _ = S.class_counts(hypothesis).first()
         min_minor = max(1, int(min(n_pos, n_neg) * o.auto_bit_ct / 100))
-    encoded = encode_numeric(alignments, hypothesis) if numeric else encode(alignments, hypothesis, min_minor, o.drop_major, o.skip_x, dropout)
+    encoded = encode_numeric(alignments, hypothesis) if numeric else encode(alignments, hypothesis, min_minor, o.drop_major, o.skip_x, dropout, o.minor)
     samples, y = numbered(hypothesis)
+    if encoded.cells.count() > o.max_entries:
+        return _train_columns(encoded, hypothesis, samples, y, o, solver)
     matrix = gather(encoded.cells, samples, encoded.n, o.max_entries, np.float32 if o.precision == "fp32" else np.float64)
     if "copies" in hypothesis.columns:
         copies = {r.sample: r.copies for r in hypothesis.select("sample", "copies").collect()}
@@ -151,26 +176,61 @@ def train(alignments: DataFrame, hypothesis: DataFrame, options: TrainOptions |
     grid = spark.createDataFrame([(i, p, a, b) for p in range(len(terms)) for i, a, b in o.lambdas], "run int, penalty_idx int, l1 double, l2 double")
     by_term = {i: g for i, (_, g) in enumerate(terms)}
     solved = solve_grid(grid, matrix, y, by_term, o.method, solver).persist()
-    weights = solved.where("col_id >= 0").join(encoded.features.select("col_id", "gene", "pos", "allele"), "col_id")
+    cv = solve_grid(grid, matrix, y, by_term, o.method, solver, o.folds).persist() if o.folds else None
+    return _result(encoded, solved, cv, samples, y, o, hypothesis)
+
+
+def _train_columns(encoded: Encoded, hypothesis: DataFrame, samples: list, y: np.ndarray, o: TrainOptions, solver: Options) -> TrainResult:
+    """Training with the columns spread over the cluster, a grid point and fold after the other."""
+    if o.groups is not None or o.group_columns is not None or o.method.startswith("olsg_") or "copies" in hypothesis.columns:
+        raise ValueError(f"over {o.max_entries} cells, overlapping groups and up-sampling are not supported")
+    spark = hypothesis.sparkSession
+    names = [g for g, _, _ in encoded.genes]
+    solved, folded = [], []
+    for p, (_, groups) in enumerate(_groups(encoded, o)):
+        single = o.method == "gl_logisticr"  # the group penalty alone, without weights, by the first ratio
+        weights = spark.createDataFrame([(g, 1.0 if single else float(w)) for g, w in zip(names, groups.weight, strict=True)], "gene string, weight double")
+        for run, l1, l2 in o.lambdas:
+            for fold in (-1, *range(o.folds)):
+                keep = [i for i in range(len(samples)) if fold < 0 or i % o.folds != fold]
+                table, found = solve_columns(encoded.cells, encoded.features.select("col_id", "gene"), weights, [samples[i] for i in keep], y[keep],
+                                             0.0 if single else l1, l1 if single else l2, not o.method.endswith("leastr"), solver)
+                rows = table.select(F.lit(run).alias("run"), F.lit(fold).alias("fold"), F.lit(p).alias("penalty_idx"), "col_id", "w")
+                one = spark.createDataFrame([(run, fold, p, -1, float(found.intercept))], "run int, fold int, penalty_idx int, col_id long, w double")
+                (solved if fold < 0 else folded).append(rows.unionByName(one))
+    union = lambda parts: reduce(DataFrame.unionByName, parts) if parts else None
+    return _result(encoded, union(solved), union(folded), samples, y, o, hypothesis)
+
+
+def _result(encoded: Encoded, solved: DataFrame, cv: DataFrame | None, samples: list, y: np.ndarray, o: TrainOptions, hypothesis: DataFrame) -> TrainResult:
+    """Scores, medians and cross-validation of solved weights, per penalty term and run."""
+    spark = solved.sparkSession
+    by = ("penalty_idx", "run")
+    columns = encoded.features.select("col_id", "gene", "pos", "allele")
+    weights = solved.where("col_id >= 0").join(columns, "col_id")
     intercepts = solved.where("col_id = -1").select("run", "penalty_idx", F.col("w").alias("intercept"))
-    pruned: list[int] = []
+    pruned: list[tuple[int, int]] = []
     if o.min_groups:
-        counts = {r.run: r.n_genes for r in S.nonzero_genes(weights, "run").collect()}
-        pruned = skipped(o.lambdas, counts, o.min_groups)
-        weights = weights.where(~F.col("run").isin(pruned)) if pruned else weights
-    by = ("penalty_idx", "run")
+        counts: dict[int, dict[int, int]] = {}
+        for r in S.nonzero_genes(weights, *by).collect():  # a row per term and run
+            counts.setdefault(r.penalty_idx, {})[r.run] = r.n_genes
+        pruned = [(p, run) for p in range(len(_groups(encoded, o))) for run in skipped(o.lambdas, counts.get(p, {}), o.min_groups)]
+        if pruned:
+            gone = F.broadcast(spark.createDataFrame(pruned, "penalty_idx int, run int"))  # a row per grid point
+            weights, intercepts = weights.join(gone, list(by), "left_anti"), intercepts.join(gone, list(by), "left_anti")
     gss, pss = S.gene_scores(weights, *by), S.position_scores(weights, *by)
     medians = {}
     if len(o.lambdas) > 1 and not o.folds:
-        medians = {"gene": S.grid_median(gss, "score", "penalty_idx", "gene"), "position": S.grid_median(pss, "score", "penalty_idx", "gene", "pos"), "base": S.base_medians(weights)}
-    out = TrainResult(encoded, weights, intercepts, gss, pss, S.total_score(weights, *by), medians, pruned=pruned)
-    if o.folds:
-        cv = solve_grid(grid, matrix, y, by_term, o.method, solver, o.folds).persist()
-        fold_of = spark.createDataFrame([(s, i % o.folds, float(y[i])) for i, s in enumerate(samples)], T.StructType([hypothesis.schema["sample"], T.StructField("fold", T.IntegerType()), T.StructField("y", T.DoubleType())]))
-        part = encoded.cells.join(fold_of.select("sample", "fold").distinct(), "sample").join(cv.where("col_id >= 0"), ["col_id", "fold"]).groupBy("penalty_idx", "run", "sample").agg(F.sum(F.col("w") * (F.col("value") if numeric else F.lit(1.0))).alias("_s"))
-        base = fold_of.distinct().join(cv.where("col_id = -1").select("penalty_idx", "run", "fold", F.col("w").alias("c")), "fold")
-        out.cv_predictions = base.join(part, ["penalty_idx", "run", "sample"], "left").select("penalty_idx", "run", "sample", "fold", "y", (F.col("c") + F.coalesce("_s", F.lit(0.0))).alias("prediction"))
-        out.cv_metrics = S.confusion(out.cv_predictions, "penalty_idx", "run")
+        medians = {"gene": S.grid_median(gss, "score", "penalty_idx", "gene"), "position": S.grid_median(pss, "score", "penalty_idx", "gene", "pos"), "base": S.base_medians(weights, "penalty_idx")}
+    out = TrainResult(encoded, weights, intercepts, gss, pss, S.total_score(weights, *by), medians, pruned=pruned, held=[encoded.features, solved])
+    if cv is not None:
+        fields = T.StructType([hypothesis.schema["sample"], T.StructField("fold", T.IntegerType()), T.StructField("y", T.DoubleType())])
+        fold_of = spark.createDataFrame([(s, i % o.folds, float(y[i])) for i, s in enumerate(samples)], fields)
+        of_folds = cv.where("col_id = -1").select(*by, "fold", F.col("w").alias("intercept"))
+        out.cv_predictions = S.fold_predictions(encoded.cells, fold_of, cv.where("col_id >= 0"), of_folds, *by)
+        out.cv_metrics = S.confusion(out.cv_predictions, *by)
+        out.held.append(cv)
+        out.fold_weights = cv.join(columns, "col_id", "left")
     return out
 
 
@@ -194,27 +254,34 @@ def evaluate_numeric(numeric: DataFrame, features: DataFrame, weights: DataFrame
 def evaluate(alignments: DataFrame, features: DataFrame, weights: DataFrame, intercepts: DataFrame, hypothesis: DataFrame | None = None) -> dict[str, DataFrame]:
     """Predictions of a model on alignments, per gene and in sum, with metrics if responses are known.
 
-    ``weights`` (run, col_id, w); a gene that a sample lacks has a null score.
+    ``weights`` (run, col_id, w) and ``intercepts`` (run, intercept), of several penalty terms with penalty_idx; the
+    results have the same keys. A gene that a sample lacks has a null score; of a repeated sample in a gene the last sequence counts.
     """
+    alignments = A.one_of_each(alignments)
     sites = A.ungapped(A.explode_sites(alignments.select("gene", "sample", "seq")))
     used = weights.where("w <> 0").select("col_id").distinct()
-    wanted = features.join(used, "col_id", "left_semi").select("gene", "pos", F.col("allele").alias("ch"), "col_id")
+    known = features.join(used, "col_id", "left_semi")
+    wanted = known.where(F.col("pos") != MINOR_POS).select("gene", "pos", F.col("allele").alias("ch"), "col_id")
     cells = sites.join(wanted, ["gene", "pos", "ch"]).select("col_id", "gene", "sample", F.lit(1.0).alias("value"))
+    if "major" in features.columns and not known.where(F.col("pos") == MINOR_POS).isEmpty():
+        minor = A.minor_cells(sites, features).join(known.select("col_id", "gene"), "col_id")
+        cells = cells.unionByName(minor.select("col_id", "gene", "sample", F.lit(1.0).alias("value")))
     return _scored(cells, alignments.select("sample", "gene").distinct(), weights, intercepts, hypothesis)
 
 
 def _scored(cells: DataFrame, present: DataFrame, weights: DataFrame, intercepts: DataFrame, hypothesis: DataFrame | None) -> dict[str, DataFrame]:
     """From cells (col_id, gene, sample, value); present: (sample, gene) pairs."""
-    part = cells.join(weights.where("w <> 0").select("run", "col_id", "w"), "col_id").groupBy("run", "sample", "gene").agg(F.sum(F.col("w") * F.col("value")).alias("_s"))
-    every = present.crossJoin(intercepts.select("run"))  # runs x samples x genes: the result's shape
-    gene_level = every.join(part, ["run", "sample", "gene"], "left").select("run", "sample", "gene", F.coalesce("_s", F.lit(0.0)).alias("score"))
-    sums = part.groupBy("run", "sample").agg(F.sum("_s").alias("_s"))
+    by = [c for c in ("penalty_idx", "run") if c in weights.columns]
+    part = cells.join(weights.where("w <> 0").select(*by, "col_id", "w"), "col_id").groupBy(*by, "sample", "gene").agg(F.sum(F.col("w") * F.col("value")).alias("_s"))
+    every = present.crossJoin(intercepts.select(*by))  # runs x samples x genes: the result's shape
+    gene_level = every.join(part, [*by, "sample", "gene"], "left").select(*by, "sample", "gene", F.coalesce("_s", F.lit(0.0)).alias("score"))
+    sums = part.groupBy(*by, "sample").agg(F.sum("_s").alias("_s"))
     total = F.col("intercept") + F.coalesce("_s", F.lit(0.0))
-    rows = present.select("sample").distinct().crossJoin(intercepts.select("run", "intercept"))  # runs x samples
-    predicted = rows.join(sums, ["run", "sample"], "left").select("run", "sample", total.alias("prediction"))
+    rows = present.select("sample").distinct().crossJoin(intercepts.select(*by, "intercept"))  # runs x samples
+    predicted = rows.join(sums, [*by, "sample"], "left").select(*by, "sample", total.alias("prediction"))
     predicted = predicted.withColumns({"probability": sigmoid(F.col("prediction")), "class": F.when(F.col("prediction") > 0, 1).otherwise(-1)})
     out = {"predictions": predicted, "gene_scores": gene_level}
     if hypothesis is not None:
         met = predicted.join(hypothesis.where("y <> 0").select("sample", "y"), "sample")
-        out |= {"predictions": met, "metrics": S.confusion(met, "run")}
+        out |= {"predictions": met, "metrics": S.confusion(met, *by)}
     return out

@@ -45,21 +45,29 @@ def clade_analysis(alignments: DataFrame, tree: newick.Node, options: TrainOptio
         joined[name] = tables[0] if tables else None
         for t in tables[1:]:
             joined[name] = joined[name].unionByName(t)
-    joined["totals"] = joined["gene_scores"].groupBy("clade").agg(F.sum("score").alias("hss"))
+    joined["totals"] = joined["gene_scores"].groupBy("clade", "penalty_idx").agg(F.sum("score").alias("hss"))
+    joined["hypotheses"] = every
     return joined
 
 
 def aggregate_runs(found, alignments: DataFrame, hypothesis: DataFrame, rmse_cutoff: float, acc_cutoff: float) -> dict[str, DataFrame]:
     """Medians over the runs whose metrics lie within the cutoffs."""
-    scored = evaluate(alignments.join(hypothesis.select("sample"), "sample", "left_semi"), found.encoded.features, found.weights.select("run", "col_id", "w"), found.intercepts, hypothesis)
-    good = scored["metrics"].where((F.col("rmse") <= rmse_cutoff) & (F.col("accuracy") >= acc_cutoff)).select("run")
-    gss = found.gene_scores.join(good, "run", "left_semi")
-    predicted = scored["predictions"].join(good, "run", "left_semi")
-    per_gene = scored["gene_scores"].join(good, "run", "left_semi")
+    own = alignments.join(hypothesis.select("sample"), "sample", "left_semi")
+    scored = evaluate(own, found.encoded.features, found.weights.select("penalty_idx", "run", "col_id", "w"), found.intercepts, hypothesis)
+    return medians_of_runs(scored, found.gene_scores, rmse_cutoff, acc_cutoff)
+
+
+def medians_of_runs(scored: dict[str, DataFrame], gene_scores: DataFrame, rmse_cutoff: float, acc_cutoff: float) -> dict[str, DataFrame]:
+    """Of evaluated runs within the cutoffs: medians per penalty term."""
+    by = ["penalty_idx", "run"]
+    good = scored["metrics"].where((F.col("rmse") <= rmse_cutoff) & (F.col("accuracy") >= acc_cutoff)).select(*by)
+    gss = gene_scores.join(good, by, "left_semi")
+    predicted = scored["predictions"].join(good, by, "left_semi")
+    per_gene = scored["gene_scores"].join(good, by, "left_semi")
     return {
-        "gene_scores": gss.groupBy("gene").agg(median_nonzero(F.col("score")).alias("score")).where("score <> 0"),
-        "predictions": predicted.groupBy("sample", "y").agg(F.percentile("prediction", F.lit(0.5)).alias("sps"), F.percentile("probability", F.lit(0.5)).alias("spp")),
-        "gene_predictions": per_gene.groupBy("sample", "gene").agg(F.percentile("score", F.lit(0.5)).alias("score")),
+        "gene_scores": gss.groupBy("penalty_idx", "gene").agg(median_nonzero(F.col("score")).alias("score")).where("score <> 0"),
+        "predictions": predicted.groupBy("penalty_idx", "sample", "y").agg(F.percentile("prediction", F.lit(0.5)).alias("sps"), F.percentile("probability", F.lit(0.5)).alias("spp")),
+        "gene_predictions": per_gene.groupBy("penalty_idx", "sample", "gene").agg(F.percentile("score", F.lit(0.5)).alias("score")),
         "metrics": scored["metrics"],
     }
 
@@ -90,16 +98,16 @@ def dropout_rounds(alignments: DataFrame, hypothesis: DataFrame, options: TrainO
     curve: list[tuple] = []
     for i in range(r.max_iter):
         found = train(alignments, hypothesis, options, dropped.select("label") if i else None)
-        scored = evaluate(alignments, found.encoded.features, found.weights.select("run", "col_id", "w"), found.intercepts, hypothesis)
-        best = scored["metrics"].orderBy(F.desc("accuracy"), "run").limit(1).collect()
+        scored = evaluate(alignments, found.encoded.features, found.weights.select("penalty_idx", "run", "col_id", "w"), found.intercepts, hypothesis)
+        best = scored["metrics"].orderBy(F.desc("accuracy"), "penalty_idx", "run").limit(1).collect()
         if not best:
             break
-        run = best[0].run
-        own = found.weights.where(F.col("run") == run)
+        this = (F.col("run") == best[0].run) & (F.col("penalty_idx") == best[0].penalty_idx)
+        own = found.weights.where(this)
         top = own.orderBy(F.desc(F.abs("w")), "col_id").limit(r.window).select("col_id", label(F.col("gene"), F.col("pos"), F.col("allele")).alias("label"), "w").collect()  # the window
         if not top:
             break
-        c = found.intercepts.where(F.col("run") == run).first().intercept
+        c = found.intercepts.where(this).first().intercept
         place = spark.createDataFrame([(t.col_id, k + 1, t.w) for k, t in enumerate(top)], "col_id long, k int, w double")
         steps = spark.createDataFrame([(k,) for k in range(len(top) + 1)], "k int")
         hits = found.encoded.cells.join(F.broadcast(place), "col_id").groupBy("sample", "k").agg(F.sum("w").alias("w"))  # at most ``window`` rows
@@ -114,6 +122,7 @@ def dropout_rounds(alignments: DataFrame, hypothesis: DataFrame, options: TrainO
         take = min(reached or len(top), r.max_features - held)
         more = spark.createDataFrame([(i, k + 1, t.label, t.w) for k, t in enumerate(top[:take])], "round int, rank int, label string, w double")
         dropped = spark.createDataFrame(dropped.unionByName(more).collect(), more.schema)  # at most ``max_features`` rows
+        found.release()
         if best[0].accuracy < r.accuracy or held + take >= r.max_features:
             break
     return dropped, spark.createDataFrame(curve, "round int, k int, tpr double, tnr double, accuracy double")
@@ -123,12 +132,13 @@ def dropout_rounds(alignments: DataFrame, hypothesis: DataFrame, options: TrainO
 
 
 def chunks(sizes: list[tuple[str, int]], budget: float, count: int | None = None) -> list[list[str]]:
-    """Contiguous chunks of about equal cost, as many as it takes to fit half the budget each."""
+    """Contiguous chunks of about equal cost, half the budget or less each (a larger gene is a chunk of its own): as many as
+    it takes, one or more over the quotient where genes do not fit evenly."""
     total = sum(n for _, n in sizes)
     parts = count or -(-total // max(1, int(budget / 2)))
     target, out, used = total / max(1, parts), [[]], 0.0
     for gene, n in sizes:
-        if out[-1] and used + n > target and len(out) < parts:
+        if out[-1] and used + n > target:
             out.append([])
             used = 0.0
         out[-1].append(gene)
@@ -153,6 +163,11 @@ def best_fitting(ranked: list[tuple[str, float, int]], budget: float) -> list[st
     return out
 
 
+def chunk_pairs(n: int) -> list[tuple[int, int]]:
+    """All pairs of different chunks, the first before the second."""
+    return list(itertools.combinations(range(n), 2))
+
+
 def adaptive_train(alignments: DataFrame, hypothesis: DataFrame, options: TrainOptions, budget_columns: int) -> tuple[list[str], object]:
     """Trains on pairs of chunks of genes, sums their gene scores, and trains on the best genes that fit the budget."""
     encoded = encode(alignments, hypothesis, options.min_minor, options.drop_major, options.skip_x)
@@ -160,14 +175,16 @@ def adaptive_train(alignments: DataFrame, hypothesis: DataFrame, options: TrainO
     parts = chunks(sizes, budget_columns)
     if len(parts) < 2:
         raise ValueError("everything fits the budget; train directly")
-    sums: dict[str, float] = {}
+    encoded.features.unpersist()
+    scores: list[tuple[str, float]] = []
     sweep = replace(options, lambdas=grids.lambda_grid((0.1, 0.3, 0.1), (0.1, 0.3, 0.1)), folds=0)
-    for a, b in itertools.combinations(parts, 2):
-        found = train(alignments.where(F.col("gene").isin(a + b)), hypothesis, sweep)
-        for row in found.medians["gene"].collect():
-            sums[row.gene] = sums.get(row.gene, 0.0) + row.median
+    for a, b in chunk_pairs(len(parts)):
+        found = train(alignments.where(F.col("gene").isin(parts[a] + parts[b])), hypothesis, sweep)
+        scores += [(r.gene, r.median) for r in found.medians["gene"].collect()]  # a row per gene
+        found.release()
+    sums = S.summed_scores(alignments.sparkSession.createDataFrame(scores, "gene string, score double"))
     length = dict(sizes)
-    chosen = best_fitting([(g, s, length[g]) for g, s in sums.items()], budget_columns)
+    chosen = best_fitting([(r.gene, r.score, length[r.gene]) for r in sums.collect()], budget_columns)
     return chosen, train(alignments.where(F.col("gene").isin(chosen)), hypothesis, options)
 
 

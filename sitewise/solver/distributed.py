@@ -10,13 +10,17 @@ is ever gathered.
 
 from __future__ import annotations
 
+import pickle
+import tempfile
 from collections.abc import Iterator
 from dataclasses import asdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .kernel import SLACK, VANISHED, Columns, Fit, Groups, Options, fit, sample_weights, shrink_groups, softened
 
@@ -34,13 +38,17 @@ def gather(cells: DataFrame, samples: list, n: int, max_entries: int, dtype=np.f
     count = cells.count()
     if count > max_entries:
         raise ValueError(f"{count} cells exceed {max_entries}; use the column tier")
-    place = {s: i for i, s in enumerate(samples)}
-    table = cells.toArrow()
-    keep = [place.get(s, -1) for s in table.column("sample").to_pylist()]
-    row = np.asarray(keep, np.int64)
-    col = np.asarray(table.column("col_id"), dtype=np.int64)
-    value = np.asarray(table.column("value"), dtype=np.float64)[row >= 0] if "value" in table.column_names else None
-    return Columns(len(samples), n, col[row >= 0], row[row >= 0], value, dtype)
+    table = placed(cells, samples).toArrow()
+    col, row = (np.asarray(table.column(c), dtype=np.int64) for c in ("col_id", "row"))
+    value = np.asarray(table.column("value"), dtype=np.float64) if "value" in table.column_names else None
+    return Columns(len(samples), n, col, row, value, dtype)
+
+
+def placed(cells: DataFrame, samples: list) -> DataFrame:
+    """(col_id, row, and value if there is one) of the cells of ``samples``."""
+    fields = T.StructType([cells.schema["sample"], T.StructField("row", T.IntegerType())])
+    place = cells.sparkSession.createDataFrame(list(zip(samples, range(len(samples)), strict=True)), fields)
+    return cells.join(F.broadcast(place), "sample").select("col_id", "row", *(["value"] if "value" in cells.columns else []))  # the cohort
 
 
 def solve_grid(grid: DataFrame, matrix: Columns, y: np.ndarray, groups: dict[int, Groups], method: str, options: Options, folds: int = 0) -> DataFrame:
@@ -97,37 +105,38 @@ def solve_columns(cells: DataFrame, indexed: DataFrame, weights: DataFrame, samp
     o = options or Options()
     sc = spark.sparkContext
     blocks = blocks or sc.defaultParallelism
-    place = {s: i for i, s in enumerate(samples)}
-    names = sc.broadcast(place)
     m = len(samples)
     if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sitewise-"))
-    columns = indexed.select("col_id", "gene").join(weights, "gene")
-    rows = columns.join(cells, "col_id", "left").select("gene", "weight", "col_id", "sample", *(["value"] if "value" in cells.columns else []))
-    width = 4 if "value" in cells.columns else 3
-
-    def build(part):
-        frame = sorted(((r[0], r[2], r[1], r[3], r[4] if width == 4 else 1.0) for r in part), key=lambda r: r[:2])
-        ids, lengths, gene_weight, last = [], [], [], None
-        col, row, value = [], [], []
-        for gene, c, w, sample, v in frame:
-            if gene != last:
-                lengths.append(0)
-                gene_weight.append(w)
-                last = gene
-            if not ids or ids[-1] != c:
-                ids.append(c)
-                lengths[-1] += 1
-            if sample in names.value:
-                col.append(len(ids) - 1)
-                row.append(names.value[sample])
-                value.append(v)
-        yield _Block(m, np.array(ids, np.int64), Columns(m, len(ids), np.array(col, np.int64), np.array(row, np.int64), np.array(value)), Groups.ranges(lengths, gene_weight))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sitewise-"))
+    columns = indexed.select("col_id", "gene").join(weights, "gene").select("col_id", F.xxhash64("gene").alias("group"), "weight")
+    valued = "value" in cells.columns
+    rows = columns.join(placed(cells, samples), "col_id", "left").select("group", "weight", "col_id", "row", *(["value"] if valued else []))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        if not sum(p.num_rows for p in parts):
+            return
+        table = pa.Table.from_batches(parts)
+        group, col = (np.asarray(table.column(c)) for c in ("group", "col_id"))
+        order = np.lexsort((col, group))
+        group, col = group[order], col[order]
+        first = np.ones(len(col), bool)
+        first[1:] = (col[1:] != col[:-1]) | (group[1:] != group[:-1])
+        ids, of = col[first], group[first]
+        starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        weight = np.asarray(table.column("weight"))[order][first][starts]
+        lengths = np.diff(np.append(starts, len(ids)))
+        row = np.asarray(table.column("row").fill_null(-1))[order]
+        value = np.asarray(table.column("value").fill_null(0), dtype=np.float64)[order][row >= 0] if valued else None
+        matrix = Columns(m, len(ids), (np.cumsum(first) - 1)[row >= 0], row[row >= 0], value)
+        block = _Block(m, ids, matrix, Groups.ranges(lengths, weight))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block, 5)], pa.binary())], names=["block"])
 
     # imperative state per block: the one place that needs RDDs
-    state = rows.repartition(blocks, "gene").rdd.mapPartitions(build).persist()
+    state = rows.repartition(blocks, "group").mapInArrow(build, "block binary").rdd.map(lambda r: pickle.loads(r[0])).persist()
     sw = sample_weights(y, o.class_weights if logistic else None)
     share = float(sw[y > 0].sum())
     b0 = sw * np.where(y > 0, 1 - share, -share) if logistic else y
