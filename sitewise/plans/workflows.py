@@ -38,8 +38,11 @@ def clade_analysis(alignments: DataFrame, tree: newick.Node, options: TrainOptio
         hypothesis = every.where(F.col("clade") == clade).drop("clade")
         found = train(alignments, hypothesis, options)
         runs = aggregate_runs(found, alignments, hypothesis, rmse_cutoff, acc_cutoff)
+        if found.medians:
+            columns = found.encoded.features.select("col_id", "gene", "pos", "allele")
+            runs |= {"position_medians": found.medians["position"], "base_medians": found.medians["base"].join(columns, "col_id")}
         for name, table in runs.items():
-            out[name].append(table.withColumn("clade", F.lit(clade)))
+            out.setdefault(name, []).append(table.withColumn("clade", F.lit(clade)))
     joined = {}
     for name, tables in out.items():
         joined[name] = tables[0] if tables else None
@@ -235,7 +238,7 @@ def contrast_scan(alignments: DataFrame, combos: list[list[tuple[str, str]]], op
     if genes is not None:
         alignments = alignments.where(F.col("gene").isin(genes))
     predict = alignments if predict is None else predict
-    sites_out, scores, predicted = None, None, None
+    sites_out, scores, predicted, dumped = None, None, None, None
     jobs = [(i, combo, "observed", 0) for i, combo in enumerate(combos)]
     jobs += [(i, [(b, a) if k % 2 else (a, b) for k, (a, b) in enumerate(combo)], "flipped", 0) for i, combo in enumerate(combos) if c.flipped]
     jobs += [(i, combo, "randomised", r + 1) for i, combo in enumerate(combos) for r in range(c.randomised)]
@@ -261,6 +264,8 @@ def contrast_scan(alignments: DataFrame, combos: list[list[tuple[str, str]]], op
         some = tag(pss.groupBy("gene", "pos").agg(F.max("score").alias("score")))
         sites_out = some if sites_out is None else sites_out.unionByName(some)
         if weights is not None:
+            named = tag(weights.where("w <> 0").join(features.select("col_id", "gene", "pos", "allele"), "col_id").withColumn("penalty_idx", F.floor(F.col("run") / len(options.lambdas)).cast("int")))
+            dumped = named if dumped is None else dumped.unionByName(named)
             runs = evaluate(predict, features, weights, intercepts)["predictions"].groupBy("sample").agg(F.avg("prediction").alias("sps"))
             predicted = tag(runs) if predicted is None else predicted.unionByName(tag(runs))
     place = F.row_number().over(Window.partitionBy("model", "replicate", "combo").orderBy(F.desc("score"), "gene"))
@@ -268,7 +273,8 @@ def contrast_scan(alignments: DataFrame, combos: list[list[tuple[str, str]]], op
     placed = scores.withColumns({"rank": place, "_n": size}).withColumn("top", F.col("rank") <= F.greatest(F.lit(1), F.ceil(F.col("_n") * c.top_share)))
     ranks = placed.groupBy("model", "gene").agg(
         F.max("score").alias("best_score"), F.min("rank").alias("best_rank"), F.count_distinct("replicate", "combo").alias("num_combos_ranked"), F.count_if("top").alias("num_combos_ranked_top"))
-    return {"gene_ranks": ranks, "combo_scores": placed.drop("_n"), "selected_sites": sites_out, "species_predictions": predicted}
+    best_sites = sites_out.groupBy("model", "gene", "pos").agg(F.max("score").alias("best_score"))
+    return {"gene_ranks": ranks, "combo_scores": placed.drop("_n"), "selected_sites": sites_out, "best_sites": best_sites, "species_predictions": predicted, "weights": dumped}
 
 
 def _contrast_fit(sites: DataFrame, hypothesis: DataFrame, options: TrainOptions) -> tuple:

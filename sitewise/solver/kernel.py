@@ -153,10 +153,14 @@ def softened(v: np.ndarray, by: float) -> np.ndarray:
 
 
 def shrink_groups(v: np.ndarray, groups: Groups, by: np.ndarray) -> np.ndarray:
-    """Each group towards 0 by by[i] in its norm (disjoint groups)."""
+    """Each group towards 0 by by[i] in its norm (disjoint groups); columns of no group stay."""
     norm = groups.norms(v)
-    ratio = np.where(norm > by, (norm - by) / np.where(norm > 0, norm, 1), 0.0)
-    return v * groups.spread(ratio)
+    ratio = groups.spread(np.where(norm > by, (norm - by) / np.where(norm > 0, norm, 1), 0.0))
+    if len(ratio) == len(v):
+        return v * ratio
+    out = v.copy()
+    out[groups.members] *= ratio
+    return out
 
 
 def shrink_overlapping(u: np.ndarray, groups: Groups, by: np.ndarray, rounds: int, tol: float) -> np.ndarray:

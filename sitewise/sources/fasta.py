@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import stem, valid_residues
+from ..functions.columns import DOMAINS, stem, valid_residues
 
 SCHEMA = pa.schema([("gene", pa.string()), ("path", pa.string()), ("sample", pa.string()), ("seq_ord", pa.int32()), ("seq", pa.string()), ("error", pa.string())])
 DDL = "gene string, path string, sample string, seq_ord int, seq string, error string"
@@ -43,18 +45,23 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """gene (file stem), path, sample (the whole header), seq_ord, seq, error; faulty files give one row with error."""
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(_records, DDL)
+    return parsed(spark.read.format("binaryFile").load(paths))
 
 
-def checked(records: DataFrame, datatype: str = "universal", strict: bool = True) -> tuple[DataFrame, DataFrame]:
+def parsed(files: DataFrame) -> DataFrame:
+    """The records of files (path, content)."""
+    return files.select("path", "content").mapInArrow(_records, DDL)
+
+
+def checked(records: DataFrame, datatype: str = "universal", strict: bool = True, domains: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(alignments, errors): genes with ragged lengths or foreign residues go to errors as a whole.
 
     Typed alignments are upper-cased first; universal ones keep their case. Without
-    ``strict``, foreign residues become gaps instead.
+    ``strict``, foreign residues become gaps instead. ``domains``: the characters of each datatype.
     """
-    if datatype in ("protein", "nucleotide"):
+    if datatype in (domains or DOMAINS):
         records = records.withColumn("seq", F.upper("seq"))
-    ok = valid_residues(F.col("seq"), datatype)
+    ok = valid_residues(F.col("seq"), datatype, domains)
     if not strict and datatype == "nucleotide":
         records, ok = records.withColumn("seq", F.regexp_replace("seq", "[^ACGT?-]", "-")), F.lit(True)
     n = F.length("seq")
@@ -68,35 +75,54 @@ def checked(records: DataFrame, datatype: str = "universal", strict: bool = True
 def ingest(spark: SparkSession, paths, out: str, datatype: str = "universal", strict: bool = True, force: bool = False) -> DataFrame:
     """Converts alignments to Parquet under ``out`` and returns the catalogue.
 
-    Files whose source, datatype and modification are in the catalogue are skipped;
-    faulty ones are kept in ``errors`` and skipped until ``force``.
+    Files whose path, datatype and time of modification are known are skipped, faulty ones too; others, and all
+    with ``force``, take the place of what the catalogue has of their path.
     """
-    known = _paths_known(spark, out, datatype) if not force else None
-    records = read_fasta(spark, paths)
+    files = spark.read.format("binaryFile").load(paths).select("path", "modificationTime", "content")
+    store(files, out, datatype, strict, force)
+    return catalogue(spark, out)
+
+
+def store(files: DataFrame, out: str, datatype: str = "universal", strict: bool = True, force: bool = False) -> None:
+    """Appends new or changed ``files`` (path, modificationTime, content) as a batch; readers take each path's latest."""
+    spark = files.sparkSession
+    files = files.withColumn("modified", F.unix_micros("modificationTime"))
+    known = None if force else _latest(spark, out)
     if known is not None:
-        records = records.join(known, "path", "left_anti")
+        files = files.join(known.where(F.col("datatype") == datatype).select("path", "modified"), ["path", "modified"], "left_anti")
+    records = files.select("path", "content").mapInArrow(_records, DDL)
     good, errors = checked(records, datatype, strict)
-    good.withColumn("datatype", F.lit(datatype)).write.mode("append").partitionBy("datatype").parquet(f"{out}/alignments")
-    errors.join(records.select("gene", "path").distinct(), "gene").withColumn("datatype", F.lit(datatype)).write.mode("append").parquet(f"{out}/errors")
-    return catalogue(spark, out)
+    of_file = files.select("path", "modified", F.lit(time.time_ns()).alias("batch"), F.lit(datatype).alias("datatype"))  # a row per file
+    good.join(of_file, "path").write.mode("append").partitionBy("datatype").parquet(f"{out}/alignments")
+    errors.join(records.select("gene", "path").distinct(), "gene").join(of_file, "path").write.mode("append").partitionBy("datatype").parquet(f"{out}/errors")
 
 
-def _paths_known(spark: SparkSession, out: str, datatype: str) -> DataFrame | None:
-    found = None
-    for part in ("alignments", "errors"):
-        try:
-            some = spark.read.parquet(f"{out}/{part}").where(F.col("datatype") == datatype).select("path").distinct()
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
-                raise
-            continue
-        found = some if found is None else found.unionByName(some).distinct()
-    return found
+def _stored(spark: SparkSession, out: str, part: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(f"{out}/{part}")
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def _latest(spark: SparkSession, out: str) -> DataFrame | None:
+    """(path, datatype, modified, batch) of each file's latest batch, good or faulty."""
+    parts = [p.select("path", "datatype", "modified", "batch") for p in (_stored(spark, out, "alignments"), _stored(spark, out, "errors")) if p is not None]
+    if not parts:
+        return None
+    every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return every.groupBy("path", "datatype").agg(F.max_by("modified", "batch").alias("modified"), F.max("batch").alias("batch"))
+
+
+def alignments(spark: SparkSession, out: str, part: str = "alignments") -> DataFrame:
+    """What the catalogue has: of each file its latest batch (``part``: alignments or errors)."""
+    return spark.read.parquet(f"{out}/{part}").join(_latest(spark, out).select("path", "datatype", "batch"), ["path", "datatype", "batch"], "left_semi")
 
 
 def catalogue(spark: SparkSession, out: str) -> DataFrame:
     """One row per gene: sequences, length, datatype, source."""
-    return spark.read.parquet(f"{out}/alignments").groupBy("gene", "path", "datatype").agg(
+    return alignments(spark, out).groupBy("gene", "path", "datatype").agg(
         F.count(F.lit(1)).alias("num_sequences"), F.max(F.length("seq")).alias("alignment_length"), F.sort_array(F.collect_list(F.struct("seq_ord", "sample")))["sample"].alias("samples"))
 
 
@@ -115,4 +141,4 @@ def write_fasta(alignments: DataFrame, path: str) -> None:
     alignments.repartition("gene").sortWithinPartitions("gene", "seq_ord").select("gene", text.alias("value")).write.partitionBy("gene").text(path)
 
 
-__all__ = ["catalogue", "checked", "ingest", "parse", "position", "read_fasta", "sequence", "stem", "write_fasta"]
+__all__ = ["alignments", "catalogue", "checked", "ingest", "parse", "position", "read_fasta", "sequence", "stem", "store", "write_fasta"]

@@ -2,39 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import label, stem
+from ..functions.columns import stem
+
+
+def _stem(path: str) -> str:
+    name = path.rsplit("/", 1)[-1]
+    return name.rpartition(".")[0] or name
 
 
 def read_list(text: str, folder: str = "") -> list[tuple[int, str, str]]:
-    """(group, gene, path) of a list file: a line is a group of comma-separated files; of equal stems in a group the first counts."""
+    """(group, gene, path) of a list file: a line is a group of comma-separated files. A gene is a file's stem; of
+    files with the same stem, in any line, the first one counts, and a group has it once."""
     out: list[tuple[int, str, str]] = []
+    first: dict[str, str] = {}
     group = 0
     for line in text.splitlines():
         seen: set[str] = set()
         for part in line.split(","):
             path = part.strip().replace("\\", "/")
-            if not path:
-                continue
-            name = path.rsplit("/", 1)[-1]
-            gene = name.rpartition(".")[0] or name
-            if gene not in seen:
+            if path and (gene := _stem(path)) not in seen:
                 seen.add(gene)
-                out.append((group, gene, path if path.startswith("/") or not folder else f"{folder.rstrip('/')}/{path}"))
+                out.append((group, gene, first.setdefault(gene, path if path.startswith("/") or not folder else f"{folder.rstrip('/')}/{path}")))
         group += bool(seen)
     return out
 
 
+def read_adaptive_list(text: str, sizes: dict[str, int]) -> list[tuple[str, str]]:
+    """(gene, path) of the first file of each line, each gene once, of those in ``sizes``."""
+    out: dict[str, str] = {}
+    for line in text.splitlines():
+        path = line.split(",")[0].strip().replace("\\", "/")
+        if path and _stem(path) in sizes:
+            out.setdefault(_stem(path), path)
+    return list(out.items())
+
+
 def unique_groups(groups: list[tuple[int, str, str]]) -> list[tuple[int, str, str]]:
     """Without the later ones of groups with the same members, renumbered."""
     by: dict[int, list[tuple[str, str]]] = {}
     for g, gene, path in groups:
         by.setdefault(g, []).append((gene, path))
-    kept = {frozenset(g for g, _ in members): members for members in reversed(list(by.values()))}
-    order = sorted(kept.values(), key=lambda m: list(by.values()).index(m))
-    return [(i, gene, path) for i, members in enumerate(order) for gene, path in members]
+    kept: dict[frozenset, list[tuple[str, str]]] = {}
+    for members in by.values():
+        kept.setdefault(frozenset(g for g, _ in members), members)
+    return [(i, gene, path) for i, members in enumerate(kept.values()) for gene, path in members]
 
 
 def overlapping(groups: list[tuple[int, str, str]]) -> bool:
@@ -42,6 +56,17 @@ def overlapping(groups: list[tuple[int, str, str]]) -> bool:
     return any(seen.setdefault(gene, g) != g for g, gene, _ in groups)
 
 
+def write_config(path: str, **settings) -> None:
+    """Settings of a step as key=value lines."""
+    with open(path, "w") as f:
+        f.writelines(f"{k}={str(v).lower() if isinstance(v, bool) else v}\n" for k, v in settings.items())
+
+
+def read_config(path: str) -> dict[str, str]:
+    with open(path) as f:
+        return dict(line.rstrip("\n").split("=", 1) for line in f if "=" in line)
+
+
 def read_hypothesis(spark: SparkSession, path: str) -> DataFrame:
     """(sample, ord, y): name and value a line, separated by tab or else by spaces, in file order."""
     rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("ord", "line")).where(F.trim("line") != "")
@@ -114,33 +139,3 @@ def read_gene_predictions(spark: SparkSession, path: str) -> DataFrame:
     long = wide.select(F.col(f"`{base[0]}`").alias("sample"), F.col(f"`{base[1]}`").cast("double").alias("y"), F.col(f"`{base[2]}`").cast("double").alias("prediction"),
                        F.explode(F.array(*[F.struct(F.lit(g).alias("gene"), F.col(f"`{g}`").cast("double").alias("score")) for g in genes])).alias("s"))
     return long.select("sample", "y", "prediction", "s.gene", F.nullif(F.col("s.score"), F.lit(float("nan"))).alias("score"))
-
-
-def write_weights(weights: DataFrame, intercept: float, path: str) -> None:
-    """label and weight in full precision, non-zero ones in order of columns, the intercept last."""
-    rows = weights.where("w <> 0").select("col_id", F.concat_ws("\t", label(F.col("gene"), F.col("pos"), F.col("allele")), F.format_string("%.17e", "w")).alias("value"))
-    last = weights.sparkSession.createDataFrame([(1 << 62, f"Intercept\t{intercept:.6f}")], "col_id long, value string")
-    rows.unionByName(last).orderBy("col_id").select("value").write.mode("overwrite").text(path)
-
-
-def write_scores(scores: DataFrame, path: str, digits: int = 15) -> None:
-    """Gene scores falling by (score, gene), or position scores by (gene, pos)."""
-    if "pos" in scores.columns:
-        rows = scores.orderBy("gene", "pos").select(F.concat_ws("\t", F.concat_ws("_", "gene", F.col("pos").cast("string")), F.format_string(f"%.{digits}f", "score")).alias("value"))
-    else:
-        rows = scores.orderBy(F.desc("score"), F.desc("gene")).select(F.concat_ws("\t", "gene", F.format_string(f"%.{digits}g", "score")).alias("value"))
-    rows.write.mode("overwrite").text(path)
-
-
-def write_features(cells: DataFrame, indexed: DataFrame, path: str, limit: int = 10_000) -> None:
-    """The dense matrix as CSV, samples by columns; an error beyond ``limit`` columns (use the cells instead)."""
-    if (n := indexed.count()) > limit:
-        raise ValueError(f"{n} columns are too many for one CSV; write the cells")
-    names = [r[0] for r in indexed.orderBy("col_id").select(label(F.col("gene"), F.col("pos"), F.col("allele"))).collect()]
-    named = cells.join(indexed.select("col_id", label(F.col("gene"), F.col("pos"), F.col("allele")).alias("label")), "col_id")
-    named.groupBy("sample").pivot("label", names).agg(F.first(F.lit(1))).fillna(0).orderBy("sample").write.mode("overwrite").csv(path, header=True)
-
-
-def first_of_each_stem(groups: DataFrame) -> DataFrame:
-    """(group, gene, path) with the first path of each gene."""
-    return groups.withColumn("_row", F.row_number().over(Window.partitionBy("gene").orderBy("group", "path"))).where("_row = 1").drop("_row")

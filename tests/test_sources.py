@@ -1,8 +1,12 @@
 """Readers and writers on files written by the tests."""
 
+import os
+
 import pytest
+from pyspark.sql import functions as F
 
-from sitewise.sources import fasta, tables
+from sitewise.functions.columns import MINOR_POS
+from sitewise.sources import fasta, tables, texts
 
 
 def test_fasta_round_trip(spark, tmp_path):
@@ -36,6 +40,22 @@ def test_ingest_skips_known_files(spark, tmp_path):
     assert {(r.gene, r.alignment_length) for r in fasta.ingest(spark, str(tmp_path / "*.fa"), out).collect()} == {("g", 2), ("h", 3)}
 
 
+def test_ingest_replaces_changed_files(spark, tmp_path):
+    out, file = str(tmp_path / "cat"), tmp_path / "g.fa"
+    file.write_text(">s1\nAC\n>s2\nAG\n")
+    said = lambda: sorted(r.seq for r in fasta.alignments(spark, out).collect())
+    fasta.ingest(spark, str(file), out)
+    fasta.ingest(spark, str(file), out, force=True)
+    assert said() == ["AC", "AG"]
+    file.write_text(">s1\nAC\n>s2\nTT\n")
+    os.utime(file, (2_000_000_000, 2_000_000_000))
+    assert fasta.ingest(spark, str(file), out).first().num_sequences == 2 and said() == ["AC", "TT"]
+    file.write_text(">s1\nAC\n>s2\nT\n")
+    os.utime(file, (2_000_000_001, 2_000_000_001))
+    fasta.ingest(spark, str(file), out)
+    assert said() == [] and fasta.alignments(spark, out, "errors").count() == 1
+
+
 def test_numeric_tables(spark, tmp_path):
     (tmp_path / "a.txt").write_text("id f1 f2\ns1 1 2.5\ns2 3 4 99\n")
     (tmp_path / "b.txt").write_text("s1 7\ns2 8\n")
@@ -56,18 +76,31 @@ def test_hypothesis_lists_and_small_files(spark, tmp_path):
         tables.check_hypothesis(spark.createDataFrame([("a", 2.0), ("b", 1.0)], "sample string, y double"))
     groups = tables.read_list("x/a.fa, x\\b.fa\n\nx/b.fa,y/b.fa\n", "/d")
     assert groups == [(0, "a", "/d/x/a.fa"), (0, "b", "/d/x/b.fa"), (1, "b", "/d/x/b.fa")] and tables.overlapping(groups)
+    assert tables.read_list("x/a.fa\ny/a.fa,b\n") == [(0, "a", "x/a.fa"), (1, "a", "x/a.fa"), (1, "b", "b")]
+    assert tables.read_adaptive_list("x/a.fa,x/c.fa\ny/a.fa\nz/b.fa\n", {"a": 1, "c": 2}) == [("a", "x/a.fa")]
+    tables.write_config(str(tmp_path / "config"), datatype="protein", dlt=True)
+    assert tables.read_config(str(tmp_path / "config")) == {"datatype": "protein", "dlt": "true"}
     assert tables.unique_groups([(0, "a", "p"), (1, "b", "q"), (2, "a", "p")]) == [(0, "a", "p"), (1, "b", "q")]
     assert tables.read_domains("[a]\nACGT\n-?\n[b]\nchars = XY\n") == {"a": "ACGT-?", "b": "XY"} and tables.read_domains("p = AC\n") == {"p": "AC"}
     assert tables.read_field("1,2,5\n") == [0, 1, 4] and tables.read_class_weights("2\n1\n") == (2.0, 1.0) and tables.read_class_weights("2") is None
 
 
 def test_score_files(spark, tmp_path):
-    w = spark.createDataFrame([(0, "g", 3, "A", 0.5), (1, "g", 4, "C", 0.0), (2, "h", 1, "T", -0.25)], "col_id long, gene string, pos int, allele string, w double")
-    tables.write_weights(w, -1.5, str(tmp_path / "w"))
-    assert "".join(p.read_text() for p in sorted((tmp_path / "w").glob("part-*"))).splitlines() == ["g_3_A\t5.00000000000000000e-01", "h_1_T\t-2.50000000000000000e-01", "Intercept\t-1.500000"]
-    s = spark.createDataFrame([("g", 1.0), ("h", 2.0)], "gene string, score double")
-    tables.write_scores(s, str(tmp_path / "s"))
-    assert "".join(p.read_text() for p in sorted((tmp_path / "s").glob("part-*"))).splitlines()[0].startswith("h\t2")
+    w = spark.createDataFrame([(0, 0, 0, "g", 3, "A", 0.5), (0, 0, 1, "g", 4, "C", 0.0), (0, 0, 2, "h", MINOR_POS, "minor", -0.25)], "penalty_idx int, run int, col_id long, gene string, pos int, allele string, w double")
+    c = spark.createDataFrame([(0, 0, -1.5)], "penalty_idx int, run int, intercept double")
+    s = spark.createDataFrame([("g", 1.0), ("h", 2.0), ("i", 2.0)], "gene string, score double")
+    p = spark.createDataFrame([("g", 10, 1.0), ("g", 9, 0.5)], "gene string, pos int, score double")
+    f = F.concat(texts.folder(), F.lit("weights.txt"))
+    texts.write(str(tmp_path), texts.weight_lines(w, c, f), texts.gene_lines(s, F.lit("gss.txt")), texts.position_lines(p, F.lit("a/pss.txt")))
+    assert (tmp_path / "penalty_0/lambda_0/weights.txt").read_text().splitlines() == ["g_3_A\t5.00000000000000000e-01", "h_minor\t-2.50000000000000000e-01", "Intercept\t-1.500000"]
+    assert [line.split("\t")[0] for line in (tmp_path / "gss.txt").read_text().splitlines()] == ["i", "h", "g"]
+    assert (tmp_path / "a/pss.txt").read_text() == "g_9\t0.500000000000000\ng_10\t1.000000000000000\n"
+    cells = spark.createDataFrame([(0, "x"), (2, "y")], "col_id long, sample string")
+    hyp = spark.createDataFrame([("y", 0, 1.0), ("x", 1, -1.0)], "sample string, ord int, y double")
+    columns = w.select("col_id", "gene", "pos", "allele")
+    texts.write(str(tmp_path), texts.matrix_lines(cells, columns, hyp, "m.csv"), texts.matrix_lines(cells, columns, hyp, "t.csv", True))
+    assert (tmp_path / "m.csv").read_text() == "SeqID,g_3_A,g_4_C,h_minor\ny,0,0,1\nx,1,0,0\n"
+    assert (tmp_path / "t.csv").read_text() == "Label,y,x\ng_3_A,0,1\ng_4_C,0,0\nh_minor,1,0\n"
     (tmp_path / "p.tsv").write_text("SeqID\tResponse\tPrediction_mean\tg\th\ns1\t1\t0.5\t0.25\tNaN\n")
     rows = {r.gene: r.score for r in tables.read_gene_predictions(spark, str(tmp_path / "p.tsv")).collect()}
     assert rows == {"g": 0.25, "h": None}

@@ -36,6 +36,41 @@ def test_command_line(spark, study):
     assert spark.read.parquet(f"{out}/pairs/gene_ranks").count() > 0
 
 
+def test_text_files(spark, study):
+    out = study / "texts"
+    common = [str(study / "list.txt"), str(study / "hyp.txt"), "--precision", "fp64", "--out", str(out)]
+    cli.main(["train", *common, "--lambda-grid", "0.1,0.2,0.1", "0.1,0.2,0.1", "--initial-gp-value", "1", "--final-gp-value", "2", "--group-penalty-type", "linear", "--minor-column",
+              "--write-features", "--write-features-transposed", "--param", "maxIter=30", "--param", "disableEC=1", "--class-bal", "weighted"])
+    for name in ("weights.txt", "gss.txt", "bss.txt", "pss.txt", "eval_gene_predictions.txt"):
+        assert all((out / f"penalty_{p}" / f"lambda_{k}" / name).exists() for p in (0, 1) for k in range(4)), name
+    weights = (out / "penalty_1/lambda_0/weights.txt").read_text().splitlines()
+    assert weights[-1].startswith("Intercept\t") and all(len(line.split("\t")) == 2 for line in weights)
+    head, *rows = (out / "penalty_0/lambda_3/eval_gene_predictions.txt").read_text().splitlines()
+    assert head == "SeqID\tResponse\tPrediction\tone\ttwo" and len(rows) == 12
+    assert len((out / "features.csv").read_text().splitlines()) == 13 and (out / "lambda_list.txt").read_text().splitlines()[0] == "0.1 0.1"
+    assert "one_minor" in (out / "combined.map").read_text() and (out / "minor_alleles.txt").exists() and (out / "penalty_0/gss_median.txt").exists() and (out / "sweights.txt").exists()
+    cli.main(["evaluate", str(out), str(study / "list.txt"), "--hypothesis", str(study / "hyp.txt"), "--out", str(out / "eval")])
+    assert (out / "eval/penalty_1/lambda_2/eval.txt").read_text().startswith("SeqID\tPrediction\tProbability\tClassPrediction\n")
+    cli.main(["train", *common[:-1], str(study / "cv"), "--nfolds", "3"])
+    assert len((study / "cv/lambda_0/cv_predictions.txt").read_text().splitlines()) == 12 and (study / "cv/lambda_0/weights_fold_2.txt").exists()
+    (study / "tree.nwk").write_text("((s1,s3,s5,s7,s9,s11)Odd,(s0,s2,s4,s6,s8,s10)Even);")
+    cli.main(["clades", str(study / "list.txt"), "--tree", str(study / "tree.nwk"), "--clade-list", "Odd", "--out", str(study / "clades"), "--precision", "fp64", "--lambda-grid", "0.1,0.2,0.1", "0.1,0.1,0.1"])
+    assert (study / "clades/hss_summary.txt").read_text().startswith("Odd\t") and len((study / "clades/Odd/eval_SPS_SPP.txt").read_text().splitlines()) == 13
+    assert all((study / "clades/Odd" / n).exists() for n in ("eval.txt", "eval_gene_predictions.txt", "gss_median.txt", "pss_median.txt", "bss_median.txt", "hypothesis.txt"))
+    with pytest.raises(SystemExit):
+        cli.main(["train", *common, "--param", "speed=9"])
+
+
+def test_contrast_files(spark, study):
+    (study / "pairs.txt").write_text("s1,s7\ns0\ns3\ns2\n")
+    (study / "pheno.csv").write_text("s1,1\ns0,-1\n")
+    cli.main(["contrasts", str(study), "--species-groups", str(study / "pairs.txt"), "--out", str(study / "pairs"), "--precision", "fp64", "--min-minor", "1", "--output-base-name", "run",
+              "--use-logspace", "--num-log-points", "2", "--show-selected-sites", "--dump-weights", "--species-pheno-path", str(study / "pheno.csv"), "--final-lambda1", "0.2", "--final-lambda2", "0.2"])
+    head, *rows = (study / "pairs/run_gene_ranks.csv").read_text().splitlines()
+    assert head == "model,gene,best_score,best_rank,num_combos_ranked,num_combos_ranked_top" and rows
+    assert (study / "pairs/run_species_predictions.csv").exists() and (study / "pairs/run_selected_sites.csv").exists() and (study / "pairs/combo_1/observed_0/lambda_0/weights.tsv").exists()
+
+
 def test_streaming_ingest(spark, study):
     out = str(study / "cat")
     new = study / "new"

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from sitewise.functions import grids
+from sitewise.functions.columns import MINOR_POS
 from sitewise.plans.train import TrainOptions, evaluate, evaluate_numeric, skipped, train
 from sitewise.plans import workflows as W
 from sitewise.sources import newick
@@ -104,6 +105,8 @@ def test_adaptive(data):
     chosen, _ = W.adaptive_train(aln, hyp, options(lambdas=[(0, 0.1, 0.1)]), budget_columns=100)
     assert 0 < len(chosen) < 4
     assert W.chunks([("a", 5), ("b", 5), ("c", 5), ("d", 5)], 20) == [["a", "b"], ["c", "d"]]
+    parts = W.chunks([(g, 6) for g in "abcde"], 20)
+    assert parts == [["a"], ["b"], ["c"], ["d"], ["e"]] and W.chunk_pairs(3) == [(0, 1), (0, 2), (1, 2)]
     assert W.best_fitting([("a", 1.0, 9), ("b", 3.0, 8), ("c", 2.0, 5), ("d", 0.5, 2)], 10) == ["b", "d"]
 
 
@@ -144,3 +147,94 @@ def test_grids():
     assert grids.penalty_terms("median", var_counts=[0, 3, 6]) == [4.0] and grids.penalty_terms("linear", 1, 2, 0.5) == [1.0, 1.5, 2.0]
     assert grids.group_weights("median", 4.0, [9], [3]) == [7.0] and grids.group_weights("std", 1, [9], [3]) == [3.0]
     assert np.allclose(grids.log_grid(0.01, 1, 3), [0.01, 0.1, 1])
+
+
+def test_penalty_terms_stay_apart(data):
+    aln, hyp = data
+    found = train(aln, hyp, options(group_penalty="linear", penalty_range=(1, 3, 1), min_groups=1))
+    assert {r.penalty_idx for r in found.weights.select("penalty_idx").distinct().collect()} <= {0, 1, 2}
+    scored = evaluate(aln, found.encoded.features, found.weights.select("penalty_idx", "run", "col_id", "w"), found.intercepts, hyp)
+    runs = found.intercepts.count()
+    assert scored["predictions"].count() == 24 * runs and scored["metrics"].count() == runs
+    w = {(r.penalty_idx, r.run, r.col_id): r.w for r in found.weights.collect()}
+    cells = {}
+    for r in found.encoded.cells.collect():
+        cells.setdefault(r["sample"], []).append(r.col_id)
+    base = {(r.penalty_idx, r.run): r.intercept for r in found.intercepts.collect()}
+    for r in scored["predictions"].collect():
+        key = (r.penalty_idx, r.run)
+        assert np.isclose(r.prediction, base[key] + sum(w.get((*key, c), 0.0) for c in cells[r["sample"]]))
+    assert {"penalty_idx"} <= set(found.medians["base"].columns)
+    runs = W.aggregate_runs(found, aln, hyp, 100.0, 0.0)
+    assert runs["predictions"].groupBy("penalty_idx").count().where("count <> 24").isEmpty()
+
+
+def test_the_last_of_repeated_samples_counts(data, spark):
+    aln, hyp = data
+    ordered = aln.selectExpr("gene", "sample", "0 AS seq_ord", "seq")
+    junk = ordered.where("sample < 's06'").selectExpr("gene", "sample", "-1 AS seq_ord", "repeat('Z', 12) AS seq")
+    one, two = (train(a, hyp, options(lambdas=[(0, 0.1, 0.1)])) for a in (ordered, ordered.unionByName(junk)))
+    assert sorted(map(tuple, one.encoded.features.collect())) == sorted(map(tuple, two.encoded.features.collect()))
+    assert two.encoded.features.agg({"total": "max"}).first()[0] == 24
+    model = (one.encoded.features, one.weights.select("run", "col_id", "w"), one.intercepts, hyp)
+    assert sorted(map(tuple, evaluate(ordered, *model)["predictions"].collect())) == sorted(map(tuple, evaluate(ordered.unionByName(junk), *model)["predictions"].collect()))
+
+
+def test_folds_of_repeated_samples(data):
+    aln, hyp = data
+    found = train(aln, hyp.where("ord < 20 OR y > 0"), options(folds=4, lambdas=[(0, 0.1, 0.1)], class_balance="up"))
+    w, base, cells = {}, {}, {}
+    for r in found.fold_weights.collect():
+        (base if r.col_id < 0 else w)[r.fold, r.col_id] = r.w
+    for r in found.encoded.cells.collect():
+        cells.setdefault(r["sample"], []).append(r.col_id)
+    rows = found.cv_predictions.collect()
+    assert len(rows) > len({r["sample"] for r in rows}) and len({(r["sample"], r.fold) for r in rows}) == len(rows)
+    for r in rows:
+        assert np.isclose(r.prediction, base[r.fold, -1] + sum(w.get((r.fold, c), 0.0) for c in cells[r["sample"]]))
+
+
+@pytest.mark.parametrize("method", ["sg_lasso", "sg_lasso_leastr", "gl_logisticr"])
+def test_large_problems_go_to_the_column_tier(data, method):
+    aln, hyp = data
+    o = dict(method=method, lambdas=[(0, 0.1, 0.1)], precision="fp64", solver=Options(max_iter=12), folds=2 if method == "sg_lasso" else 0)
+    small, large = train(aln, hyp, options(**o)), train(aln, hyp, options(**o, max_entries=10))
+    one, two = ({(r.run, r.col_id): r.w for r in t.weights.collect()} for t in (small, large))
+    assert one and one.keys() == two.keys() and all(np.isclose(one[k], two[k], atol=1e-8) for k in one)
+    assert np.isclose(small.intercepts.first().intercept, large.intercepts.first().intercept)
+    if o["folds"]:
+        a, b = ({(r["sample"], r.fold): r.prediction for r in t.cv_predictions.collect()} for t in (small, large))
+        assert a.keys() == b.keys() and all(np.isclose(a[k], b[k], atol=1e-8) for k in a)
+
+
+def test_columns_of_minor_alleles(data):
+    aln, hyp = data
+    plain = train(aln, hyp, options(lambdas=[(0, 0.1, 0.1)]))
+    for kind, names in (("minor", {"minor"}), ("tiered", {"tminor_0pct", "tminor_0.1pct", "tminor_1pct", "tminor_5pct"})):
+        found = train(aln, hyp, options(lambdas=[(0, 0.1, 0.1)], minor=kind))
+        own = found.encoded.features.where(f"pos = {MINOR_POS}").collect()
+        assert {(r.gene, r.allele) for r in own} == {(f"gene{g}", n) for g in range(4) for n in names}
+        assert found.encoded.n == plain.encoded.n + 4 * len(names) and found.position_scores.where(f"pos = {MINOR_POS}").isEmpty()
+        held = found.encoded.cells.join(found.encoded.features.where(f"pos = {MINOR_POS}"), "col_id")
+        feats = {(r.gene, r.pos, r.allele) for r in plain.encoded.features.where("allele <> major").collect()}
+        seqs = {(r.gene, r["sample"]): r.seq for r in aln.collect()}
+        want = {(g, s) for (g, s), q in seqs.items() if any((g, p, c) in feats for p, c in enumerate(q))}
+        assert {(r.gene, r["sample"]) for r in held.where("allele IN ('minor', 'tminor_0pct')").collect()} == want
+        scored = evaluate(aln, found.encoded.features, found.weights.select("run", "col_id", "w"), found.intercepts, hyp)
+        w = {r.col_id: r.w for r in found.weights.collect()}
+        base, sums = found.intercepts.first().intercept, {}
+        for r in found.encoded.cells.collect():
+            sums[r["sample"]] = sums.get(r["sample"], 0.0) + w.get(r.col_id, 0.0)
+        assert all(np.isclose(r.prediction, base + sums.get(r["sample"], 0.0)) for r in scored["predictions"].collect())
+
+
+def test_a_field_names_the_columns_of_groups(data, spark):
+    aln, hyp = data
+    groups = spark.createDataFrame([(0, "gene0"), (1, "gene1")], "group int, gene string")
+    sizes = dict(r[:2] for r in train(aln, hyp, options(lambdas=[(0, 0.1, 0.1)])).encoded.genes)
+    both = list(range(sizes["gene0"] + sizes["gene1"]))
+    o = dict(method="olsg_lasso_leastr", groups=groups, lambdas=[(0, 0.2, 0.1)], precision="fp64")
+    one, two = train(aln, hyp, options(**o)), train(aln, hyp, options(**o, group_columns=both))
+    assert sorted(map(tuple, one.weights.collect())) == sorted(map(tuple, two.weights.collect()))
+    with pytest.raises(ValueError):
+        train(aln, hyp, options(**o, group_columns=both[:-1]))
