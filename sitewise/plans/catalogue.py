@@ -365,11 +365,6 @@ def _(spark, d):
     return I.read(spark, d, "pages").select("page_id", stem(F.col("url")).alias("stem"))
 
 
-@query("numeric_long", "SELECT vec_id AS sample, CAST(unnest(range(len(embedding))) AS INTEGER) AS feature, CAST(unnest(embedding) AS FLOAT) AS value FROM embeddings")
-def _(spark, d):
-    return I.read(spark, d, "embeddings").select(F.col("vec_id").alias("sample"), F.posexplode("embedding").alias("feature", "value"))
-
-
 # ---------------------------------------------------------------- scores
 
 
@@ -474,24 +469,11 @@ def _(spark, d):
     return S.gene_ranks(s, "run")
 
 
-@query("adaptive_pairs", """WITH c AS (SELECT DISTINCT n_regionkey AS chunk FROM nation) SELECT a.chunk AS first, b.chunk AS second FROM c a JOIN c b ON a.chunk < b.chunk""")
-def _(spark, d):
-    c = I.read(spark, d, "nation").select(F.col("n_regionkey").alias("chunk")).distinct()
-    return c.alias("a").join(F.broadcast(c.alias("b")), F.col("a.chunk") < F.col("b.chunk")).select(F.col("a.chunk").alias("first"), F.col("b.chunk").alias("second"))  # chunks: a handful
-
-
 @query("clade_negatives", """SELECT doc_id AS sample FROM documents EXCEPT SELECT doc_id FROM labels WHERE quality = 1""")
 def _(spark, d):
     return I.read(spark, d, "documents").select(F.col("doc_id").alias("sample")).subtract(I.read(spark, d, "labels").where("quality = 1").select("doc_id"))
 
 
-@query("summed_scores", """SELECT gene, round(sum(score), 2) AS score, CAST(row_number() OVER (ORDER BY round(sum(score), 2) DESC, gene) AS INTEGER) AS rank FROM
-(SELECT 's' || (l_suppkey % 40) AS gene, l_extendedprice AS score FROM lineitem) GROUP BY gene""")
-def _(spark, d):
-    s = I.read(spark, d, "lineitem").groupBy(F.concat(F.lit("s"), (F.col("l_suppkey") % 40).cast("string")).alias("gene")).agg(F.round(F.sum("l_extendedprice"), 2).alias("score"))
-    return s.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "gene")))
-
-
 @query("spanning_positions", _docs(COUNTS, STATS, FEATS) + "SELECT gene, count(DISTINCT pos) AS n_positions, count(DISTINCT pos) >= 2 AS enough FROM feats GROUP BY gene")
 def _(spark, d):
     return _feats(spark, d).groupBy("gene").agg(F.count_distinct("pos").alias("n_positions")).withColumn("enough", F.col("n_positions") >= 2)

@@ -74,6 +74,13 @@ def _(spark, d):
     return train(alignments, hypothesis, o).weights
 
 
+@model("train_overlap_logistic")
+def _(spark, d):
+    alignments, hypothesis, o = _lines(spark, d, method="olsg_lasso_logisticr", precision="fp64")
+    o.groups = spark.createDataFrame([(0, "flag"), (0, "status"), (1, "status")], "group int, gene string")
+    return train(alignments, hypothesis, o).weights
+
+
 @model("cv_predict")
 def _(spark, d):
     alignments, hypothesis, o = _lines(spark, d, folds=5, precision="fp64")

@@ -87,9 +87,9 @@ def prediction_lines(predicted: DataFrame, gene_scores: DataFrame, file: Column,
     genes = gene_scores.groupBy(*key).agg(F.array_sort(F.collect_set("gene")).alias("genes"))
     own = gene_scores.groupBy(*key, "sample").agg(F.map_from_entries(F.collect_list(F.struct("gene", "score"))).alias("m"))
     met = predicted.join(own, [*key, "sample"], "left").join(genes, key)
-    number = lambda c: F.format_string("%.6f", c)
+    number = lambda c: F.when((F.col(c) if isinstance(c, str) else c).isNotNull(), F.format_string("%.6f", c))
     scores = F.array_join(F.transform("genes", lambda g: F.coalesce(number(F.try_element_at("m", g)), F.lit("NaN"))), TAB)
-    body = lines(met, file, F.concat_ws(TAB, F.col("sample").cast("string"), number(F.col("y")), number(F.col(prediction)), scores), F.col("sample"))
+    body = lines(met, file, F.concat_ws(TAB, F.col("sample").cast("string"), F.coalesce(number("y"), F.lit("NaN")), number(prediction), scores), F.col("sample"))
     head = genes.select(file.alias("file"), F.lit(0).cast("long").alias("n"), F.concat_ws(TAB, F.lit(f"SeqID\tResponse\t{header}"), F.array_join("genes", TAB)).alias("value"))
     return body.unionByName(head)
 
