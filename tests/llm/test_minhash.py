@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sitewise.llm import _shingle, components, minhash
 
@@ -108,3 +109,49 @@ def test_dedup_of_rows_that_share_an_id_or_have_none(spark, documents):
     group = [g for g in got if g[1] in (" ".join(base), near)]
     assert len(group) == 1 and group[0][0] == 5
     assert [g for g in got if g not in group] == sorted([(5, other), (None, texts[7]), (None, None), (7, None)], key=key)
+
+
+def near_threshold(n, seed):
+    """Texts around the threshold of each other, with copies: many keys join texts that are not linked."""
+    rng = random.Random(seed)
+    base = [f"b{k}" for k in range(80)]
+    texts = []
+    for _ in range(n):
+        words = list(base)
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(40)}"
+        texts.append(" ".join(words))
+    return texts
+
+
+@pytest.mark.parametrize("block", [7, 512])
+def test_open_keys_are_searched_exactly(spark, documents, block):
+    texts = near_threshold(90, block) + [" ".join(f"z{k}" for k in range(50))] * 3
+    docs = documents(texts)
+    want = near_brute_of(texts)
+    got = {r.doc_id: r.component_id for r in minhash.near_components(docs.select("doc_id", "text"), block=block).collect()}
+    assert got == want and 1 < len(set(want.values())) < len(texts)
+
+
+def near_brute_of(texts):
+    return {d: component for d, (_, component, _) in brute(list(enumerate(texts)), 85).items()}
+
+
+def test_work_grows_with_the_documents(spark, documents):
+    """Edges are linear in the documents, and a settled group leaves nothing to search."""
+    base = " ".join(f"w{k}" for k in range(200))
+    rows = {}
+    for n in (100, 400):
+        heads = minhash.profiles(documents([f"{base} tail{i}" for i in range(n)])).where("n > 0")
+        edges = minhash.star_edges(heads)
+        members = minhash.star_tasks(edges)
+        rows[n] = edges.count(), members.count()
+        nodes = heads.select(F.col("doc_id").alias("node"), F.lit(0).cast("long").alias("part"))
+        assert minhash.open_groups(heads, nodes).isEmpty()
+    assert rows[400][0] <= 5 * rows[100][0] and rows[400][1] <= 5 * rows[100][1]
+
+
+def test_a_very_long_text(spark, documents):
+    long = " ".join(f"w{k}" for k in range(120_000))
+    got = {r.doc_id: r for r in minhash.op10(spark, documents([long, long + " more", "a b"])).collect()}
+    assert got[0].n_shingles == 119_996 and got[1].component_id == 0 and got[2].component_id == 2

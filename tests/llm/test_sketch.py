@@ -54,3 +54,14 @@ def test_sketches_merge_and_estimate():
     assert abs(sketch.resemblance(part, whole) - 0.5) < 0.15 and sketch.containment(part, whole) > 0.75
     a, b = (next(iter(shingle_hashes([t]))) for t in (b"a b c d e f", b"a b c d e g"))
     assert abs(sketch.resemblance(sketch.sketch(a), sketch.sketch(b)) - 1 / 3) < 1e-9
+
+
+def test_long_text_clashing_columns_and_repeated_rows(spark):
+    long = " ".join(f"word{i % 5000} w{i}" for i in range(60_000))
+    rows = [(1, long, "a", 0.5, 7), (2, long[:-9] + "different", "b", 0.5, 7), (3, "short one", "c", 0.5, 7), (3, "short one", "c", 0.5, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string, near_next double, halo int")
+    got = sketch.op8(spark, docs).collect()
+    assert len(got) == 4 and {r.n_chars for r in got if r.doc_id == 1} == {len(long)}
+    same = [tuple(r) for r in got if r.doc_id == 3]
+    assert len(same) == 2 and same[0][3] == same[1][3]
+    assert next(r.near_next for r in got if r.doc_id == 2) > 0.9  # in descending order its next is the other long text
