@@ -136,10 +136,11 @@ def cells(sites: DataFrame, indexed: DataFrame) -> DataFrame:
     return sites.join(indexed.select("gene", "pos", F.col("allele").alias("ch"), "col_id"), ["gene", "pos", "ch"]).select("col_id", "sample")
 
 
-def minor_column(sites: DataFrame, feats: DataFrame) -> DataFrame:
-    """(gene, sample, minor): 1 if the sample has a non-major encoded allele in the gene; genes with such an allele only."""
+def minor_column(sites: DataFrame, feats: DataFrame, present: DataFrame | None = None) -> DataFrame:
+    """(gene, sample, minor): 1 if the sample has a non-major encoded allele in the gene; genes with such an allele only.
+    ``present``: the (gene, sample) pairs, if they are known from something shorter than the sites."""
     minor = feats.where("allele <> major").select("gene", "pos", F.col("allele").alias("ch"), F.lit(1).alias("hit"))
-    every = sites.select("gene", "sample").distinct().join(minor.select("gene").distinct(), "gene", "left_semi")
+    every = (sites if present is None else present).select("gene", "sample").distinct().join(minor.select("gene").distinct(), "gene", "left_semi")
     hits = sites.join(minor, ["gene", "pos", "ch"]).groupBy("gene", "sample").agg(F.max("hit").alias("hit"))
     return every.join(hits, ["gene", "sample"], "left").select("gene", "sample", F.coalesce("hit", F.lit(0)).alias("minor"))
 
@@ -157,7 +158,7 @@ def minor_cells(sites: DataFrame, indexed: DataFrame) -> DataFrame:
     """Non-zero cells (col_id, sample) of the columns of minor alleles among ``indexed``."""
     own = indexed.where(F.col("pos") == MINOR_POS).select("gene", F.col("allele").alias("_name"), "col_id")
     feats = indexed.where(F.col("pos") != MINOR_POS)
-    anyone = minor_column(sites, feats).where("minor = 1").select("gene", "sample", F.lit("minor").alias("_name"))
+    anyone = sites.join(feats.where("allele <> major").select("gene", "pos", F.col("allele").alias("ch")), ["gene", "pos", "ch"]).select("gene", "sample", F.lit("minor").alias("_name")).distinct()
     tiers = tiered_minor(sites, feats).select("gene", "sample", F.concat(F.lit("tminor_"), "tier").alias("_name"))
     return anyone.unionByName(tiers).join(own, ["gene", "_name"]).select("col_id", "sample")
 

@@ -9,6 +9,7 @@ from ..functions import grids
 from ..functions.columns import group_shrink, label, label_parts, logistic_loss, median_nonzero, sigmoid, soft_threshold, stem, valid_residues
 from ..operators import scores as S
 from ..operators import sites as A
+from ..sources.scratch import settled
 from . import inputs as I  # noqa: E741
 
 # ---------------------------------------------------------------- shared SQL
@@ -61,7 +62,7 @@ def _feats(spark, d, **k):
 
 
 def _index(spark, d):
-    return A.feature_index(_feats(spark, d))
+    return A.feature_index(settled(_feats(spark, d), "features"))
 
 
 def _line_index(spark, d):
@@ -171,7 +172,8 @@ def _(spark, d):
 SELECT a.gene, a.sample, coalesce(hit, 0) AS minor FROM (SELECT DISTINCT gene, sample FROM sites WHERE ch NOT IN ('-', '?')) a LEFT JOIN hit USING (gene, sample)
 WHERE a.gene IN (SELECT gene FROM feats WHERE allele <> major)""")
 def _(spark, d):
-    return A.minor_column(_sites(spark, d), _feats(spark, d))
+    present = I.documents_alignment(spark, d).where(F.length(F.translate("seq", "-?", "")) > 0).select("gene", "sample")
+    return A.minor_column(_sites(spark, d), _feats(spark, d), present)
 
 
 @query("tiered_minor", _lines(COUNTS, STATS, FEATS) + """, hit AS (SELECT s.gene, s.sample, max(CAST(CAST(f.n AS FLOAT) / CAST(f.total AS FLOAT) AS FLOAT)) AS freq

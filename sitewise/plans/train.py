@@ -16,6 +16,7 @@ from ..operators import scores as S
 from ..operators import sites as A
 from ..solver.distributed import gather, numbered, solve_columns, solve_grid
 from ..solver.kernel import Groups, Options
+from ..sources.scratch import settled
 
 
 @dataclass
@@ -80,7 +81,7 @@ def encode(alignments: DataFrame, hypothesis: DataFrame, min_minor: int = 2, dro
     found = A.features(counts, min_minor, drop_major, dropout)
     if minor != "none":
         found = found.unionByName(A.minor_features(found, minor == "tiered"), allowMissingColumns=True)
-    features = A.feature_index(found).persist()
+    features = A.feature_index(settled(found, "features")).persist()
     variable = A.variable_sites(A.site_stats(counts)).groupBy("gene").agg(F.count(F.lit(1)).alias("v"))
     genes = [(r.gene, r.n_columns, r.v or 0) for r in A.gene_sizes(features).join(variable, "gene", "left").orderBy("gene").collect()]  # a row per gene
     cells = A.cells(sites, features)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
@@ -23,3 +23,10 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     system.mkdirs(path)
     system.deleteOnExit(path)
     return path.toString()
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a table in the shared folder and reread: worked out once, whatever number of branches read it."""
+    path = f"{scratch_folder(df.sparkSession, name)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -121,3 +121,13 @@ def test_query_equals_its_sql(spark, name):
     assert names == sorted(d[0] for d in cursor.description)
     tidy = lambda rows, cols: sorted((tuple(round(v, 6) + 0.0 if isinstance(v, float) else v for v in (r[cols.index(c)] for c in names)) for r in rows), key=repr)
     assert tidy([tuple(r) for r in frame.collect()], frame.columns) == tidy(cursor.fetchall(), [d[0] for d in cursor.description])
+
+
+def test_no_private_scratch_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from sitewise.sources.scratch import scratch_folder
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://far:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_folder(far, "x")
