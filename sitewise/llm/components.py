@@ -1,6 +1,7 @@
 """Connected components by alternating large-star and small-star.
 
-Edges are (u, v) rows of longs. Each round writes its edges to a table in the
+Edges are (u, v) rows of longs. Rounds end with the first forest of stars, which
+a further round would leave as it is; edges that are one already need none. Each round writes its edges to a table in the
 shared folder; a node's smallest neighbour is found by a pre-aggregated,
 salted lookup, so a node that a third of all edges touch stays spread.
 """
@@ -25,6 +26,13 @@ def _star(pairs: DataFrame, larger: bool) -> DataFrame:
     return near.select(F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("v").alias("v")), F.struct(F.col("m").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
 
 
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether every larger node has one edge and is nobody's smaller node, for distinct edges u < v."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(0).alias("leaf")), F.struct(F.col("v").alias("node"), F.lit(1).alias("leaf")))).alias("e"))
+    nodes = ends.select("e.*").groupBy("node").agg(F.sum("leaf").alias("leaves"), F.min("leaf").alias("least"))
+    return nodes.where("leaves > 1 OR (leaves = 1 AND least = 0)").isEmpty()
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v); the component is its smallest node.
 
@@ -32,20 +40,18 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     if ``rounds`` do not suffice (they grow with the logarithm of the size).
     """
     kept = table(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct(), "edges")
-    before = None
     for _ in range(rounds):
+        if _is_forest_of_stars(kept):
+            break
         both = kept.unionByName(kept.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = table(_star(both, True).where("u < v").distinct(), "large-star")
         # small-star: pairs point from the larger node to its smaller neighbours
         small = table(_star(large.select(F.col("v").alias("u"), F.col("u").alias("v")), False).where("u < v").distinct(), "small-star")
-        state = small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_table(kept)
         drop_table(large)
         kept = small
-        if state == before:
-            break
-        before = state
     else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        if not _is_forest_of_stars(kept):
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
     root = kept.select("u").distinct().select(F.col("u").alias("node"), F.col("u").alias("component"))
     return kept.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(root)

@@ -155,3 +155,9 @@ def test_a_very_long_text(spark, documents):
     long = " ".join(f"w{k}" for k in range(120_000))
     got = {r.doc_id: r for r in minhash.op10(spark, documents([long, long + " more", "a b"])).collect()}
     assert got[0].n_shingles == 119_996 and got[1].component_id == 0 and got[2].component_id == 2
+
+
+@pytest.mark.parametrize("edges, stars", [
+    ([], True), ([(1, 2), (1, 3), (4, 5)], True), ([(1, 2), (2, 3)], False), ([(1, 3), (2, 3)], False), ([(1, 2), (1, 3), (2, 3)], False)])
+def test_forests_of_stars_are_told_from_other_edges(spark, edges, stars):
+    assert components._is_forest_of_stars(spark.createDataFrame(edges, "u long, v long")) is stars
