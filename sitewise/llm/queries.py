@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, html, linededup, minhash, mixing, pii, sketch, toxicity, warc
+from . import ann, bpe, html, linededup, lm, minhash, mixing, pii, search, sketch, toxicity, warc
 from ._common import read_table
 
 
@@ -21,9 +21,12 @@ QUERIES = {
     "op8_bottom_k": _on("documents", sketch.op8),
     "op9_byte_bpe": _on("documents", bpe.op9),
     "op10_minhash": _on("documents", minhash.op10),
+    "op11_kneser_ney": _on("documents", lm.op11),
+    "op12_impact_search": lambda spark, sf_dir: search.op12(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")),
 }
 
 ORACLE_SQL = {
     "op1_warc_segments": warc.OP1_SQL,
     "op5_line_dedup": linededup.OP5_SQL,
+    "op12_impact_search": search.OP12_SQL,
 }
