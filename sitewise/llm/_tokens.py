@@ -22,6 +22,13 @@ IN_TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = T
 
 def token_hashes(texts: list[bytes], inside: np.ndarray = IN_WORD) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all tokens of ``texts``, one after the other, and each text's number of them."""
+    parts = [_hashes([t for (t,) in some], inside) for some in slices(((t,) for t in texts), 0)]
+    if not parts:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return np.concatenate([h for h, _ in parts]), np.concatenate([n for _, n in parts])
+
+
+def _hashes(texts: list[bytes], inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
     ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
     flags = inside[raw]

@@ -66,7 +66,7 @@ def _shard(ids: list, texts: list[bytes], documents: int, length: int) -> tuple
     return terms.tobytes(), starts.astype(np.uint32).tobytes(), place.astype(np.uint16 if len(ids) <= 1 << 16 else np.uint32).tobytes(), impact.astype(np.uint32).tobytes(), ids
 
 
-def build(docs: DataFrame) -> Index:
+def build(docs: DataFrame, shard_bytes: int = SHARD_BYTES, shard_docs: int = SHARD_DOCS) -> Index:
     """The index of all rows of (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     n = F.coalesce(F.regexp_count("text", F.lit(TERM)), F.lit(0)).cast("long")
@@ -75,7 +75,7 @@ def build(docs: DataFrame) -> Index:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = ((i, _encoded(t.as_py())) for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True))
-        some = (rows[at : at + SHARD_DOCS] for rows in slices(every, 1, SHARD_BYTES) for at in range(0, len(rows), SHARD_DOCS))
+        some = (rows[at : at + shard_docs] for rows in slices(every, 1, shard_bytes) for at in range(0, len(rows), shard_docs))
         found = (_shard([r[0] for r in rows], [r[1] for r in rows], documents, length) for rows in some)
         yield from emit((s for s in found if s), schema, lambda s: sum(map(len, s[:4])))
 

@@ -60,10 +60,8 @@ def test_query_equals_sql(spark, small):
 def test_shards_and_blocks_change_nothing(spark, small, monkeypatch):
     docs, items = read_table(spark, small, "documents"), read_table(spark, small, "benchmark")
     want = got(search.op12(spark, docs, items))
-    monkeypatch.setattr(search, "SHARD_BYTES", 3000)
-    monkeypatch.setattr(search, "SHARD_DOCS", 7)
     monkeypatch.setattr(search, "BLOCK_ITEMS", 9)
-    assert got(search.op12(spark, docs.repartition(3), items)) == want
+    assert got(search.search(search.build(docs.repartition(3), 3000, 7), items)) == want
 
 
 def test_edge_cases(spark, tables):
