@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``, deleted when the application ends; under a temporary folder where that
+def scratch_folder(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path under ``spark.checkpoint.dir``, deleted when the application ends unless ``keep``; under a temporary folder where that
     is unset and Spark runs in one process. RuntimeError where it is unset on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -21,7 +21,8 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/sitewise-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}")
     system = path.getFileSystem(conf)
     system.mkdirs(path)
-    system.deleteOnExit(path)
+    if not keep:
+        system.deleteOnExit(path)
     return path.toString()
 
 
