@@ -48,29 +48,37 @@ class Columns:
 class Dense:
     """The same matrix as an array, for BLAS; worth its memory from a few per cent of non-zero cells.
 
-    Sums are in double precision, as those of :class:`Columns`: how a matrix is stored changes no result beyond the
-    order of such sums.
+    Single-precision products run over PART columns (or samples) at a time, and the parts' sums are added in double precision,
+    so what rounding adds does not grow with the width of the matrix: results agree with :class:`Columns`, which sums in double, to about 1e-6.
     """
 
-    PART = 16_384
+    PART = 4096
 
     def __init__(self, sparse: Columns) -> None:
         self.m, self.n, self.dtype = sparse.m, sparse.n, sparse.dtype
         self.a = np.zeros((self.n, self.m), self.dtype)
         self.a[sparse.col, sparse.row] = 1 if sparse.value is None else sparse.value
 
-    def _parts(self):
-        for at in range(0, self.n, self.PART if self.dtype != np.float64 else max(1, self.n)):
-            some = slice(at, at + (self.PART if self.dtype != np.float64 else self.n))
-            yield some, self.a[some].astype(np.float64, copy=False)
+    def _parts(self, length: int) -> list[slice]:
+        step = self.PART if self.dtype != np.float64 else max(1, length)
+        return [slice(at, at + step) for at in range(0, length, step)]
 
     def dot(self, x: np.ndarray) -> np.ndarray:
-        x = x.astype(np.float64, copy=False)
-        return sum((x[some] @ a for some, a in self._parts()), np.zeros(self.m)).astype(self.dtype)
+        x = x.astype(self.dtype, copy=False)
+        out = np.zeros(self.m)
+        for some in self._parts(self.n):
+            out += x[some] @ self.a[some]
+        return out.astype(self.dtype)
 
     def tdot(self, b: np.ndarray) -> np.ndarray:
-        b = b.astype(np.float64, copy=False)
-        return np.concatenate([a @ b for _, a in self._parts()] or [np.empty(0)]).astype(self.dtype)
+        b = b.astype(self.dtype, copy=False)
+        parts = self._parts(self.m)
+        if len(parts) == 1:
+            return self.a @ b
+        out = np.zeros(self.n)
+        for some in parts:
+            out += self.a[:, some] @ b[some]
+        return out.astype(self.dtype)
 
 
 def stored(matrix: Columns, limit: int) -> Columns | Dense:
