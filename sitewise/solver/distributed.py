@@ -2,29 +2,21 @@
 
 Grid tier: the sparse matrix is gathered once, checked against ``max_entries``,
 broadcast, and every (run, penalties, fold) row of a grid is solved in its own
-task. Column tier, beyond that bound: columns are dealt to blocks by group, each
-task holds its block's part of the vectors, and an iteration sends only sums over
-samples (A x, and a few scalars) to the driver; nothing of the width of the matrix
-is ever gathered.
+task. Column tier, beyond that bound: see :mod:`.sweep`.
 """
 
 from __future__ import annotations
 
-import pickle
-import tempfile
 from collections.abc import Iterator
 from dataclasses import asdict
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .kernel import SLACK, VANISHED, Columns, Fit, Groups, Options, fit, sample_weights, shrink_groups, softened
-
-SOLVED = "run int, fold int, penalty_idx int, col_id long, w double"
+from .kernel import Columns, Groups, Options, fit
+from .sweep import SOLVED, Point, placed, solve_sweep
 
 
 def numbered(samples: DataFrame) -> tuple[list, np.ndarray]:
@@ -44,13 +36,6 @@ def gather(cells: DataFrame, samples: list, n: int, max_entries: int, dtype=np.f
     return Columns(len(samples), n, col, row, value, dtype)
 
 
-def placed(cells: DataFrame, samples: list) -> DataFrame:
-    """(col_id, row, and value if there is one) of the cells of ``samples``."""
-    fields = T.StructType([cells.schema["sample"], T.StructField("row", T.IntegerType())])
-    place = cells.sparkSession.createDataFrame(list(zip(samples, range(len(samples)), strict=True)), fields)
-    return cells.join(F.broadcast(place), "sample").select("col_id", "row", *(["value"] if "value" in cells.columns else []))  # the cohort
-
-
 def solve_grid(grid: DataFrame, matrix: Columns, y: np.ndarray, groups: dict[int, Groups], method: str, options: Options, folds: int = 0) -> DataFrame:
     """Sparse weights of every row of ``grid`` (run, penalty_idx, l1, l2); the intercept has col_id -1.
 
@@ -79,128 +64,16 @@ def solve_grid(grid: DataFrame, matrix: Columns, y: np.ndarray, groups: dict[int
     return every.repartition(n).mapInPandas(solve, SOLVED)
 
 
-class _Block:
-    """One block of whole groups: its columns and its part of x, and of the iterate before."""
-
-    def __init__(self, m: int, cols: np.ndarray, matrix: Columns, groups: Groups) -> None:
-        self.m, self.cols, self.matrix, self.groups = m, cols, matrix, groups
-        self.x = np.zeros(len(cols))
-        self.moved = np.zeros(len(cols))
-
-
-def _summed(a: tuple, b: tuple) -> tuple:
-    return tuple(x + y for x, y in zip(a, b, strict=True))
-
-
 def solve_columns(cells: DataFrame, indexed: DataFrame, weights: DataFrame, samples: list, y: np.ndarray, l1: float, l2: float, logistic: bool = True,
-                  options: Options | None = None, blocks: int | None = None, every: int = 10) -> tuple[DataFrame, Fit]:
-    """Sparse group lasso (disjoint groups) with columns spread over the cluster.
+                  options: Options | None = None, blocks: int | None = None, every: int = 10) -> tuple[DataFrame, float]:
+    """One problem of disjoint groups on the column tier: (col_id, w), and the intercept.
 
-    ``indexed``: (col_id, gene); ``weights``: (gene, weight). The state of a block (its
-    part of x) follows from the broadcast sums, is cached on disk and memory, and goes to
-    the checkpoint folder every ``every`` iterations, so a lost executor costs at most those.
-    Same schedule as the kernel, so results agree to rounding.
+    ``indexed``: (col_id, gene); ``weights``: (gene, weight), a row per gene.
     """
-    spark = cells.sparkSession
-    o = options or Options()
-    sc = spark.sparkContext
-    blocks = blocks or sc.defaultParallelism
-    m = len(samples)
-    if not sc.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and sc.master != "local" and not sc.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sitewise-"))
-    columns = indexed.select("col_id", "gene").join(weights, "gene").select("col_id", F.xxhash64("gene").alias("group"), "weight")
-    valued = "value" in cells.columns
-    rows = columns.join(placed(cells, samples), "col_id", "left").select("group", "weight", "col_id", "row", *(["value"] if valued else []))
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(batches)
-        if not sum(p.num_rows for p in parts):
-            return
-        table = pa.Table.from_batches(parts)
-        group, col = (np.asarray(table.column(c)) for c in ("group", "col_id"))
-        order = np.lexsort((col, group))
-        group, col = group[order], col[order]
-        first = np.ones(len(col), bool)
-        first[1:] = (col[1:] != col[:-1]) | (group[1:] != group[:-1])
-        ids, of = col[first], group[first]
-        starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        weight = np.asarray(table.column("weight"))[order][first][starts]
-        lengths = np.diff(np.append(starts, len(ids)))
-        row = np.asarray(table.column("row").fill_null(-1))[order]
-        value = np.asarray(table.column("value").fill_null(0), dtype=np.float64)[order][row >= 0] if valued else None
-        matrix = Columns(m, len(ids), (np.cumsum(first) - 1)[row >= 0], row[row >= 0], value)
-        block = _Block(m, ids, matrix, Groups.ranges(lengths, weight))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block, 5)], pa.binary())], names=["block"])
-
-    # imperative state per block: the one place that needs RDDs
-    state = rows.repartition(blocks, "group").mapInArrow(build, "block binary").rdd.map(lambda r: pickle.loads(r[0])).persist()
-    sw = sample_weights(y, o.class_weights if logistic else None)
-    share = float(sw[y > 0].sum())
-    b0 = sw * np.where(y > 0, 1 - share, -share) if logistic else y
-    if o.ratios:
-        l1 = l1 * state.map(lambda k: float(np.abs(k.matrix.tdot(b0)).max(initial=0.0))).max()
-        cut = l1
-        l2 = l2 * state.map(lambda k: float((k.groups.norms(np.maximum(np.abs(k.matrix.tdot(b0)) - cut, 0)) / k.groups.weight).max(initial=0.0))).max()
-    c = float(np.log(share / (1 - share))) if logistic and o.intercept and 0 < share < 1 else 0.0
-    big, before, now = 1.0 / m if logistic else 1.0, 0.0, 1.0
-    ax, back_ax, back_c = np.zeros(m), np.zeros(m), 0.0
-    values: list[float] = []
-    for step in range(o.max_iter):
-        beta = (before - 1) / now
-        a_s, s_c = ax + (ax - back_ax) * beta, c + beta * back_c
-        if logistic:
-            f_s = float(sw @ np.logaddexp(0, -y * (a_s + s_c)))
-            b = -sw * y / (1 + np.exp(np.clip(y * (a_s + s_c), -700, 700)))
-        else:
-            f_s, b = 0.0, a_s - y
-        g_c = float(b.sum()) if logistic and o.intercept else 0.0
-        old_c, back_ax = c, ax
-        vanished = False
-        while True:
-            def trial(k: _Block, big=big, beta=beta, b=b):
-                s = k.x + beta * k.moved
-                g = k.matrix.tdot(b)
-                x = shrink_groups(softened(s - g / big, l1 / big), k.groups, l2 / big * k.groups.weight)
-                return k, x, x - s, g
-
-            def sums(k: _Block, trial=trial):
-                k, x, v, g = trial(k)
-                return k.matrix.dot(x), float(v @ v), float(v @ g), l1 * float(np.abs(x).sum()) + l2 * float((k.groups.weight * k.groups.norms(x)).sum())
-
-            c = s_c - g_c / big
-            ax, vv, vg, penalty = state.map(sums).treeReduce(_summed)
-            if logistic:
-                f_x = float(sw @ np.logaddexp(0, -y * (ax + c)))
-                r, left = (vv + (c - s_c) ** 2) / 2, f_x - f_s - vg - (c - s_c) * g_c
-            else:
-                f_x = float(((ax - y) ** 2).sum()) / 2
-                r, left = vv, float(((ax - a_s) ** 2).sum())
-            if r <= VANISHED:
-                vanished = True
-                break
-            if left <= r * big or o.slack and abs(left - r * big) < SLACK:
-                break
-            big = max(2 * big, left / r)
-
-        def moved(k: _Block, trial=trial):
-            k, x, _, _ = trial(k)
-            new = _Block(k.m, k.cols, k.matrix, k.groups)
-            new.x, new.moved = x, x - k.x
-            return new
-
-        after = state.map(moved).persist()
-        if (step + 1) % every == 0:
-            after.checkpoint()
-        after.count()
-        state.unpersist()
-        state = after
-        before, now = now, (1 + np.sqrt(1 + 4 * now * now)) / 2
-        back_c = c - old_c
-        values.append(f_x + penalty)
-        if vanished or o.stop in (0, 1) and step and abs(values[-1] - values[-2]) <= o.tol * values[-2]:
-            break
-    found = state.flatMap(lambda k: [(int(k.cols[i]), float(k.x[i])) for i in np.flatnonzero(k.x)])
-    return spark.createDataFrame(found, "col_id long, w double"), Fit(np.empty(0), c if logistic else 0.0, values, l1, l2)
+    genes = weights.orderBy("gene").collect()
+    number = cells.sparkSession.createDataFrame([(r.gene, i) for i, r in enumerate(genes)], "gene string, atom int")
+    atoms = indexed.join(F.broadcast(number), "gene").select("col_id", "atom")  # a row per gene
+    n = (indexed.agg(F.max("col_id")).first()[0] or 0) + 1
+    groups = Groups.ranges(np.ones(len(genes), int), np.array([r.weight for r in genes]))
+    found = solve_sweep(cells, atoms, n, samples, y, [Point(0, -1, 0, l1, l2)], [groups], len(genes), 0, logistic, options, blocks, every)
+    return found.where("col_id >= 0").select("col_id", "w"), found.where("col_id = -1").first().w

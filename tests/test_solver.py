@@ -150,7 +150,78 @@ def test_column_tier_equals_the_kernel(spark, logistic):
     got = np.zeros(60)
     for r in table.collect():
         got[r.col_id] = r.w
-    assert np.allclose(got, want.x, atol=1e-8) and np.isclose(state.intercept, want.intercept, atol=1e-8)
+    assert np.allclose(got, want.x, atol=1e-8) and np.isclose(state, want.intercept, atol=1e-8)
+
+
+def spread(spark, a, genes):
+    """The cells of a matrix, and its columns with the number of their gene."""
+    cells = spark.createDataFrame([(int(c), f"s{r}") for c, r in zip(a.col, a.row, strict=True)], "col_id long, sample string")
+    return cells, spark.createDataFrame([(i, int(g)) for i, g in enumerate(genes)], "col_id long, atom int")
+
+
+@pytest.mark.parametrize("logistic", [True, False])
+def test_a_sweep_of_folds_grid_and_terms_equals_the_kernel(spark, logistic):
+    """Genes of 1 to 40 columns over blocks of 9: most lie in several; all right-hand sides in two sweeps."""
+    from sitewise.solver.sweep import Point, solve_sweep
+
+    _, a, y, _ = problem(m=30, n=60, groups=12)
+    sizes, names = np.array([40, 1, 14, 5]), [f"s{i}" for i in range(30)]
+    cells, atoms = spread(spark, a, np.repeat(np.arange(4), sizes))
+    terms = [np.sqrt(sizes) * t for t in (1, 2)]
+    points = [Point(i, f, p, l1, l2) for p in (0, 1) for i, (l1, l2) in enumerate([(0.1, 0.1), (0.1, 0.4), (0.3, 0.2)]) for f in (-1, 0, 1)]
+    options = Options(max_iter=7, class_weights=(2.0, 1.0) if logistic else None, ridge=0.01)
+    found = solve_sweep(cells, atoms, 60, names, y, points, [Groups.ranges(np.ones(4, int), t) for t in terms], 4, 2, logistic, options, blocks=7, every=3, at_once=10)
+    got = {k: np.zeros(61) for k in {(p.run, p.fold, p.penalty_idx) for p in points}}
+    for r in found.collect():
+        got[r.run, r.fold, r.penalty_idx][r.col_id] = r.w
+    for p in points:
+        keep = np.flatnonzero(np.arange(30) % 2 != p.fold)
+        want = fit("sg_lasso" if logistic else "sg_lasso_leastr", a.rows(keep), y[keep], Groups.ranges(sizes, terms[p.penalty_idx]), p.l1, p.l2, options)
+        assert np.allclose(got[p.run, p.fold, p.penalty_idx], [*want.x, want.intercept], atol=1e-8), p
+
+
+@pytest.mark.parametrize("stop", [0, 3, 4])
+def test_right_hand_sides_stop_on_their_own(spark, stop):
+    from sitewise.solver.sweep import Point, solve_sweep
+
+    _, a, y, _ = problem(m=30, n=60, groups=12)
+    cells, atoms = spread(spark, a, np.arange(60) // 5)
+    options = Options(max_iter=12, stop=stop, tol=5e-2)
+    points = [Point(i, -1, 0, l, l) for i, l in enumerate((0.05, 0.5, 1.0))]
+    groups = Groups.ranges(np.full(12, 5), np.full(12, 2.0))
+    found = solve_sweep(cells, atoms, 60, [f"s{i}" for i in range(30)], y, points, [Groups.ranges(np.ones(12, int), np.full(12, 2.0))], 12, 0, True, options, blocks=3)
+    got = np.zeros((3, 61))
+    for r in found.collect():
+        got[r.run, r.col_id] = r.w
+    steps = []
+    for i, p in enumerate(points):
+        want = fit("sg_lasso", a, y, groups, p.l1, p.l2, options)
+        steps.append(len(want.objective))
+        assert np.allclose(got[i], [*want.x, want.intercept], atol=1e-8)
+    assert stop or len(set(steps)) > 1
+
+
+@pytest.mark.parametrize("logistic", [True, False])
+def test_overlapping_groups_on_the_column_tier(spark, logistic):
+    """Groups are unions of genes, so their step is one on a number per gene."""
+    from sitewise.solver.sweep import Point, solve_sweep
+
+    _, a, y, _ = problem(m=30, n=60, groups=12)
+    gene = np.arange(60) // 10
+    cells, atoms = spread(spark, a, gene)
+    unions, weight = [(0, 1), (1, 2, 3), (3,), (4, 5), (0, 5)], np.array([2.0, 3.0, 1.0, 2.0, 2.5])
+    ends = lambda sizes: np.concatenate([[0], np.cumsum(sizes)])
+    small = Groups(np.concatenate([np.array(u) for u in unions]), ends([len(u) for u in unions]), weight)
+    large = Groups(np.concatenate([np.flatnonzero(np.isin(gene, u)) for u in unions]), ends([10 * len(u) for u in unions]), weight)
+    options = Options(max_iter=15, inner_tol=1e-9, inner_iter=2000)
+    points = [Point(0, -1, 0, 0.1, 0.1), Point(1, -1, 0, 0.2, 0.5)]
+    found = solve_sweep(cells, atoms, 60, [f"s{i}" for i in range(30)], y, points, [small], 6, 0, logistic, options, blocks=4)
+    got = np.zeros((2, 61))
+    for r in found.collect():
+        got[r.run, r.col_id] = r.w
+    for i, p in enumerate(points):
+        want = fit("olsg_lasso_logisticr" if logistic else "olsg_lasso_leastr", a, y, large, p.l1, p.l2, options)
+        assert want.x.any() and np.allclose(got[i], [*want.x, want.intercept], atol=1e-4)
 
 
 def test_registered_models_run_the_default_schedule():
