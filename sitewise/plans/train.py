@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
@@ -14,8 +14,9 @@ from ..functions import grids
 from ..functions.columns import MINOR_POS, sigmoid
 from ..operators import scores as S
 from ..operators import sites as A
-from ..solver.distributed import gather, numbered, solve_columns, solve_grid
+from ..solver.distributed import gather, numbered, solve_grid
 from ..solver.kernel import Groups, Options
+from ..solver.sweep import Point, solve_sweep
 from ..sources.scratch import settled
 
 
@@ -101,27 +102,70 @@ def encode_numeric(numeric: DataFrame, hypothesis: DataFrame) -> Encoded:
     return Encoded(some, features, cells, genes, sum(g[1] for g in genes))
 
 
-def _groups(encoded: Encoded, o: TrainOptions) -> list[tuple[float, Groups]]:
-    """Groups with their weights, per penalty term; overlapping ones if ``o.groups`` is given."""
-    lengths = {g: n for g, n, _ in encoded.genes}
-    variable = {g: v for g, _, v in encoded.genes}
-    start = dict(zip(lengths, np.cumsum([0, *lengths.values()]), strict=False))
+def _members(encoded: Encoded, o: TrainOptions) -> list[list[int]]:
+    """The genes of each group, by their place."""
     if o.groups is None:
-        members = [[g] for g in lengths]
-    else:
-        by: dict[int, list[str]] = {}
-        for group, gene in o.groups.select("group", "gene").orderBy("group", "gene").collect():
-            by.setdefault(group, []).append(gene)
-        members = [[g for g in gs if g in lengths] for gs in by.values()]
-    sizes = [sum(lengths[g] for g in gs) for gs in members]
-    sites = [sum(variable[g] for g in gs) for gs in members]
-    at = np.concatenate([np.arange(start[g], start[g] + lengths[g]) for gs in members for g in gs] or [np.empty(0, np.int64)]).astype(np.int64)
-    if o.group_columns is not None:
-        if len(o.group_columns) != len(at) or o.group_columns and not 0 <= min(o.group_columns) <= max(o.group_columns) < encoded.n:
-            raise ValueError(f"the field has {len(o.group_columns)} columns, the groups have {len(at)} of 1 to {encoded.n}")
-        at = np.array(o.group_columns, np.int64)
+        return [[i] for i in range(len(encoded.genes))]
+    place = {g: i for i, (g, _, _) in enumerate(encoded.genes)}
+    by: dict[int, list[int]] = {}
+    for group, gene in o.groups.select("group", "gene").orderBy("group", "gene").collect():  # the list file
+        by.setdefault(group, []).extend([place[gene]] if gene in place else [])
+    return list(by.values())
+
+
+def _terms(encoded: Encoded, o: TrainOptions, members: list[list[int]]) -> tuple[list[int], list[tuple[float, np.ndarray]]]:
+    """Columns of each group, and the groups' weights by penalty term."""
+    sizes = [sum(encoded.genes[i][1] for i in own) for own in members]
+    sites = [sum(encoded.genes[i][2] for i in own) for own in members]
     terms = grids.penalty_terms(o.group_penalty, *o.penalty_range, var_counts=sites)
-    return [(t, Groups(at, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), np.array(grids.group_weights(o.group_penalty, t, sizes, sites)))) for t in terms]
+    return sizes, [(t, np.array(grids.group_weights(o.group_penalty, t, sizes, sites), np.float64)) for t in terms]
+
+
+def _field(encoded: Encoded, o: TrainOptions, sizes: list[int]) -> np.ndarray | None:
+    """The columns of the groups one after the other, if they are named."""
+    if o.group_columns is None:
+        return None
+    if len(o.group_columns) != sum(sizes) or o.group_columns and not 0 <= min(o.group_columns) <= max(o.group_columns) < encoded.n:
+        raise ValueError(f"the field has {len(o.group_columns)} columns, the groups have {sum(sizes)} of 1 to {encoded.n}")
+    return np.array(o.group_columns, np.int64)
+
+
+def _groups(encoded: Encoded, o: TrainOptions) -> list[tuple[float, Groups]]:
+    """Groups of columns with their weights, per penalty term; overlapping ones if ``o.groups`` is given."""
+    start = np.cumsum([0, *(n for _, n, _ in encoded.genes)])
+    members = _members(encoded, o)
+    sizes, terms = _terms(encoded, o, members)
+    at = _field(encoded, o, sizes)
+    if at is None:
+        at = np.concatenate([np.arange(start[i], start[i + 1]) for own in members for i in own] or [np.empty(0, np.int64)]).astype(np.int64)
+    return [(t, Groups(at, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), w)) for t, w in terms]
+
+
+def _atoms(encoded: Encoded, o: TrainOptions) -> tuple[DataFrame, int, list[Groups]]:
+    """(col_id, atom) of all columns, the number of atoms, and groups of atoms per penalty term: atoms are genes, or
+    classes of columns that a field names in the same groups (-1: in none)."""
+    spark = encoded.features.sparkSession
+    members = _members(encoded, o)
+    sizes, terms = _terms(encoded, o, members)
+    at = _field(encoded, o, sizes)
+    if at is None:
+        place = spark.createDataFrame([(g, i) for i, (g, _, _) in enumerate(encoded.genes)], "gene string, atom int")
+        atoms = encoded.features.select("col_id", F.col("gene").cast("string").alias("gene")).join(F.broadcast(place), "gene").select("col_id", "atom")  # a row per gene
+        own = [np.array(m, np.int64) for m in members]
+        n = len(encoded.genes)
+    else:
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.lexsort((group, at))
+        cols, first = np.unique(at[order], return_index=True)
+        kinds: dict[tuple, int] = {}
+        of = [kinds.setdefault(tuple(np.unique(g).tolist()), len(kinds)) for g in np.split(group[order], first[1:])] if len(cols) else []
+        named = spark.createDataFrame([(int(c), a) for c, a in zip(cols, of, strict=True)], "col_id long, atom int")  # the field
+        atoms = encoded.features.select("col_id").join(named, "col_id", "left").select("col_id", F.coalesce("atom", F.lit(-1)).alias("atom"))
+        own = [np.array([a for k, a in kinds.items() if g in k], np.int64) for g in range(len(sizes))]
+        n = len(kinds)
+    ends = np.concatenate([[0], np.cumsum([len(m) for m in own])]).astype(np.int64)
+    flat = np.concatenate(own or [np.empty(0, np.int64)]).astype(np.int64)
+    return atoms, n, [Groups(flat, ends, w) for _, w in terms]
 
 
 def skipped(lambdas: list[tuple[int, float, float]], gene_counts: dict[int, int], min_groups: int) -> list[int]:
@@ -164,61 +208,92 @@ def train(alignments: DataFrame, hypothesis: DataFrame, options: TrainOptions |
         n_pos, n_neg, _ = S.class_counts(hypothesis).first()
         min_minor = max(1, int(min(n_pos, n_neg) * o.auto_bit_ct / 100))
     encoded = encode_numeric(alignments, hypothesis) if numeric else encode(alignments, hypothesis, min_minor, o.drop_major, o.skip_x, dropout, o.minor)
+    encoded.cells = settled(encoded.cells, "cells")
     samples, y = numbered(hypothesis)
-    if encoded.cells.count() > o.max_entries:
-        return _train_columns(encoded, hypothesis, samples, y, o, solver)
-    matrix = gather(encoded.cells, samples, encoded.n, o.max_entries, np.float32 if o.precision == "fp32" else np.float64)
     if "copies" in hypothesis.columns:
-        copies = {r.sample: r.copies for r in hypothesis.select("sample", "copies").collect()}
+        copies = {r.sample: r.copies for r in hypothesis.select("sample", "copies").collect()}  # the cohort
         keep = np.repeat(np.arange(len(samples)), [copies[s] for s in samples])
-        matrix = _repeated(matrix, keep)
+    else:
+        keep = None
+    wide = encoded.cells.count() > o.max_entries
+    solve = (_on_columns if wide else _on_grid)(encoded, samples, y, keep, o, solver)
+    if keep is not None:
+        y, samples = y[keep], [samples[i] for i in keep]
+    terms = len(_terms(encoded, o, _members(encoded, o))[1])
+    solved, pruned = _swept(encoded, o, terms, solve)
+    cv = None
+    if o.folds:
+        cv = solve([(p, *point) for p in range(terms) for point in o.lambdas if (p, point[0]) not in pruned], o.folds).persist()
+    return _result(encoded, solved, cv, samples, y, o, sorted(pruned), hypothesis)
+
+
+def _swept(encoded: Encoded, o: TrainOptions, terms: int, solve) -> tuple[DataFrame, set[tuple[int, int]]]:
+    """Weights of the grid, and the (term, run) that are passed over.
+
+    With ``min_groups``, points go in rounds of rising second penalty: what a sequential sweep passes over at a point depends only on
+    points with a smaller one, so those of a round are solved together and the others never.
+    """
+    every = [(p, *point) for p in range(terms) for point in o.lambdas]
+    pairs = [p[1:] for p in o.lambdas]
+    if o.min_groups <= 0 or any(not (b[0] > a[0] or b[0] == a[0] and b[1] > a[1]) for a, b in zip(pairs, pairs[1:], strict=False)):
+        return solve(every, 0).persist(), set()
+    found, counts, genes = [], {p: {} for p in range(terms)}, encoded.features.select("col_id", "gene")
+    for l2 in sorted({b for _, _, b in o.lambdas}):
+        so_far = [point for point in o.lambdas if point[2] <= l2]
+        gone = {(p, i) for p in range(terms) for i in skipped(so_far, counts[p], o.min_groups)} if found else set()
+        now = [x for x in every if x[3] == l2 and (x[0], x[1]) not in gone]
+        if not now:
+            continue
+        found.append(solve(now, 0).persist())
+        for r in S.nonzero_genes(found[-1].join(genes, "col_id"), "penalty_idx", "run").collect():  # a row per term and run
+            counts[r.penalty_idx][r.run] = r.n_genes
+    return reduce(DataFrame.unionByName, found), {(p, i) for p in range(terms) for i in skipped(o.lambdas, counts[p], o.min_groups)}
+
+
+def _on_grid(encoded: Encoded, samples: list, y: np.ndarray, keep: np.ndarray | None, o: TrainOptions, solver: Options):
+    """A function of points (term, run, l1, l2) and folds, on a matrix that fits a task."""
+    matrix = gather(encoded.cells, samples, encoded.n, o.max_entries, np.float32 if o.precision == "fp32" else np.float64)
+    if keep is not None:
+        matrix, y = _repeated(matrix, keep), y[keep]
+    by_term = {i: g for i, (_, g) in enumerate(_groups(encoded, o))}
+
+    def solve(points: list[tuple], folds: int) -> DataFrame:
+        grid = encoded.features.sparkSession.createDataFrame([(run, p, a, b) for p, run, a, b in points], "run int, penalty_idx int, l1 double, l2 double")
+        return solve_grid(grid, matrix, y, by_term, o.method, solver, folds)
+
+    return solve
+
+
+def _on_columns(encoded: Encoded, samples: list, y: np.ndarray, keep: np.ndarray | None, o: TrainOptions, solver: Options):
+    """The same with the columns spread over the cluster: all points and folds in one sweep."""
+    atoms, n_atoms, groups = _atoms(encoded, o)
+    if keep is not None:
         y, samples = y[keep], [samples[i] for i in keep]
-    terms = _groups(encoded, o)
-    grid = spark.createDataFrame([(i, p, a, b) for p in range(len(terms)) for i, a, b in o.lambdas], "run int, penalty_idx int, l1 double, l2 double")
-    by_term = {i: g for i, (_, g) in enumerate(terms)}
-    solved = solve_grid(grid, matrix, y, by_term, o.method, solver).persist()
-    cv = solve_grid(grid, matrix, y, by_term, o.method, solver, o.folds).persist() if o.folds else None
-    return _result(encoded, solved, cv, samples, y, o, hypothesis)
-
-
-def _train_columns(encoded: Encoded, hypothesis: DataFrame, samples: list, y: np.ndarray, o: TrainOptions, solver: Options) -> TrainResult:
-    """Training with the columns spread over the cluster, a grid point and fold after the other."""
-    if o.groups is not None or o.group_columns is not None or o.method.startswith("olsg_") or "copies" in hypothesis.columns:
-        raise ValueError(f"over {o.max_entries} cells, overlapping groups and up-sampling are not supported")
-    spark = hypothesis.sparkSession
-    names = [g for g, _, _ in encoded.genes]
-    solved, folded = [], []
-    for p, (_, groups) in enumerate(_groups(encoded, o)):
-        single = o.method == "gl_logisticr"  # the group penalty alone, without weights, by the first ratio
-        weights = spark.createDataFrame([(g, 1.0 if single else float(w)) for g, w in zip(names, groups.weight, strict=True)], "gene string, weight double")
-        for run, l1, l2 in o.lambdas:
-            for fold in (-1, *range(o.folds)):
-                keep = [i for i in range(len(samples)) if fold < 0 or i % o.folds != fold]
-                table, found = solve_columns(encoded.cells, encoded.features.select("col_id", "gene"), weights, [samples[i] for i in keep], y[keep],
-                                             0.0 if single else l1, l1 if single else l2, not o.method.endswith("leastr"), solver)
-                rows = table.select(F.lit(run).alias("run"), F.lit(fold).alias("fold"), F.lit(p).alias("penalty_idx"), "col_id", "w")
-                one = spark.createDataFrame([(run, fold, p, -1, float(found.intercept))], "run int, fold int, penalty_idx int, col_id long, w double")
-                (solved if fold < 0 else folded).append(rows.unionByName(one))
-    union = lambda parts: reduce(DataFrame.unionByName, parts) if parts else None
-    return _result(encoded, union(solved), union(folded), samples, y, o, hypothesis)
-
-
-def _result(encoded: Encoded, solved: DataFrame, cv: DataFrame | None, samples: list, y: np.ndarray, o: TrainOptions, hypothesis: DataFrame) -> TrainResult:
+    single = o.method == "gl_logisticr"  # the group penalty alone, without weights, by the first ratio
+    if single:
+        if solver.q not in (1.0, 2.0):
+            raise ValueError(f"over {o.max_entries} cells, groups have norms 1 or 2")
+        groups = [Groups(g.members, g.start, np.ones_like(g.weight)) for g in groups]
+        solver = replace(solver, absolute=True)
+
+    def solve(points: list[tuple], folds: int) -> DataFrame:
+        ratios = lambda a, b: ((a, 0.0) if solver.q == 1.0 else (0.0, a)) if single else (a, b)
+        some = [Point(run, fold, p, *ratios(a, b)) for p, run, a, b in points for fold in (range(folds) if folds else (-1,))]
+        return solve_sweep(encoded.cells, atoms, encoded.n, samples, y, some, groups, n_atoms, folds, not o.method.endswith("leastr"), solver)
+
+    return solve
+
+
+def _result(encoded: Encoded, solved: DataFrame, cv: DataFrame | None, samples: list, y: np.ndarray, o: TrainOptions, pruned: list[tuple[int, int]], hypothesis: DataFrame) -> TrainResult:
     """Scores, medians and cross-validation of solved weights, per penalty term and run."""
     spark = solved.sparkSession
     by = ("penalty_idx", "run")
     columns = encoded.features.select("col_id", "gene", "pos", "allele")
     weights = solved.where("col_id >= 0").join(columns, "col_id")
     intercepts = solved.where("col_id = -1").select("run", "penalty_idx", F.col("w").alias("intercept"))
-    pruned: list[tuple[int, int]] = []
-    if o.min_groups:
-        counts: dict[int, dict[int, int]] = {}
-        for r in S.nonzero_genes(weights, *by).collect():  # a row per term and run
-            counts.setdefault(r.penalty_idx, {})[r.run] = r.n_genes
-        pruned = [(p, run) for p in range(len(_groups(encoded, o))) for run in skipped(o.lambdas, counts.get(p, {}), o.min_groups)]
-        if pruned:
-            gone = F.broadcast(spark.createDataFrame(pruned, "penalty_idx int, run int"))  # a row per grid point
-            weights, intercepts = weights.join(gone, list(by), "left_anti"), intercepts.join(gone, list(by), "left_anti")
+    if pruned:
+        gone = F.broadcast(spark.createDataFrame(pruned, "penalty_idx int, run int"))  # a row per grid point
+        weights, intercepts = weights.join(gone, list(by), "left_anti"), intercepts.join(gone, list(by), "left_anti")
     gss, pss = S.gene_scores(weights, *by), S.position_scores(weights, *by)
     medians = {}
     if len(o.lambdas) > 1 and not o.folds:

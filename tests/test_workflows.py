@@ -207,6 +207,49 @@ def test_large_problems_go_to_the_column_tier(data, method):
         assert a.keys() == b.keys() and all(np.isclose(a[k], b[k], atol=1e-8) for k in a)
 
 
+@pytest.mark.parametrize("method", ["olsg_lasso_leastr", "olsg_lasso_logisticr", "gl_logisticr"])
+def test_large_overlapping_and_balanced_problems(data, spark, method):
+    """Overlapping groups of genes, up-sampling, folds, and a field of columns, beyond ``max_entries``."""
+    aln, hyp = data
+    overlapping = spark.createDataFrame([(0, "gene0"), (0, "gene1"), (1, "gene1"), (1, "gene2"), (2, "gene3")], "group int, gene string")
+    few = hyp.where("y < 0 OR ord % 3 > 0")
+    tight = Options(max_iter=8, inner_iter=2000, inner_tol=1e-9)
+    o = dict(method=method, lambdas=[(0, 0.1, 0.1), (1, 0.1, 0.3)], precision="fp64", solver=tight, class_balance="up", folds=2)
+    if method.startswith("olsg"):
+        o["groups"] = overlapping
+        n = train(aln, few, options(**o)).encoded
+        start = np.cumsum([0, *(g[1] for g in n.genes)])
+        if method.endswith("logisticr"):  # the same groups as columns, named in another order
+            o["group_columns"] = [int(c) for group in ((1, 0), (2, 1), (3,)) for g in group for c in np.arange(start[g], start[g + 1])[::-1]]
+    small, large = train(aln, few, options(**o)), train(aln, few, options(**o, max_entries=10))
+    one, two = ({(r.run, r.col_id): r.w for r in t.weights.collect()} for t in (small, large))
+    assert one and all(np.isclose(one.get(k, 0.0), two.get(k, 0.0), atol=1e-4) for k in one.keys() | two.keys())
+    a, b = ({(r.run, r["sample"], r.fold): r.prediction for r in t.cv_predictions.collect()} for t in (small, large))
+    assert a.keys() == b.keys() and all(np.isclose(a[k], b[k], atol=1e-3) for k in a)
+
+
+def test_points_that_are_passed_over_are_not_solved(data, monkeypatch):
+    from sitewise.plans import train as module
+
+    aln, hyp = data
+    lambdas = [(3 * i + j, 0.1 + 0.2 * i, 0.1 + 0.4 * j) for i in range(3) for j in range(3)]
+    o = dict(lambdas=lambdas, precision="fp64", solver=Options(max_iter=10))
+    whole = train(aln, hyp, options(**o))
+    counts = {r.run: r.n for r in whole.weights.groupBy("run").agg({"gene": "count"}).selectExpr("run", "`count(gene)` AS n").collect()}
+    genes = {i: len({r.gene for r in whole.weights.where(f"run = {i}").select("gene").distinct().collect()}) if i in counts else 0 for i in range(9)}
+    want = set(module.skipped(lambdas, genes, 2))
+    solved = []
+    plain = module.solve_grid
+    monkeypatch.setattr(module, "solve_grid", lambda grid, *a: (solved.extend(r.run for r in grid.collect()), plain(grid, *a))[1])
+    found = train(aln, hyp, options(**o, min_groups=2))
+    assert want and {run for _, run in found.pruned} == want and {r.run for r in found.weights.select("run").distinct().collect()} == set(counts) - want
+    last = [i for i in want if lambdas[i][2] > lambdas[0][2]]  # those of the smallest second penalty go together
+    assert len(solved) < 9 and not set(last) & set(solved)
+    large = train(aln, hyp, options(**o, min_groups=2, max_entries=10))
+    one, two = ({(r.run, r.col_id): r.w for r in t.weights.collect()} for t in (found, large))
+    assert one.keys() == two.keys() and all(np.isclose(one[k], two[k], atol=1e-8) for k in one)
+
+
 def test_columns_of_minor_alleles(data):
     aln, hyp = data
     plain = train(aln, hyp, options(lambdas=[(0, 0.1, 0.1)]))
