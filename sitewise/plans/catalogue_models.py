@@ -1,4 +1,4 @@
-"""Queries that fit models or iterate: rows only, no SQL twin."""
+"""Queries that fit models or iterate; the fixed steps have SQL twins, the others give rows only."""
 
 from __future__ import annotations
 
@@ -8,8 +8,9 @@ from ..functions import grids
 from ..operators import sites as A
 from ..solver.distributed import gather, numbered, solve_columns, solve_grid
 from ..solver.kernel import Groups, Options
+from ..solver.relational import fixed_steps, steps_sql
 from . import inputs as I  # noqa: E741
-from .catalogue import QUERIES
+from .catalogue import QUERIES, query
 from .train import TrainOptions, train
 from .workflows import ContrastOptions, contrast_scan
 
@@ -48,6 +49,26 @@ def _(spark, d):
     return _numeric(spark, d, "gl_logisticr")
 
 
+_MATRIX = """WITH e AS (SELECT vec_id AS sample, label, unnest(embedding)::DOUBLE AS value, unnest(range(len(embedding))) AS col_id FROM embeddings),
+mat AS (SELECT col_id, printf('g%02d', col_id // 8) AS gene, sample, value FROM e), tgt AS (SELECT DISTINCT sample, CASE WHEN label = 0 THEN 1e0 ELSE -1e0 END AS y FROM e),
+"""
+
+
+def _stepped(name: str, steps: int = 6, **how) -> None:
+    """Fixed accelerated steps over the whole numeric table, as joins and aggregates in both languages."""
+    sql = _MATRIX + steps_sql(0.1, 0.1, steps, **how) + f"\nSELECT col_id, gene, round(x, 9) AS w, round(c, 9) AS intercept FROM x{steps}, c{steps} WHERE round(x, 9) <> 0"
+
+    @query(name, sql)
+    def _(spark, d):
+        weights, intercept = fixed_steps(I.embedding_matrix(spark, d), I.embedding_target(spark, d), 0.1, 0.1, steps, **how)
+        return weights.select("col_id", "gene", F.round("w", 9).alias("w"), F.round(F.lit(intercept), 9).alias("intercept")).where("w <> 0")
+
+
+_stepped("steps_sg_lasso")
+_stepped("steps_leastr", logistic=False)
+_stepped("steps_gl", groups_only=True)
+
+
 @model("train_columns")
 def _(spark, d):
     matrix, target = I.embedding_matrix(spark, d), I.embedding_target(spark, d)

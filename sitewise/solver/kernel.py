@@ -145,6 +145,7 @@ class Options:
     start_at_gradient: bool = False
     absolute: bool = False
     dense_bytes: int = 512 << 20
+    lipschitz: float | None = None  # the first step constant; one that is large enough is never raised
 
 
 @dataclass
@@ -372,7 +373,7 @@ def _sparse_group(logistic: bool, overlap: bool):
 
         penalty = lambda x: a * float(np.abs(x).sum()) + b * float((groups.weight * groups.norms(x)).sum())
         first = matrix.tdot(y) if overlap and not logistic and o.start_at_gradient else None
-        found = accelerate(matrix, y, logistic, prox, penalty, o, weights, first)
+        found = accelerate(matrix, y, logistic, prox, penalty, o, weights, first, o.lipschitz)
         found.l1, found.l2 = a, b
         return found
 
@@ -390,7 +391,7 @@ def _group_logistic(matrix: Columns, y: np.ndarray, groups: Groups, l1: float, l
         grad = matrix.tdot(weights * np.where(y > 0, 1 - share, -share))
         dual = 1e6 if o.q == 1 else 1.0 if o.q >= 1e6 else o.q / (o.q - 1)
         by = l1 * float(groups.norms(grad, dual).max(initial=0.0))
-    found = accelerate(matrix, y, True, lambda v, big: shrink_q(v, groups, by / big, o.q), lambda x: by * float(groups.norms(x, o.q).sum()), o, weights)
+    found = accelerate(matrix, y, True, lambda v, big: shrink_q(v, groups, by / big, o.q), lambda x: by * float(groups.norms(x, o.q).sum()), o, weights, None, o.lipschitz)
     found.l1 = by
     return found
 

@@ -205,7 +205,7 @@ class Sweep:
         none = np.zeros((len(y), count)), np.zeros((7, count))
         state = self.state.map(lambda k: (k.at(k.tdot(b0) if started else np.zeros((len(k.cols), count)), np.zeros((len(k.cols), count))),)).persist()
         ax = state.map(lambda t: t[0].dot(t[0].x)).treeAggregate(none[0], np.add, np.add) if started else none[0]
-        c, big = self.shares.intercept.copy(), (1.0 / self.shares.m if logistic else np.ones(count)) + ridge
+        c, big = self.shares.intercept.copy(), (1.0 / self.shares.m if logistic else np.ones(count)) + ridge if o.lipschitz is None else np.full(count, o.lipschitz)
         back_ax, back_c, active = ax.copy(), np.zeros(count), np.ones(count, bool)
         before, now, last = 0.0, 1.0, np.full(count, np.nan)
         for step in range(o.max_iter):

@@ -224,6 +224,28 @@ def test_overlapping_groups_on_the_column_tier(spark, logistic):
         assert want.x.any() and np.allclose(got[i], [*want.x, want.intercept], atol=1e-4)
 
 
+@pytest.mark.parametrize("method", ["sg_lasso", "sg_lasso_leastr", "gl_logisticr"])
+def test_fixed_steps_as_joins_equal_the_kernel(spark, method):
+    from sitewise.solver.relational import fixed_steps
+
+    dense, a, y, groups = problem(m=40, n=60, groups=12)
+    rng = np.random.default_rng(5)
+    value = rng.normal(size=len(a.col))
+    value[:3] = 0
+    a = Columns(40, 60, a.col, a.row, value)
+    matrix = spark.createDataFrame([(int(c), f"g{c // 5:02d}", f"s{r}", float(v)) for c, r, v in zip(a.col, a.row, a.value, strict=True)], "col_id long, gene string, sample string, value double")
+    target = spark.createDataFrame([(f"s{i}", float(v)) for i, v in enumerate(y)] + [("other", 0.0)], "sample string, y double")
+    logistic = not method.endswith("leastr")
+    table, c = fixed_steps(matrix, target, 0.1, 0.2, 6, logistic, method == "gl_logisticr")
+    trace = float((a.value**2).sum())
+    big = (trace / 40 + 1) / 4 if logistic else trace
+    want = fit(method, a, y, groups, 0.1, 0.2, Options(max_iter=6, lipschitz=big))
+    got = np.zeros(60)
+    for r in table.collect():
+        got[r.col_id] = r.w
+    assert want.x.any() and np.allclose(got, want.x, atol=1e-9) and np.isclose(c, want.intercept)
+
+
 def test_registered_models_run_the_default_schedule():
     import inspect
 
