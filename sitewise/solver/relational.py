@@ -70,7 +70,7 @@ def _slope(a: Column, y: Column, c: float, m: int, logistic: bool) -> Column:
 def steps_sql(l1: float, l2: float, steps: int, logistic: bool = True, groups_only: bool = False) -> str:
     """The same as SQL over ``mat`` (col_id, gene, sample, value) and ``tgt`` (sample, y): CTEs up to ``x{steps}`` (col_id, gene, x, old)."""
     weight = "1e0" if groups_only else "sqrt(count(*))"
-    cut = "0e0" if groups_only else f"{l1} * max(grad)"
+    cut = f"{0.0 if groups_only else l1} * max(grad)"
     b0 = "CASE WHEN y > 0 THEN 1 - m1 ELSE -m1 END / m" if logistic else "y"
     parts = [f"""r AS MATERIALIZED (SELECT sample, y FROM tgt WHERE y <> 0),
 k AS MATERIALIZED (SELECT count(*)::DOUBLE AS m, count(*) FILTER (WHERE y > 0) / count(*)::DOUBLE AS m1 FROM r),
