@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import grids
-from .operators import scores, sites
+from .operators import labels, scores, sites
 from .plans import workflows as W
 from .plans.runlog import RunLog
 from .plans.train import TrainOptions, encode, encode_numeric, evaluate, evaluate_numeric, train
@@ -121,10 +121,16 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--num-log-points", type=int, default=20)
     c.set_defaults(one=None, group_penalty_type="median")
     c = command("evaluate", False)
-    c.add_argument("model")
+    c.add_argument("model", help="the folder of a training run, or a weights file (a pattern takes several)")
     c.add_argument("list")
     c.add_argument("--hypothesis")
     c.add_argument("--datatype", default="universal")
+    c.add_argument("--data-defs")
+    c.add_argument("--minor-alleles", help="by default, the file beside the weights or up to two folders above")
+    c.add_argument("--tiered-minor-alleles")
+    c.add_argument("--no-visualize", action="store_true")
+    c.add_argument("--gene-limit", type=int, default=100)
+    c.add_argument("--species-limit", type=int, default=100)
     c = command("ingest", False)
     c.add_argument("paths", nargs="+")
     c.add_argument("--datatype", default="universal")
@@ -229,14 +235,16 @@ def _combos(a: argparse.Namespace) -> list[list[tuple[str, str]]]:
 def _train_texts(spark: SparkSession, a: argparse.Namespace, alignments: DataFrame, hypothesis: DataFrame, found, o: TrainOptions) -> None:
     """The text files of a training run."""
     e, numeric = found.encoded, a.datatype == "numeric"
+    bare = texts.unplaced if numeric else lambda t: t
+    feats, weights = bare(e.features), bare(found.weights)
     nested = found.weights.select("penalty_idx").distinct().count() > 1
     at = texts.folder(nested=nested)
     file = lambda name, place=at: F.concat(place, F.lit(name))
     penalty = F.concat(F.lit("penalty_"), F.col("penalty_idx").cast("string"), F.lit("/")) if nested else F.lit("")
-    base = found.weights.where("w <> 0")
+    base = weights.where("w <> 0")
     name = texts.label(F.col("gene"), F.col("pos"), F.col("allele"))
     parts = [
-        texts.feature_lines(e.features), texts.weight_lines(found.weights, found.intercepts, file("weights.txt")), texts.gene_lines(found.gene_scores, file("gss.txt")),
+        texts.feature_lines(feats), texts.weight_lines(weights, found.intercepts, file("weights.txt")), texts.gene_lines(found.gene_scores, file("gss.txt")),
         texts.lines(base, file("bss.txt"), F.concat_ws(texts.TAB, name, F.format_string("%.17e", "w")), F.col("col_id")),
         texts.lines(spark.createDataFrame(o.lambdas, "run int, l1 double, l2 double"), F.lit("lambda_list.txt"), F.format_string("%s %s", "l1", "l2"), F.col("run")),
     ]
@@ -255,12 +263,12 @@ def _train_texts(spark: SparkSession, a: argparse.Namespace, alignments: DataFra
     if found.medians:
         six = {"value": "median", "form": "%.6f"}
         parts.append(texts.gene_lines(found.medians["gene"], file("gss_median.txt", penalty), **six))
-        first = found.medians["base"].join(e.features.select("col_id", "gene", "pos", "allele"), "col_id")
+        first = found.medians["base"].join(feats.select("col_id", "gene", "pos", "allele"), "col_id")
         parts.append(texts.lines(first, file("bss_median.txt", penalty), F.concat_ws(texts.TAB, name, F.format_string("%.6f", "median")), F.col("first_run"), F.col("col_id")))
         if not numeric:
             parts.append(texts.position_lines(found.medians["position"], file("pss_median.txt", penalty), **six))
     if found.cv_predictions is not None:
-        fold = found.fold_weights
+        fold = bare(found.fold_weights)
         row = F.concat_ws(texts.TAB, F.col("sample").cast("string"), F.format_string("%.6f", "prediction"), F.format_string("%.6f", "y"))
         parts.append(texts.lines(found.cv_predictions, file("cv_predictions.txt"), row, F.col("sample"), F.col("fold")))
         of_fold = F.concat(at, F.lit("weights_fold_"), F.col("fold").cast("string"), F.lit(".txt"))
@@ -269,9 +277,66 @@ def _train_texts(spark: SparkSession, a: argparse.Namespace, alignments: DataFra
         n_pos, n_neg, _ = scores.class_counts(hypothesis).first()
         parts.append(spark.createDataFrame([("sweights.txt", 0, "1"), ("sweights.txt", 1, f"{n_pos / max(1, n_neg):.6g}")], "file string, n long, value string"))
     if a.write_features:
-        parts.append(texts.matrix_lines(e.cells, e.features, hypothesis, "features.csv"))
+        parts.append(texts.matrix_lines(e.cells, feats, hypothesis, "features.csv"))
     if a.write_features_transposed:
-        parts.append(texts.matrix_lines(e.cells, e.features, hypothesis, "features_transposed.csv", transposed=True))
+        parts.append(texts.matrix_lines(e.cells, feats, hypothesis, "features_transposed.csv", transposed=True))
+    texts.write(a.out, *parts)
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(of.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(of))
+
+
+def _model(spark: SparkSession, a: argparse.Namespace, genes: DataFrame) -> dict[str, DataFrame]:
+    """features, weights and intercepts of a run's tables, or of weights files and the minor alleles that go with them."""
+    if _there(spark, f"{a.model}/weights"):
+        read = lambda n: spark.read.parquet(f"{a.model}/{n}")
+        return {"features": read("features"), "weights": read("weights").select("penalty_idx", "run", "col_id", "w"), "intercepts": read("intercepts")}
+    folder = os.path.dirname(a.model) or "."
+    given = a.tiered_minor_alleles or a.minor_alleles
+    beside = [f"{folder}{up}/{name}" for up in ("", "/..", "/../..") for name in ("minor_alleles.txt", "tiered_minor_alleles.txt")]
+    file = given or next((f for f in beside if not any(c in f for c in "*?[{") and _there(spark, f)), None)
+    read = texts.read_weights(spark, a.model)
+    found = labels.text_model(read, genes, texts.read_minor(spark, file) if file else None)
+    if a.datatype == "numeric":
+        named = labels.resolved(read.where("label <> 'Intercept'"), genes)
+        found |= {"features": named.where("gene IS NOT NULL"), "unknown": named.where("gene IS NULL").select("label")}
+    for r in found["unknown"].limit(20).collect():  # a message
+        print(f"no gene of the list has the label {r.label}")
+    return found
+
+
+def _evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Predictions with metrics, the table of gene scores, and a picture per run."""
+    alignments, groups = _alignments(spark, a.list, a.datatype, a.data_defs)
+    hypothesis = tables.read_hypothesis(spark, a.hypothesis) if a.hypothesis else None
+    genes = spark.createDataFrame([(g,) for g in sorted({gene for _, gene, _ in groups})], "gene string")
+    model = _model(spark, a, genes)
+    if a.datatype == "numeric" and "unknown" in model:  # labels are names of features
+        names = alignments.select("gene", "feature", F.col("name").alias("rest")).distinct()
+        model["features"] = model["features"].join(names, ["gene", "rest"]).select(F.col("label").alias("col_id"), "gene", F.col("feature").alias("pos"), F.col("rest").alias("allele"))
+    judge = evaluate_numeric if a.datatype == "numeric" else evaluate
+    found = judge(alignments, model["features"], model["weights"], model["intercepts"], hypothesis)
+    _save(a.out, **found)
+    at = F.concat(F.lit("penalty_"), F.col("penalty_idx").cast("string"), F.lit("/lambda_"), F.col("run").cast("string"), F.lit("/"))
+    file = F.concat(at, F.lit("eval.txt"))
+    predicted = found["predictions"]
+    row = F.concat_ws(texts.TAB, F.col("sample").cast("string"), F.format_string("%.6f", "prediction"), F.format_string("%.6f", "probability"), F.col("class").cast("string"))
+    head = predicted.select("penalty_idx", "run").distinct().select(file.alias("file"), F.lit(0).cast("long").alias("n"), F.lit("SeqID\tPrediction\tProbability\tClassPrediction").alias("value"))
+    full = predicted if "y" in predicted.columns else predicted.withColumn("y", F.lit(None).cast("double"))
+    parts = [head, texts.lines(predicted, file, row, F.col("sample")), texts.prediction_lines(full, found["gene_scores"], F.concat(at, F.lit("eval_gene_predictions.txt")), ["penalty_idx", "run"])]
+    if "metrics" in found:
+        names = [c for c in found["metrics"].columns if c not in ("penalty_idx", "run")]
+        said = found["metrics"].select("penalty_idx", "run", F.posexplode(F.array(*[F.concat_ws(texts.TAB, F.lit(c), F.col(c).cast("string")) for c in names])).alias("k", "line"))
+        parts.append(texts.lines(said, F.concat(at, F.lit("metrics.txt")), F.col("line"), F.col("k")))
+    if not a.no_visualize:
+        pictures = []
+        for r in predicted.select("penalty_idx", "run").distinct().orderBy("penalty_idx", "run").collect():  # a row per grid point
+            of = lambda t, r=r: t.where((F.col("penalty_idx") == r.penalty_idx) & (F.col("run") == r.run))
+            drawn = svg.heatmap(of(full).select("sample", "y", "prediction"), of(found["gene_scores"]).select("sample", "gene", "score"), a.gene_limit, a.species_limit)
+            pictures.append((f"penalty_{r.penalty_idx}/lambda_{r.run}/eval.svg", 0, drawn))
+        parts.append(spark.createDataFrame(pictures, "file string, n long, value string"))
     texts.write(a.out, *parts)
 
 
@@ -399,17 +464,7 @@ def _run(spark: SparkSession, a: argparse.Namespace) -> None:
         _save(a.out, **found)
         _contrast_texts(spark, a, found, o, groups)
     elif a.command == "evaluate":
-        alignments, _ = _alignments(spark, a.list, a.datatype)
-        hypothesis = tables.read_hypothesis(spark, a.hypothesis) if a.hypothesis else None
-        read = lambda n: spark.read.parquet(f"{a.model}/{n}")
-        judge = evaluate_numeric if a.datatype == "numeric" else evaluate
-        found = judge(alignments, read("features"), read("weights").select("penalty_idx", "run", "col_id", "w"), read("intercepts"), hypothesis)
-        _save(a.out, **found)
-        at = F.concat(F.lit("penalty_"), F.col("penalty_idx").cast("string"), F.lit("/lambda_"), F.col("run").cast("string"), F.lit("/eval.txt"))
-        predicted = found["predictions"]
-        row = F.concat_ws(texts.TAB, F.col("sample").cast("string"), F.format_string("%.6f", "prediction"), F.format_string("%.6f", "probability"), F.col("class").cast("string"))
-        head = predicted.select("penalty_idx", "run").distinct().select(at.alias("file"), F.lit(0).cast("long").alias("n"), F.lit("SeqID\tPrediction\tProbability\tClassPrediction").alias("value"))
-        texts.write(a.out, head, texts.lines(predicted, at, row, F.col("sample")))
+        _evaluate(spark, a)
     elif a.command == "ingest":
         fasta.ingest(spark, a.paths, a.out, a.datatype).drop("samples").show(50, False)
     elif a.command == "info":

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grids
 from ..functions.columns import MINOR_POS, valid_residues
+from ..operators import labels
 from ..operators import scores as S
 from ..operators import sites as A
 from ..sources import fasta, newick, tables, texts
@@ -54,6 +55,40 @@ def _(spark, d):
     return fasta.position(I.roles_alignment(spark, d), "user", 4)
 
 
+_NAMES = """stems AS (SELECT DISTINCT unnest([r_name, CASE WHEN n_nationkey % 2 = 0 THEN r_name || '_' || n_name END]) AS gene FROM region JOIN nation ON n_regionkey = r_regionkey),
+labels AS (SELECT r_name || '_' || n_name || '_' || c_custkey AS label, c_acctbal AS w FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey % 11 > 0
+           UNION ALL SELECT n_name || '_' || c_custkey, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 11 = 0)"""
+
+
+def _labelled(spark, d):
+    """Weights of labels that begin with a region, or a region and a nation of even number, or with neither; and these names."""
+    places = I.read(spark, d, "nation").join(I.read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    both = F.concat_ws("_", "r_name", "n_name")
+    genes = places.select("r_name").unionByName(places.where("n_nationkey % 2 = 0").select(both.alias("r_name"))).select(F.col("r_name").alias("gene"))
+    key, odd = F.col("c_custkey").cast("string"), F.col("c_custkey") % 11 > 0
+    met = I.read(spark, d, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+    return met.select(F.concat_ws("_", F.when(odd, F.col("r_name")), "n_name", key).alias("label"), F.col("c_acctbal").alias("w")), genes
+
+
+@query("label_genes", "WITH " + _NAMES + """ SELECT label, arg_max(gene, length(gene)) AS gene, substr(label, max(length(gene)) + 2) AS rest
+FROM labels LEFT JOIN stems ON starts_with(label, gene || '_') AND length(label) > length(gene) + 1 GROUP BY label""")
+def _(spark, d):
+    weights, genes = _labelled(spark, d)
+    return labels.resolved(weights, genes)
+
+
+@query("weights_reread", "WITH " + _NAMES + """, m AS (SELECT label, w, arg_max(gene, length(gene)) AS gene FROM labels LEFT JOIN stems ON starts_with(label, gene || '_') GROUP BY label, w)
+SELECT gene, round(sum(abs(w)), 4) AS score, count(*) AS n FROM m WHERE gene IS NOT NULL GROUP BY gene""")
+def _(spark, d):
+    """Written as a weights file, read back, and scored by gene."""
+    weights, genes = _labelled(spark, d)
+    out = scratch_folder(spark, "weights")
+    weights.select(F.concat_ws("\t", "label", F.format_string("%.17e", "w")).alias("value")).write.mode("overwrite").text(f"{out}/lambda_0")
+    found = texts.read_weights(spark, f"{out}/lambda_0/part-*")
+    met = found.join(labels.resolved(found, genes), "label").where("gene IS NOT NULL")
+    return met.groupBy("gene").agg(F.round(F.sum(F.abs("w")), 4).alias("score"), F.count(F.lit(1)).alias("n"))
+
+
 @query("numeric_long", "SELECT CAST(vec_id AS VARCHAR) AS sample, CAST(unnest(range(len(embedding))) AS INTEGER) AS feature, CAST(unnest(embedding) AS FLOAT) AS value FROM embeddings")
 def _(spark, d):
     """Written as a whitespace table and read back."""

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import MINOR_POS, label
@@ -29,6 +29,11 @@ def folder(*by: str, nested: bool = True) -> Column:
     return F.concat(F.lit("penalty_"), F.col("penalty_idx").cast("string"), F.lit("/"), run) if nested else run
 
 
+def unplaced(rows: DataFrame) -> DataFrame:
+    """Rows of numeric columns, whose labels are the gene's and the feature's name."""
+    return rows.withColumn("pos", F.lit(MINOR_POS))
+
+
 def _names() -> Column:
     return label(F.col("gene"), F.col("pos"), F.col("allele"))
 
@@ -94,6 +99,26 @@ def prediction_lines(predicted: DataFrame, gene_scores: DataFrame, file: Column,
     return body.unionByName(head)
 
 
+def read_weights(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(penalty_idx, run, label, w) of weights files; the numbers are those of folders penalty_P and lambda_N above a file, else 0.
+    Lines without a tab or a number are left out; of a label that a file repeats, weights add up."""
+    rows = spark.read.text(paths).select(F.input_file_name().alias("path"), F.substring_index("value", TAB, -1).try_cast("double").alias("w"), F.regexp_extract("value", r"(?s)^(.*)\t", 1).alias("label"), F.contains("value", F.lit(TAB)).alias("ok"))
+    number = lambda name: F.coalesce(F.regexp_extract("path", rf"/{name}_(\d+)/", 1).try_cast("int"), F.lit(0))
+    return rows.where("ok AND w IS NOT NULL").groupBy(number("penalty").alias("penalty_idx"), number("lambda").alias("run"), "label").agg(F.sum("w").alias("w"))
+
+
+def read_scores(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, key, score) of files of scores by gene, position or label."""
+    rows = spark.read.text(paths).where(F.contains("value", F.lit(TAB)))
+    return rows.select(F.input_file_name().alias("file"), F.regexp_extract("value", r"(?s)^(.*)\t", 1).alias("key"), F.substring_index("value", TAB, -1).try_cast("double").alias("score")).where("score IS NOT NULL")
+
+
+def read_minor(spark: SparkSession, path: str) -> DataFrame:
+    """(label, freq) of a file of minor alleles, with or without frequencies."""
+    rows = spark.read.text(path).where(F.trim("value") != "").select(F.split("value", TAB).alias("p"))
+    return rows.select(F.element_at("p", 1).alias("label"), F.try_element_at("p", F.lit(2)).try_cast("double").alias("freq"))
+
+
 def write(out: str, *parts: DataFrame) -> None:
     """Writes the files of all ``parts`` under ``out``."""
     every = reduce(DataFrame.unionByName, parts)
