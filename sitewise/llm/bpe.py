@@ -208,23 +208,28 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFram
     return docs.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, n_tokens, and SHA-256 of the ids (decimal, spaced) and of the bytes decoded from them."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+def digests(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, and SHA-256 of the ids (decimal, spaced) and of the bytes decoded from them; ``with_ids``: source and the ids too."""
+    fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+    named = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    if with_ids:
+        fields, named = [*fields, ("source", pa.string()), ("ids", pa.list_(pa.int32()))], named + ", source string, ids array<int>"
+    schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
 
         def rows():
             for batch in batches:
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for doc, text, *source in zip(batch.column(0).to_pylist(), batch.column(1), *(c.to_pylist() for c in batch.columns[2:]), strict=True):
                     ids = own.encode(text.as_py() or "")
                     said = " ".join(map(own.decimal.__getitem__, ids))
-                    yield doc, len(ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()
+                    row = doc, len(ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()
+                    yield (*row, *source, ids) if with_ids else row
 
-        yield from emit(rows(), schema)
+        yield from emit(rows(), schema, (lambda row: 4 * row[1]) if with_ids else None)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text", *(["source"] if with_ids else [])).mapInArrow(run, named)
 
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -235,4 +240,5 @@ def op9(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op9(spark, docs)
+    """The ids themselves, per row of the mix, with its document and source."""
+    return digests(docs, public_tokenizers.path(VOCABULARY), with_ids=True)

@@ -12,8 +12,10 @@ meet blocks by (source, index). The last slot takes only the words that are left
 of the target.
 
 The mix (:func:`mix`) is the shards: rows in order of shard, place and offset in the block,
-each the words that a slot takes of one document, with the white space after them.
-The pieces of a whole pass over a document, in its own order, are its text.
+each the words that a slot takes of one document, with the white space before them (after them at the end of a text).
+The pieces of a whole pass over a document, in its own order, are its text. Tokenizers of bytes take a space with the word after
+it, so a cut falls between their pre-tokens and the pieces' ids, one after the other, are those of the text (not so where
+white space beyond ASCII stands next to a cut).
 
 Permutations are swap-or-not shuffles over [0, n): any index is computed on its
 own, from a hash of the seed, so reruns agree and nothing is sorted or collected.
@@ -153,12 +155,10 @@ def mix(docs: DataFrame, seed: int = 1, block: int = BLOCK, shard_slots: int = S
     aims = targets(rows, block=block)
     some = taken(rows, aims, seed, block, shard_slots).select(F.col("row").alias("_sw_row"), F.struct("first", "words", "shard", "place", "offset").alias("p"))
     parts = some.groupBy("_sw_row").agg(F.collect_list("p").alias("_sw_parts"))  # as many as a text has blocks, per pass
-    words = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    lead = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
+    words = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D]+[^\x20\x09-\x0D])")  # what stands at either end goes with the first or last word
 
     def cut(w: Column, p: Column) -> Column:
-        begins = p["first"] == 0  # white space at the start goes with the first word
-        said = F.slice(w, F.when(begins, 1).otherwise(p["first"] + 1 + lead).cast("int"), F.when(begins, p["words"] + lead).otherwise(p["words"]).cast("int"))
+        said = F.slice(w, (p["first"] + 1).cast("int"), p["words"].cast("int"))
         return F.struct(p["shard"].alias("shard"), p["place"].alias("place"), p["offset"].alias("offset"), F.array_join(said, "").alias("text"))
 
     bound = F.transform(F.array(words), lambda w: F.transform("_sw_parts", lambda p: cut(w, p)))  # the words are split once

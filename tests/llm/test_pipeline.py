@@ -1,9 +1,11 @@
 """The pipeline against brute-force versions of its stages."""
 
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 
 import corpus_pipeline
-from sitewise.llm import linededup, minhash, mixing, toxicity
+import public_tokenizers
+from sitewise.llm import bpe, linededup, minhash, mixing, toxicity
 from sitewise.llm._common import read_table, table
 
 from .test_linededup import brute as lines_brute
@@ -52,4 +54,30 @@ def test_stages(spark, small):
         took[r.source] += count(r.text)
         assert r.n_chars == len(r.text)
     assert mixed.columns == columns and all(abs(took[s] - aims[s]) <= 64 for s in aims)
-    assert corpus_pipeline.run(spark, small).count() == mixed.count()
+    rows = corpus_pipeline.run(spark, small).collect()
+    own = bpe.encoder(public_tokenizers.path(bpe.VOCABULARY))
+    decoded = Counter((r.doc_id, r.source, own.decode(r.ids).decode()) for r in rows)
+    assert decoded == Counter((r.doc_id, r.source, r.text) for r in mixed.collect()) and all(r.n_tokens == len(r.ids) for r in rows)
+
+
+def test_ids_of_pieces_are_those_of_their_document(spark, documents, small):
+    """Cuts fall between pre-tokens: a pass's pieces, encoded one by one and joined in order, are the document's ids."""
+    texts = [r.text for r in read_table(spark, small, "documents").limit(40).collect()] + [" lead  and\n\n trail \n", "one", "it's 12,5% (so).\n\tTab", "é\u3000wide x"] * 30
+    docs = documents(texts, sources=["a"] * len(texts))
+    pieces = table(mixing.mix(docs, block=7), "pieces").collect()
+    own = bpe.encoder(public_tokenizers.path(bpe.VOCABULARY))
+    by_doc = defaultdict(set)
+    for r in pieces:
+        by_doc[r.doc_id].add(r.text)
+    whole = 0
+    for i, text in enumerate(texts):
+        cuts = [m.start() for m in re.finditer(r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D]+[^\x20\x09-\x0D])", text or "")]
+        found = sorted(((text.find(p), p) for p in by_doc[i]), key=lambda x: x[0])
+        assert all(at == 0 or at in cuts or text.count(p) > 1 for at, p in found)
+        at, ids = 0, []
+        for p in iter(lambda: max((p for p in by_doc[i] if text.startswith(p, at) and p), key=len, default=None), None):
+            ids, at = ids + own.encode(p), at + len(p)
+        if text and at == len(text):
+            whole += 1
+            assert ids == own.encode(text)
+    assert whole > 60
