@@ -4,23 +4,31 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import DOMAINS, stem, valid_residues
+from .scratch import settled
 
 SCHEMA = pa.schema([("gene", pa.string()), ("path", pa.string()), ("sample", pa.string()), ("seq_ord", pa.int32()), ("seq", pa.string()), ("error", pa.string())])
 DDL = "gene string, path string, sample string, seq_ord int, seq string, error string"
 
 
+#: What lines end in besides the line feed.
+BLANK = " \t\r\v\f"
+#: Files beyond this are read in splits.
+WHOLE = 64 << 20
+
+
 def parse(text: str) -> tuple[list[tuple[str, str]], str | None]:
     """(identifier, sequence) of each record, and the first fault: data before a header, or no sequence."""
     found: list[tuple[str, list[str]]] = []
-    for line in text.splitlines():
-        line = line.rstrip()
+    for line in text.split("\n"):
+        line = line.rstrip(BLANK)
         if not line:
             continue
         if line.startswith(">"):
@@ -43,9 +51,70 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), SCHEMA, strict=True)], schema=SCHEMA)
 
 
-def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """gene (file stem), path, sample (the whole header), seq_ord, seq, error; faulty files give one row with error."""
-    return parsed(spark.read.format("binaryFile").load(paths))
+def read_fasta(spark: SparkSession, paths: str | list[str], whole: int = WHOLE) -> DataFrame:
+    """gene (file stem), path, sample (the whole header), seq_ord, seq, error; faulty files give one row with error.
+
+    Files of up to ``whole`` bytes are a row each on their way; larger ones are read in splits, with the same result.
+    """
+    files = spark.read.format("binaryFile").load(paths)
+    large = [r.path for r in files.where(F.col("length") > whole).select("path").collect()]  # the listing; no contents
+    small = parsed(files.where(F.col("length") <= whole) if large else files)
+    return small.unionByName(_split(spark, large)) if large else small
+
+
+FRAGMENTS = pa.schema([("path", pa.string()), ("block", pa.int64()), ("k", pa.int64()), ("sample", pa.string()), ("seq", pa.string())])
+
+
+def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of splits (path, block, value), in order, to their records: k is 1, 2, ... in a split, 0 for what stands before its first
+    header; a split without lines of a record has a row with k 0 too."""
+    held: list[tuple] = []
+    size = 0
+    at, k, sample, parts = None, 0, None, []
+
+    def flush() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), FRAGMENTS, strict=True)], schema=FRAGMENTS)
+        held.clear()
+        return batch
+
+    for batch in batches:
+        for path, block, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            path = "file:" + unquote(path).removeprefix("file://") if path.startswith("file:///") else unquote(path)  # as the listing has it
+            if (path, block) != at:
+                if at is not None:
+                    held.append((*at, k, sample, "".join(parts)))
+                at, k, sample, parts = (path, block), 0, None, []
+            line = line.rstrip(BLANK)
+            if line.startswith(">"):
+                held.append((*at, k, sample, "".join(parts)))
+                size += len(held[-1][-1])
+                k, sample, parts = k + 1, line[1:].lstrip(), []
+                if size > 4 << 20 or len(held) > 4096:
+                    yield flush()
+                    size = 0
+            elif line:
+                parts.append(line)
+    if at is not None:
+        held.append((*at, k, sample, "".join(parts)))
+    if held:
+        yield flush()
+
+
+def _split(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The records of large files: a record that goes on in the next splits is put together there."""
+    lines = spark.read.text(paths, lineSep="\n").select("_metadata.file_path", "_metadata.file_block_start", "value")
+    parts = settled(lines.mapInArrow(_fragments, "path string, block long, k long, sample string, seq string"), "fragments")
+    blocks = parts.groupBy("path", "block").agg(F.max("k").alias("_n"))  # a row per split
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = parts.join(blocks.select("path", "block", before.alias("_before")), ["path", "block"]).select("path", "block", "sample", "seq", (F.col("_before") + F.col("k")).alias("_ord"))
+    pieces = F.array_sort(F.collect_list(F.struct("block", "seq")))  # as many as splits that a record spans
+    whole = placed.groupBy("path", "_ord").agg(F.max("sample").alias("sample"), F.array_join(pieces["seq"], "").alias("seq"))
+    state = whole.groupBy("path").agg(F.max("_ord").alias("_last"), F.bool_or((F.col("_ord") == 0) & (F.col("seq") != "")).alias("_early"))
+    error = F.when(F.col("_early"), F.lit("sequence data before the first header")).when(F.col("_last") == 0, F.lit("no sequences"))
+    met = whole.join(state.select("path", error.alias("error")), "path")
+    good = met.where("error IS NULL AND _ord > 0").select("path", "sample", (F.col("_ord") - 1).cast("int").alias("seq_ord"), "seq", "error")
+    bad = state.select("path", error.alias("error")).where("error IS NOT NULL").select("path", F.lit(None).cast("string").alias("sample"), F.lit(None).cast("int").alias("seq_ord"), F.lit(None).cast("string").alias("seq"), "error")
+    return good.unionByName(bad).select(stem(F.col("path")).alias("gene"), "path", "sample", "seq_ord", "seq", "error")
 
 
 def parsed(files: DataFrame) -> DataFrame:

@@ -87,14 +87,16 @@ def read_numeric(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(gene, sample, feature, name, value) of whitespace tables.
 
     A first row whose second token is no number is a header; otherwise features are
-    named col_0, col_1, ... Short rows are an error, extra tokens are ignored.
+    named col_0, col_1, ... Short rows are an error, extra tokens are ignored. Lines are read in splits: a table of any length is
+    many tasks, and only each file's first line goes to the others.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line")).where(F.trim("line") != "")
-    cut = lines.select(stem(F.col("path")).alias("gene"), "line_no", F.split(F.trim("line"), r"\s+").alias("t"))
-    first = cut.groupBy("gene").agg(F.min_by("t", "line_no").alias("head"), F.min("line_no").alias("first"))
-    number = F.element_at("head", 2).try_cast("double").isNotNull()
-    first = first.select("gene", "first", F.when(~number, F.slice("head", 2, 1_000_000_000)).alias("names"), (F.size("head") - 1).alias("width"))
-    rows = cut.join(first, "gene").where(F.col("names").isNull() | (F.col("line_no") > F.col("first")))
+    lines = spark.read.text(path, lineSep="\n").select(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias("path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).alias("at"), "value").where(~F.col("value").rlike(r"^\s*$"))
+    cut = lines.select(stem(F.col("path")).alias("gene"), "path", "at", F.split(F.regexp_replace(F.rtrim("value", F.lit(" \t\r\x0b\x0c")), r"^\s+", ""), r"\s+").alias("t"))
+    # files of the same name are one gene; a file's first line is found in its first split that has one
+    first = cut.groupBy("gene", "path").agg(F.min_by("t", "at").alias("head"), F.min("at").alias("first"))
+    number = F.try_element_at("head", F.lit(2)).try_cast("double").isNotNull()
+    first = first.select("gene", "path", "first", F.when(~number, F.slice("head", 2, 1_000_000_000)).alias("names"), (F.size("head") - 1).alias("width"))
+    rows = cut.join(first, ["gene", "path"]).where(F.col("names").isNull() | (F.col("at") > F.col("first")))
     enough = F.when(F.size("t") - 1 < F.col("width"), F.raise_error(F.concat(F.lit("short row in "), "gene"))).otherwise(F.slice("t", F.lit(2), F.col("width")))
     long = rows.select("gene", F.element_at("t", 1).alias("sample"), "names", F.posexplode(enough).alias("feature", "text"))
     name = F.coalesce(F.try_element_at("names", F.col("feature") + 1), F.concat(F.lit("col_"), F.col("feature").cast("string")))

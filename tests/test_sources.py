@@ -104,3 +104,47 @@ def test_score_files(spark, tmp_path):
     (tmp_path / "p.tsv").write_text("SeqID\tResponse\tPrediction_mean\tg\th\ns1\t1\t0.5\t0.25\tNaN\n")
     rows = {r.gene: r.score for r in tables.read_gene_predictions(spark, str(tmp_path / "p.tsv")).collect()}
     assert rows == {"g": 0.25, "h": None}
+
+
+def test_large_alignments_are_read_in_splits(spark, tmp_path):
+    rng = __import__("random").Random(7)
+    texts = {
+        "plain": "".join(f">s{i} x\n{''.join(rng.choices('ACGT-', k=rng.randint(0, 90)))}\n" for i in range(300)),
+        "wrapped": "\n\n".join(f"> s{i}\r\n" + "\r\n".join("".join(rng.choices("ACGT", k=60)) + "  " for _ in range(40)) for i in range(12)),
+        "one": ">long\n" + "ACGT\n" * 4000 + "\n",
+        "early": "ACGT\n" * 500 + ">late\nAC\n",
+        "none": "\n \n" * 900,
+        "a b+c%d": ">a\nAC\n" * 500,
+        "empty.headers": ">a\n>b\n>\n" + ">c\nA>C\n" * 400,
+    }
+    for name, text in texts.items():
+        (tmp_path / f"{name}.fa").write_text(text)
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        rows = lambda whole: sorted(((r.gene, r.path, r["sample"], r.seq_ord, r.seq, r.error) for r in fasta.read_fasta(spark, f"{tmp_path}/*.fa", whole).collect()), key=str)
+        want = rows(1 << 30)
+        assert rows(1000) == want and rows(0) == want and len({r[0] for r in want}) == 7
+        assert {r[0]: r[5] for r in want if r[5]} == {"early": "sequence data before the first header", "none": "no sequences"}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+
+
+def test_numeric_tables_are_read_in_splits(spark, tmp_path):
+    rng = __import__("random").Random(8)
+    value = lambda: f"{rng.random():.6f}"
+    (tmp_path / "with.txt").write_text("\n  \nid  f_a\tf_b\r\n" + "".join(f"s{i}\t{value()}  {value()} \r\n\n" for i in range(200)))
+    (tmp_path / "a b+c%d.txt").write_text("s1 1 2\n")
+    (tmp_path / "without.txt").write_text("".join(f" s{i} {value()} {value()} {value()} extra\n" if i else f"s{i} {value()} {value()} {value()}\n" for i in range(200)))
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    rows = lambda: sorted(map(tuple, tables.read_numeric(spark, f"{tmp_path}/*.txt").collect()))
+    want = rows()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        assert rows() == want and len(want) == 200 * 5 + 2 and {(r[0], r[3]) for r in want} == {("a b+c%d", "col_0"), ("a b+c%d", "col_1"), ("with", "f_a"), ("with", "f_b"), ("without", "col_0"), ("without", "col_1"), ("without", "col_2")}
+        assert spark.read.text(f"{tmp_path}/*.txt").rdd.getNumPartitions() > 8
+        (tmp_path / "short.txt").write_text("id a b\ns1 1 2\ns2 1\n")
+        with pytest.raises(Exception, match="short row"):
+            rows()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
