@@ -1,8 +1,8 @@
 """Text files of results, in the layout that other tools of this kind read.
 
 Every line is a row (file, n, value): its file under the output folder, its place in
-it, its text. All files are written by one job, dealt by file; the driver then only
-renames them.
+it, its text. All files are written by one job, dealt by file and by PART_LINES places; the driver then only
+renames them. A file of more places than that becomes a folder of parts, in order of their names, which Spark's reader takes like a file.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import MINOR_POS, label
 
 TAB = "\t"
+PART_LINES = 5_000_000
 
 
 def lines(rows: DataFrame, file: Column, value: Column, *order: Column) -> DataFrame:
@@ -23,6 +24,11 @@ def lines(rows: DataFrame, file: Column, value: Column, *order: Column) -> DataF
     return made.select("file", "n", value.alias("value"))
 
 
+def placed_lines(rows: DataFrame, file: Column, value: Column, n: Column) -> DataFrame:
+    """(file, n, value) of rows that know their places: no task sees a whole file."""
+    return rows.select(file.alias("file"), n.cast("long").alias("n"), value.alias("value"))
+
+
 def folder(*by: str, nested: bool = True) -> Column:
     """lambda_N/, under penalty_N/ with several penalty terms."""
     run = F.concat(F.lit("lambda_"), F.col("run").cast("string"), F.lit("/"))
@@ -60,14 +66,14 @@ def position_lines(scores: DataFrame, file: Column, value: str = "score", form:
 def feature_lines(features: DataFrame) -> DataFrame:
     """combined.map: number and label of every column."""
     head = features.sparkSession.createDataFrame([("combined.map", 0, "Position\tLabel")], "file string, n long, value string")
-    return lines(features, F.lit("combined.map"), F.concat_ws(TAB, F.col("col_id").cast("string"), _names()), F.col("col_id")).unionByName(head)
+    return placed_lines(features, F.lit("combined.map"), F.concat_ws(TAB, F.col("col_id").cast("string"), _names()), F.col("col_id") + 1).unionByName(head)
 
 
 def minor_lines(features: DataFrame, tiered: bool) -> DataFrame:
     """Labels of the minor alleles behind the columns of minor alleles; with ``tiered``, their frequencies too."""
     minor = features.where((F.col("pos") != MINOR_POS) & (F.col("allele") != F.col("major")))
     freq = F.format_string("%.6f", (F.col("n").cast("float") / F.col("total").cast("float")).cast("double"))
-    return lines(minor, F.lit("tiered_minor_alleles.txt" if tiered else "minor_alleles.txt"), F.concat_ws(TAB, _names(), freq) if tiered else _names(), F.col("col_id"))
+    return placed_lines(minor, F.lit("tiered_minor_alleles.txt" if tiered else "minor_alleles.txt"), F.concat_ws(TAB, _names(), freq) if tiered else _names(), F.col("col_id"))
 
 
 def matrix_lines(cells: DataFrame, indexed: DataFrame, samples: DataFrame, file: str, transposed: bool = False, sep: str = ",") -> DataFrame:
@@ -127,15 +133,18 @@ def write(out: str, *parts: DataFrame) -> None:
     path_of = context._jvm.org.apache.hadoop.fs.Path
     system = path_of(out).getFileSystem(context._jsc.hadoopConfiguration())
     raw = f"{out}/.lines"
-    dealt = every.withColumn("file", F.regexp_replace("file", "/", "@@")).repartition("file").sortWithinPartitions("file", "n")
-    dealt.select("file", "value").write.mode("overwrite").partitionBy("file").text(raw)
+    part = F.floor(F.col("n") / PART_LINES)
+    dealt = every.withColumns({"file": F.regexp_replace("file", "/", "@@"), "part": part}).repartition("file", "part").sortWithinPartitions("file", "part", "n")
+    dealt.select("file", "part", "value").write.mode("overwrite").partitionBy("file", "part").text(raw)
     for status in system.listStatus(path_of(raw)):
         name = status.getPath().getName()
         if not name.startswith("file="):
             continue
         target = path_of(f"{out}/{name[5:].replace('@@', '/')}")
-        system.mkdirs(target.getParent())
+        parts = sorted(system.listStatus(status.getPath()), key=lambda p: int(p.getPath().getName().partition("=")[2]))
         system.delete(target, True)
-        for part in system.listStatus(status.getPath()):  # one, as a file is dealt to one task
-            system.rename(part.getPath(), target)
+        system.mkdirs(target.getParent() if len(parts) == 1 else target)
+        for i, own in enumerate(parts):
+            for file in system.listStatus(own.getPath()):  # one, as a part is dealt to one task
+                system.rename(file.getPath(), target if len(parts) == 1 else path_of(f"{target.toString()}/part-{i:05d}"))
     system.delete(path_of(raw), True)

@@ -148,3 +148,19 @@ def test_numeric_tables_are_read_in_splits(spark, tmp_path):
             rows()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+
+
+def test_long_files_become_folders_of_parts(spark, tmp_path, monkeypatch):
+    rows = [("g", p, a, "A", 3, 9, i) for i, (p, a) in enumerate((p, a) for p in range(13) for a in "AC")]
+    feats = spark.createDataFrame(rows, "gene string, pos int, allele string, major string, n long, total long, col_id long").repartition(5)
+    texts.write(str(tmp_path / "a"), texts.feature_lines(feats), texts.minor_lines(feats, True))
+    whole = (tmp_path / "a/combined.map").read_text()
+    assert whole.splitlines() == ["Position\tLabel", *(f"{i}\tg_{p}_{a}" for _, p, a, _, _, _, i in rows)]
+    assert (tmp_path / "a/tiered_minor_alleles.txt").read_text().splitlines() == [f"g_{p}_C\t0.333333" for p in range(13)]
+    monkeypatch.setattr(texts, "PART_LINES", 10)
+    texts.write(str(tmp_path / "b"), texts.feature_lines(feats))
+    parts = sorted((tmp_path / "b/combined.map").glob("part-*"))
+    assert [p.name for p in parts] == ["part-00000", "part-00001", "part-00002"] and "".join(p.read_text() for p in parts) == whole
+    assert spark.read.text(str(tmp_path / "b/combined.map")).count() == 27
+    texts.write(str(tmp_path / "b"), texts.feature_lines(feats.limit(0)))  # a file takes the folder's place
+    assert (tmp_path / "b/combined.map").read_text() == "Position\tLabel\n"
