@@ -63,9 +63,9 @@ def major_of() -> Column:
     return F.max_by("ch", F.struct(F.col("n"), -F.ascii("ch")))
 
 
-def site_stats(counts: DataFrame) -> DataFrame:
-    """Per site: major, n_major, total (of ungapped samples), minor (all but the major), alleles."""
-    return counts.groupBy("gene", "pos").agg(
+def site_stats(counts: DataFrame, *by: str) -> DataFrame:
+    """Per site (of each ``by``): major, n_major, total (of ungapped samples), minor (all but the major), alleles."""
+    return counts.groupBy(*by, "gene", "pos").agg(
         major_of().alias("major"), F.max("n").alias("n_major"), F.sum("n").cast("long").alias("total"),
         (F.sum("n") - F.max("n")).cast("long").alias("minor"), F.count(F.lit(1)).alias("alleles"))
 
@@ -93,10 +93,10 @@ def features(counts: DataFrame, min_minor: int = 2, drop_major: bool = False, dr
     return out
 
 
-def paired_features(counts: DataFrame, min_minor: int = 2) -> DataFrame:
+def paired_features(counts: DataFrame, min_minor: int = 2, *by: str) -> DataFrame:
     """Columns of paired contrasts: of variable sites with at least ``min_minor`` minor alleles."""
-    stats = variable_sites(site_stats(counts)).where(F.col("minor") >= min_minor)
-    return counts.join(stats.select("gene", "pos", "major", "total"), ["gene", "pos"]).where(F.col("n") >= min_minor).select("gene", "pos", F.col("ch").alias("allele"), "n", "total", "major")
+    stats = variable_sites(site_stats(counts, *by)).where(F.col("minor") >= min_minor)
+    return counts.join(stats.select(*by, "gene", "pos", "major", "total"), [*by, "gene", "pos"]).where(F.col("n") >= min_minor).select(*by, "gene", "pos", F.col("ch").alias("allele"), "n", "total", "major")
 
 
 def gene_sizes(feats: DataFrame) -> DataFrame:
@@ -182,36 +182,38 @@ def _frequency() -> Column:
     return (F.col("n").cast("float") / F.col("total").cast("float")).cast("float")
 
 
-def gap_cancelled(sites: DataFrame, pairs: DataFrame, partner_only: bool = False, tri_allelic: bool = False, min_pairs: int = 2, outgroup=None) -> DataFrame:
+def gap_cancelled(sites: DataFrame, pairs: DataFrame, partner_only: bool = False, tri_allelic: bool = False, min_pairs: int = 2, outgroup=None, by: tuple[str, ...] = ()) -> DataFrame:
     """Paired contrasts: characters of the paired samples after gap cancellation.
 
     ``pairs`` (sample, pair, and with an outgroup the boolean control). A site with a
     gap in any pair becomes ``-`` for all paired samples; with ``partner_only`` just
     for that pair, and for all if fewer than ``min_pairs`` whole pairs are left.
     ``tri_allelic``: sites with more than two residues become gaps. ``outgroup``: so
-    do sites where a control differs from that sample. Others stay as they are.
+    do sites where a control differs from that sample. Others stay as they are. With ``by``, pairs of several contrasts are
+    cancelled side by side, each by its own, and only the paired samples' characters are returned.
     """
+    key = [*by, "gene", "pos"]
     gap = F.col("ch").isin(*GAPS)
-    met = sites.join(pairs, "sample", "left")
+    met = sites.join(pairs, "sample", "inner" if by else "left")
     paired = F.col("pair").isNotNull()
-    per_pair = met.where(paired).groupBy("gene", "pos", "pair").agg(F.count_if(gap).alias("_gaps"), F.count_if(~gap).alias("_chars"))
-    site = per_pair.groupBy("gene", "pos").agg(F.count_if((F.col("_gaps") == 0) & (F.col("_chars") >= 2)).alias("_whole"), F.count_if(F.col("_gaps") > 0).alias("_broken"))
-    out = met.join(site, ["gene", "pos"], "left")
+    per_pair = met.where(paired).groupBy(*key, "pair").agg(F.count_if(gap).alias("_gaps"), F.count_if(~gap).alias("_chars"))
+    site = per_pair.groupBy(*key).agg(F.count_if((F.col("_gaps") == 0) & (F.col("_chars") >= 2)).alias("_whole"), F.count_if(F.col("_gaps") > 0).alias("_broken"))
+    out = met.join(site, key, "left")
     if partner_only:
-        out = out.join(per_pair.select("gene", "pos", "pair", "_gaps"), ["gene", "pos", "pair"], "left")
+        out = out.join(per_pair.select(*key, "pair", "_gaps"), [*key, "pair"], "left")
         lost = (F.col("_gaps") > 0) | (F.col("_whole") < min_pairs)
     else:
         lost = F.col("_broken") > 0
     if tri_allelic:
-        kinds = met.where(paired & ~gap).groupBy("gene", "pos").agg(F.count_distinct("ch").alias("_kinds"))
-        out = out.join(kinds, ["gene", "pos"], "left")
+        kinds = met.where(paired & ~gap).groupBy(*key).agg(F.count_distinct("ch").alias("_kinds"))
+        out = out.join(kinds, key, "left")
         lost |= F.coalesce(F.col("_kinds") > 2, F.lit(False))
     if outgroup is not None:
         other = sites.where(F.col("sample") == outgroup).select("gene", "pos", F.col("ch").alias("_out"))
-        differs = met.where("control").join(other, ["gene", "pos"]).groupBy("gene", "pos").agg(F.bool_or(F.col("ch") != F.col("_out")).alias("_differs"))
-        out = out.join(differs, ["gene", "pos"], "left")
+        differs = met.where("control").join(other, ["gene", "pos"]).groupBy(*key).agg(F.bool_or(F.col("ch") != F.col("_out")).alias("_differs"))
+        out = out.join(differs, key, "left")
         lost |= F.coalesce("_differs", F.lit(False))
-    return out.select("gene", "pos", "sample", F.when(paired & lost, F.lit("-")).otherwise(F.col("ch")).alias("ch"))
+    return out.select(*key, "sample", *(["pair"] if by else []), F.when(paired & lost, F.lit("-")).otherwise(F.col("ch")).alias("ch"))
 
 
 def with_all(sites: DataFrame, samples: DataFrame) -> DataFrame:

@@ -102,13 +102,22 @@ def encode_numeric(numeric: DataFrame, hypothesis: DataFrame) -> Encoded:
     return Encoded(some, features, cells, genes, sum(g[1] for g in genes))
 
 
+def listed(o: TrainOptions) -> list[tuple[int, str]] | None:
+    """(group, gene) of the list file, if groups are given."""
+    return None if o.groups is None else [(r.group, r.gene) for r in o.groups.select("group", "gene").orderBy("group", "gene").collect()]
+
+
 def _members(encoded: Encoded, o: TrainOptions) -> list[list[int]]:
     """The genes of each group, by their place."""
-    if o.groups is None:
-        return [[i] for i in range(len(encoded.genes))]
-    place = {g: i for i, (g, _, _) in enumerate(encoded.genes)}
+    return members_of(encoded.genes, listed(o))
+
+
+def members_of(genes: list[tuple[str, int, int]], groups: list[tuple[int, str]] | None) -> list[list[int]]:
+    if groups is None:
+        return [[i] for i in range(len(genes))]
+    place = {g: i for i, (g, _, _) in enumerate(genes)}
     by: dict[int, list[int]] = {}
-    for group, gene in o.groups.select("group", "gene").orderBy("group", "gene").collect():  # the list file
+    for group, gene in groups:
         by.setdefault(group, []).extend([place[gene]] if gene in place else [])
     return list(by.values())
 
@@ -132,8 +141,11 @@ def _field(encoded: Encoded, o: TrainOptions, sizes: list[int]) -> np.ndarray |
 
 def _groups(encoded: Encoded, o: TrainOptions) -> list[tuple[float, Groups]]:
     """Groups of columns with their weights, per penalty term; overlapping ones if ``o.groups`` is given."""
+    return groups_of(encoded, o, _members(encoded, o))
+
+
+def groups_of(encoded: Encoded, o: TrainOptions, members: list[list[int]]) -> list[tuple[float, Groups]]:
     start = np.cumsum([0, *(n for _, n, _ in encoded.genes)])
-    members = _members(encoded, o)
     sizes, terms = _terms(encoded, o, members)
     at = _field(encoded, o, sizes)
     if at is None:
@@ -215,8 +227,7 @@ def train(alignments: DataFrame, hypothesis: DataFrame, options: TrainOptions |
         keep = np.repeat(np.arange(len(samples)), [copies[s] for s in samples])
     else:
         keep = None
-    wide = encoded.cells.count() > o.max_entries
-    solve = (_on_columns if wide else _on_grid)(encoded, samples, y, keep, o, solver)
+    solve = solver_of(encoded, samples, y, keep, o, solver)
     if keep is not None:
         y, samples = y[keep], [samples[i] for i in keep]
     terms = len(_terms(encoded, o, _members(encoded, o))[1])
@@ -250,6 +261,11 @@ def _swept(encoded: Encoded, o: TrainOptions, terms: int, solve) -> tuple[DataFr
     return reduce(DataFrame.unionByName, found), {(p, i) for p in range(terms) for i in skipped(o.lambdas, counts[p], o.min_groups)}
 
 
+def solver_of(encoded: Encoded, samples: list, y: np.ndarray, keep: np.ndarray | None, o: TrainOptions, solver: Options):
+    """The tier that the number of cells asks for."""
+    return (_on_columns if encoded.cells.count() > o.max_entries else _on_grid)(encoded, samples, y, keep, o, solver)
+
+
 def _on_grid(encoded: Encoded, samples: list, y: np.ndarray, keep: np.ndarray | None, o: TrainOptions, solver: Options):
     """A function of points (term, run, l1, l2) and folds, on a matrix that fits a task."""
     matrix = gather(encoded.cells, samples, encoded.n, o.max_entries, np.float32 if o.precision == "fp32" else np.float64)

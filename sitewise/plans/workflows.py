@@ -5,6 +5,8 @@ from __future__ import annotations
 import itertools
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +14,10 @@ from ..functions import grids
 from ..functions.columns import label, median_nonzero
 from ..operators import scores as S
 from ..operators import sites as A
+from ..solver.kernel import Columns, fit
 from ..sources import newick
-from .train import TrainOptions, encode, evaluate, train
+from ..sources.scratch import settled
+from .train import Encoded, TrainOptions, encode, evaluate, groups_of, listed, members_of, solver_of, train
 
 # ---------------------------------------------------------------- clades
 
@@ -220,6 +224,7 @@ class ContrastOptions:
     top_share: float = 0.01
     flipped: bool = False
     randomised: int = 0
+    task_cells: int = 5_000_000  # a contrast with more of them is solved by itself
 
 
 def contrast_scan(alignments: DataFrame, combos: list[list[tuple[str, str]]], options: TrainOptions, contrast: ContrastOptions | None = None, predict: DataFrame | None = None,
@@ -238,66 +243,113 @@ def contrast_scan(alignments: DataFrame, combos: list[list[tuple[str, str]]], op
     if genes is not None:
         alignments = alignments.where(F.col("gene").isin(genes))
     predict = alignments if predict is None else predict
-    sites_out, scores, predicted, dumped = None, None, None, None
     jobs = [(i, combo, "observed", 0) for i, combo in enumerate(combos)]
     jobs += [(i, [(b, a) if k % 2 else (a, b) for k, (a, b) in enumerate(combo)], "flipped", 0) for i, combo in enumerate(combos) if c.flipped]
     jobs += [(i, combo, "randomised", r + 1) for i, combo in enumerate(combos) for r in range(c.randomised)]
-    for i, combo, kind, seed in jobs:
-        pairs = spark.createDataFrame([(s, k, s == b) for k, (a, b) in enumerate(combo) for s in (a, b)], "sample string, pair int, control boolean")
-        hypothesis = spark.createDataFrame([(s, 2 * k + j, 1.0 - 2 * j) for k, pair in enumerate(combo) for j, s in enumerate(pair)], "sample string, ord int, y double")
-        own = alignments.join(pairs.select("sample"), "sample", "left_semi") if c.outgroup is None else alignments
-        sites = A.explode_sites(own.select("gene", "sample", "seq"))
-        if c.whole_genes:
-            sites = A.with_all(sites, pairs)
-        if c.cancel:
-            sites = A.gap_cancelled(sites, pairs, c.partner_only, c.tri_allelic, c.min_pairs, c.outgroup)
-        sites = sites.join(pairs.select("sample", "pair"), "sample")
-        if kind == "randomised":
-            swap = F.xxhash64(F.lit(seed), "gene", "pos", "pair").bitwiseAND(1) == 1
-            partner = spark.createDataFrame([(x, y) for a, b in combo for x, y in ((a, b), (b, a))], "sample string, partner string")
-            sites = sites.join(F.broadcast(partner), "sample").withColumn("sample", F.when(swap, F.col("partner")).otherwise(F.col("sample"))).drop("partner")  # a row per species
-        found = _contrast_fit(A.ungapped(sites.drop("pair"), gaps=("-",)), hypothesis, options)
-        gss, pss, weights, intercepts, features = found
-        tag = lambda t: t.withColumns({"combo": F.lit(i), "model": F.lit(kind), "replicate": F.lit(seed)})  # noqa: B023, E731
-        ranked = tag(gss.groupBy("gene").agg(F.max("score").alias("score")))
-        scores = ranked if scores is None else scores.unionByName(ranked)
-        some = tag(pss.groupBy("gene", "pos").agg(F.max("score").alias("score")))
-        sites_out = some if sites_out is None else sites_out.unionByName(some)
-        if weights is not None:
-            named = tag(weights.where("w <> 0").join(features.select("col_id", "gene", "pos", "allele"), "col_id").withColumn("penalty_idx", F.floor(F.col("run") / len(options.lambdas)).cast("int")))
-            dumped = named if dumped is None else dumped.unionByName(named)
-            runs = evaluate(predict, features, weights, intercepts)["predictions"].groupBy("sample").agg(F.avg("prediction").alias("sps"))
-            predicted = tag(runs) if predicted is None else predicted.unionByName(tag(runs))
+    named = spark.createDataFrame([(j, i, kind, seed) for j, (i, _, kind, seed) in enumerate(jobs)], "job int, combo int, model string, replicate int")
+    tag = lambda t: t.join(F.broadcast(named), "job").drop("job")  # noqa: E731  a row per contrast
+    solved = _contrasts_solved(alignments, jobs, options, c)
+    width = len(options.lambdas)
+    solved = solved.withColumn("run", (F.col("penalty_idx") * width + F.col("run")).cast("int"))
+    weights = solved.where("gene IS NOT NULL AND w <> 0")
+    ranked = tag(S.gene_scores(weights, "job", "run").groupBy("job", "gene").agg(F.max("score").alias("score")))
+    sites_out = tag(S.position_scores(weights, "job", "run").groupBy("job", "gene", "pos").agg(F.max("score").alias("score")))
+    predicted = tag(_contrast_predictions(predict, weights, solved.where("gene IS NULL").select("job", "run", F.col("w").alias("intercept"))))
+    dumped = tag(weights.withColumn("col_id", F.struct("gene", "pos", "allele")))
     place = F.row_number().over(Window.partitionBy("model", "replicate", "combo").orderBy(F.desc("score"), "gene"))
     size = F.count(F.lit(1)).over(Window.partitionBy("model", "replicate", "combo"))
-    placed = scores.withColumns({"rank": place, "_n": size}).withColumn("top", F.col("rank") <= F.greatest(F.lit(1), F.ceil(F.col("_n") * c.top_share)))
+    placed = ranked.withColumns({"rank": place, "_n": size}).withColumn("top", F.col("rank") <= F.greatest(F.lit(1), F.ceil(F.col("_n") * c.top_share)))
     ranks = placed.groupBy("model", "gene").agg(
         F.max("score").alias("best_score"), F.min("rank").alias("best_rank"), F.count_distinct("replicate", "combo").alias("num_combos_ranked"), F.count_if("top").alias("num_combos_ranked_top"))
     best_sites = sites_out.groupBy("model", "gene", "pos").agg(F.max("score").alias("best_score"))
     return {"gene_ranks": ranks, "combo_scores": placed.drop("_n"), "selected_sites": sites_out, "best_sites": best_sites, "species_predictions": predicted, "weights": dumped}
 
 
-def _contrast_fit(sites: DataFrame, hypothesis: DataFrame, options: TrainOptions) -> tuple:
-    """Gene and position scores of a contrast over the grid and penalty terms; weights and intercepts by run, and features."""
-    import numpy as np
-
-    from ..solver.distributed import gather, numbered, solve_grid
-    from .train import Encoded, _groups
-
-    counts = A.allele_counts(sites)
-    features = A.feature_index(A.paired_features(counts, options.min_minor)).persist()
-    variable = A.variable_sites(A.site_stats(counts)).groupBy("gene").agg(F.count(F.lit(1)).alias("v"))
-    genes = [(r.gene, r.n_columns, r.v or 0) for r in A.gene_sizes(features).join(variable, "gene", "left").orderBy("gene").collect()]
-    encoded = Encoded(sites, features, A.cells(sites, features), genes, sum(g[1] for g in genes))
-    samples, y = numbered(hypothesis)
-    spark = sites.sparkSession
-    if not encoded.n:
-        return spark.createDataFrame([], "gene string, score double"), spark.createDataFrame([], "gene string, pos int, score double"), None, None, None
-    matrix = gather(encoded.cells, samples, encoded.n, options.max_entries, np.float32 if options.precision == "fp32" else np.float64)
-    terms = _groups(encoded, options)
-    grid = spark.createDataFrame([(i, p, a, b) for p in range(len(terms)) for i, a, b in options.lambdas], "run int, penalty_idx int, l1 double, l2 double")
-    solved = solve_grid(grid, matrix, y, {i: g for i, (_, g) in enumerate(terms)}, options.method, options.solver)
-    solved = solved.withColumn("run", (F.col("penalty_idx") * len(options.lambdas) + F.col("run")).cast("int")).persist()
-    weights = solved.where("col_id >= 0").join(features.select("col_id", "gene", "pos"), "col_id")
-    intercepts = solved.where("col_id = -1").select("run", F.col("w").alias("intercept"))
-    return S.gene_scores(weights, "run"), S.position_scores(weights, "run"), weights.select("run", "col_id", "w"), intercepts, features
+SOLVED = "job int, penalty_idx int, run int, gene string, pos int, allele string, w double"
+
+
+def _contrasts_solved(alignments: DataFrame, jobs: list[tuple], options: TrainOptions, c: ContrastOptions) -> DataFrame:
+    """Non-zero weights of every contrast, its grid and penalty terms; the intercept has no gene.
+
+    All contrasts go through one plan, their number a key of every aggregate: sites are exploded once, met with the contrasts that have the
+    sample, cancelled, counted and encoded side by side; each contrast's matrix, two rows per pair, is then solved in a task of its
+    own. Those with over ``task_cells`` cells are solved one by one, by the grid or the column tier.
+    """
+    spark = alignments.sparkSession
+    rows = [(j, s, k, t == 1, 2 * k + t, pair[1 - t], seed) for j, (_, combo, _, seed) in enumerate(jobs) for k, pair in enumerate(combo) for t, s in enumerate(pair)]
+    pairs = spark.createDataFrame(rows, "job int, sample string, pair int, control boolean, row int, partner string, seed int")
+    needed = sorted({r[1] for r in rows} | ({c.outgroup} if c.outgroup is not None else set()))
+    known = spark.createDataFrame([(s,) for s in needed], "sample string")
+    sites = A.explode_sites(alignments.join(F.broadcast(known), "sample", "left_semi").select("gene", "sample", "seq"))  # species of the contrasts
+    own = F.broadcast(pairs.select("job", "sample", "pair", "control"))  # rows of the contrasts
+    met = A.gap_cancelled(sites, own, c.partner_only, c.tri_allelic, c.min_pairs, c.outgroup, ("job",)) if c.cancel else sites.join(own, "sample").select("job", "gene", "pos", "sample", "pair", "ch")
+    if c.whole_genes:
+        present = alignments.select("gene", "sample").distinct().join(F.broadcast(pairs.select("job", "sample").distinct()), "sample").groupBy("job", "gene").agg(F.count_distinct("sample").alias("_k"))
+        total = pairs.groupBy("job").agg(F.count_distinct("sample").alias("_n"))
+        met = met.join(present.join(F.broadcast(total), "job").where("_k = _n").select("job", "gene"), ["job", "gene"], "left_semi")
+    met = met.join(F.broadcast(pairs.select("job", "sample", "pair", "row", "partner", "seed")), ["job", "sample", "pair"])
+    swap = (F.col("seed") > 0) & (F.xxhash64("seed", "gene", "pos", "pair").bitwiseAND(1) == 1)
+    met = met.select("job", "gene", "pos", "ch", F.when(swap, F.col("row").bitwiseXOR(F.lit(1))).otherwise(F.col("row")).alias("row"))
+    met = settled(A.ungapped(met, gaps=("-",)), "contrasts")
+    counts = met.groupBy("job", "gene", "pos", "ch").agg(F.count(F.lit(1)).alias("n"))
+    variable = A.variable_sites(A.site_stats(counts, "job")).groupBy("job", "gene").agg(F.count(F.lit(1)).cast("int").alias("v"))
+    feats = A.paired_features(counts, options.min_minor, "job").select("job", "gene", "pos", F.col("allele").alias("ch"))
+    cells = settled(met.join(feats, ["job", "gene", "pos", "ch"]).join(variable, ["job", "gene"]), "contrast_cells")
+    bound = 0 if options.group_columns is not None else c.task_cells
+    large = [r.job for r in cells.groupBy("job").count().where(F.col("count") > bound).collect()]  # a row per contrast
+    sizes = {j: 2 * len(combo) for j, (_, combo, _, _) in enumerate(jobs)}
+    plain, groups = replace(options, groups=None), listed(options)
+
+    def solve(table: pa.Table) -> pa.Table:
+        job = table.column("job")[0].as_py()
+        gene, allele = (table.column(n).to_pylist() for n in ("gene", "ch"))
+        keys = list(zip(gene, table.column("pos").to_pylist(), allele, strict=True))
+        labels = sorted(set(keys), key=lambda k: (k[0], k[1], ord(k[2][0]), k[2]))
+        col = {k: i for i, k in enumerate(labels)}
+        v = dict(zip(gene, table.column("v").to_pylist(), strict=True))
+        lengths = [(g, len(list(some)), v[g]) for g, some in itertools.groupby(labels, lambda k: k[0])]
+        encoded = Encoded(None, None, None, lengths, len(labels))
+        m = sizes[job]
+        matrix = Columns(m, len(labels), np.array([col[k] for k in keys]), np.asarray(table.column("row")), None, np.float32 if plain.precision == "fp32" else np.float64)
+        y = np.where(np.arange(m) % 2 == 0, 1.0, -1.0)
+        out = []
+        for p, (_, g) in enumerate(groups_of(encoded, plain, members_of(lengths, groups))):
+            for run, l1, l2 in plain.lambdas:
+                found = fit(plain.method, matrix, y, g, l1, l2, plain.solver)
+                out += [(job, p, run, *labels[i], float(found.x[i])) for i in np.flatnonzero(found.x)]
+                out.append((job, p, run, None, None, None, float(found.intercept)))
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.float64()]
+        names = ["job", "penalty_idx", "run", "gene", "pos", "allele", "w"]
+        return pa.table([pa.array(column, kind) for column, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    small = cells.where(~F.col("job").isin(large)) if large else cells
+    solved = small.groupBy("job").applyInArrow(solve, SOLVED)
+    for job in large:
+        solved = solved.unionByName(_contrast_solved(cells.where(F.col("job") == job), job, sizes[job], options))
+    return settled(solved, "contrast_weights")
+
+
+def _contrast_solved(cells: DataFrame, job: int, m: int, options: TrainOptions) -> DataFrame:
+    """One large contrast."""
+    spark = cells.sparkSession
+    features = A.feature_index(settled(cells.select("gene", "pos", F.col("ch").alias("allele")).distinct(), "features"))
+    genes = [(r.gene, r.n, r.v) for r in features.join(cells.select("gene", "v").distinct(), "gene").groupBy("gene").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("v")).orderBy("gene").collect()]  # a row per gene
+    own = settled(A.cells(cells.withColumnRenamed("row", "sample"), features), "cells")
+    encoded = Encoded(cells, features, own, genes, sum(g[1] for g in genes))
+    y = np.where(np.arange(m) % 2 == 0, 1.0, -1.0)
+    solve = solver_of(encoded, list(range(m)), y, None, options, options.solver)
+    terms = len(grids.penalty_terms(options.group_penalty, *options.penalty_range, var_counts=[g[2] for g in genes]))
+    solved = solve([(p, *point) for p in range(terms) for point in options.lambdas], 0)
+    out = solved.join(features.select("col_id", "gene", "pos", "allele"), "col_id", "left")
+    return out.select(F.lit(job).alias("job"), "penalty_idx", "run", "gene", "pos", "allele", "w")
+
+
+def _contrast_predictions(predict: DataFrame, weights: DataFrame, intercepts: DataFrame) -> DataFrame:
+    """(job, sample, sps): every species' prediction, the mean over the runs of a contrast."""
+    predict = A.one_of_each(predict)
+    sites = A.ungapped(A.explode_sites(predict.select("gene", "sample", "seq")))
+    wanted = weights.select("job", "run", "gene", "pos", F.col("allele").alias("ch"), "w")
+    part = sites.join(wanted, ["gene", "pos", "ch"]).groupBy("job", "run", "sample").agg(F.sum("w").alias("_s"))
+    every = predict.select("sample").distinct().crossJoin(F.broadcast(intercepts))  # species x contrasts x runs: the predictions
+    total = F.col("intercept") + F.coalesce("_s", F.lit(0.0))
+    return every.join(part, ["job", "run", "sample"], "left").groupBy("job", "sample").agg(F.avg(total).alias("sps"))

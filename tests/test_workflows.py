@@ -1,5 +1,7 @@
 """Training and the workflows on small hand-made inputs."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 
@@ -125,6 +127,35 @@ def test_contrasts(data):
     assert W.columns_that_fit(100 * 2**20, 100, 4) == int((70 * 2**20 - 4000) / (400 + 32 + 160))
 
 
+@pytest.mark.parametrize("how", [{}, {"partner_only": True, "tri_allelic": True}, {"whole_genes": True, "outgroup": "s07"}, {"cancel": False}])
+def test_contrasts_side_by_side(spark, how):
+    """Several contrasts in one plan give what each gives alone, and on the other tiers; null models included."""
+    rng = np.random.default_rng(11)
+    rows = [(f"gene{g}", f"s{i:02d}", "".join(rng.choice(list("AAACCG-"), 14))) for g in range(5) for i in range(10) if g != 2 or i % 4]
+    aln = spark.createDataFrame(rows, "gene string, sample string, seq string").persist()
+    combos = W.contrasts("s01,s03\ns00\ns05\ns02,s04\ns09\ns08\n")
+    o = options(lambdas=[(0, 0.05, 0.05), (1, 0.1, 0.2)], group_penalty="linear", penalty_range=(1, 2, 1), min_minor=1, precision="fp64", solver=Options(max_iter=10))
+    key = {"combo_scores": ("model", "replicate", "combo", "gene"), "selected_sites": ("model", "replicate", "combo", "gene", "pos"), "species_predictions": ("model", "replicate", "combo", "sample"),
+           "weights": ("model", "replicate", "combo", "run", "gene", "pos", "allele")}
+    value = {"combo_scores": "score", "selected_sites": "score", "species_predictions": "sps", "weights": "w"}
+
+    def scan(which, o=o, **more):
+        found = W.contrast_scan(aln, which, o, W.ContrastOptions(flipped=True, randomised=2, **(how | more)))
+        return {n: {tuple(r[c] for c in k): r[value[n]] for r in found[n].collect()} for n, k in key.items()}
+
+    def same(a, b):
+        for n in key:
+            assert a[n] and a[n].keys() == b[n].keys() and all(np.isclose(a[n][k], b[n][k], atol=1e-8) for k in a[n]), n
+
+    whole = scan(combos[:3])
+    assert {k[0] for k in whole["combo_scores"]} == {"observed", "flipped", "randomised"}
+    alone = scan(combos[1:2])
+    same({n: {k: v for k, v in whole[n].items() if k[2] == 1} for n in key}, {n: {(*k[:2], 1, *k[3:]): v for k, v in alone[n].items()} for n in key})
+    if not how:
+        same(alone, scan(combos[1:2], task_cells=0))
+        same(alone, scan(combos[1:2], replace(o, max_entries=1), task_cells=0))
+
+
 def test_trees():
     t = newick.parse("((a:1,b:2)X:0.5,('c d':x,(e,f)):1)r;")
     assert t.leaves() == ["a", "b", "c d", "e", "f"] and newick.find(t, "X").length == 0.5
