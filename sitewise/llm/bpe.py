@@ -60,7 +60,7 @@ def finders():
 class ByteBPE:
     """Encoder for a rank file (lines of base64 token and rank)."""
 
-    def __init__(self, path: str, cached: int = 400_000) -> None:
+    def __init__(self, path: str, cached: int = 160_000) -> None:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.tokens = dict(map(reversed, self.ranks.items()))
@@ -100,7 +100,7 @@ class ByteBPE:
     def fits(self, left: int, right: int) -> bool:
         known = self.adjacent.get((left, right))
         if known is None:
-            if len(self.adjacent) > 500_000:
+            if len(self.adjacent) > 200_000:
                 self.adjacent.clear()
             known = self.adjacent[left, right] = self._fits(left, right)
         return known
