@@ -19,6 +19,7 @@ from .plans.runlog import RunLog
 from .plans.train import TrainOptions, encode, encode_numeric, evaluate, evaluate_numeric, train
 from .solver.kernel import METHODS, Options
 from .sources import fasta, newick, tables, texts
+from .streaming import gather
 from .viz import svg
 
 
@@ -134,6 +135,7 @@ def parser() -> argparse.ArgumentParser:
     c = command("ingest", False)
     c.add_argument("paths", nargs="+")
     c.add_argument("--datatype", default="universal")
+    c.add_argument("--checkpoint", help="takes the new files of a folder as a stream; a gene may lie in several")
     command("info", False)
     c = command("visualize", False)
     c.add_argument("table")
@@ -465,6 +467,11 @@ def _run(spark: SparkSession, a: argparse.Namespace) -> None:
         _contrast_texts(spark, a, found, o, groups)
     elif a.command == "evaluate":
         _evaluate(spark, a)
+    elif a.command == "ingest" and a.checkpoint:
+        if len(a.paths) > 1:
+            raise SystemExit("--checkpoint takes one folder or pattern")
+        gather.gather(spark, a.paths[0], a.out, a.checkpoint, a.datatype).show(50, False)
+        gather.compact(spark, a.out)
     elif a.command == "ingest":
         fasta.ingest(spark, a.paths, a.out, a.datatype).drop("samples").show(50, False)
     elif a.command == "info":

@@ -11,6 +11,7 @@ from ..operators import scores as S
 from ..operators import sites as A
 from ..sources import fasta, newick, tables, texts
 from ..sources.scratch import scratch_folder
+from ..streaming import gather
 from . import inputs as I  # noqa: E741
 from . import workflows as W
 from .catalogue import COUNTS, FEATS, HYP, INDEX, STATS, WEIGHT, _line_cells, _line_index, _line_weights, _lines, query
@@ -45,6 +46,32 @@ def _(spark, d):
     return fasta.catalogue(spark, out).select("gene", "num_sequences", "alignment_length", "datatype")
 
 
+def _order_sequences(spark, d):
+    """Orders as sequences: the customer's in the gene of the month, of which the last counts; dear ones are long, cheap ones foreign,
+    and the dearest stand for files with a fault."""
+    fault, price, day = F.col("o_totalprice") >= 499800, F.col("o_totalprice"), F.to_date("o_orderdate")
+    seq = F.concat(F.when(price < 1300, F.lit("1")).otherwise(F.col("o_orderstatus")), F.when(price > 499400, F.lit("A")).otherwise(F.lit("")))
+    return I.read(spark, d, "orders").select(
+        F.date_format(day, "yyyyMM").alias("gene"), F.concat(F.lit("/"), F.col("o_orderkey").cast("string")).alias("path"), F.unix_date(day).cast("long").alias("modified"),
+        F.when(~fault, F.concat(F.lit("c"), F.col("o_custkey").cast("string"))).alias("sample"), F.when(~fault, F.lit(0)).alias("seq_ord"), F.when(~fault, seq).alias("seq"),
+        F.when(fault, F.lit("no sequences")).alias("error"))
+
+
+@query("gathered_genes", """WITH o AS (SELECT strftime(o_orderdate, '%Y%m') AS gene, '/' || o_orderkey AS path, CAST(o_orderdate AS DATE) AS modified, o_totalprice >= 499800 AS fault, 'c' || o_custkey AS sample,
+  CASE WHEN o_totalprice < 1300 THEN '1' ELSE o_orderstatus END || CASE WHEN o_totalprice > 499400 THEN 'A' ELSE '' END AS seq FROM orders),
+last AS (SELECT * FROM o WHERE NOT fault QUALIFY row_number() OVER (PARTITION BY gene, sample ORDER BY modified DESC, path DESC) = 1),
+g AS (SELECT gene, count(*) AS n, min(length(seq)) AS short, max(length(seq)) AS long, bool_or(starts_with(seq, '1')) AS foreign_ FROM last GROUP BY gene),
+e AS (SELECT gene, CASE WHEN bool_or(fault) THEN 'no sequences' END AS fault FROM o GROUP BY gene),
+v AS (SELECT gene, coalesce(n, 0) AS n, long, coalesce(fault, CASE WHEN short <> long THEN 'sequences differ in length' WHEN foreign_ THEN 'residues outside protein' END) AS error FROM e LEFT JOIN g USING (gene))
+SELECT gene, CAST(n AS BIGINT) AS num_sequences, CAST(CASE WHEN error IS NULL THEN long END AS INTEGER) AS alignment_length, error FROM v""")
+def _(spark, d):
+    """Verdicts over a stream that takes the sequences two files at a time."""
+    out = scratch_folder(spark, "gathered")
+    gather.measured(_order_sequences(spark, d), "protein").repartition(4).write.parquet(f"{out}/sequences")
+    gather.judge(spark, f"{out}/sequences", f"{out}/verdicts", f"{out}/check", files_per_batch=2)
+    return gather.genes(spark, out, "protein")
+
+
 @query("one_sequence", "SELECT conv_id AS sample, text AS seq FROM conversations WHERE role = 'user' AND turn = 2")
 def _(spark, d):
     return fasta.sequence(I.roles_alignment(spark, d), "user", 2)
