@@ -24,6 +24,22 @@ def significance(weights: DataFrame) -> DataFrame:
     return sums.select(level.alias("level"), "gene", "pos", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def score_levels(weights: DataFrame, *by: str) -> DataFrame:
+    """(by, level, gene, pos, score) of every gene, position and key of ``by``, from one shuffle of the weights.
+
+    Levels are those of ``gene_scores``, ``position_scores`` and ``total_score``; stored, the table serves all three (``of_level``).
+    """
+    sums = weights.groupingSets([(*by, "gene", "pos"), (*by, "gene"), by], *by, "gene", "pos").agg(_size().alias("score"), F.grouping("gene").alias("_g"), F.grouping("pos").alias("_p"))
+    level = F.when(F.col("_g") == 1, "all").when(F.col("_p") == 1, "gene").otherwise("position")
+    kept = (F.col("level") == "all") | ((F.col("score") > 0) & ((F.col("level") == "gene") | (F.col("pos") != MINOR_POS)))
+    return sums.withColumns({"level": level, "score": F.coalesce("score", F.lit(0.0))}).where(kept).select(*by, "level", "gene", "pos", "score")
+
+
+def of_level(levels: DataFrame, level: str, *by: str) -> DataFrame:
+    keys = {"all": (), "gene": ("gene",), "position": ("gene", "pos")}[level]
+    return levels.where(F.col("level") == level).select(*by, *keys, "score")
+
+
 def gene_scores(weights: DataFrame, *by: str) -> DataFrame:
     return weights.where("w <> 0").groupBy(*by, "gene").agg(_size().alias("score"))
 

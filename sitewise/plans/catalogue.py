@@ -395,6 +395,12 @@ def _line_runs(spark, d):
     return I.run_weights(_line_index(spark, d))
 
 
+@query("score_levels", _lines(COUNTS, STATS, FEATS, INDEX, RUNS) + """SELECT CAST(run AS INTEGER) AS run, CASE WHEN grouping(gene) = 1 THEN 'all' WHEN grouping(pos) = 1 THEN 'gene' ELSE 'position' END AS level,
+  gene, pos, round(sum(abs(w)), 6) AS score FROM rw WHERE w <> 0 GROUP BY GROUPING SETS ((run, gene, pos), (run, gene), (run))""")
+def _(spark, d):
+    return S.score_levels(_line_runs(spark, d), "run").withColumn("score", F.round("score", 6))
+
+
 @query("nonzero_genes", _lines(COUNTS, STATS, FEATS, INDEX, RUNS) + "SELECT CAST(run AS INTEGER) AS run, count(DISTINCT gene) FILTER (WHERE w <> 0) AS n_genes FROM rw GROUP BY run")
 def _(spark, d):
     return S.nonzero_genes(_line_runs(spark, d), "run")

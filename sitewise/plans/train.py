@@ -310,11 +310,12 @@ def _result(encoded: Encoded, solved: DataFrame, cv: DataFrame | None, samples:
     if pruned:
         gone = F.broadcast(spark.createDataFrame(pruned, "penalty_idx int, run int"))  # a row per grid point
         weights, intercepts = weights.join(gone, list(by), "left_anti"), intercepts.join(gone, list(by), "left_anti")
-    gss, pss = S.gene_scores(weights, *by), S.position_scores(weights, *by)
+    levels = settled(S.score_levels(weights, *by), "scores")
+    gss, pss, hss = (S.of_level(levels, level, *by) for level in ("gene", "position", "all"))
     medians = {}
     if len(o.lambdas) > 1 and not o.folds:
         medians = {"gene": S.grid_median(gss, "score", "penalty_idx", "gene"), "position": S.grid_median(pss, "score", "penalty_idx", "gene", "pos"), "base": S.base_medians(weights, "penalty_idx")}
-    out = TrainResult(encoded, weights, intercepts, gss, pss, S.total_score(weights, *by), medians, pruned=pruned, held=[encoded.features, solved])
+    out = TrainResult(encoded, weights, intercepts, gss, pss, hss, medians, pruned=pruned, held=[encoded.features, solved])
     if cv is not None:
         fields = T.StructType([hypothesis.schema["sample"], T.StructField("fold", T.IntegerType()), T.StructField("y", T.DoubleType())])
         fold_of = spark.createDataFrame([(s, i % o.folds, float(y[i])) for i, s in enumerate(samples)], fields)

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from sitewise.operators import scores as S
 from sitewise.operators import sites as A
 
 MICRO = {
@@ -107,3 +108,13 @@ def test_gap_rules(spark):
     assert read(A.gap_cancelled(sites, pairs, tri_allelic=True).collect()) == {"a": "A--A", "b": "A--A", "c": "C--C", "d": "C--C", "o": "ACGT"}
     assert read(A.gap_cancelled(sites, pairs, outgroup="o").collect())["a"] == "----"
     assert {r.gene for r in A.with_all(sites, pairs).select("gene").distinct().collect()} == {"g"}
+
+
+def test_score_levels(spark):
+    """One pass gives what the three scores give apart; minor columns count for genes, runs without weights have 0."""
+    rows = [(1, "g", 0, 0, 0.5), (1, "g", 0, 1, -0.25), (1, "g", 2**31 - 1, 2, 1.0), (1, "h", 3, 3, 0.0), (2, "h", 3, 3, 0.0), (2, "g", 0, 0, 0.0), (3, "h", 3, 3, -2.0)]
+    weights = spark.createDataFrame(rows, "run int, gene string, pos int, col_id long, w double")
+    levels = S.score_levels(weights, "run")
+    for level, apart in (("all", S.total_score), ("gene", S.gene_scores), ("position", S.position_scores)):
+        assert sorted(S.of_level(levels, level, "run").collect()) == sorted(apart(weights, "run").collect()), level
+    assert S.score_levels(weights.limit(0), "run").isEmpty()
