@@ -3,6 +3,9 @@
 import itertools
 import os
 
+import pytest
+
+from sitewise import cli
 from sitewise.sources import fasta
 from sitewise.streaming import gather as G
 
@@ -81,6 +84,9 @@ def test_nothing_new(spark, tmp_path):
     for _ in range(2):
         assert [r.num_sequences for r in G.gather(spark, f"{root}/*", out, check).collect()] == [3]
         G.compact(spark, out)
+    cli.main(["ingest", f"{root}/*", "--out", out, "--checkpoint", check])
+    with pytest.raises(SystemExit):
+        cli.main(["ingest", "a", "b", "--out", out, "--checkpoint", check])
     assert spark.conf.get(G.PROVIDER, None) == before
     assert spark.read.parquet(f"{out}/sequences").count() == 5 and G.compacted(spark, out).count() == 3
     assert spark.read.parquet(f"{out}/marks").count() == 1
