@@ -9,6 +9,7 @@ from ..operators import sites as A
 from ..solver.distributed import gather, numbered, solve_columns, solve_grid
 from ..solver.kernel import Groups, Options
 from ..solver.relational import fixed_steps, steps_sql
+from ..sources.scratch import settled
 from . import inputs as I  # noqa: E741
 from .catalogue import QUERIES, query
 from .train import TrainOptions, train
@@ -85,7 +86,7 @@ def _lines(spark, d, **options):
     s = s.groupBy("gene", "sample", "pos").agg(F.max("ch").alias("ch"))
     m = s.groupBy("gene", "sample").agg(F.map_from_entries(F.collect_list(F.struct("pos", "ch"))).alias("m"))
     one = m.select("gene", "sample", seq.alias("seq"))
-    return one, I.order_hypothesis(spark, d), TrainOptions(**options)
+    return settled(one, "lines"), I.order_hypothesis(spark, d), TrainOptions(**options)
 
 
 @model("train_overlap")

@@ -16,6 +16,7 @@ from ..operators import scores as S
 from ..operators import sites as A
 from ..solver.distributed import gather, numbered, solve_grid
 from ..solver.kernel import Groups, Options
+from ..solver.rows import Rows, cohort
 from ..solver.sweep import Point, solve_sweep
 from ..sources.scratch import settled
 
@@ -39,6 +40,7 @@ class TrainOptions:
     minor: str = "none"  # or minor, tiered: columns of minor alleles
     solver: Options = field(default_factory=Options)
     max_entries: int = 200_000_000
+    max_samples: int = 20_000  # beyond, samples stay spread over the cluster if there are no more columns than samples
 
 
 @dataclass
@@ -221,6 +223,10 @@ def train(alignments: DataFrame, hypothesis: DataFrame, options: TrainOptions |
         min_minor = max(1, int(min(n_pos, n_neg) * o.auto_bit_ct / 100))
     encoded = encode_numeric(alignments, hypothesis) if numeric else encode(alignments, hypothesis, min_minor, o.drop_major, o.skip_x, dropout, o.minor)
     encoded.cells = settled(encoded.cells, "cells")
+    terms = len(_terms(encoded, o, _members(encoded, o))[1])
+    m = hypothesis.where("y <> 0").count()
+    if m > o.max_samples and encoded.n <= m:
+        return _trained_on_rows(encoded, hypothesis, terms, o, solver)
     samples, y = numbered(hypothesis)
     if "copies" in hypothesis.columns:
         copies = {r.sample: r.copies for r in hypothesis.select("sample", "copies").collect()}  # the cohort
@@ -230,12 +236,34 @@ def train(alignments: DataFrame, hypothesis: DataFrame, options: TrainOptions |
     solve = solver_of(encoded, samples, y, keep, o, solver)
     if keep is not None:
         y, samples = y[keep], [samples[i] for i in keep]
-    terms = len(_terms(encoded, o, _members(encoded, o))[1])
     solved, pruned = _swept(encoded, o, terms, solve)
     cv = None
     if o.folds:
         cv = solve([(p, *point) for p in range(terms) for point in o.lambdas if (p, point[0]) not in pruned], o.folds).persist()
-    return _result(encoded, solved, cv, samples, y, o, sorted(pruned), hypothesis)
+    fold_of = None
+    if o.folds:
+        fields = T.StructType([hypothesis.schema["sample"], T.StructField("fold", T.IntegerType()), T.StructField("y", T.DoubleType())])
+        fold_of = spark.createDataFrame([(s, i % o.folds, float(y[i])) for i, s in enumerate(samples)], fields)
+    return _result(encoded, solved, cv, fold_of, o, sorted(pruned))
+
+
+def _trained_on_rows(encoded: Encoded, hypothesis: DataFrame, terms: int, o: TrainOptions, solver: Options) -> TrainResult:
+    """The row tier: samples and their folds are tables throughout."""
+    people = settled(cohort(hypothesis), "people")
+    rows = Rows(encoded.cells, people, encoded.n, o.folds)
+    groups = [g for _, g in _groups(encoded, o)]
+
+    def solve(points: list[tuple], folds: int) -> DataFrame:
+        some = [Point(run, fold, p, a, b) for p, run, a, b in points for fold in (range(folds) if folds else (-1,))]
+        return rows.solve(some, groups, o.method, solver)
+
+    try:
+        solved, pruned = _swept(encoded, o, terms, solve)
+        cv = solve([(p, *point) for p in range(terms) for point in o.lambdas if (p, point[0]) not in pruned], o.folds) if o.folds else None
+    finally:
+        rows.release()
+    fold_of = people.select("sample", F.pmod("row", F.lit(o.folds)).cast("int").alias("fold"), "y") if o.folds else None
+    return _result(encoded, solved, cv, fold_of, o, sorted(pruned))
 
 
 def _swept(encoded: Encoded, o: TrainOptions, terms: int, solve) -> tuple[DataFrame, set[tuple[int, int]]]:
@@ -300,7 +328,7 @@ def _on_columns(encoded: Encoded, samples: list, y: np.ndarray, keep: np.ndarray
     return solve
 
 
-def _result(encoded: Encoded, solved: DataFrame, cv: DataFrame | None, samples: list, y: np.ndarray, o: TrainOptions, pruned: list[tuple[int, int]], hypothesis: DataFrame) -> TrainResult:
+def _result(encoded: Encoded, solved: DataFrame, cv: DataFrame | None, fold_of: DataFrame | None, o: TrainOptions, pruned: list[tuple[int, int]]) -> TrainResult:
     """Scores, medians and cross-validation of solved weights, per penalty term and run."""
     spark = solved.sparkSession
     by = ("penalty_idx", "run")
@@ -317,8 +345,6 @@ def _result(encoded: Encoded, solved: DataFrame, cv: DataFrame | None, samples:
         medians = {"gene": S.grid_median(gss, "score", "penalty_idx", "gene"), "position": S.grid_median(pss, "score", "penalty_idx", "gene", "pos"), "base": S.base_medians(weights, "penalty_idx")}
     out = TrainResult(encoded, weights, intercepts, gss, pss, hss, medians, pruned=pruned, held=[encoded.features, solved])
     if cv is not None:
-        fields = T.StructType([hypothesis.schema["sample"], T.StructField("fold", T.IntegerType()), T.StructField("y", T.DoubleType())])
-        fold_of = spark.createDataFrame([(s, i % o.folds, float(y[i])) for i, s in enumerate(samples)], fields)
         of_folds = cv.where("col_id = -1").select(*by, "fold", F.col("w").alias("intercept"))
         out.cv_predictions = S.fold_predictions(encoded.cells, fold_of, cv.where("col_id >= 0"), of_folds, *by)
         out.cv_metrics = S.confusion(out.cv_predictions, *by)
