@@ -9,6 +9,8 @@ from ..operators import sites as A
 from ..solver.distributed import gather, numbered, solve_columns, solve_grid
 from ..solver.kernel import Groups, Options
 from ..solver.relational import fixed_steps, steps_sql
+from ..solver.rows import Rows, cohort
+from ..solver.sweep import Point
 from ..sources.scratch import settled
 from . import inputs as I  # noqa: E741
 from .catalogue import QUERIES, query
@@ -24,13 +26,28 @@ def model(name: str):
     return keep
 
 
+def _many(target) -> bool:
+    return target.where("y <> 0").count() > TrainOptions.max_samples
+
+
+def _on_rows(matrix, target, n, points, groups, method, folds=0):
+    rows = Rows(matrix.select("col_id", "sample", "value"), settled(cohort(target), "people"), n, folds)
+    try:
+        return rows.solve(points, [groups], method, Options())
+    finally:
+        rows.release()
+
+
 def _numeric(spark, d, method, folds=0):
     """Weights of the numeric table's features over a grid."""
     matrix, target = I.embedding_matrix(spark, d), I.embedding_target(spark, d)
-    samples, y = numbered(target)
     n = matrix.agg(F.max("col_id")).first()[0] + 1
-    a = gather(matrix.select("col_id", "sample", "value"), samples, n, 200_000_000)
     groups = Groups.ranges([8] * (n // 8), grids.group_weights("std", 1, [8] * (n // 8), [8] * (n // 8)))
+    if _many(target):
+        points = [Point(i, fold, 0, p, q) for i, p, q in grids.lambda_grid((0.1, 0.3, 0.1), (0.1, 0.3, 0.1)) for fold in (range(folds) if folds else (-1,))]
+        return _on_rows(matrix, target, n, points, groups, method, folds)
+    samples, y = numbered(target)
+    a = gather(matrix.select("col_id", "sample", "value"), samples, n, 200_000_000)
     grid = spark.createDataFrame([(i, 0, p, q) for i, p, q in grids.lambda_grid((0.1, 0.3, 0.1), (0.1, 0.3, 0.1))], "run int, penalty_idx int, l1 double, l2 double")
     return solve_grid(grid, a, y, {0: groups}, method, Options(), folds)
 

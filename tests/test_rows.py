@@ -77,3 +77,14 @@ def test_large_cohorts_never_come_to_the_driver(spark, monkeypatch):
     alignments = spark.range(60).select(F.lit("a").alias("gene"), F.col("id").alias("sample"), F.when(F.col("id") % 3 == 0, "AC").otherwise("CA").alias("seq"))
     hypothesis = spark.range(60).select(F.col("id").alias("sample"), F.col("id").alias("ord"), F.when(F.col("id") % 4 == 0, 1.0).otherwise(-1.0).alias("y"))
     assert train(alignments, hypothesis, TrainOptions(folds=2, max_samples=20, solver=Options(max_iter=5))).cv_metrics.count() == 1
+
+
+@pytest.mark.parametrize("name", ["train_leastr"])
+def test_numeric_queries_keep_their_results_on_the_row_tier(spark, monkeypatch, name):
+    from sitewise.plans import catalogue_models as M
+
+    before = {(r.run, r.col_id): r.w for r in M.QUERIES[name](spark, "/root/testdata/sf0.001").collect()}
+    monkeypatch.setattr(TrainOptions, "max_samples", 100)
+    monkeypatch.setattr(M, "gather", None)
+    after = {(r.run, r.col_id): r.w for r in M.QUERIES[name](spark, "/root/testdata/sf0.001").collect()}
+    assert before.keys() == after.keys() and all(w == pytest.approx(after[k], abs=1e-7) for k, w in before.items())
