@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import grids
@@ -90,6 +91,11 @@ _stepped("steps_gl", groups_only=True)
 @model("train_columns")
 def _(spark, d):
     matrix, target = I.embedding_matrix(spark, d), I.embedding_target(spark, d)
+    if _many(target):  # a sum per sample and step would go to the driver; of fewer columns than samples, a sum per column does
+        genes = matrix.groupBy("gene").agg(F.array_sort(F.collect_set("col_id")).alias("cols")).orderBy("gene").collect()  # a number per column
+        ends = np.cumsum([0, *(len(r.cols) for r in genes)])
+        groups = Groups(np.array([c for r in genes for c in r.cols], np.int64), ends, np.sqrt(np.diff(ends)))
+        return _on_rows(matrix, target, int(ends[-1]), [Point(0, -1, 0, 0.1, 0.1)], groups, "sg_lasso").where("col_id >= 0").select("col_id", "w")
     samples, y = numbered(target)
     weights = matrix.select("gene", "col_id").distinct().groupBy("gene").agg(F.sqrt(F.count(F.lit(1))).alias("weight"))
     table, _ = solve_columns(matrix.select("col_id", "sample", "value"), matrix.select("col_id", "gene").distinct(), weights, samples, y, 0.1, 0.1)

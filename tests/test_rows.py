@@ -79,12 +79,13 @@ def test_large_cohorts_never_come_to_the_driver(spark, monkeypatch):
     assert train(alignments, hypothesis, TrainOptions(folds=2, max_samples=20, solver=Options(max_iter=5))).cv_metrics.count() == 1
 
 
-@pytest.mark.parametrize("name", ["train_leastr"])
+@pytest.mark.parametrize("name", ["train_leastr", "train_columns"])
 def test_numeric_queries_keep_their_results_on_the_row_tier(spark, monkeypatch, name):
     from sitewise.plans import catalogue_models as M
 
-    before = {(r.run, r.col_id): r.w for r in M.QUERIES[name](spark, "/root/testdata/sf0.001").collect()}
+    key = (lambda r: r.col_id) if name == "train_columns" else (lambda r: (r.run, r.col_id))
+    before = {key(r): r.w for r in M.QUERIES[name](spark, "/root/testdata/sf0.001").collect()}
     monkeypatch.setattr(TrainOptions, "max_samples", 100)
-    monkeypatch.setattr(M, "gather", None)
-    after = {(r.run, r.col_id): r.w for r in M.QUERIES[name](spark, "/root/testdata/sf0.001").collect()}
+    monkeypatch.setattr(M, "numbered", None)
+    after = {key(r): r.w for r in M.QUERIES[name](spark, "/root/testdata/sf0.001").collect()}
     assert before.keys() == after.keys() and all(w == pytest.approx(after[k], abs=1e-7) for k, w in before.items())
