@@ -21,7 +21,7 @@ QUERIES = {
     "op8_bottom_k": _on("documents", sketch.op8),
     "op9_byte_bpe": _on("documents", bpe.op9),
     "op10_minhash": _on("documents", minhash.op10),
-    "op11_kneser_ney": _on("documents", lm.op11),
+    "op11_kneser_ney": _on("documents", lambda spark, docs: lm.op11(spark, docs, 3)),  # words, pairs and triples
     "op12_impact_search": lambda spark, sf_dir: search.op12(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")),
 }
 

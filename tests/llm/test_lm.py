@@ -170,3 +170,11 @@ def test_files_are_written_again_with_the_same_bytes(spark, small):
     read.mapped = False  # as on a store that cannot be mapped
     texts = [b"the cat", b""]
     assert all(np.array_equal(p, q) for p, q in zip(lm.score(mapped, texts), lm.score(read, texts), strict=True))
+
+
+def test_registered_query_has_trigrams(spark, small):
+    from sitewise.llm.queries import QUERIES
+
+    docs = read_table(spark, small, "documents")
+    rows = QUERIES["op11_kneser_ney"](spark, small).join(docs.select("doc_id", "text"), "doc_id").collect()
+    same(rows, Brute([r.text for r in rows if not r.held_out], 3))
