@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import MINOR_POS, median_nonzero, ratio, sigmoid
+from ..sources.scratch import beside
 
 
 def _size() -> Column:
@@ -80,7 +81,7 @@ def fold_predictions(cells: DataFrame, folds: DataFrame, weights: DataFrame, int
     several), ``weights`` (by, fold, col_id, w), ``intercepts`` (by, fold, intercept).
     """
     value = F.col("value") if "value" in cells.columns else F.lit(1.0)
-    met = cells.join(folds.select("sample", "fold").distinct(), "sample").join(weights.select(*by, "fold", "col_id", "w"), ["col_id", "fold"])
+    met = cells.join(folds.select("sample", "fold").distinct(), "sample").join(beside(weights.select(*by, "fold", "col_id", "w"), "weights"), ["col_id", "fold"])
     sums = met.groupBy(*by, "sample", "fold").agg(F.sum(F.col("w") * value).alias("_s"))
     every = folds.distinct().join(intercepts.select(*by, "fold", "intercept"), "fold")
     return every.join(sums, [*by, "sample", "fold"], "left").select(*by, "sample", "fold", "y", (F.col("intercept") + F.coalesce("_s", F.lit(0.0))).alias("prediction"))
@@ -91,8 +92,8 @@ def predictions(cells: DataFrame, weights: DataFrame, intercept: DataFrame, *by:
 
     ``weights`` are sparse and join on col_id; every sample of ``cells`` appears for every run of ``intercept``.
     """
-    part = cells.join(weights.where("w <> 0").select(*by, "col_id", "w"), "col_id").groupBy(*by, "sample").agg(F.sum("w").alias("_s"))
-    every = cells.select("sample").distinct().crossJoin(intercept.select(*by, "intercept"))  # runs x samples: the result's shape
+    part = cells.join(beside(weights.where("w <> 0").select(*by, "col_id", "w"), "weights"), "col_id").groupBy(*by, "sample").agg(F.sum("w").alias("_s"))
+    every = cells.select("sample").distinct().crossJoin(F.broadcast(intercept.select(*by, "intercept")))  # runs x samples: the result's shape; a row per run
     total = F.col("intercept") + F.coalesce("_s", F.lit(0.0))
     out = every.join(part, [*by, "sample"], "left").select(*by, "sample", total.alias("prediction"))
     return out.withColumns({"probability": sigmoid(F.col("prediction")), "class": F.when(F.col("prediction") > 0, 1).otherwise(-1)})
@@ -100,7 +101,7 @@ def predictions(cells: DataFrame, weights: DataFrame, intercept: DataFrame, *by:
 
 def gene_contributions(cells: DataFrame, weights: DataFrame) -> DataFrame:
     """(sample, gene, score): sum of the weights of a sample's columns of each gene."""
-    return cells.join(weights.where("w <> 0").select("col_id", "gene", "w"), "col_id").groupBy("sample", "gene").agg(F.sum("w").alias("score"))
+    return cells.join(beside(weights.where("w <> 0").select("col_id", "gene", "w"), "weights"), "col_id").groupBy("sample", "gene").agg(F.sum("w").alias("score"))
 
 
 def confusion(predicted: DataFrame, *by: str) -> DataFrame:

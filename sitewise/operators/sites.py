@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import GAPS, MINOR_POS, label
+from ..sources.scratch import beside
 
 
 def explode_sites(alignments: DataFrame) -> DataFrame:
@@ -133,7 +134,7 @@ def group_ranges(sizes: DataFrame) -> DataFrame:
 
 def cells(sites: DataFrame, indexed: DataFrame) -> DataFrame:
     """Non-zero cells of the one-hot matrix: (col_id, sample)."""
-    return sites.join(indexed.select("gene", "pos", F.col("allele").alias("ch"), "col_id"), ["gene", "pos", "ch"]).select("col_id", "sample")
+    return sites.join(beside(indexed.select("gene", "pos", F.col("allele").alias("ch"), "col_id"), "columns"), ["gene", "pos", "ch"]).select("col_id", "sample")
 
 
 def minor_column(sites: DataFrame, feats: DataFrame, present: DataFrame | None = None) -> DataFrame:
@@ -155,12 +156,13 @@ def minor_features(feats: DataFrame, tiered: bool = False) -> DataFrame:
 
 
 def minor_cells(sites: DataFrame, indexed: DataFrame) -> DataFrame:
-    """Non-zero cells (col_id, sample) of the columns of minor alleles among ``indexed``."""
+    """Non-zero cells (col_id, sample) of the columns of minor alleles among ``indexed``, from one pass over the sites."""
     own = indexed.where(F.col("pos") == MINOR_POS).select("gene", F.col("allele").alias("_name"), "col_id")
     feats = indexed.where(F.col("pos") != MINOR_POS)
-    anyone = sites.join(feats.where("allele <> major").select("gene", "pos", F.col("allele").alias("ch")), ["gene", "pos", "ch"]).select("gene", "sample", F.lit("minor").alias("_name")).distinct()
-    tiers = tiered_minor(sites, feats).select("gene", "sample", F.concat(F.lit("tminor_"), "tier").alias("_name"))
-    return anyone.unionByName(tiers).join(own, ["gene", "_name"]).select("col_id", "sample")
+    names = [F.struct(F.lit("minor").alias("_name"), F.lit(-1.0).cast("float").alias("_bound")), *[F.struct(F.lit(f"tminor_{tier}").alias("_name"), F.lit(bound).cast("float").alias("_bound")) for tier, bound in TIERS]]
+    bounds = sites.sparkSession.range(1).select(F.inline(F.array(*names)))  # five rows
+    own = beside(own.join(F.broadcast(bounds), "_name").select("gene", "_bound", "col_id"), "minor-columns")
+    return _minor_hits(sites, feats).join(own, "gene").where(F.col("freq") > F.col("_bound")).select("col_id", "sample")
 
 
 #: Lower bounds of the frequency tiers of minor alleles, and the names of their columns (fixed values).
@@ -169,9 +171,13 @@ TIERS = (("0pct", 0.0), ("0.1pct", 0.001), ("1pct", 0.01), ("5pct", 0.05))
 
 def tiered_minor(sites: DataFrame, feats: DataFrame) -> DataFrame:
     """(gene, tier, sample): samples with an encoded minor allele more frequent than the tier's bound."""
-    minor = feats.where("allele <> major").select("gene", "pos", F.col("allele").alias("ch"), _frequency().alias("freq"))
-    hits = sites.join(minor, ["gene", "pos", "ch"]).groupBy("gene", "sample").agg(F.max("freq").alias("freq"))
-    return hits.join(_tiers(sites), F.col("freq") > F.col("bound")).select("gene", "tier", "sample")
+    return _minor_hits(sites, feats).join(_tiers(sites), F.col("freq") > F.col("bound")).select("gene", "tier", "sample")
+
+
+def _minor_hits(sites: DataFrame, feats: DataFrame) -> DataFrame:
+    """(gene, sample, freq): the frequency of the commonest encoded minor allele of each sample that has one."""
+    minor = beside(feats.where("allele <> major").select("gene", "pos", F.col("allele").alias("ch"), _frequency().alias("freq")), "minor")
+    return sites.join(minor, ["gene", "pos", "ch"]).groupBy("gene", "sample").agg(F.max("freq").alias("freq"))
 
 
 def _tiers(df: DataFrame) -> DataFrame:

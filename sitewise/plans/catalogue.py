@@ -66,7 +66,7 @@ def _index(spark, d):
 
 
 def _line_index(spark, d):
-    return A.feature_index(A.features(A.allele_counts(A.ungapped(I.line_sites(spark, d)))))
+    return settled(A.feature_index(A.features(A.allele_counts(A.ungapped(I.line_sites(spark, d))))), "index")
 
 
 def _line_cells(spark, d):

@@ -10,7 +10,7 @@ from ..operators import labels
 from ..operators import scores as S
 from ..operators import sites as A
 from ..sources import fasta, newick, tables, texts
-from ..sources.scratch import scratch_folder
+from ..sources.scratch import scratch_folder, settled
 from ..streaming import gather
 from . import inputs as I  # noqa: E741
 from . import workflows as W
@@ -258,8 +258,8 @@ mx AS (SELECT *, row_number() OVER (ORDER BY gene, pos, ascii(allele), allele) -
 
 
 def _minor_index(spark, d):
-    feats = A.features(A.allele_counts(A.ungapped(I.line_sites(spark, d))))
-    return A.feature_index(feats.unionByName(A.minor_features(feats), allowMissingColumns=True))
+    feats = settled(A.features(A.allele_counts(A.ungapped(I.line_sites(spark, d)))), "features")
+    return settled(A.feature_index(feats.unionByName(A.minor_features(feats), allowMissingColumns=True)), "index")
 
 
 @query("minor_index", _lines(COUNTS, STATS, FEATS, _MINOR) + "SELECT gene, CAST(pos AS INTEGER) AS pos, allele, col_id FROM mx")

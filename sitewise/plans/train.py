@@ -18,7 +18,7 @@ from ..solver.distributed import gather, numbered, solve_grid
 from ..solver.kernel import Groups, Options
 from ..solver.rows import Rows, cohort
 from ..solver.sweep import Point, solve_sweep
-from ..sources.scratch import settled
+from ..sources.scratch import beside, settled
 
 
 @dataclass
@@ -381,7 +381,7 @@ def evaluate(alignments: DataFrame, features: DataFrame, weights: DataFrame, int
     used = weights.where("w <> 0").select("col_id").distinct()
     known = features.join(used, "col_id", "left_semi")
     wanted = known.where(F.col("pos") != MINOR_POS).select("gene", "pos", F.col("allele").alias("ch"), "col_id")
-    cells = sites.join(wanted, ["gene", "pos", "ch"]).select("col_id", "gene", "sample", F.lit(1.0).alias("value"))
+    cells = sites.join(beside(wanted, "columns"), ["gene", "pos", "ch"]).select("col_id", "gene", "sample", F.lit(1.0).alias("value"))
     if "major" in features.columns and not known.where(F.col("pos") == MINOR_POS).isEmpty():
         minor = A.minor_cells(sites, features).join(known.select("col_id", "gene"), "col_id")
         cells = cells.unionByName(minor.select("col_id", "gene", "sample", F.lit(1.0).alias("value")))
@@ -391,12 +391,12 @@ def evaluate(alignments: DataFrame, features: DataFrame, weights: DataFrame, int
 def _scored(cells: DataFrame, present: DataFrame, weights: DataFrame, intercepts: DataFrame, hypothesis: DataFrame | None) -> dict[str, DataFrame]:
     """From cells (col_id, gene, sample, value); present: (sample, gene) pairs."""
     by = [c for c in ("penalty_idx", "run") if c in weights.columns]
-    part = cells.join(weights.where("w <> 0").select(*by, "col_id", "w"), "col_id").groupBy(*by, "sample", "gene").agg(F.sum(F.col("w") * F.col("value")).alias("_s"))
-    every = present.crossJoin(intercepts.select(*by))  # runs x samples x genes: the result's shape
+    part = cells.join(beside(weights.where("w <> 0").select(*by, "col_id", "w"), "weights"), "col_id").groupBy(*by, "sample", "gene").agg(F.sum(F.col("w") * F.col("value")).alias("_s"))
+    every = present.crossJoin(F.broadcast(intercepts.select(*by)))  # runs x samples x genes: the result's shape
     gene_level = every.join(part, [*by, "sample", "gene"], "left").select(*by, "sample", "gene", F.coalesce("_s", F.lit(0.0)).alias("score"))
     sums = part.groupBy(*by, "sample").agg(F.sum("_s").alias("_s"))
     total = F.col("intercept") + F.coalesce("_s", F.lit(0.0))
-    rows = present.select("sample").distinct().crossJoin(intercepts.select(*by, "intercept"))  # runs x samples
+    rows = present.select("sample").distinct().crossJoin(F.broadcast(intercepts.select(*by, "intercept")))  # runs x samples; a row per run
     predicted = rows.join(sums, [*by, "sample"], "left").select(*by, "sample", total.alias("prediction"))
     predicted = predicted.withColumns({"probability": sigmoid(F.col("prediction")), "class": F.when(F.col("prediction") > 0, 1).otherwise(-1)})
     out = {"predictions": predicted, "gene_scores": gene_level}

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_folder(spark: SparkSession, name: str, keep: bool = False) -> str:
@@ -31,3 +32,14 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_folder(df.sparkSession, name)}/table"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows up to which :func:`beside` broadcasts.
+BESIDE = 200_000
+
+
+def beside(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """``df`` settled, for a join with a table whose keys may be few and hot (a site's few alleles hold all samples): broadcast
+    up to ``rows`` rows (BESIDE), so that the other side is not shuffled by those keys; beyond that joined as Spark likes."""
+    df = settled(df, name)
+    return F.broadcast(df) if df.count() <= (BESIDE if rows is None else rows) else df
