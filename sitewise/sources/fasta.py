@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import DOMAINS, stem, valid_residues
 from .scratch import settled
 
-SCHEMA = pa.schema([("gene", pa.string()), ("path", pa.string()), ("sample", pa.string()), ("seq_ord", pa.int32()), ("seq", pa.string()), ("error", pa.string())])
-DDL = "gene string, path string, sample string, seq_ord int, seq string, error string"
+SCHEMA = pa.schema([("gene", pa.string()), ("path", pa.string()), ("modified", pa.int64()), ("sample", pa.string()), ("seq_ord", pa.int32()), ("seq", pa.string()), ("error", pa.string())])
+DDL = "gene string, path string, modified long, sample string, seq_ord int, seq string, error string"
 
 
 #: What lines end in besides the line feed.
@@ -40,15 +40,40 @@ def parse(text: str) -> tuple[list[tuple[str, str]], str | None]:
     return [(name, "".join(parts)) for name, parts in found], None if found else "no sequences"
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Rows and characters of sequences in a batch that leaves Python.
+BATCH_ROWS, BATCH_SIZE = 4096, 4 << 20
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(gene, path, modified, sample, seq_ord, seq, error) of files (path, modified, content), one file in memory at a time."""
     for batch in batches:
-        out: list[tuple] = []
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            gene = path.rsplit("/", 1)[-1].rpartition(".")[0] or path.rsplit("/", 1)[-1]
-            records, error = parse(content.decode("utf-8", "replace"))
-            out += [(gene, path, name, i, seq, None) for i, (name, seq) in enumerate(records)] or [(gene, path, None, None, None, error)]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), SCHEMA, strict=True)], schema=SCHEMA)
+        for path, modified, content in zip(*batch.columns, strict=True):
+            path, modified = path.as_py(), modified.as_py()
+            name = path.rsplit("/", 1)[-1]
+            gene = name.rpartition(".")[0] or name
+            records, error = parse(content.as_py().decode("utf-8", "replace"))
+            if not records:
+                yield gene, path, modified, None, None, None, error
+            for i, (sample, seq) in enumerate(records):
+                yield gene, path, modified, sample, i, seq, None
+
+
+def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same as batches of bounded size."""
+    held: list[tuple] = []
+    size = 0
+    for row in _rows(batches):
+        held.append(row)
+        size += len(row[5] or "")
+        if size >= BATCH_SIZE or len(held) >= BATCH_ROWS:
+            yield _batch(held)
+            held, size = [], 0
+    if held:
+        yield _batch(held)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SCHEMA, strict=True)], schema=SCHEMA)
 
 
 def read_fasta(spark: SparkSession, paths: str | list[str], whole: int = WHOLE) -> DataFrame:
@@ -78,7 +103,8 @@ def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batch
 
     for batch in batches:
-        for path, block, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for path, block, line in zip(*batch.columns, strict=True):
+            path, block, line = path.as_py(), block.as_py(), line.as_py()
             path = "file:" + unquote(path).removeprefix("file://") if path.startswith("file:///") else unquote(path)  # as the listing has it
             if (path, block) != at:
                 if at is not None:
@@ -119,7 +145,7 @@ def _split(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def parsed(files: DataFrame) -> DataFrame:
     """The records of files (path, content)."""
-    return files.select("path", "content").mapInArrow(_records, DDL)
+    return files.select("path", F.lit(None).cast("long").alias("modified"), "content").mapInArrow(records, DDL).drop("modified")
 
 
 def checked(records: DataFrame, datatype: str = "universal", strict: bool = True, domains: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -159,11 +185,11 @@ def store(files: DataFrame, out: str, datatype: str = "universal", strict: bool
     known = None if force else _latest(spark, out)
     if known is not None:
         files = files.join(known.where(F.col("datatype") == datatype).select("path", "modified"), ["path", "modified"], "left_anti")
-    records = files.select("path", "content").mapInArrow(_records, DDL)
-    good, errors = checked(records, datatype, strict)
+    found = parsed(files)
+    good, errors = checked(found, datatype, strict)
     of_file = files.select("path", "modified", F.lit(time.time_ns()).alias("batch"), F.lit(datatype).alias("datatype"))  # a row per file
     good.join(of_file, "path").write.mode("append").partitionBy("datatype").parquet(f"{out}/alignments")
-    errors.join(records.select("gene", "path").distinct(), "gene").join(of_file, "path").write.mode("append").partitionBy("datatype").parquet(f"{out}/errors")
+    errors.join(found.select("gene", "path").distinct(), "gene").join(of_file, "path").write.mode("append").partitionBy("datatype").parquet(f"{out}/errors")
 
 
 def _stored(spark: SparkSession, out: str, part: str) -> DataFrame | None:
