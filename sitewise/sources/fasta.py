@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import DOMAINS, stem, valid_residues
-from .scratch import settled
+from .scratch import beside, settled
 
 SCHEMA = pa.schema([("gene", pa.string()), ("path", pa.string()), ("modified", pa.int64()), ("sample", pa.string()), ("seq_ord", pa.int32()), ("seq", pa.string()), ("error", pa.string())])
 DDL = "gene string, path string, modified long, sample string, seq_ord int, seq string, error string"
@@ -163,7 +163,7 @@ def checked(records: DataFrame, datatype: str = "universal", strict: bool = True
     state = records.groupBy("gene").agg(
         F.first("error", ignorenulls=True).alias("_error"), F.min(n).alias("_short"), F.max(n).alias("_long"), F.bool_and(F.coalesce(ok, F.lit(True))).alias("_ok"))
     fault = F.when(F.col("_error").isNotNull(), F.col("_error")).when(F.col("_short") != F.col("_long"), "sequences differ in length").when(~F.col("_ok"), f"residues outside {datatype}")
-    errors = state.select("gene", fault.alias("error")).where("error IS NOT NULL")
+    errors = beside(state.select("gene", fault.alias("error")).where("error IS NOT NULL"), "faults")
     return records.drop("error").join(errors.select("gene"), "gene", "left_anti"), errors
 
 
@@ -179,17 +179,24 @@ def ingest(spark: SparkSession, paths, out: str, datatype: str = "universal", st
 
 
 def store(files: DataFrame, out: str, datatype: str = "universal", strict: bool = True, force: bool = False) -> None:
-    """Appends new or changed ``files`` (path, modificationTime, content) as a batch; readers take each path's latest."""
+    """Appends new or changed ``files`` (path, modificationTime, content) as a batch; readers take each path's latest.
+
+    What is new is found by path and time alone, without contents; files are parsed once, into a table of the shared folder.
+    """
     spark = files.sparkSession
-    files = files.withColumn("modified", F.unix_micros("modificationTime"))
+    files = files.select("path", F.unix_micros("modificationTime").alias("modified"), "content")
     known = None if force else _latest(spark, out)
     if known is not None:
-        files = files.join(known.where(F.col("datatype") == datatype).select("path", "modified"), ["path", "modified"], "left_anti")
-    found = parsed(files)
+        fresh = beside(files.select("path", "modified").join(known.where(F.col("datatype") == datatype).select("path", "modified"), ["path", "modified"], "left_anti").distinct(), "new-files")
+        if fresh.isEmpty():
+            return
+        files = files.join(fresh, ["path", "modified"], "left_semi")
+    found = settled(files.mapInArrow(records, DDL), "records")
     good, errors = checked(found, datatype, strict)
-    of_file = files.select("path", "modified", F.lit(time.time_ns()).alias("batch"), F.lit(datatype).alias("datatype"))  # a row per file
-    good.join(of_file, "path").write.mode("append").partitionBy("datatype").parquet(f"{out}/alignments")
-    errors.join(found.select("gene", "path").distinct(), "gene").join(of_file, "path").write.mode("append").partitionBy("datatype").parquet(f"{out}/errors")
+    of_batch = [F.lit(time.time_ns()).alias("batch"), F.lit(datatype).alias("datatype")]
+    good.select("path", "gene", "sample", "seq_ord", "seq", "modified", *of_batch).write.mode("append").partitionBy("datatype").parquet(f"{out}/alignments")
+    faulty = errors.join(found.select("gene", "path", "modified").distinct(), "gene").select("path", "gene", "error", "modified", *of_batch)
+    faulty.write.mode("append").partitionBy("datatype").parquet(f"{out}/errors")
 
 
 def _stored(spark: SparkSession, out: str, part: str) -> DataFrame | None:
@@ -217,8 +224,9 @@ def alignments(spark: SparkSession, out: str, part: str = "alignments") -> DataF
 
 def catalogue(spark: SparkSession, out: str) -> DataFrame:
     """One row per gene: sequences, length, datatype, source."""
-    return alignments(spark, out).groupBy("gene", "path", "datatype").agg(
-        F.count(F.lit(1)).alias("num_sequences"), F.max(F.length("seq")).alias("alignment_length"), F.sort_array(F.collect_list(F.struct("seq_ord", "sample")))["sample"].alias("samples"))
+    rows = spark.read.parquet(f"{out}/alignments").select("gene", "path", "datatype", "batch", "seq_ord", "sample", F.length("seq").alias("_n"))  # no sequence is shuffled
+    return rows.join(_latest(spark, out).select("path", "datatype", "batch"), ["path", "datatype", "batch"], "left_semi").groupBy("gene", "path", "datatype").agg(
+        F.count(F.lit(1)).alias("num_sequences"), F.max("_n").alias("alignment_length"), F.sort_array(F.collect_list(F.struct("seq_ord", "sample")))["sample"].alias("samples"))
 
 
 def sequence(alignments: DataFrame, gene: str, index: int) -> DataFrame:
