@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import GAPS, MINOR_POS, label
-from ..sources.scratch import beside
+from ..sources.scratch import beside, settled
 
 
 def explode_sites(alignments: DataFrame) -> DataFrame:
@@ -146,6 +146,28 @@ def minor_column(sites: DataFrame, feats: DataFrame, present: DataFrame | None =
     return every.join(hits, ["gene", "sample"], "left").select("gene", "sample", F.coalesce("hit", F.lit(0)).alias("minor"))
 
 
+#: Positions of a piece, and rows of blocks (a string per position each) that are broadcast.
+PIECE, PIECES_BESIDE = 1024, 2000
+
+
+def minor_column_of(alignments: DataFrame, feats: DataFrame, width: int = PIECE) -> DataFrame:
+    """As :func:`minor_column`, from whole sequences: pieces of ``width`` characters meet the minor alleles of their positions, so that
+    neither characters nor, where the blocks of alleles are few, sequences are shuffled."""
+    feats = settled(feats.where("allele <> major").select("gene", "pos", "allele"), "minor")
+    block, at = F.floor(F.col("pos") / width).cast("int"), F.pmod("pos", F.lit(width)).cast("int")
+    sites = feats.groupBy("gene", block.alias("block"), at.alias("at")).agg(F.array_join(F.collect_list("allele"), "").alias("minor"))  # at most an alphabet
+    known = sites.groupBy("gene", "block").agg(F.map_from_entries(F.collect_list(F.struct("at", "minor"))).alias("m"))  # at most ``width``
+    blocks = beside(known.select("gene", "block", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(""))).alias("minor")), "minor-blocks", PIECES_BESIDE)
+    pieces = alignments.where(F.length("seq") > 0).select("gene", "sample", "seq", F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / width).cast("int"))).alias("block"))
+    pieces = pieces.select("gene", "sample", "block", F.split(F.expr(f"substring(seq, block * {width} + 1, {width})"), "").alias("chars"))
+    places = F.sequence(F.lit(0), F.size("chars") - 1)
+    hit = F.exists(places, lambda i: F.call_function("instr", F.get("minor", i), F.get("chars", i)) > 0)
+    hits = pieces.join(blocks, ["gene", "block"]).select("gene", "sample", hit.alias("hit")).where("hit").select("gene", "sample").distinct().withColumn("minor", F.lit(1))
+    present = alignments.where(F.length(F.translate("seq", "".join(GAPS), "")) > 0).select("gene", "sample").distinct()
+    every = present.join(beside(feats.select("gene").distinct(), "minor-genes"), "gene", "left_semi")
+    return every.join(hits, ["gene", "sample"], "left").select("gene", "sample", F.coalesce("minor", F.lit(0)).alias("minor"))
+
+
 def minor_features(feats: DataFrame, tiered: bool = False) -> DataFrame:
     """Columns (gene, pos, allele) of a gene's minor alleles: one for any (``minor``), or one per frequency tier that has some."""
     minor = feats.where("allele <> major")

@@ -172,8 +172,7 @@ def _(spark, d):
 SELECT a.gene, a.sample, coalesce(hit, 0) AS minor FROM (SELECT DISTINCT gene, sample FROM sites WHERE ch NOT IN ('-', '?')) a LEFT JOIN hit USING (gene, sample)
 WHERE a.gene IN (SELECT gene FROM feats WHERE allele <> major)""")
 def _(spark, d):
-    present = I.documents_alignment(spark, d).where(F.length(F.translate("seq", "-?", "")) > 0).select("gene", "sample")
-    return A.minor_column(_sites(spark, d), _feats(spark, d), present)
+    return A.minor_column_of(I.documents_alignment(spark, d), _feats(spark, d))
 
 
 @query("tiered_minor", _lines(COUNTS, STATS, FEATS) + """, hit AS (SELECT s.gene, s.sample, max(CAST(CAST(f.n AS FLOAT) / CAST(f.total AS FLOAT) AS FLOAT)) AS freq
