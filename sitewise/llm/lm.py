@@ -5,9 +5,9 @@ its 64-bit hash, an n-gram the hash of its words' hashes.
 
 Counting. A task takes the n-grams of ``order`` of a slice of texts, counts them, and sends one packed row per
 (slice, shard): the shard is the n-gram's leading hash bits, so shards are even whatever words are common, and a frequent
-n-gram is one entry per slice. A shard's task merges its rows, writes the sorted array of (hash, count) and passes on what the
+n-gram is one entry per slice. A shard's task merges its rows, writes their hashes and numbers and passes on what the
 level below needs: of each n-gram, one more left neighbour of its last words, and a count class for the context of its first words,
-packed per shard of that level. Levels below go the same way. So no level meets in one task and nothing but sums comes to the driver.
+packed per shard of that level. Packed rows hold each word's hash once, with numbers of words that are small for common ones. Levels below go the same way. So no level meets in one task and nothing but sums comes to the driver.
 
 Model. c is the count at the top, the number of distinct left neighbours below (the count for n-grams that begin with a start
 mark). p(w | context) = max(c - D(c), 0) / C + (D1 N1 + D2 N2 + D3 N3) / C * p(w | shorter context); C, N1, N2 and N3 are of the
@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import uuid
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import groupby
 from urllib.parse import urlparse
@@ -50,10 +50,11 @@ SHARD_BYTES = 32 << 20
 STATS = ("left", "raw", "total", "n1", "n2", "n3")
 
 
-def gram_hash(columns: list[np.ndarray]) -> np.ndarray:
+def gram_hash(columns: Iterable[np.ndarray]) -> np.ndarray:
     """The hash of n-grams, given a column of word hashes per place."""
-    out = mix(columns[0])
-    for c in columns[1:]:
+    columns = iter(columns)
+    out = mix(next(columns))
+    for c in columns:
         out = mix(out * _STEP + c)
     return out
 
@@ -83,23 +84,46 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int = 0):
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Integers by byte planes, compressed."""
-    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 1)
+    """Integers from 0 on, in as few bytes each as the largest needs, by byte planes, compressed; the first byte is their size."""
+    x = x.astype(_least(x))
+    return bytes([x.itemsize]) + zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 1)
 
 
-def _integers(raw: bytes, kind) -> np.ndarray:
-    kind = np.dtype(kind)
-    return np.frombuffer(np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(kind.itemsize, -1).T.tobytes(), kind)
+def _integers(raw: bytes) -> np.ndarray:
+    return np.frombuffer(np.frombuffer(zstandard.decompress(raw[1:]), np.uint8).reshape(raw[0], -1).T.tobytes(), f"u{raw[0]}")
 
 
-def counted(keys: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys in order, the place of one of each, and each of ``sums`` (the number, without any) per key."""
-    order = np.argsort(keys, kind="stable")
-    some = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]])) if len(some) else np.empty(0, np.int64)
-    if not sums:
-        return some[first], order[first], np.diff(np.append(first, len(some)))
-    return some[first], order[first], *(np.add.reduceat(s[order], first, dtype=np.int64) if len(first) else np.empty(0, np.int64) for s in sums)
+def _least(x: np.ndarray) -> np.dtype:
+    return np.min_scalar_type(int(x.max()) if x.size else 0)
+
+
+def joined(columns: np.ndarray) -> np.ndarray:
+    """A number per place that is equal, and in the same order, as the places' tuples are; whatever their width."""
+    code, width = np.zeros(columns.shape[1], np.uint64), 0
+    for c in columns:
+        wide = int(c.max()).bit_length() if len(c) else 0
+        if width + wide > 64:
+            code = np.unique(code, return_inverse=True)[1].astype(np.uint64)
+            width = int(code.max()).bit_length()
+        code = code << np.uint64(wide) | c.astype(np.uint64)
+        width += wide
+    return code
+
+
+def grouped(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places in order of ``code``, and where in that order each distinct one begins."""
+    order = np.argsort(code)
+    some = code[order]
+    return order, np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]])) if len(some) else np.empty(0, np.int64)
+
+
+def vocabulary(said: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words, commonest first, so that most numbers are small; each place's number."""
+    words, ids, n = np.unique(said, return_inverse=True, return_counts=True)
+    by = np.argsort(-n, kind="stable")
+    rank = np.empty(len(by), np.int32)
+    rank[by] = np.arange(len(by), dtype=np.int32)
+    return words[by], rank[ids.reshape(-1)].reshape(said.shape)
 
 
 PACKED = pa.schema([("level", pa.int32()), ("shard", pa.int32()), ("words", pa.binary()), ("ids", pa.binary()), ("stats", pa.binary()), ("sums", pa.list_(pa.int64()))])
@@ -110,62 +134,94 @@ def _size(row: tuple) -> int:
     return sum(len(x) for x in row[2:5] if x)
 
 
+def _packed(words: np.ndarray, ids: np.ndarray, stats: np.ndarray, bits: int) -> Iterator[tuple]:
+    """Distinct n-grams in order (a line of word numbers per place) and their numbers (a line per kind): a row per shard."""
+    shard = shard_of(gram_hash(words[i] for i in ids), bits)
+    by = np.argsort(shard.astype(np.uint16) if bits <= 16 else shard, kind="stable")
+    edges = np.searchsorted(shard[by], np.arange((1 << bits) + 1))
+    for shard in np.flatnonzero(np.diff(edges)):
+        some = by[edges[shard] : edges[shard + 1]]
+        own = ids[:, some]
+        if own.size * 8 > len(words):
+            mark = np.zeros(len(words), bool)
+            mark[own] = True
+            used, own = np.flatnonzero(mark), (np.cumsum(mark, dtype=np.int32) - 1)[own]
+        else:
+            used, own = np.unique(own, return_inverse=True)
+        yield len(ids), int(shard), _planes(words[used]), _planes(own.reshape(-1)), _planes(stats[:, some].reshape(-1)), None
+
+
 def _count(order: int, bits: int, slice_bytes: int):
     """Texts to packed n-grams: a row per slice and shard."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for held in slices(_texts(batches), 0, slice_bytes):
                 said, at, _ = sequence([r[0] for r in held], order)
-                keys, one, n = counted(gram_hash([said[at - order + 1 + k] for k in range(order)]))
-                vocabulary, ids = np.unique(np.stack([said[at[one] - order + 1 + k] for k in range(order)]), return_inverse=True)
-                ids = ids.reshape(order, -1)
-                edges = np.searchsorted(shard_of(keys, bits), np.arange((1 << bits) + 1))
-                for shard in np.flatnonzero(np.diff(edges)):
-                    some = slice(edges[shard], edges[shard + 1])
-                    by = np.lexsort(ids[::-1, some])
-                    used, own = np.unique(ids[:, some][:, by], return_inverse=True)
-                    yield order, int(shard), _planes(vocabulary[used]), _planes(own.reshape(-1).astype(np.uint32)), _planes(n[some][by]), None
+                words, ids = vocabulary(said)
+                ids = np.stack([ids[at - order + 1 + k] for k in range(order)])
+                del said, at
+                by, first = grouped(joined(ids))
+                ids, n = ids[:, by[first]], np.diff(np.append(first, len(by)))[None]
+                del by, first
+                yield from _packed(words, ids, n, bits)
 
         yield from emit(rows(), PACKED, _size)
 
     return run
 
 
-def _unpacked(row: tuple, level: int, top: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Words and numbers of a packed row, a line per place and per kind of number."""
-    words, stats = _integers(row[2].as_py(), np.uint64), _integers(row[4].as_py(), np.int64)
-    if top:
-        words = words[_integers(row[3].as_py(), np.uint32)]
-    return words.reshape(level, -1), stats.reshape(1 if top else len(STATS), -1)
-
-
-def _write(root: str, level: int, shard: int, columns: dict[str, np.ndarray]) -> None:
-    """A shard's arrays as one file in the shared folder."""
+def _unpacked(rows: list[tuple], level: int, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, and of all rows one after the other the word numbers (a line per place) and the numbers (a line per kind)."""
+    words = [_integers(r[2].as_py()).astype(np.uint64) for r in rows]
+    every = np.unique(np.concatenate(words))
+    ids = [np.searchsorted(every, w).astype(np.int32)[_integers(r[3].as_py())].reshape(level, -1) for w, r in zip(words, rows, strict=True)]
+    return every, np.concatenate(ids, axis=1), np.concatenate([_integers(r[4].as_py()).astype(np.int64).reshape(kinds, -1) for r in rows], axis=1)
+
+
+def _write(root: str, level: int, shard: int, bits: int, keys: np.ndarray, numbers: dict[str, np.ndarray]) -> None:
+    """A shard's arrays as one file in the shared folder, of a row of lists. Sorted keys stand under their first bits after the shard's (about
+    eight under each, found by ``starts``), with what is left of them in ``high`` and ``low``; their numbers are one of a dictionary of tuples."""
+    by = np.argsort(keys)
+    keys, values = keys[by], np.stack(list(numbers.values()))[:, by]
+    fan = max(0, (len(keys) // 8).bit_length() - 1)
+    head, tail = _split(keys, bits, fan)
+    order, first = grouped(joined(values))
+    code = np.empty(len(order), np.int64)
+    code[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    high = tail >> np.uint64(32)
+    lists = {"starts": np.searchsorted(head, np.arange((1 << fan) + 1)).astype(np.int64), "low": tail.astype(np.uint32), "high": high.astype(_least(high)), "code": code.astype(_least(code))}
+    lists["starts"] = lists["starts"].astype(_least(lists["starts"]))
+    lists |= dict(zip(numbers, values[:, order[first]], strict=True))
+    arrays = [pa.LargeListArray.from_arrays(pa.array([0, len(v)], pa.int64()), pa.array(v)) for v in lists.values()]
+    batch = pa.RecordBatch.from_arrays(arrays, names=list(lists))
     store, folder = fs.FileSystem.from_uri(root)
-    arrays = [pa.array(v if v.dtype == np.uint64 or len(v) and v.max() >= 1 << 31 else v.astype(np.int32)) for v in columns.values()]
-    batch = pa.RecordBatch.from_arrays(arrays, names=list(columns))
     name = f"{folder}/{level}-{shard}"
     with store.open_output_stream(own := f"{name}.{uuid.uuid4().hex}") as out, pa.ipc.new_file(out, batch.schema) as sink:
         sink.write_batch(batch)
     store.move(own, name)
 
 
-def _below(words: list[np.ndarray], c: np.ndarray, raw: np.ndarray, bits: int) -> Iterator[tuple]:
-    """What n-grams (their words, c, counts) add to the n-grams one word shorter: those of their last and of their first words."""
-    last, first = words[1:], words[:-1]
-    end_keys, end_at, left, times = counted(gram_hash(last), np.ones(len(c), np.int64), raw)
-    keys, at, *rest = counted(gram_hash(first), c, c == 1, c == 2, c > 2)
-    every = np.union1d(end_keys, keys)
-    a, b = np.searchsorted(every, end_keys), np.searchsorted(every, keys)
-    shorter, stats = np.zeros((len(last), len(every)), np.uint64), np.zeros((len(STATS), len(every)), np.int64)
-    for k in range(len(last)):
-        shorter[k, a], shorter[k, b] = last[k][end_at], first[k][at]
-    for row, (place, values) in zip(stats, [(a, left), (a, times), *((b, v) for v in rest)], strict=True):
-        row[place] = values
-    edges = np.searchsorted(shard_of(every, bits), np.arange((1 << bits) + 1))
-    for shard in np.flatnonzero(np.diff(edges)):
-        some = slice(edges[shard], edges[shard + 1])
-        yield len(last), int(shard), _planes(shorter[:, some].reshape(-1)), None, _planes(stats[:, some].reshape(-1)), None
+def _split(keys: np.ndarray, bits: int, fan: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of keys of a shard: the ``fan`` bits after those of the shard, and the bits after these."""
+    left = np.uint64(64 - bits - fan)
+    rest = keys & np.uint64((1 << (64 - bits)) - 1)
+    return (rest >> left).astype(np.int64) if fan else np.zeros(len(keys), np.int64), rest & np.uint64((1 << int(left)) - 1)
+
+
+def _below(words: np.ndarray, ids: np.ndarray, c: np.ndarray, raw: np.ndarray, bits: int) -> Iterator[tuple]:
+    """What distinct n-grams (their words, c, counts) add to the n-grams one word shorter: those of their last and of their first words."""
+    n = ids.shape[1]
+    order, begin = grouped(joined(np.concatenate([ids[1:], ids[:-1]], axis=1)))
+    kind = np.int32 if raw.sum() < 1 << 31 else np.int64
+    stats = np.zeros((len(STATS), len(begin)), kind)
+    for k, (of_last, of_first) in enumerate([(1, 0), (raw, 0), (0, c), (0, c == 1), (0, c == 2), (0, c > 2)]):
+        every = np.zeros(2 * n, kind)
+        every[:n], every[n:] = of_last, of_first
+        if n:
+            np.add.reduceat(every[order], begin, out=stats[k])
+    one = order[begin]
+    shorter = np.where(one < n, ids[1:, one % max(1, n)], ids[:-1, one % max(1, n)])
+    yield from _packed(words, shorter, stats, bits)
 
 
 def _merge(level: int, order: int, bits: int, root: str):
@@ -179,23 +235,24 @@ def _merge(level: int, order: int, bits: int, root: str):
                 if shard < 0:  # sums of the level above
                     yield from (tuple(x.as_py() for x in row) for row in own)
                     continue
-                parts = [_unpacked(row, level, top) for row in own]
-                words, stats = (np.concatenate(p, axis=1) for p in zip(*parts, strict=True))
-                del parts
-                keys, one, *sums = counted(gram_hash(list(words)), *stats)
-                words = words[:, one]
+                words, ids, stats = _unpacked(list(own), level, 1 if top else len(STATS))
+                by, first = grouped(joined(ids))
+                ids, sums = ids[:, by[first]], [np.add.reduceat(s[by], first) for s in stats]
+                del by, first, stats
+                keys = gram_hash(words[i] for i in ids)
                 if top:
                     c = raw = sums[0]
-                    _write(root, level, shard, {"key": keys, "c": c})
+                    _write(root, level, shard, bits, keys, {"c": c})
                 else:
                     left, raw, *rest = sums
-                    c = np.where(words[0] == START, raw, left) if level > 1 else left
-                    _write(root, level, shard, {"key": keys, "c": c, "raw": raw, **dict(zip(STATS[2:], rest, strict=True))})
+                    c = np.where(words[ids[0]] == START, raw, left) if level > 1 else left
+                    _write(root, level, shard, bits, keys, {"c": c, **({} if level > 1 else {"raw": raw}), **dict(zip(STATS[2:], rest, strict=True))})
                     seen = raw > 0
-                    words, c, raw = words[:, seen], c[seen], raw[seen]
+                    ids, c, raw = ids[:, seen], c[seen], raw[seen]
                 yield level, -1, None, None, None, [*(int((c == k).sum()) for k in (1, 2, 3, 4)), len(c), int(raw.sum()), int(c.sum())]
                 if level > 1:
-                    yield from _below(list(words), c, raw, bits)
+                    del keys, sums
+                    yield from _below(words, ids, c, raw, bits)
 
         yield from emit(rows(), PACKED, _size)
 
@@ -270,7 +327,7 @@ class Arrays:
             else:
                 source = pa.memory_map(name) if self.mapped else self.store.open_input_file(name)
                 batch = pa.ipc.open_file(source).get_batch(0)
-                self.open[at] = {n: c.to_numpy(zero_copy_only=True) for n, c in zip(batch.schema.names, batch.columns, strict=True)}
+                self.open[at] = {n: c.values.to_numpy(zero_copy_only=True) for n, c in zip(batch.schema.names, batch.columns, strict=True)}
             if len(self.open) > self.OPEN:
                 self.open.popitem(last=False)
         return self.open[at]
@@ -285,12 +342,25 @@ class Arrays:
             if own is None:
                 continue
             some = slice(edges[shard], edges[shard + 1])
-            at = np.minimum(np.searchsorted(own["key"], distinct[some]), len(own["key"]) - 1)
-            hit = own["key"][at] == distinct[some]
+            code, hit = self._codes(own, distinct[some])
             for o, name in zip(out, names, strict=True):
-                o[some] = np.where(hit, own[name][at], 0)
+                o[some] = np.where(hit, own[name][code], 0)
         return [o[back] for o in out]
 
+    def _codes(self, own: dict[str, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each key's numbers in the shard's dictionary, and whether the shard has the key: a binary search under the first bits of each."""
+        starts, low, high = own["starts"], own["low"], own["high"]
+        head, tail = _split(keys, self.model.bits, (len(starts) - 1).bit_length() - 1)
+        lo, end = starts[head].astype(np.int64), starts[head + 1].astype(np.int64)
+        hi, most = end, len(low) - 1
+        rest = lambda at: high[at].astype(np.uint64) << np.uint64(32) | low[at]
+        for _ in range(int((hi - lo).max()).bit_length()):
+            mid = lo + hi >> 1
+            less = (lo < hi) & (rest(np.minimum(mid, most)) < tail)
+            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+        at = np.minimum(lo, most)
+        return own["code"][at], (lo < end) & (rest(at) == tail)
+
 
 def score(arrays: Arrays, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per text: tokens, known tokens, log10 probability of single words with one added to each count, log10 probability."""
@@ -303,13 +373,13 @@ def score(arrays: Arrays, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, n
         keys = gram_hash([said[reach - level + 1 + k] for k in range(level)])
         place = at - level + 1
         if level < order:
-            c, raw, *stats = arrays.find(level, keys, ["c", *STATS[1:]])
+            c, *stats = arrays.find(level, keys, ["c", *STATS[1 if level == 1 else 2 :]])
         else:
             (c,), stats = arrays.find(level, keys[place], ["c"]), None
             place = slice(None)
         c = c[place]
         if level == 1:
-            count = raw[place]
+            count = stats.pop(0)[place]
             base = np.log10((count + 1) / (model.tokens + model.types + 1))
             p = np.maximum(c - discount(1, c), 0) / max(1, model.pairs) + model.rest / (model.types + 1)
             known = count > 0

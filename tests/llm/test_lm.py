@@ -178,3 +178,26 @@ def test_registered_query_has_trigrams(spark, small):
     docs = read_table(spark, small, "documents")
     rows = QUERIES["op11_kneser_ney"](spark, small).join(docs.select("doc_id", "text"), "doc_id").collect()
     same(rows, Brute([r.text for r in rows if not r.held_out], 3))
+
+
+def test_arrays_and_packed_rows_are_small(spark, small):
+    """The check of round 3: arrays took 12 bytes a triple and 32 a pair, and rows to the level below 16 bytes of hashes a pair."""
+    docs = read_table(spark, small, "documents")
+    model = lm.train(docs, 3, 2)
+    arrays, folder = lm.Arrays(model), model.root.removeprefix("file://")
+    for level, most in ((3, 10), (2, 12)):
+        n = sum(len(arrays.shard(level, s)["code"]) for s in range(4))
+        assert n > 10_000 and sum(os.path.getsize(f"{folder}/{level}-{s}") for s in range(4)) < most * n
+    texts = [(r.text or "").encode() for r in docs.select("text").collect()]
+    words, ids = lm.vocabulary(lm.sequence(texts, 3)[0])
+    ids = np.unique(np.stack([ids[:-1], ids[1:]]), axis=1)
+    rows = list(lm._packed(words, ids, np.ones((6, ids.shape[1]), np.int64), 2))
+    assert sum(map(lm._size, rows)) < 12 * ids.shape[1]
+
+
+def test_tuples_wider_than_a_word(spark):
+    rng = np.random.default_rng(1)
+    columns = np.concatenate([rng.integers(0, 3, (2, 5000)), rng.integers(0, 1 << 40, (2, 50))[:, rng.integers(0, 50, 5000)], rng.integers(0, 2, (1, 5000))])
+    order, first = lm.grouped(lm.joined(columns))
+    found = [tuple(x) for x in columns[:, order[first]].T.tolist()]
+    assert found == sorted(set(map(tuple, columns.T.tolist())))
