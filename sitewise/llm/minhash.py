@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import emit, key_extreme, salted, table
+from ._common import drop_table, emit, key_extreme, salted, table
 from ._shingle import mix, shingle_hashes
 from .components import connected_components
 
@@ -314,9 +314,14 @@ def near_components(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
     parts = table(connected_components(first), "star-parts")
     nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("part"))
     groups = table(open_groups(heads, nodes), "open")
+    done = [made, heads, edges, first, groups]
     if not groups.isEmpty():
-        more = confirmed_links(docs, heads, block_tasks(groups, block), percent)
-        parts = connected_components(first.unionByName(table(more, "open-links")))
+        more = table(confirmed_links(docs, heads, block_tasks(groups, block), percent), "open-links")
+        parts = connected_components(first.unionByName(more))
+        done.append(more)
+    made = table(made.select("doc_id", "text_hash", "n", "set_digest"), "sets-of-rows")
+    for used in done:  # signatures and keys take a good part of the texts' disk, which later stages need
+        drop_table(used)
     of_set = folded.join(parts, F.col("head") == F.col("node"), "left").select("set_digest", F.coalesce("component", "head").alias("_component"))
     out = made.join(of_set, "set_digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))

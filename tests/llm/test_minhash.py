@@ -161,3 +161,18 @@ def test_a_very_long_text(spark, documents):
     ([], True), ([(1, 2), (1, 3), (4, 5)], True), ([(1, 2), (2, 3)], False), ([(1, 3), (2, 3)], False), ([(1, 2), (1, 3), (2, 3)], False)])
 def test_forests_of_stars_are_told_from_other_edges(spark, edges, stars):
     assert components._is_forest_of_stars(spark.createDataFrame(edges, "u long, v long")) is stars
+
+
+def test_scratch_tables_of_signatures_go_when_links_are_known(spark, documents):
+    """The pipeline's check of round 3: they stayed on disk while later stages ran."""
+    import os
+
+    base = " ".join(f"w{k}" for k in range(60))
+    found = minhash.near_components(documents([base, base + " x", "a b", base, None]))
+    root = f"{spark.conf.get('spark.checkpoint.dir').removeprefix('file://')}/sitewise/{spark.sparkContext.applicationId}"
+    own = {f.removeprefix("file://").rsplit("/", 2)[-2] for f in found.inputFiles()}
+    assert own <= set(os.listdir(root)) and not [f for f in own if f.startswith(("profiles", "heads", "stars"))]
+    assert {r.doc_id: r.component_id for r in found.collect()} == {0: 0, 1: 0, 2: 2, 3: 0, 4: 4}
+    before = set(os.listdir(root))
+    minhash.near_components(documents([base, base + " x"])).collect()
+    assert not [f for f in set(os.listdir(root)) - before if f.startswith(("profiles", "heads", "stars", "star-links", "open-links"))]
