@@ -68,7 +68,7 @@ def _latest(spark: SparkSession, out: str) -> DataFrame:
 
 def _counted(batch: DataFrame, number: int, out: str, config: Config) -> None:
     """A micro-batch's allele counts, in partitions of its own."""
-    counts = A.allele_counts(A.ungapped(A.explode_sites(aligned(batch, config.gene, config.sample, config.seq, config.no_gene).select("gene", "seq"))).where("ch <> ''"))
+    counts = A.counted(aligned(batch, config.gene, config.sample, config.seq, config.no_gene).select("gene", "seq"))
     counts = counts.withColumn("batch", F.lit(number).cast("long")).repartition("gene", F.floor(F.col("pos") / config.block))
     counts.sortWithinPartitions("gene", "pos", "ch").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "gene").parquet(f"{out}/counts")
     wrote = _table(batch.sparkSession, f"{out}/counts", COUNTS).where(F.col("batch") == number).agg(F.count(F.lit(1)), F.count_distinct("gene"), F.coalesce(F.sum("n"), F.lit(0))).first()

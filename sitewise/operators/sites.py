@@ -10,6 +10,10 @@ alleles of a site together, never its samples.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +63,60 @@ def allele_counts(sites: DataFrame) -> DataFrame:
     return sites.groupBy("gene", "pos", "ch").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Characters that :func:`slice_counts` counts at a time, and rows of a batch that it emits.
+SLICE_CHARS, BATCH_ROWS = 4 << 20, 65_536
+
+
+def counted(alignments: DataFrame, gaps: tuple[str, ...] = GAPS) -> DataFrame:
+    """(gene, pos, ch, n) of whole sequences without gaps: what :func:`allele_counts` of exploded sites gives, with no row per character."""
+    return slice_counts(alignments.select("gene", "seq"), gaps).groupBy("gene", "pos", "ch").agg(F.sum("n").alias("n"))
+
+
+def slice_counts(alignments: DataFrame, gaps: tuple[str, ...] = GAPS) -> DataFrame:
+    """(gene, pos, ch, n) of slices of the sequences, which the caller sums; further long columns of ``alignments`` stand between gene and
+    pos and are counted by."""
+    by = [c for c in alignments.columns if c not in ("gene", "seq")]
+    left_out = np.array([ord(g) for g in gaps], np.uint32)
+    schema = pa.schema([("gene", pa.string()), *[(c, pa.int64()) for c in by], ("pos", pa.int32()), ("ch", pa.string()), ("n", pa.int64())])
+
+    def sums(key: tuple, texts: list[str]) -> Iterator[pa.RecordBatch]:
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        pos = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        sites = (pos.astype(np.uint64) << np.uint64(21) | codes)[~np.isin(codes, left_out)]
+        sites, n = np.unique(sites, return_counts=True)
+        pos, codes = (sites >> np.uint64(21)).astype(np.int32), (sites & np.uint64((1 << 21) - 1)).astype(np.uint32)
+        kinds, ch = np.unique(codes, return_inverse=True)
+        names = pa.array([chr(k) for k in kinds.tolist()], pa.string())
+        for at in range(0, len(n), BATCH_ROWS):
+            m = len(n[at : at + BATCH_ROWS])
+            fixed = [pa.array([v], f.type).take(pa.array(np.zeros(m, np.int32))) for v, f in zip(key, schema, strict=False)]
+            own = [pa.array(pos[at : at + m]), names.take(pa.array(ch[at : at + m])), pa.array(n[at : at + m], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*fixed, *own], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list[str]] = {}
+        size = 0
+        for batch in batches:
+            keys = zip(*[c.to_pylist() for c in batch.columns[:-1]], strict=True)
+            for key, text in zip(keys, batch.column(batch.num_columns - 1), strict=True):
+                if not text.is_valid:
+                    continue
+                text = text.as_py().decode("utf-8", "replace")
+                held.setdefault(key, []).append(text)
+                size += len(text)
+                if size >= SLICE_CHARS:
+                    for of in held.items():
+                        yield from sums(*of)
+                    held, size = {}, 0
+        for of in held.items():
+            yield from sums(*of)
+
+    rows = alignments.select("gene", *by, F.col("seq").cast("binary").alias("seq"))
+    ddl = ", ".join(["gene string", *[f"`{c}` long" for c in by], "pos int, ch string, n long"])
+    return rows.mapInArrow(run, ddl)
+
+
 def major_of() -> Column:
     """Aggregate: the commonest allele, the lowest character of several."""
     return F.max_by("ch", F.struct(F.col("n"), -F.ascii("ch")))
