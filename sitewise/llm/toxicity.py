@@ -45,6 +45,7 @@ WINDOW, OVERLAP = 62, 14
 PRIMER = b"~0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ~"
 PER_CLASS = 3000
 CLASS_BYTES = 64 << 20
+PART_BYTES = 4 << 20  # of training texts, whose grams are counted at a time
 CLEAR = 3  # bytes that a match of at least six saves
 
 
@@ -65,14 +66,37 @@ def _grams(text: bytes) -> np.ndarray:
     return out
 
 
-def _distinct(texts: list[bytes]) -> list[np.ndarray]:
-    return [np.unique(_grams(t)) for t in texts]
-
-
-def _no_copies(grams: list[np.ndarray]) -> list[int]:
+def _no_copies(texts: list[bytes]) -> list[int]:
     """Places of the texts that are no near copy of an earlier one (6 of 8 gram minima equal)."""
+    grams = (np.unique(_grams(t)) for t in texts)
     minima = np.array([[mix(g + np.uint64(k << 56)).min() if len(g) else k for k in range(8)] for g in grams], np.uint64)
-    return [i for i in range(len(grams)) if not ((minima[:i] == minima[i]).sum(axis=1) >= 6).any()]
+    return [i for i in range(len(texts)) if not ((minima[:i] == minima[i]).sum(axis=1) >= 6).any()]
+
+
+def _counts(texts: list[bytes], part: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of a part, by the first ``bits`` bits of their hash, and the number of texts that hold each."""
+    some = []
+    for text in texts:
+        own = _grams(text)
+        if bits:
+            own = own[(own * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits) == part]
+        some.append(np.unique(own))
+    return np.unique(np.concatenate(some), return_counts=True)
+
+
+def repeated(one: list[bytes], two: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each of two classes: the grams of three of its texts or more, in order, with the number of its and of the other's texts that hold
+    them. Grams are counted part by part, so that memory does not hold those of all texts."""
+    bits = (sum(map(len, one + two)) // PART_BYTES).bit_length()
+    found: list[list] = [[], []]
+    for part in range(1 << bits):
+        counts = [_counts(texts, part, bits) for texts in (one, two)]
+        for out, (grams, n), (others, m) in zip(found, counts, counts[::-1], strict=True):
+            grams, n = grams[n >= 3], n[n >= 3]
+            where = np.minimum(np.searchsorted(others, grams), max(0, len(others) - 1))
+            out.append((grams, n, np.where(others[where] == grams, m[where], 0) if len(others) else np.zeros(len(grams), np.int64)))
+    whole = [[np.concatenate(c) for c in zip(*parts, strict=True)] for parts in found]
+    return [tuple(c[order] for c in columns) for columns in whole for order in [np.argsort(columns[0])]]
 
 
 def _evidence(count: np.ndarray, seen: np.ndarray, own: int, other: int) -> np.ndarray:
@@ -82,23 +106,15 @@ def _evidence(count: np.ndarray, seen: np.ndarray, own: int, other: int) -> np.n
     return 2 * (part(count, own) + part(seen, other))
 
 
-def content(own: list[np.ndarray], other: list[np.ndarray], texts: list[bytes], share: float = 0.1, ratio: float = 6, evidence: float = 20, size: int = 112_640) -> bytes:
-    """Dictionary content: sequences made of grams that are ``ratio`` times as frequent among ``own`` texts
-    as among ``other`` ones, with ``evidence`` of that whatever the commonest such gram (or, among few texts,
+def content(grams: np.ndarray, count: np.ndarray, seen: np.ndarray, texts: list[bytes], others: int, share: float = 0.1, ratio: float = 6, evidence: float = 20, size: int = 112_640) -> bytes:
+    """Dictionary content: sequences made of grams (in ``count`` of ``texts``, ``seen`` in so many of ``others``) that are ``ratio`` times as
+    frequent among the texts as among the others, with ``evidence`` of that whatever the commonest such gram (or, among few texts,
     with 0.6 times it in ``share`` of its texts); commonest last. ``size`` is zstandard's own for dictionaries."""
-    grams, count = np.unique(np.concatenate(own), return_counts=True)
-    grams, count = grams[count >= 3], count[count >= 3]
-    seen = np.zeros(len(grams), np.int64)
-    for at in range(0, len(other), 256):  # in parts: bounded memory
-        part = np.concatenate(other[at : at + 256])
-        where = np.searchsorted(grams, part)
-        where[where == len(grams)] = 0
-        seen += np.bincount(where[grams[where] == part], minlength=len(grams)) if len(grams) else 0
-    rare = (count + 0.5) / (len(own) + 1) >= ratio * (seen + 0.5) / (len(other) + 1)
+    rare = (count + 0.5) / (len(texts) + 1) >= ratio * (seen + 0.5) / (others + 1)
     grams, count, seen = grams[rare], count[rare], seen[rare]
     if not len(grams):
         return b""
-    ratio_of = _evidence(count, seen, len(own), len(other))
+    ratio_of = _evidence(count, seen, len(texts), others)
     often = (ratio_of >= evidence) | (count >= share * count.max()) & (ratio_of >= 0.6 * evidence)
     grams, count = grams[often], count[often]
     if not len(grams):
@@ -190,10 +206,9 @@ def fit(toxic: list[bytes], ordinary: list[bytes]) -> Model:
     toxic, ordinary = [t.lower() for t in toxic], [t.lower() for t in ordinary]
     if not toxic or not ordinary:
         return Model(b"", b"", (), float(bool(toxic)))
-    a, b = _distinct(toxic), _distinct(ordinary)
-    one, two = _no_copies(a), _no_copies(b)  # a passage that copies repeat says little about its class
-    own, other = [a[i] for i in one], [b[i] for i in two]
-    return calibrated(toxic, ordinary, content(own, other, [toxic[i] for i in one]), content(other, own, [ordinary[i] for i in two]))
+    own, other = ([texts[i] for i in _no_copies(texts)] for texts in (toxic, ordinary))  # a passage that copies repeat says little about its class
+    ours, theirs = repeated(own, other)
+    return calibrated(toxic, ordinary, content(*ours, own, len(other)), content(*theirs, other, len(own)))
 
 
 def calibrated(toxic: list[bytes], ordinary: list[bytes], toxic_content: bytes, ordinary_content: bytes) -> Model:
@@ -235,7 +250,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, class_
     found = rows.withColumn("toxic", F.col("toxic").cast("int")).join(F.broadcast(wanted), ["toxic", "doc_id", "text_hash"])  # at most 2 * per_class rows
     texts = found.groupBy("toxic", "doc_id", "text_hash").agg(F.min(F.col("text").cast("binary")).alias("text")).orderBy("doc_id", "text").select("toxic", "text").toArrow()
     kinds, column = texts.column(0).to_pylist(), texts.column(1)
-    return fit(*[[v.as_py() for k, v in zip(kinds, column, strict=True) if k == kind] for kind in (1, 0)])
+    classes = [[v.as_py() for k, v in zip(kinds, column, strict=True) if k == kind] for kind in (1, 0)]
+    del texts, column
+    return fit(*classes)
 
 
 def score(docs: DataFrame, model: Model, column: str = "toxicity") -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -127,3 +128,19 @@ def test_the_fit_is_bounded_in_rows_and_bytes(spark, documents, monkeypatch):
     free = sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(60))
     toxicity.train(docs, labels)
     assert sum(seen["n"]) == free + (zlib.crc32(b"8") % 3 != 1)  # repeated rows once, a second text of an id too
+
+
+def test_the_fit_holds_no_table_of_all_grams(monkeypatch):
+    """Pipeline, check of round 3: the driver held eight bytes for each gram of every training text, several times over."""
+    rng = random.Random(5)
+    text = lambda bad: "".join(map(chr, rng.choices(range(33, 97), k=40_000))).encode() + (b" you blockheaded nitwit" if bad else b" with kind regards")
+    toxic, ordinary = [text(True) for _ in range(25)], [text(False) for _ in range(25)]
+    whole = toxicity.fit(toxic, ordinary)
+    assert b"blockheaded" in whole.toxic and b"kind reg" in whole.ordinary
+    monkeypatch.setattr(toxicity, "PART_BYTES", 1 << 17, raising=False)
+    tracemalloc.start()
+    try:
+        assert toxicity.fit(toxic, ordinary) == whole
+        assert tracemalloc.get_traced_memory()[1] < 10 * sum(map(len, toxic + ordinary))
+    finally:
+        tracemalloc.stop()
