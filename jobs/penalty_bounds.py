@@ -4,8 +4,8 @@
 
 Training scales its penalties by the largest gradient at zero weights (lambda1_max) and by the largest norm that a gene's
 gradients keep beyond a share ``ratio`` of it (lambda2), and does so again for every fold of a cross-validation. This job gives those
-bounds for all of them from one pass: sequences are exploded once and counted per (gene, pos, allele) with the class counts
-of every fold; what is left of a count without a fold is a difference. Users see, before any solver runs, which columns can
+bounds for all of them from one pass: slices of sequences are counted per (gene, pos, allele) with the class counts
+of every fold, no row per character; what is left of a count without a fold is a difference. Users see, before any solver runs, which columns can
 enter at that ratio, in how many folds, and which penalties leave a gene out.
 
 Output, partitioned by gene: pos, allele, n, n_pos, n_neg, grad (whole cohort), grad_min and grad_max over the folds, kept
@@ -67,10 +67,9 @@ def screen(spark: SparkSession, sequences: str, labels: str, config: Config) ->
     whole = tuple(map(sum, zip((0, 0), *sizes.values(), strict=True)))
     sets = [whole] + [tuple(w - s for w, s in zip(whole, sizes.get(f, (0, 0)), strict=True)) for f in range(k)]
     rows = A.one_of_each(aligned(spark.read.parquet(sequences), config.gene, config.sample, config.seq, config.no_gene))
-    met = rows.join(cohort, "sample").select("gene", "fold", "y", "seq")
-    sites = A.ungapped(A.explode_sites(met)).where("ch <> ''")
-    of = lambda sign, f: F.count_if((F.col("fold") == f) & (F.col("y") * sign > 0))
-    counts = settled(sites.groupBy("gene", "pos", "ch").agg(F.count(F.lit(1)).alias("n"), F.array(*[of(1, f) for f in range(k)]).alias("pos_of"), F.array(*[of(-1, f) for f in range(k)]).alias("neg_of")), "class_counts")
+    met = rows.join(cohort.select("sample", (2 * F.col("fold") + (F.col("y") < 0).cast("int")).cast("long").alias("class")), "sample")
+    classes = [f"n{c}" for c in range(2 * k)]  # of fold f, n{2f} are its positives and n{2f + 1} its negatives
+    counts = settled(A.class_counts(met, 2 * k).select("gene", "pos", "ch", sum(map(F.col, classes)).alias("n"), F.array(*classes[::2]).alias("pos_of"), F.array(*classes[1::2]).alias("neg_of")), "class_counts")
     found = A.features(counts.select("gene", "pos", "ch", "n"), config.min_minor, config.drop_major).select("gene", "pos", F.col("allele").alias("ch"))
     found = counts.join(found, ["gene", "pos", "ch"])
     add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, b: a + b)

@@ -63,8 +63,8 @@ def allele_counts(sites: DataFrame) -> DataFrame:
     return sites.groupBy("gene", "pos", "ch").agg(F.count(F.lit(1)).alias("n"))
 
 
-#: Characters that :func:`slice_counts` counts at a time, and rows of a batch that it emits.
-SLICE_CHARS, BATCH_ROWS = 4 << 20, 65_536
+#: Characters of a slice that :func:`slice_counts` counts at a time, those that it holds of all slices, and rows of a batch that it emits.
+SLICE_CHARS, HELD_CHARS, BATCH_ROWS = 4 << 20, 16 << 20, 65_536
 
 
 def counted(alignments: DataFrame, gaps: tuple[str, ...] = GAPS) -> DataFrame:
@@ -76,44 +76,78 @@ def slice_counts(alignments: DataFrame, gaps: tuple[str, ...] = GAPS) -> DataFra
     """(gene, pos, ch, n) of slices of the sequences, which the caller sums; further long columns of ``alignments`` stand between gene and
     pos and are counted by."""
     by = [c for c in alignments.columns if c not in ("gene", "seq")]
+    return _sliced(alignments.select("gene", *by, "seq"), by, [], gaps)
+
+
+def class_counts(alignments: DataFrame, classes: int, gaps: tuple[str, ...] = GAPS) -> DataFrame:
+    """(gene, pos, ch, n0, n1, ...): what :func:`counted` gives, by the column ``class`` of (gene, class, seq), a long from 0 to below
+    ``classes`` (4096 at most). A row of a slice has all classes of its allele, so that their number does not multiply the rows."""
+    if not 0 < classes <= 4096:
+        raise ValueError("classes are 1 to 4096")
+    names = [f"n{k}" for k in range(classes)]
+    return _sliced(alignments.select("gene", "class", "seq"), [], names, gaps).groupBy("gene", "pos", "ch").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def _sliced(alignments: DataFrame, by: list[str], classes: list[str], gaps: tuple[str, ...]) -> DataFrame:
+    """Counts of slices by (gene, ``by``), in a column per class if there are some: the column before seq is the class then."""
     left_out = np.array([ord(g) for g in gaps], np.uint32)
-    schema = pa.schema([("gene", pa.string()), *[(c, pa.int64()) for c in by], ("pos", pa.int32()), ("ch", pa.string()), ("n", pa.int64())])
+    counts = classes or ["n"]
+    shift = np.uint64((len(counts) - 1).bit_length())
+    schema = pa.schema([("gene", pa.string()), *[(c, pa.int64()) for c in by], ("pos", pa.int32()), ("ch", pa.string()), *[(c, pa.int64()) for c in counts]])
 
-    def sums(key: tuple, texts: list[str]) -> Iterator[pa.RecordBatch]:
+    def sums(key: tuple, texts: list[str], kinds: list[int]) -> Iterator[pa.RecordBatch]:
         codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         pos = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        sites = (pos.astype(np.uint64) << np.uint64(21) | codes)[~np.isin(codes, left_out)]
-        sites, n = np.unique(sites, return_counts=True)
+        cells = (pos.astype(np.uint64) << np.uint64(21) | codes) << shift
+        if classes:
+            cells |= np.repeat(np.array(kinds, np.uint64), lengths)
+        cells = cells[~np.isin(codes, left_out)]
+        del codes, pos
+        cells.sort()
+        first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else np.empty(0, np.int64)
+        n, cells = np.diff(np.append(first, len(cells))), cells[first]
+        sites, kind = cells >> shift, (cells & np.uint64((1 << int(shift)) - 1)).astype(np.int64)
+        begin = np.flatnonzero(np.concatenate([[True], sites[1:] != sites[:-1]])) if len(sites) else first
+        ends = np.append(begin, len(sites))
+        sites = sites[begin]
         pos, codes = (sites >> np.uint64(21)).astype(np.int32), (sites & np.uint64((1 << 21) - 1)).astype(np.uint32)
-        kinds, ch = np.unique(codes, return_inverse=True)
-        names = pa.array([chr(k) for k in kinds.tolist()], pa.string())
-        for at in range(0, len(n), BATCH_ROWS):
-            m = len(n[at : at + BATCH_ROWS])
+        names, ch = np.unique(codes, return_inverse=True)
+        names = pa.array([chr(k) for k in names.tolist()], pa.string())
+        for at in range(0, len(sites), BATCH_ROWS):
+            m = len(sites[at : at + BATCH_ROWS])
+            some = slice(ends[at], ends[at + m])
+            table = np.zeros((len(counts), m), np.int64)
+            table[kind[some], np.repeat(np.arange(m), np.diff(ends[at : at + m + 1]))] = n[some]
             fixed = [pa.array([v], f.type).take(pa.array(np.zeros(m, np.int32))) for v, f in zip(key, schema, strict=False)]
-            own = [pa.array(pos[at : at + m]), names.take(pa.array(ch[at : at + m])), pa.array(n[at : at + m], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*fixed, *own], schema=schema)
+            yield pa.RecordBatch.from_arrays([*fixed, pa.array(pos[at : at + m]), names.take(pa.array(ch[at : at + m])), *[pa.array(c) for c in table]], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list[str]] = {}
+        held: dict[tuple, tuple[list[str], list[int], list[int]]] = {}
         size = 0
         for batch in batches:
-            keys = zip(*[c.to_pylist() for c in batch.columns[:-1]], strict=True)
-            for key, text in zip(keys, batch.column(batch.num_columns - 1), strict=True):
+            columns = [c.to_pylist() for c in batch.columns[:-1]]
+            kinds = columns.pop() if classes else [0] * batch.num_rows
+            for *key, kind, text in zip(*columns, kinds, batch.column(batch.num_columns - 1), strict=True):
                 if not text.is_valid:
                     continue
                 text = text.as_py().decode("utf-8", "replace")
-                held.setdefault(key, []).append(text)
+                texts, own, chars = held.setdefault(tuple(key), ([], [], [0]))
+                texts.append(text)
+                own.append(kind)
+                chars[0] += len(text)
                 size += len(text)
-                if size >= SLICE_CHARS:
-                    for of in held.items():
-                        yield from sums(*of)
-                    held, size = {}, 0
-        for of in held.items():
-            yield from sums(*of)
-
-    rows = alignments.select("gene", *by, F.col("seq").cast("binary").alias("seq"))
-    ddl = ", ".join(["gene string", *[f"`{c}` long" for c in by], "pos int, ch string, n long"])
+                if chars[0] < SLICE_CHARS and size < HELD_CHARS:
+                    continue
+                key = max(held, key=lambda k: held[k][2][0])  # the longest, so that slices stay long where there are several genes
+                texts, own, chars = held.pop(key)
+                size -= chars[0]
+                yield from sums(key, texts, own)
+        for key, (texts, own, _) in held.items():
+            yield from sums(key, texts, own)
+
+    rows = alignments.withColumn("seq", F.col("seq").cast("binary"))
+    ddl = ", ".join(["gene string", *[f"`{c}` long" for c in by], "pos int, ch string", *[f"`{c}` long" for c in counts]])
     return rows.mapInArrow(run, ddl)
 
 
